@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, sharding
+from . import bpe, decontaminate, langid, sharding
 
 SHARD_BYTES = 16 * 1024 * 1024
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,8 +25,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op8_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op4_byte_bpe)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op4_byte_bpe, op8_language_bitmask, op10_qgram_decontamination)}
 
 
 #: Buckets by the same hash: of the prefixes of each depth, a row's shard is the shortest that fits.
