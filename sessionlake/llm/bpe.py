@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, ship
 
 NONE = np.int64(1 << 62)
 SHIFT = 32
@@ -212,6 +212,7 @@ def _blocks(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ids (array of int) and the text decoded from them (binary) of every row."""
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType
 
     def run(batches):
@@ -225,6 +226,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, ids_sha256, decoded_sha256, n_bytes: what :func:`encode_documents` makes, digested where it is made."""
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType
 
     def run(batches):

@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, only, row_blocks, utf8, window_hashes
+from .common import U64, only, row_blocks, ship, utf8, window_hashes
 
 Q = 10
 SEGMENT = 100
@@ -146,6 +146,7 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """Rows (key, item, start, end, edits) of every document and item that match."""
     spark = docs.sparkSession
+    ship(spark)
     doc_kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"`{key}` {doc_kind}, `{item}` {item_kind}, start long, end long, edits long"
     rows = only(docs, key, text)

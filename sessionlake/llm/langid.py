@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, mix, only
+from .common import U64, mix, ship
 
 ORDERS = (3, 5)
 MIN_SHARE = 1e-5
@@ -110,6 +110,7 @@ class Model:
 
 def train(labelled: DataFrame, per_lang: int = 4000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the rows' non-null ``lang`` values (64 at most)."""
+    ship(labelled.sparkSession)
     rows = labelled.select(labelled[key].alias("k"), labelled[text].alias("t"), labelled[lang].alias("l")).filter("l is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts, key=lambda x: (-counts[x], x))
@@ -155,6 +156,7 @@ def train(labelled: DataFrame, per_lang: int = 4000, key: str = "doc_id", text:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with columns lang_pred and lang_score added (existing ones of that name replaced)."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # slots: 2**SLOT_BITS masks
 
     @F.pandas_udf("lang_pred string, lang_score double")
