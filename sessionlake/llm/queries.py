@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, sharding, suffix_dedup
+from . import bpe, decontaminate, langid, minhash, sharding, suffix_dedup
 
 SHARD_BYTES = 16 * 1024 * 1024
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op6_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -41,7 +45,7 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op4_byte_bpe, op6_suffix_columns, op8_language_bitmask, op10_qgram_decontamination)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op4_byte_bpe, op6_suffix_columns, op7_dart_minhash, op8_language_bitmask, op10_qgram_decontamination)}
 
 
 #: Buckets by the same hash: of the prefixes of each depth, a row's shard is the shortest that fits.
