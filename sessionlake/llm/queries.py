@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, langid, minhash, sharding, suffix_dedup
+from . import bpe, decontaminate, fingerprint, langid, licenses, minhash, sharding, suffix_dedup
 
 SHARD_BYTES = 16 * 1024 * 1024
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
@@ -40,12 +44,16 @@ def op8_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op9_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op4_byte_bpe, op6_suffix_columns, op7_dart_minhash, op8_language_bitmask, op10_qgram_decontamination)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_imatch_fingerprints, op4_byte_bpe, op6_suffix_columns, op7_dart_minhash, op8_language_bitmask, op9_license_diagonals, op10_qgram_decontamination)}
 
 
 #: Buckets by the same hash: of the prefixes of each depth, a row's shard is the shortest that fits.
@@ -64,4 +72,4 @@ SELECT doc_id, n_bytes, CASE WHEN local_depth = 0 THEN '' ELSE lpad(bin(prefix),
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_sharding": OP1_SQL}
+    return {"op1_extendible_sharding": OP1_SQL, "op2_imatch_fingerprints": fingerprint.oracle_sql(), "op9_license_diagonals": licenses.oracle_sql()}
