@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, licenses, minhash, sharding, suffix_dedup
+from . import bpe, decontaminate, fingerprint, langid, licenses, minhash, sharding, suffix_dedup, token_files, urls
 
 SHARD_BYTES = 16 * 1024 * 1024
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,18 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
+def op3_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op5_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
+
+
 def op6_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -53,7 +63,21 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_imatch_fingerprints, op4_byte_bpe, op6_suffix_columns, op7_dart_minhash, op8_language_bitmask, op9_license_diagonals, op10_qgram_decontamination)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_extendible_sharding,
+            op2_imatch_fingerprints,
+            op3_url_words,
+            op4_byte_bpe,
+            op5_arrow_token_files,
+            op6_suffix_columns,
+            op7_dart_minhash,
+            op8_language_bitmask,
+            op9_license_diagonals,
+            op10_qgram_decontamination,
+        )
+    }
 
 
 #: Buckets by the same hash: of the prefixes of each depth, a row's shard is the shortest that fits.
