@@ -210,33 +210,45 @@ def _blocks(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
         yield block
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ids (array of int) and the text decoded from them (binary) of every row."""
+def _results(docs: DataFrame, path: str, pattern: str, key: str, text: str, columns: dict) -> DataFrame:
+    """``key`` and ``columns``: name -> (SQL type, Arrow type, function of (ids as bytes, decoded bytes))."""
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, *columns]
 
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
             for k, (ids, back) in zip(_keys(b), _round(c, b.column(1)), strict=True):
-                yield pa.record_batch([k, pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back, pa.binary())], names=[key, "ids", "decoded"])
+                made = [pa.array([f(x, y) for x, y in zip(ids, back, strict=True)], t) for _, t, f in columns.values()]
+                yield pa.record_batch([k, *made], names=names)
 
-    return only(docs, key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>, decoded binary")
+    schema = ", ".join([f"`{key}` {kind}", *[f"{n} {t}" for n, (t, _, _) in columns.items()]])
+    return only(docs, key, text).mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_tokens, ids_sha256, decoded_sha256, n_bytes: what :func:`encode_documents` makes, digested where it is made."""
-    ship(docs.sparkSession)
-    kind = docs.schema[key].dataType
+def _digests() -> dict:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return {
+        "n_tokens": ("long", pa.int64(), lambda ids, back: len(ids) // 4),
+        "ids_sha256": ("string", pa.string(), lambda ids, back: sha(ids)),
+        "decoded_sha256": ("string", pa.string(), lambda ids, back: sha(back)),
+        "n_bytes": ("long", pa.int64(), lambda ids, back: len(back)),
+    }
 
-    def run(batches):
-        c = codec(path, pattern)
-        for b in batches:
-            for k, (ids, back) in zip(_keys(b), _round(c, b.column(1)), strict=True):
-                hexed = [[hashlib.sha256(x).hexdigest() for x in side] for side in (ids, back)]
-                yield pa.record_batch([k, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(hexed[0], pa.string()), pa.array(hexed[1], pa.string()), pa.array([len(x) for x in back], pa.int64())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
-    return only(docs, key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+    """``key``, ids (array of int) and the bytes decoded from them of every row; with ``digests``, these too."""
+    columns = {
+        "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, back: np.frombuffer(ids, "<u4").astype(np.int32)),
+        "decoded": ("binary", pa.binary(), lambda ids, back: back),
+    }
+    return _results(docs, path, pattern, key, text, columns | (_digests() if digests else {}))
+
+
+def digest_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_tokens, ids_sha256, decoded_sha256, n_bytes: :func:`encode_documents`, digested where it is made."""
+    return _results(docs, path, pattern, key, text, _digests())
 
 
 def _round(c: Codec, texts: pa.Array) -> Iterator[tuple[list[bytes], list[bytes]]]:
