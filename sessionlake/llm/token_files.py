@@ -32,12 +32,18 @@ from .common import Scratch, partitions, ship
 
 LENGTH = 2048
 BATCH = 64
-CACHE = 300_000
+CACHE = 800_000
+TOGETHER = 500
+MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
 BLOCK = 2_000_000
 
 
 class Encoder:
-    """Ids of texts as arrays; ids of runs between spaces are kept."""
+    """Ids of texts as arrays; ids of runs between spaces are kept.
+
+    Runs are looked up with A-Z lower-cased, as the tokenizer does first; a run that ends with one mark after an ASCII letter or digit is the
+    run without it and the mark, as the tokenizer's pattern never joins them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,19 +51,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.cache: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.cache) > CACHE:
-            self.cache = {"": b""}
+            self.cache = {b"": b""}
         cache = self.cache
-        new = list(dict.fromkeys(x for s in split for x in s if x not in cache))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[x] = np.array(e.ids, self.kind).tobytes()
+        new = dict.fromkeys(x for s in split for x in s if x not in cache)
+        parts = [(x, x[:-1], x[-1:]) for x in new if x[-1:] in MARKS and x[-2:-1].isalnum()]
+        whole = [x for x in new if not (x[-1:] in MARKS and x[-2:-1].isalnum())]
+        whole += dict.fromkeys(y for p in parts for y in p[1:] if y not in cache and y not in new)
+        cache.update(zip(whole, self._encode([x.decode() for x in whole]), strict=True))
+        late = []
+        for x, core, mark in parts:
+            if core in cache and mark in cache:
+                cache[x] = cache[core] + cache[mark]
+            else:  # the core ends with a mark of its own
+                late.append((x, core, mark))
+        for x, core, mark in sorted(late, key=lambda p: len(p[0])):
+            cache[x] = cache[core] + cache[mark]
         return [b"".join(map(cache.__getitem__, s)) for s in split]
 
+    def _encode(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run. Runs of letters are one word each, so many are encoded as one text and parted at the ends of words."""
+        out: list[bytes] = [b""] * len(runs)
+        words = [i for i, r in enumerate(runs) if r.isalpha()]
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        rest = [i for i, r in enumerate(runs) if not r.isalpha()]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(runs[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(group):
+                rest += group
+                continue
+            raw, size = ids.tobytes(), self.kind.itemsize
+            for i, a, z in zip(group, [0, *end.tolist()], end.tolist()):
+                out[i] = raw[a * size : z * size]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.kind).tobytes()
+        return out
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
