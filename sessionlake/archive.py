@@ -26,6 +26,7 @@ from . import schema as M
 from .functions.text import glob
 from .functions.values import since_ms as parse_since  # noqa: F401  part of this module's surface
 from .operators import fulltext, listing, search as ranking, tables as K
+from .plans.query import plan as plan_query
 from .sources.base import Candidate, Parsed, categorise
 from .sources.connectors import REGISTRY, native_root
 
@@ -147,7 +148,8 @@ class Archive:
         if replaced is not None:
             entry["replaced"] = f"data/{name}/replaced"
             replaced.select("id").distinct().write.parquet(f"{self.path}/{entry['replaced']}")
-        self._change(lambda m: m | {"commits": [*m["commits"], entry], "telemetry": m["telemetry"] | (telemetry or {})})
+        # The index no longer covers all rows; searches read the events until the next reindex.
+        self._change(lambda m: m | {"index": None, "commits": [*m["commits"], entry], "telemetry": m["telemetry"] | (telemetry or {})})
 
     def compact(self) -> None:
         frames = {t: self.table(t) for t in M.TABLES}
@@ -245,18 +247,28 @@ class Archive:
 
     def index(self) -> DataFrame:
         stored = self.manifest().get("index")
-        return self.spark.read.parquet(f"{self.path}/{stored}") if stored else fulltext.index(self.events)
+        return self.spark.read.parquet(f"{self.path}/{stored['path']}/tokens") if stored else fulltext.index(self.events)
 
     def reindex(self, tokenizer: str | None = None) -> None:
-        """Writes the token index anew and points the manifest at it."""
-        target = f"index/{uuid.uuid4().hex}"
-        fulltext.index(self.events).write.parquet(f"{self.path}/{target}")
-        commits = len(self.manifest()["commits"])
-        self._change(lambda m: m | {"index": target if len(m["commits"]) == commits else None, "tokenizer": tokenizer or m["tokenizer"]})
+        """Writes tokens and postings anew, with the corpus totals, and points the manifest at them."""
+        target, commits = f"index/{uuid.uuid4().hex}", len(self.manifest()["commits"])
+        fulltext.index(self.events).write.parquet(f"{self.path}/{target}/tokens")
+        idx = self.spark.read.parquet(f"{self.path}/{target}/tokens")
+        # A term's postings are in one folder and, there, in few row groups.
+        fulltext.postings(idx).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{target}/postings")
+        totals = fulltext.statistics(idx).first()
+        entry = {"path": target, "n_docs": totals["n_docs"], "avgdl": totals["avgdl"]}
+        self._change(lambda m: m | {"index": entry if len(m["commits"]) == commits else None, "tokenizer": tokenizer or m["tokenizer"]})
 
     def search(self, query: str, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, as_of_ms: int | None = None, snippets: bool = True) -> DataFrame:
         at = as_of_ms if as_of_ms is not None else int(time.time() * 1000)
-        return ranking.result(ranking.search(self.events, self.sessions, query, at, limit, agent, cwd, since_ms, snippets))
+        stored, idx, totals, plan = self.manifest().get("index"), None, None, plan_query(query)
+        if stored and not plan.empty and plan.expr is not None and not fulltext.has_prefix(plan):
+            posts = self.spark.read.parquet(f"{self.path}/{stored['path']}/postings")
+            idx, totals = fulltext.candidates_from_postings(posts, plan), (stored["n_docs"], stored["avgdl"])
+        elif stored:
+            idx = self.index()
+        return ranking.result(ranking.search(self.events, self.sessions, query, at, limit, agent, cwd, since_ms, snippets, idx, totals))
 
     def list(self, limit: int = 50, cursor: str | None = None, **filters) -> tuple[list, str | None]:
         n = max(1, min(limit, listing.MOST))

@@ -68,20 +68,20 @@ def phrase_places(p: Phrase, toks: str | Column = "toks") -> Column:
 
 
 def near(n: Near, toks: str | Column = "toks") -> Column:
-    """Whether all phrases occur with at most ``distance`` tokens between the end of the first and the start of the last."""
+    """Whether all phrases occur with at most ``distance`` tokens between each one's end and the start of the last."""
     if len(n.phrases) < 2:
         return F.size(phrase_places(n.phrases[0], toks)) > 0 if n.phrases else F.lit(False)
     starts = [phrase_places(p, toks) for p in n.phrases]
 
-    def window(start: Column) -> Column:
-        """All phrases lie in the window that begins at ``start``."""
-        tests = []
-        for p, places in zip(n.phrases, starts, strict=True):
-            reach = n.distance + sum(len(q.terms) for q in n.phrases if q is not p)
-            tests.append(F.exists(places, lambda x: (x >= start) & (x - start <= reach)))
+    def clump(last: Column) -> Column:
+        """Each phrase has a place whose end lies at most ``distance`` tokens before ``last``, the last phrase's start."""
+        def within(k: int):
+            return lambda x: (x <= last) & (last - x <= n.distance + k)
+
+        tests = [F.exists(places, within(len(p.terms))) for p, places in zip(n.phrases, starts, strict=True)]
         return reduce(lambda a, b: a & b, tests)
 
-    return reduce(lambda a, b: a | b, [F.exists(s, window) for s in starts])
+    return reduce(lambda a, b: a | b, [F.exists(s, clump) for s in starts])
 
 
 def matches(expr: object, toks: str | Column = "toks") -> Column:
@@ -99,6 +99,20 @@ def matches(expr: object, toks: str | Column = "toks") -> Column:
     return reduce((lambda a, b: a & b) if expr.op == "and" else (lambda a, b: a | b), parts)
 
 
+def leaf_conditions(expr: object, outer: Column | None = None) -> list[Column | None]:
+    """For each phrase of an expression, in order, when its hits count: every AND and NOT around it must hold in the text."""
+    if isinstance(expr, Phrase):
+        return [outer]
+    if isinstance(expr, Near):
+        here = matches(expr) if outer is None else outer & matches(expr)
+        return [here] * len(expr.phrases)
+    if not isinstance(expr, Node):
+        return []
+    if expr.op != "or":
+        outer = matches(expr) if outer is None else outer & matches(expr)
+    return [c for p in expr.parts for c in leaf_conditions(p, outer)]
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     raw = F.log((n_docs - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
@@ -108,20 +122,30 @@ def term_score(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
-    """``keys`` and bm25 (less is better) of every match; frequencies are over all of ``idx``."""
+def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx"), totals: tuple[int, float] | None = None) -> DataFrame:
+    """``keys`` and bm25 (less is better) of every match; frequencies are over all of ``idx``.
+
+    ``totals`` (documents, mean length) stand in for the index's own where ``idx`` holds only the events with some of the plan's terms.
+    """
     if plan.expr is None:
         return idx.select(*keys, F.lit(0.0).alias("bm25")).limit(0)
     # A repeated phrase scores twice, as each phrase of the plan is summed.
     counted = idx.select(*keys, "dl", "toks", *[F.size(phrase_places(p)).alias(f"f{i}") for i, p in enumerate(plan.phrases)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(plan.phrases))])
-    of = lambda c: stats.select(c).scalar()  # noqa: E731  one row, evaluated once
-    score = sum((idf(of("n"), of(f"n{i}")) * term_score(F.col(f"f{i}"), F.col("dl"), of("avgdl")) for i in range(len(plan.phrases))), F.lit(0.0))
+    known = {"n": F.lit(totals[0]), "avgdl": F.lit(totals[1])} if totals else {}
+    of = lambda c: known[c] if c in known else stats.select(c).scalar()  # noqa: E731  one row, evaluated once
+    when = leaf_conditions(plan.expr)
+    hits = [F.col(f"f{i}") if c is None else F.when(c, F.col(f"f{i}")).otherwise(F.lit(0)) for i, c in enumerate(when)]
+    score = sum((idf(of("n"), of(f"n{i}")) * term_score(f, F.col("dl"), of("avgdl")) for i, f in enumerate(hits)), F.lit(0.0))
     plain = isinstance(plan.expr, Node) and plan.expr.op == "or" and all(isinstance(p, Phrase) for p in plan.expr.parts)
     hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(plan.phrases))]) if plain else matches(plan.expr)
     return counted.filter(hit).select(*keys, (-score).alias("bm25"))
 
 
+def has_prefix(plan: Plan) -> bool:
+    return any(p.prefix for p in plan.phrases)
+
+
 def candidates_from_postings(posts: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
     """``keys``, dl, toks of the events that hold any of the plan's terms, from their postings alone.
 

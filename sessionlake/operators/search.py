@@ -40,9 +40,9 @@ def capped(hits: DataFrame, cap: int) -> DataFrame:
     return hits.orderBy("bm25", "session_id", "idx").limit(cap)
 
 
-def candidates(events: DataFrame, sessions: DataFrame, plan: Plan, cap: int, idx: DataFrame | None = None) -> DataFrame:
+def candidates(events: DataFrame, sessions: DataFrame, plan: Plan, cap: int, idx: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
     """session_id, idx, kind, text, bm25 of the capped hits of the given (already filtered) sessions."""
-    scored = fulltext.bm25(fulltext.index(events) if idx is None else idx, plan)
+    scored = fulltext.bm25(fulltext.index(events) if idx is None else idx, plan, totals=totals)
     own = scored.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
     top = capped(ranked_hits(own), cap).select("session_id", "idx", "bm25")
     return top.join(events.select("session_id", "idx", "kind", "text"), ["session_id", "idx"])  # the text, late
@@ -121,12 +121,12 @@ def with_context(results: DataFrame, events: DataFrame) -> DataFrame:
     return results.join(got, "root", "left")
 
 
-def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, idx: DataFrame | None = None) -> DataFrame:
+def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, idx: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
     """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM."""
     plan = plan_query(query)
     if plan.empty or limit <= 0 or plan.expr is None:
         limit, plan = 0, Plan(None)
-    hits = candidates(events, filtered(sessions, agent, cwd, since_ms), plan, candidate_cap(limit), idx)
+    hits = candidates(events, filtered(sessions, agent, cwd, since_ms), plan, candidate_cap(limit), idx, totals)
     hits = hits.withColumn("shown", snippet_column(F.col("text"), [p.terms for p in plan.phrases]) if snippets else F.col("text"))
     found = scored(grouped(hits, sessions, plan.terms), sessions, plan.terms, as_of_ms)
     paths = lineage.paths(sessions, found.select(F.col("session_id").alias("id")))
