@@ -37,10 +37,6 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def term_hash(term: Column) -> Column:
-    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
-
-
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """(term, known): the terms in the band of inverse document frequency, counted over all of ``docs``."""
     n = docs.count()
@@ -55,21 +51,30 @@ def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: str) ->
     some = rows.select(*keys, F.md5(F.col(text)).alias("__md5"), terms(F.col(text)).alias("__terms"))
     bits = F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(F.greatest(F.size("__terms"), F.lit(1)).cast("double"))).cast("int"))
     some = some.withColumn("e", bits)
-    hashed = F.transform("__terms", lambda t: F.struct(term_hash(t).alias("h"), t.alias("term")))
+    # Whether a term can be drawn shows in two of its digits for most texts; only then are all of them read.
+    digits = F.transform("__terms", lambda t: F.struct(F.substring(F.md5(t), 1, 8).alias("d"), t.alias("term")))
+    maybe = F.filter(digits, lambda x: (F.col("e") < 8) | (F.substring(x["d"], 7, 1) < "4") & ((F.col("e") < 12) | (F.substring(x["d"], 6, 1) == "0")))
+    hashed = F.transform(maybe, lambda x: F.struct(F.conv(x["d"], 16, 10).cast("long").alias("h"), x["term"].alias("term")))
     drawn = F.filter(hashed, lambda x: x["h"].bitwiseAND(F.expr("shiftleft(1L, e) - 1")) < SUBSETS)
     each = some.select(*keys, "e", "__md5", F.explode_outer(drawn).alias("x")).select(*keys, "e", "__md5", "x.h", "x.term")
     found = each.join(lex, "term", "left").groupBy(*keys, "e", "__md5").agg(F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("term", "h")))).alias("band"))
 
-    def level(up: int) -> Column:
+    def members(up: int) -> Column:
         mask = F.expr(f"shiftleft(1L, e + {up}) - 1")
         own = F.filter("band", lambda x: x["h"].bitwiseAND(mask) < SUBSETS)
-        mine = F.transform(own, lambda x: F.struct(x["term"].alias("term"), x["h"].bitwiseAND(mask).alias("j")))
+        return F.transform(own, lambda x: F.struct(x["h"].bitwiseAND(mask).alias("j"), x["term"].alias("term")))
+
+    def level(mine: str) -> Column:
         def subset(j: Column) -> Column:
-            got = F.filter(mine, lambda x: x["j"] == j)
-            return F.when(F.size(got) == 0, F.lit("----")).otherwise(F.substring(F.md5(F.array_join(F.transform(got, lambda x: x["term"]), " ")), 1, 4))
+            got = F.transform(F.filter(mine, lambda x: x["j"] == j), lambda x: x["term"])
+            return F.when(F.array_contains(F.col(f"{mine}_j"), j), F.substring(F.md5(F.array_join(got, " ")), 1, 4)).otherwise(F.lit("----"))
+
         return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), subset)
 
-    found = found.withColumn("lo", level(0)).withColumn("hi", level(1))
+    # Columns that are named twice below are computed once, not for every subset.
+    found = found.withColumns({"m0": members(0), "m1": members(1)})
+    found = found.withColumns({"m0_j": F.transform("m0", lambda x: x["j"]), "m1_j": F.transform("m1", lambda x: x["j"]), "m0": F.col("m0"), "m1": F.col("m1")})
+    found = found.withColumn("lo", F.when(F.size("m0") + F.size("m0_j") >= 0, level("m0"))).withColumn("hi", F.when(F.size("m1") + F.size("m1_j") >= 0, level("m1")))
     name = F.when(F.size("band") == 0, F.concat(F.lit("x:"), F.col("__md5"))).otherwise(F.concat_ws(":", F.col("e").cast("string"), F.array_join("lo", ""), F.array_join("hi", "")))
     return found.select(*keys, "e", "lo", "hi", name.alias("fingerprint"))
 
