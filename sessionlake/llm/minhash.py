@@ -9,13 +9,15 @@ empty coordinate doubles its bound. Two documents agree in a coordinate with a c
 likeness, whatever their sizes, and the work is the number of elements plus the number of darts.
 
 ``BANDS`` bands of ``ROWS`` coordinates make buckets. Copies of one text are one node. In each bucket, every node is first held
-against the bucket's least node only (a star, not all pairs), its best lead by agreeing coordinates is verified on the shingles,
+against the bucket's lead only (the node that shares most over all its buckets; a star, not all pairs), its best lead by agreeing coordinates is verified on the shingles,
 and links become classes. Only nodes that share a bucket and are still in different classes are looked at again:
-against a further lead per bucket while these pairs are many, then every such pair. So a pair that shares a bucket is either in one class or
+against a further lead per bucket while such pairs are many and each turn halves them, then every such pair, on signatures and on the
+least ``SKETCH`` element hashes (which tell the exact likeness of shorter texts), in blocks: the nodes
+outside the bucket's largest class, ``FEW`` at a time, against all, ``SIDE`` at a time. So a pair that shares a bucket is either in one class or
 was compared. A pair at likeness 0.8 shares no bucket with a chance of 3e-6.
 
 A link is a weighted Jaccard likeness of at least ``THRESHOLD``; pairs whose signatures agree in fewer than
-``LEAST_AGREE`` of the coordinates are not read again (0.8 or more agrees in fewer with a chance below 1e-6).
+``LEAST_AGREE`` of the coordinates are not read again (0.8 or more agrees in fewer with a chance below 1e-5).
 
 Cases: null text is empty; texts without words are alike only when equal; a text of fewer than ``SHINGLE`` words has one
 shingle of all its words; rows that share an id are one document; a null id is named by its text's hash (negative);
@@ -29,18 +31,23 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import U64, Scratch, mix, ship
+from .common import U64, Scratch, mix, ship, trimmed
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-LEAST_AGREE = 0.6
-BLOCK = 1_500_000
-MANY = 8
+LEAST_AGREE = 0.62
+BLOCK = 400_000
+MOST_TEXTS = 300
+MANY = 2
+FEW, SIDE = 512, 2048
+SKETCH = 256
+SKETCH_SLACK = 0.11
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _GAPS = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -93,7 +100,7 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
         some = left[text]
         name, coord, rank, owner = _darts(text[some], element[some], weight[some], bound, k)
         key = owner * k + coord
-        order = np.lexsort((name, rank, key))
+        order = np.argsort(key + rank / bound[owner])  # by coordinate, then by rank
         key = key[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])
         got = order[first]
@@ -132,6 +139,32 @@ def _darts(text, element, weight, bound, k):
     return np.concatenate(names), np.concatenate(coords), np.concatenate(ranks), np.concatenate(owners)
 
 
+def sketches(text: np.ndarray, element: np.ndarray, times: np.ndarray, n: int, k: int = SKETCH) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ``k`` least 32-bit hashes of each set's elements, counted with their repeats, and how many there are in all."""
+    total = np.bincount(text, times, minlength=n).astype(np.int64)
+    owner, each = np.repeat(text, times), np.repeat(element, times)
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    key = np.sort(owner.astype(U64) << U64(32) | mix(each + nth.astype(U64) * U64(_BASE)) >> U64(32))
+    first = np.cumsum(total) - total
+    low = (key & U64(0xFFFFFFFF)).astype(np.uint32)
+    return [low[a : a + min(int(t), k)] for a, t in zip(first.tolist(), total.tolist(), strict=True)], total
+
+
+def alike(mine: np.ndarray, n: int, others: list[np.ndarray], totals: np.ndarray, k: int = SKETCH) -> np.ndarray:
+    """Whether the others can be as like as THRESHOLD: exact where both sketches are whole, else an estimate less SKETCH_SLACK (4.5 deviations at 0.8)."""
+    size = np.array([len(o) for o in others])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    flat = np.concatenate(others) if len(others) else np.zeros(0, np.uint32)
+    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+    both = np.add.reduceat(np.append(hit, False).astype(np.int64), np.minimum(edge[:-1], len(flat))) * (size > 0)
+    ok = both / np.maximum(n + totals - both, 1) >= THRESHOLD - 1e-9
+    for i in np.flatnonzero((totals > k) | (n > k)):  # of the k least of the union, those in both
+        union = np.union1d(mine, others[i])[:k]
+        shared = np.isin(union, mine) & np.isin(union, others[i])
+        ok[i] = shared.mean() >= THRESHOLD - SKETCH_SLACK
+    return ok
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two sets of sorted distinct elements with weights."""
     if not len(a[0]) or not len(b[0]):
@@ -141,31 +174,32 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _blocks(texts):
+def _blocks(sizes):
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and (size + len(t or "") > BLOCK or i - start >= 1 << 16):
+    for i, n in enumerate(sizes):
+        if i > start and (size + n > BLOCK or i - start >= MOST_TEXTS):
             yield start, i
             start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _sign(batches):
     for b in batches:
-        node, th1, th2, texts = b.column(0), b.column(1), b.column(2), b.column(3).to_pylist()
-        for x, y in _blocks(texts):
-            t, e, w = shingles(texts[x:y])
+        node, th1, th2, texts = b.column(0), b.column(1), b.column(2), b.column(3)
+        for x, y in _blocks(pc.binary_length(texts).to_pylist()):
+            t, e, w = shingles(texts.slice(x, y - x).to_pylist())
             sig = signatures(t, e, w.astype(np.float64), y - x)
+            sketch, total = sketches(t, e, w, y - x)
             # A band's bucket; a set without elements has none.
             band = np.full((y - x, BANDS), U64(0xC0FFEE)) + np.arange(BANDS, dtype=U64)
             for r in range(ROWS):
                 band = mix(band ^ sig[:, r::ROWS].astype(U64) * U64(_BASE))
             has = sig.any(axis=1)
             yield pa.record_batch(
-                [node.slice(x, y - x), th1.slice(x, y - x), th2.slice(x, y - x), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([v if ok else [] for v, ok in zip(band.view(np.int64).tolist(), has.tolist(), strict=True)], pa.list_(pa.int64()))],
-                names=["node", "th1", "th2", "sig", "bands"],
+                [node.slice(x, y - x), th1.slice(x, y - x), th2.slice(x, y - x), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([v if ok else [] for v, ok in zip(band.view(np.int64).tolist(), has.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([k.tobytes() for k in sketch], pa.binary()), pa.array(total)],
+                names=["node", "th1", "th2", "sig", "bands", "sketch", "total"],
             )
 
 
@@ -177,18 +211,75 @@ def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-@F.pandas_udf(DoubleType())
-def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x in range(0, len(a), 200):
-        left, right = a.iloc[x : x + 200].tolist(), b.iloc[x : x + 200].tolist()
-        sides = []
-        for texts in (left, right):
-            t, e, w = shingles(texts)
+def _verify(batches):
+    """Pairs with their texts (u, v, tu, tv) -> the pairs that are alike enough."""
+    for batch in batches:
+        u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for x in range(0, len(batch), 200):
+            part = batch.slice(x, 200)
+            p, q = u[x : x + 200], v[x : x + 200]
+            texts = dict(zip([*p, *q], [*part.column(2).to_pylist(), *part.column(3).to_pylist()], strict=True))
+            at = {k: i for i, k in enumerate(texts)}
+            t, e, w = shingles(list(texts.values()))
             cut = np.searchsorted(t, np.arange(len(texts) + 1))
-            sides.append([(e[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]) for i in range(len(texts))])
-        out += [likeness(p, q) for p, q in zip(*sides, strict=True)]
-    return pd.Series(out, dtype=float)
+            of = lambda k: (e[cut[at[k]] : cut[at[k] + 1]], w[cut[at[k]] : cut[at[k] + 1]])
+            yield _pairs([(a, b) for a, b in zip(p, q, strict=True) if likeness(of(a), of(b)) >= THRESHOLD])
+
+
+def _compare(batches):
+    """Sorted rows of blocks -> pairs (u, v) of different classes that agree enough, each in the first band they share."""
+
+    def block(rows):
+        few = [r for r in rows if r[0]]
+        if not few or len(few) == len(rows) == 1:
+            return
+        sigs = [np.frombuffer(b"".join(r[4] for r in some), np.uint32).reshape(len(some), -1) for some in (few, rows)]
+        band = rows[0][1]
+        roots = np.array([r[3] for r in rows])
+        nodes = np.array([r[2] for r in rows])
+        sketch, total = [np.frombuffer(r[5], np.uint32) for r in rows], np.array([r[6] for r in rows])
+        for r, sig in zip(few, sigs[0], strict=True):
+            near = (roots != r[3]) & (nodes != r[2])
+            same = sigs[1][near] == sig
+            ok = same.mean(axis=1) >= LEAST_AGREE
+            ok[ok] = same[ok].reshape(int(ok.sum()), BANDS, ROWS).all(axis=2).argmax(axis=1) == band  # each pair in the first band it shares
+            at = np.flatnonzero(near)[ok]
+            if len(at):
+                for other in nodes[at[alike(np.frombuffer(r[5], np.uint32), r[6], [sketch[i] for i in at], total[at])]].tolist():
+                    yield max(r[2], other), min(r[2], other)
+
+    rows, last = [], None
+    for b in batches:
+        out = []
+        keys = list(zip(*[b.column(i).to_pylist() for i in range(4)], strict=True))
+        for key, *rest in zip(keys, *[b.column(i).to_pylist() for i in range(4, 10)], strict=True):
+            if key != last and rows:
+                out += block(rows)
+                rows = []
+            last = key
+            rows.append((rest[0], key[0], *rest[1:]))
+        yield _pairs(out)
+    yield _pairs(list(block(rows)) if rows else [])
+
+
+def _pairs(rows):
+    cols = list(zip(*rows, strict=True)) or [()] * 2
+    return pa.record_batch([pa.array(list(c), pa.int64()) for c in cols], names=["u", "v"])
+
+
+def _cross(at: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a bucket's nodes (b, h, node, root) in different classes whose signatures agree enough."""
+    top = parts.groupBy("b", "h").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.sum("c").alias("n"), F.max("c").alias("most"))
+    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    rows = at.join(top, ["b", "h"]).withColumn("few", F.col("root") != F.col("top")).join(marks, "node")
+    some, side = blocks(F.col("n") - F.col("most"), FEW), blocks(F.col("n"), SIDE)
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    # As one of the few: its block of the few, with every block of the rest; as one of the rest: its block, with every block of the few.
+    asks = rows.filter("few").withColumn("i", own(some, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), side - 1))).withColumn("asks", F.lit(True))
+    told = rows.withColumn("j", own(side, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), some - 1))).withColumn("asks", F.lit(False))
+    cols = ["b", "h", "i", "j", "asks", "node", "root", "sig", "sketch", "total"]
+    both = asks.select(cols).unionByName(told.select(cols))
+    return both.repartition("b", "h", "i", "j").sortWithinPartitions("b", "h", "i", "j").mapInArrow(trimmed(_compare), "u long, v long")
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -227,17 +318,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: str =
     t = F.coalesce(docs[text], F.lit(""))
     th1, th2 = F.xxhash64(t), F.xxhash64(F.lit(5), t)
     named = docs.select(F.coalesce(docs[key].cast("long"), -F.abs(F.shiftright(th1, 1)) - 1).alias("node"), th1.alias("th1"), th2.alias("th2"), t.alias("t"))
-    signed = scratch.write(named.mapInArrow(_sign, "node long, th1 long, th2 long, sig binary, bands array<long>"), "signed")
+    signed = scratch.write(named.mapInArrow(trimmed(_sign), "node long, th1 long, th2 long, sig binary, bands array<long>, sketch binary, total long"), "signed")
 
     same = signed.groupBy("th1", "th2").agg(F.min("node").alias("rep"))
     members = scratch.write(signed.select("node", "th1", "th2").join(same, ["th1", "th2"]).select("node", "rep", "th1", "th2"), "members")
     reps = signed.join(same.select(F.col("rep").alias("node"), "th1", "th2"), ["node", "th1", "th2"]).dropDuplicates(["node", "th1"])
-    reps = scratch.write(reps.select("node", "sig", "bands"), "reps")
+    reps = scratch.write(reps.select("node", "sig", "bands", "sketch", "total"), "reps")
     scratch.drop("signed")
     buckets = reps.select("node", F.posexplode("bands").alias("b", "h"))
-    # Buckets of a single node hold no pair.
-    shared = buckets.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter("n > 1")
-    held = scratch.write(buckets.join(shared, ["b", "h"]).select("b", "h", "node", "lead"), "held")
+    # Buckets of a single node hold no pair. A bucket's lead is the node that shares most in all its buckets: the text that others are edits of.
+    shared = buckets.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = scratch.write(buckets.join(shared, ["b", "h"]).select("b", "h", "node", "n"), "shared")
+    held = held.join(held.groupBy("node").agg(F.sum("n").alias("degree")), "node")
+    lead = held.groupBy("b", "h").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("lead"))
+    held = scratch.write(held.join(lead, ["b", "h"]).select("b", "h", "node", "lead"), "held")
     sigs = reps.select("node", "sig")
     sides = lambda pairs: pairs.join(sigs.withColumnsRenamed({"node": "u", "sig": "su"}), "u").join(sigs.withColumnsRenamed({"node": "v", "sig": "sv"}), "v")
 
@@ -247,7 +341,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: str =
     links = _links(scratch.write(best, "best"), named, scratch, "star")
     labels = _label(reps, components(links, scratch, "c0"), scratch, "l0")
 
-    turn = 0
+    turn, before = 0, 0
     while True:
         turn += 1
         at = held.join(labels, "node").select("b", "h", "node", "root")
@@ -258,31 +352,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: str =
         if not size["open"]:
             break
         at = scratch.write(at.join(mixed.select("b", "h"), ["b", "h"]), f"at{turn}")
-        every = size["open"] <= MANY * size["n"]
+        every = size["open"] <= MANY * size["n"] or before and size["open"] > before / 2
+        before = size["open"]
         if every:
-            other = at.select("b", "h", F.col("node").alias("v"), F.col("root").alias("rv"))
-            pairs = at.join(other, ["b", "h"]).filter("node > v and root != rv").select(F.col("node").alias("u"), "v").distinct()
+            pairs = _cross(at, parts.join(mixed.select("b", "h"), ["b", "h"]), reps.select("node", "sig", "sketch", "total")).distinct()
         else:
             # A further lead for each bucket, by a hash that differs from turn to turn.
             lead = at.groupBy("b", "h").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("lead"))
             pairs = at.join(lead, ["b", "h"]).filter("root != lead.root").select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
-        rated = sides(pairs).select("u", "v", _agree("su", "sv").alias("agree")).filter(F.col("agree") >= LEAST_AGREE).drop("agree")
-        links = _links(scratch.write(rated, f"pairs{turn}"), named, scratch, f"turn{turn}")
+            pairs = sides(pairs).select("u", "v", _agree("su", "sv").alias("agree")).filter(F.col("agree") >= LEAST_AGREE).drop("agree")
+        links = _links(scratch.write(pairs, f"pairs{turn}"), named, scratch, f"turn{turn}")
         joined = links.join(labels.withColumnsRenamed({"node": "u", "root": "ru"}), "u").join(labels.withColumnsRenamed({"node": "v", "root": "rv"}), "v")
         merged = components(joined.select(F.col("ru").alias("u"), F.col("rv").alias("v")), scratch, f"c{turn}")
-        none = merged.isEmpty()
         labels = scratch.write(labels.join(merged.withColumnsRenamed({"node": "n", "root": "r"}), F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root")), f"l{turn}")
         if every:
             break
-        if none:  # leads find no more: compare the rest pair by pair
-            other = at.select("b", "h", F.col("node").alias("v"), F.col("root").alias("rv"))
-            pairs = at.join(other, ["b", "h"]).filter("node > v and root != rv").select(F.col("node").alias("u"), "v").distinct()
-            rated = sides(pairs).select("u", "v", _agree("su", "sv").alias("agree")).filter(F.col("agree") >= LEAST_AGREE).drop("agree")
-            links = _links(scratch.write(rated, "rest"), named, scratch, "rest")
-            joined = links.join(labels.withColumnsRenamed({"node": "u", "root": "ru"}), "u").join(labels.withColumnsRenamed({"node": "v", "root": "rv"}), "v")
-            merged = components(joined.select(F.col("ru").alias("u"), F.col("rv").alias("v")), scratch, "crest")
-            labels = scratch.write(labels.join(merged.withColumnsRenamed({"node": "n", "root": "r"}), F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root")), "lrest")
-            break
     out = members.join(labels.withColumnsRenamed({"node": "rep", "root": "class_id"}), "rep")
     # One id with several texts is one document: its classes are one.
     split = out.groupBy("node").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).filter("u != v").select("u", "v")
@@ -301,7 +385,7 @@ def _links(pairs: DataFrame, named: DataFrame, scratch: Scratch, tag: str) -> Da
     need = scratch.write(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), f"{tag}-need")
     texts = scratch.write(named.join(need, F.col("node") == F.col("id")).select("node", "th1", "t").dropDuplicates(["node", "th1"]).drop("th1"), f"{tag}-texts")
     both = pairs.join(texts.withColumnsRenamed({"node": "u", "t": "tu"}), "u").join(texts.withColumnsRenamed({"node": "v", "t": "tv"}), "v")
-    out = scratch.write(both.select("u", "v", _verify("tu", "tv").alias("likeness")).filter(F.col("likeness") >= THRESHOLD).select("u", "v").distinct(), f"{tag}-links")
+    out = scratch.write(both.select("u", "v", "tu", "tv").mapInArrow(trimmed(_verify), "u long, v long").distinct(), f"{tag}-links")
     scratch.drop(f"{tag}-texts")
     return out
 

@@ -109,3 +109,16 @@ def test_darts_keep_consistency_under_doubling():
     one = M.signatures(np.zeros(3, np.int64), e, np.array([1.0, 2.0, 0.5]), 1)
     two = M.signatures(np.repeat([0, 1], 3), np.concatenate([e, e]), np.array([1.0, 2.0, 0.5] * 2), 2)
     assert (one[0] == two[0]).all() and (two[0] == two[1]).all() and one.all()
+
+
+def test_sketches_decide_short_texts_exactly_and_keep_near_long_ones():
+    r = random.Random(9)
+    for n in (60, 900):
+        base = prose(r, n)
+        texts = [base, *[edited(r, base, k) for k in range(0, n // 10, max(1, n // 60))], ""]
+        t, e, w = M.shingles(texts)
+        sketch, total = M.sketches(t, e, w, len(texts))
+        assert total.tolist() == [sum(multiset(x).values()) for x in texts]
+        got = M.alike(sketch[0], int(total[0]), sketch, total)
+        want = [brute_likeness(base, x) >= 0.8 for x in texts]
+        assert got.tolist() == want if n < 200 else all(g or not x for g, x in zip(got, want, strict=True)) and not got[-1]
