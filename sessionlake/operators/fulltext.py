@@ -27,7 +27,12 @@ def searchable(events: DataFrame) -> DataFrame:
 def index(events: DataFrame, keys: tuple[str, ...] = ("session_id", "idx"), text: str = "text") -> DataFrame:
     """``keys``, toks, dl of every searchable event."""
     gated = searchable(events) if "kind" in events.columns else events
-    return gated.select(*keys, tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    return gated.select(*keys, once(tokens(F.coalesce(F.col(text), F.lit("")))).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+
+
+def once(value: Column) -> Column:
+    """The same value, computed once per row: a filter above would else be pushed below and its lambdas compute it for every element."""
+    return F.explode(F.array(value))
 
 
 def postings(idx: DataFrame, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
@@ -132,11 +137,11 @@ def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx
     # A repeated phrase scores twice, as each phrase of the plan is summed.
     counted = idx.select(*keys, "dl", "toks", *[F.size(phrase_places(p)).alias(f"f{i}") for i, p in enumerate(plan.phrases)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(plan.phrases))])
-    known = {"n": F.lit(totals[0]), "avgdl": F.lit(totals[1])} if totals else {}
-    of = lambda c: known[c] if c in known else stats.select(c).scalar()  # noqa: E731  one row, evaluated once
+    found = stats.first()  # one row; as constants, it is not planned again wherever the score is used
+    n, avgdl = totals or (found["n"], found["avgdl"] or 0.0)
     when = leaf_conditions(plan.expr)
     hits = [F.col(f"f{i}") if c is None else F.when(c, F.col(f"f{i}")).otherwise(F.lit(0)) for i, c in enumerate(when)]
-    score = sum((idf(of("n"), of(f"n{i}")) * term_score(f, F.col("dl"), of("avgdl")) for i, f in enumerate(hits)), F.lit(0.0))
+    score = sum((idf(F.lit(n), F.lit(found[f"n{i}"] or 0)) * term_score(f, F.col("dl"), F.lit(avgdl)) for i, f in enumerate(hits)), F.lit(0.0))
     plain = isinstance(plan.expr, Node) and plan.expr.op == "or" and all(isinstance(p, Phrase) for p in plan.expr.parts)
     hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(plan.phrases))]) if plain else matches(plan.expr)
     return counted.filter(hit).select(*keys, (-score).alias("bm25"))
@@ -158,4 +163,4 @@ def candidates_from_postings(posts: DataFrame, plan: Plan, keys: tuple[str, ...]
         some = some.filter(F.array_contains(buckets, F.col("bucket")))
     flat = some.groupBy(*keys, "dl").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p, F.col("term")))))).alias("at"))
     last = F.array_max(F.map_keys("at"))
-    return flat.select(*keys, "dl", F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(""))).alias("toks"))
+    return flat.select(*keys, "dl", once(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at("at", i), F.lit("")))).alias("toks"))

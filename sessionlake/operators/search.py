@@ -60,8 +60,11 @@ def grouped(hits: DataFrame, sessions: DataFrame, terms: list[str]) -> DataFrame
 def scored(groups: DataFrame, sessions: DataFrame, terms: list[str], as_of_ms: int) -> DataFrame:
     """Each session's seven parts and their weighted sum."""
     rows = groups.join(sessions.withColumnRenamed("id", "session_id"), "session_id").withColumn("relevance", -F.col("best.bm25"))
-    norm = rows.agg(F.min("relevance").alias("low"), F.max("relevance").alias("high"), F.max(F.log1p("hits")).alias("most"))
-    of = lambda c: norm.select(c).scalar()  # noqa: E731  one row of normalisers
+    # Normalisers over all sessions of the capped hits, so at most MOST_CANDIDATES rows in the one window.
+    every = Window.partitionBy()
+    norm = {"low": F.min("relevance"), "high": F.max("relevance"), "most": F.max(F.log1p("hits"))}
+    rows = rows.withColumns({f"n_{k}": c.over(every) for k, c in norm.items()})
+    of = lambda c: F.col(f"n_{c}")
     spread = of("high") - of("low")
     title = F.lower(F.coalesce("title", F.lit("")))
     all_in_title = F.lit(bool(terms))
@@ -128,9 +131,9 @@ def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, li
         limit, plan = 0, Plan(None)
     hits = candidates(events, filtered(sessions, agent, cwd, since_ms), plan, candidate_cap(limit), idx, totals)
     hits = hits.withColumn("shown", snippet_column(F.col("text"), [p.terms for p in plan.phrases]) if snippets else F.col("text"))
-    found = scored(grouped(hits, sessions, plan.terms), sessions, plan.terms, as_of_ms)
+    found = scored(grouped(hits, sessions, plan.terms), sessions, plan.terms, as_of_ms).persist()  # few rows, read for paths and for ranks
     paths = lineage.paths(sessions, found.select(F.col("session_id").alias("id")))
-    return with_context(collapsed(found, paths, limit), events).orderBy(*_order())
+    return with_context(collapsed(found, paths, limit).persist(), events).orderBy(*_order())
 
 
 def result(rows: DataFrame) -> DataFrame:

@@ -717,9 +717,9 @@ m AS (SELECT scored.*, root, path, row_number() OVER (PARTITION BY root ORDER BY
 col AS (SELECT root, arg_min(session_id, rn) AS session_id, sum(hits)::BIGINT AS hits, arg_min(score, rn) + 0.1 * coalesce(sum(score) FILTER (rn > 1), 0) AS score, arg_min(ended_at_ms, rn) AS ended_at_ms, arg_min(agent, rn) AS agent,
   coalesce(list(session_id ORDER BY rn) FILTER (rn > 1), []) AS related, flatten(list(path ORDER BY rn)) AS line FROM m GROUP BY root),
 top AS (SELECT * FROM col ORDER BY score DESC, ended_at_ms DESC NULLS LAST, session_id LIMIT {limit}),
-members AS (SELECT root, session_id AS member, min(at) AS at FROM (SELECT root, unnest(list_concat([session_id], related, line)) AS session_id, generate_subscripts(list_concat([session_id], related, line), 1) AS at FROM top) GROUP BY ALL),
+members AS (SELECT root, session_id AS member, min(seat) AS seat FROM (SELECT root, unnest(list_concat([session_id], related, line)) AS session_id, generate_subscripts(list_concat([session_id], related, line), 1) AS seat FROM top) GROUP BY ALL),
 ends AS (SELECT session_id AS member, arg_min(text, idx) FILTER (kind = 'user') AS ask, arg_max(text, idx) FILTER (kind = 'assistant') AS outcome FROM e GROUP BY 1),
-ctx AS (SELECT root, arg_min(ask, at) FILTER (ask IS NOT NULL) AS ask, arg_min(outcome, at) FILTER (outcome IS NOT NULL) AS outcome FROM members JOIN ends USING (member) GROUP BY root)"""
+ctx AS (SELECT root, arg_min(ask, seat) FILTER (ask IS NOT NULL) AS ask, arg_min(outcome, seat) FILTER (outcome IS NOT NULL) AS outcome FROM members JOIN ends USING (member) GROUP BY root)"""
 
 
 def _search(spark, d, limit=20):
