@@ -27,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import only, ship
+from .common import only, ship, trimmed
 
 NONE = np.int64(1 << 62)
 SHIFT = 32
 SHORT = 64
-CACHE = 300_000
+CACHE = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -197,7 +197,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def _blocks(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
+def _blocks(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str]]:
     block, size = [], 0
     for t in texts.to_pylist():
         t = t or ""
@@ -224,7 +224,7 @@ def _results(docs: DataFrame, path: str, pattern: str, key: str, text: str, colu
                 yield pa.record_batch([k, *made], names=names)
 
     schema = ", ".join([f"`{key}` {kind}", *[f"{n} {t}" for n, (t, _, _) in columns.items()]])
-    return only(docs, key, text).mapInArrow(run, schema)
+    return only(docs, key, text).mapInArrow(trimmed(run), schema)
 
 
 def _digests() -> dict:
@@ -237,13 +237,13 @@ def _digests() -> dict:
     }
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
-    """``key``, ids (array of int) and the bytes decoded from them of every row; with ``digests``, these too."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``key`` and the named columns of every row: ids (array of int), decoded (the bytes they decode to), and the digests."""
     columns = {
         "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, back: np.frombuffer(ids, "<u4").astype(np.int32)),
         "decoded": ("binary", pa.binary(), lambda ids, back: back),
     }
-    return _results(docs, path, pattern, key, text, columns | (_digests() if digests else {}))
+    return _results(docs, path, pattern, key, text, {n: (columns | _digests())[n] for n in names})
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -156,11 +156,15 @@ def trimmed(run):
     return with_trim
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package wherever they run: sends it with the job, once per application."""
+    # Texts are long: smaller Arrow batches than Spark's default hold less memory outside the heap, in the JVM and in the workers.
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, only, row_blocks, ship, utf8, window_hashes
+from .common import U64, only, row_blocks, ship, trimmed, utf8, window_hashes
 
 Q = 10
 SEGMENT = 100
@@ -154,7 +154,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     parts = []
     for block in blocks:
         held = spark.sparkContext.broadcast(Index(block, edits=edits))  # at most BLOCK_BYTES of item text
-        parts.append(rows.mapInArrow(_scan(held, key, item, docs.schema[key].dataType, items.schema[item].dataType), schema))
+        parts.append(rows.mapInArrow(trimmed(_scan(held, key, item, docs.schema[key].dataType, items.schema[item].dataType)), schema))
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 

@@ -27,14 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, mix, ship
+from .common import U64, mix, ship, trimmed
 
 ORDERS = (3, 5)
 MIN_SHARE = 1e-5
 MIN_RATIO = 0.1
 SLOT_BITS = 21
 HASHES = 3
-BLOCK = 1_000_000
+BLOCK = 300_000
 _GAPS = regex.compile(r"\P{L}+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -140,7 +140,7 @@ def train(labelled: DataFrame, per_lang: int = 4000, key: str = "doc_id", text:
                         gram, n = np.unique(h[~crosses[: len(h)]], return_counts=True)
                         yield pa.record_batch([pa.array(np.full(len(gram), bit[x], np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["l", "gram", "n"])
 
-    grams = rows.filter(drawn).select("t", "l").mapInArrow(count, "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.filter(drawn).select("t", "l").mapInArrow(trimmed(count), "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("l").agg(F.sum("n").alias("total"))
     share = grams.join(F.broadcast(totals), "l").filter((F.col("n") >= 2) & (F.col("n") >= MIN_SHARE * F.col("total")))  # totals: a row for each language
     kept = share.select("l", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()  # at most 1 / MIN_SHARE rows for each language
