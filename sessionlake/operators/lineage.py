@@ -3,13 +3,16 @@
 The step is the parent, else the session before ``#`` in ``forked_from``; a parent that is not archived
 stops the walk, without falling back to the fork. Paths end at the first repeat, after it is
 appended. Steps are followed for the asked sessions only, all together: one join per level of depth, so at
-most the longest chain's number of rounds, none of which holds the whole forest.
+most the longest chain's number of rounds, none of which holds the whole forest. Rounds are written tables: Spark's
+recursive statement stops at a million walked rows (``spark.sql.cteRecursionRowLimit``), these at no number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..llm.common import Scratch
+
 
 def edges(sessions: DataFrame) -> DataFrame:
     """(id, next): the step of every session that has one within the archive."""
@@ -19,16 +22,22 @@ def edges(sessions: DataFrame) -> DataFrame:
 
 
 def paths(sessions: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(id, root, depth, path) of the asked ids (all sessions by default)."""
+    """(id, root, depth, path) of the asked ids (all sessions by default), however many they are and however deep."""
     spark = sessions.sparkSession
-    view = f"lineage_{id(sessions)}"
-    edges(sessions).createOrReplaceTempView(f"{view}_edges")
-    (sessions if asked is None else asked).select("id").createOrReplaceTempView(f"{view}_asked")
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk(id, node, path, again) MAX RECURSION LEVEL 100000 AS (
-          SELECT id, id, array(id), false FROM {view}_asked
-          UNION ALL
-          SELECT w.id, e.next, array_append(w.path, e.next), array_contains(w.path, e.next)
-          FROM walk w JOIN {view}_edges e ON e.id = w.node WHERE NOT w.again)
-        SELECT id, max_by(node, size(path)) AS root, max(size(path)) - 1 AS depth, max_by(path, size(path)) AS path FROM walk GROUP BY id""")
-    return walked
+    scratch = Scratch(spark, "lineage")
+    steps = scratch.write(edges(sessions).withColumnRenamed("id", "node"), "edges")
+    walk = (sessions if asked is None else asked).select("id", F.col("id").alias("node"), F.array("id").alias("path"))
+    rounds, schema = [], None
+    while True:
+        last = F.col("next").isNull()
+        walk = walk.join(steps, "node", "left").select(
+            "id", F.coalesce("next", "node").alias("node"), F.when(last, F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
+            (last | F.array_contains("path", F.col("next"))).alias("ended"),
+        )
+        walk, schema = scratch.write(walk, f"round{len(rounds)}"), schema or walk.schema
+        rounds.append(scratch.path(f"round{len(rounds)}"))
+        walk = walk.filter(~F.col("ended")).drop("ended")
+        if walk.isEmpty():
+            break
+    walked = spark.read.schema(schema).parquet(*rounds).filter("ended")
+    return walked.groupBy("id").agg(F.max_by("node", F.size("path")).alias("root"), (F.max(F.size("path")) - 1).alias("depth"), F.max_by("path", F.size("path")).alias("path"))
