@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sessionlake.evaluate import evaluate
 from sessionlake.functions import segment, snippet, text as X, values as V
 from sessionlake.operators import fulltext as T
+from sessionlake.plans import catalog
 from sessionlake.plans.query import Node, Phrase, has_syntax, plan
 
 WORDS = ["alpha", "beta", "gamma", "delta", "café", "naïve", "x1", "zeta", "alphabet"]
@@ -91,3 +92,10 @@ def test_ranking_quality(spark):
     assert means["recall5"] > 0.7 and means["recall10"] > 0.8 and means["rr"] > 0.6 and means["ndcg"] > 0.7, means
     assert means["lineage"] == 1.0 and means["context"] == 1.0, means
     assert tags.count() == 9
+
+
+def test_reindex_query_returns_rare_terms_too(spark, tmp_path):
+    texts = ["alpha beta alpha gamma", "beta " * 7, "delta", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["first"]) for r in catalog.QUERIES["fts07_reindex_all"](spark, str(tmp_path)).collect()}
+    assert got == {(i, w): (t.split().count(w), t.split().index(w)) for i, t in enumerate(texts) for w in t.split()}
