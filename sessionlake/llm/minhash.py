@@ -395,11 +395,12 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     scratch = Scratch(docs.sparkSession, "kept")
     found = scratch.write(classes(docs, key, text).groupBy(F.col(key).alias("__id")).agg(F.min("class_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("__id = c").select("__id", "n"), "kept")
     t = F.coalesce(docs[text], F.lit(""))
-    node = F.coalesce(docs[key].cast("long"), -F.abs(F.shiftright(F.xxhash64(t), 1)) - 1)
-    kept = docs.join(found, node == F.col("__id"), "left_semi")
+    named = docs.withColumn("__node", F.coalesce(docs[key].cast("long"), -F.abs(F.shiftright(F.xxhash64(t), 1)) - 1))
+    kept = named.join(found, F.col("__node") == F.col("__id"), "left_semi")
     again = found.filter("n > 1")
     if again.isEmpty():
-        return kept
-    one = kept.join(again, F.coalesce(kept[key].cast("long"), -F.abs(F.shiftright(F.xxhash64(F.coalesce(kept[text], F.lit(""))), 1)) - 1) == F.col("__id"), "left_semi").dropDuplicates([key])
-    rest = kept.join(again, F.coalesce(kept[key].cast("long"), -F.abs(F.shiftright(F.xxhash64(F.coalesce(kept[text], F.lit(""))), 1)) - 1) == F.col("__id"), "left_anti")
-    return rest.unionByName(one)
+        return kept.drop("__node")
+    # By the node and not the key: rows without an id are one document only where their texts are equal.
+    one = kept.join(again, F.col("__node") == F.col("__id"), "left_semi").dropDuplicates(["__node"])
+    rest = kept.join(again, F.col("__node") == F.col("__id"), "left_anti")
+    return rest.unionByName(one).drop("__node")

@@ -104,6 +104,13 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert M.classes(df.limit(0)).count() == 0
 
 
+def test_texts_without_an_id_are_each_kept_once(spark):
+    r = random.Random(12)
+    a, b = prose(r, 50), prose(r, 50)
+    df = spark.createDataFrame([(None, a), (None, a), (None, b), (None, b), (7, "other words"), (7, "other words")], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in M.clean(df).collect()) == sorted([(0, a), (0, b), (7, "other words")])
+
+
 def test_darts_keep_consistency_under_doubling():
     e = np.arange(1, 4, dtype=np.uint64) << np.uint64(40)
     one = M.signatures(np.zeros(3, np.int64), e, np.array([1.0, 2.0, 0.5]), 1)
