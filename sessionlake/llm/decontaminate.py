@@ -17,7 +17,8 @@ item text, one pass over the documents for each block; nothing sent grows beyond
 
 Cases: null and empty texts match nothing; items with fewer than ``MIN_CHARS`` normalised
 characters are too short to tell and match nothing; equal items each give their own rows;
-repeated documents each give theirs. One row for each document and item that match, with
+repeated documents each give theirs; ``clean`` drops a matching document without an id as well, and of documents that
+share an id only those that match. One row for each document and item that match, with
 the first matched region's character span in the normalised text and its edits.
 """
 
@@ -199,7 +200,9 @@ def _scan(held, key, item, key_type, item_type):
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that match any item."""
-    dirty = find(docs, items, key, **how).select(F.col(key).alias("__dirty")).distinct()
-    return docs.join(dirty, docs[key] == dirty["__dirty"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows that match any item; a row is known by its id, or none, together with its text's hash."""
+    hashed = F.xxhash64(docs[text])
+    marked = docs.select(F.struct(docs[key].alias("id"), hashed.alias("h")).alias("__mark"), docs[text].alias("__text"))
+    dirty = find(marked, items, "__mark", "__text", **how).select(F.col("__mark.id").alias("__dirty"), F.col("__mark.h").alias("__h")).distinct()
+    return docs.join(dirty, docs[key].eqNullSafe(dirty["__dirty"]) & (hashed == dirty["__h"]), "left_anti")

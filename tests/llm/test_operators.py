@@ -271,3 +271,12 @@ def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, bench).select("doc_id", "item_id").collect()}
     assert {(i, i) for i in range(6)} <= got
     assert docs.filter(F.col("doc_id") == 0).count() == 1
+
+
+def test_matching_documents_without_an_id_are_dropped_and_others_of_an_id_stay(spark):
+    passage = "the quick brown fox jumps over the lazy dog while seven wizards mix vivid potions of jade and quartz"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, f"before {passage} after"), (None, "a text of its own"), (None, None), (4, f"so {passage}"), (4, "another text of this id"), (5, "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(x) for x in decontaminate.clean(docs, bench).collect()), key=str)
+    assert kept == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
