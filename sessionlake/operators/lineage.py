@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..llm.common import Scratch
+from ..scratch import Scratch
 
 
 def edges(sessions: DataFrame) -> DataFrame:
