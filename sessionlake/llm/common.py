@@ -1,12 +1,10 @@
-"""Helpers that the training-data operators share: scratch tables, Arrow text access, hashing."""
+"""Helpers that the training-data operators share: Arrow text access, hashing, shipping; scratch tables are the library's."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,54 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A folder of our own is made only where the session names none (tests, local runs).
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sessionlake.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sessionlake-")
-        spark.conf.set("sessionlake.shared.dir", found)
-    return found.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive lost executors.
+from ..scratch import Scratch, delete_path, shared_dir  # noqa: F401  part of this module's surface
 
-    ``write`` stores a DataFrame as Parquet and returns the table that reads it back.
-    What a returned (lazy) result still reads stays until the session ends.
-    """
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        atexit.register(self._gone)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete_path(self.spark, self.path(name))
-
-    def _gone(self) -> None:
-        try:
-            delete_path(self.spark, self.root)
-        except Exception:  # noqa: BLE001  the session has ended; its owner clears the folder
-            pass
+U64 = np.uint64
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
