@@ -1,10 +1,12 @@
 """I-Match fingerprints and licence scans: edge cases, a brute-force scan, and DuckDB twins over awkward rows."""
 
+import random
 import re
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.llm import fingerprint, licenses, queries
 
@@ -21,6 +23,10 @@ TEXTS = [
     (16, "word " * 3000 + "cc by"),
     (17, "alpha beta gamma delta " * 5),
     (18, "alpha beta gamma delta epsilon"),
+    (19, "to any " * 15),
+    (20, "GNU General Public License version 2 is not " + " ".join(reversed(licenses.TEXTS[1][1].split()))),
+    (21, "x y z " + licenses.TEXTS[1][1].replace("sublicense", "lend").replace("merge", "") + " tail " + licenses.TEXTS[1][1]),
+    (22, "Redistribution and use in source and binary forms " * 40),
 ]
 
 
@@ -67,6 +73,32 @@ def test_notices_with_changed_words_are_found(docs):
     assert found[11]["labels"] == "" and found[11]["score"] == 0
 
 
+def test_repeated_scattered_and_reversed_words_are_no_licence(docs):
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert found[19]["labels"] == "" and found[19]["score"] < 0.1
+    assert found[20]["labels"] == "gpl,gpl-2.0"  # not version 3, nor the reversed text
+    assert found[21]["labels"] == "mit" and found[22]["labels"] == ""
+    n = len(licenses._words(licenses.TEXTS[1][1]))
+    whole = [s for s in found[21]["spans"] if s["end"] - s["start"] >= n - 2]
+    assert whole and all(s["end"] - s["start"] <= n * (1 + 2 * licenses.DRIFT) + 1 for s in whole)
+
+
+def test_chains_against_brute_force(spark):
+    r = random.Random(5)
+
+    def longest(pairs):
+        best = {}
+        for p, a in sorted(pairs):
+            best[p, a] = 1 + max((v for (q, b), v in best.items() if q < p and b < a), default=0)
+        return max(best.values(), default=0)
+
+    rows = [[(r.randrange(8), r.randrange(8)) for _ in range(r.randrange(12))] for _ in range(200)]
+    rows = [sorted(set(x)) for x in rows]
+    df = spark.createDataFrame([(i, [(p, -a) for p, a in sorted(x, key=lambda h: (h[0], -h[1]))]) for i, x in enumerate(rows)], "i int, hits array<struct<place:int,neg:bigint>>")
+    got = {x["i"]: x["n"] for x in df.select("i", licenses.chain(F.col("hits")).alias("n")).collect()}
+    assert got == {i: longest(x) for i, x in enumerate(rows)}
+
+
 def test_fingerprints_equal_sql(spark, docs):
     got = fingerprint.compare(docs)
     assert rows(got.toPandas()) == rows(duck(fingerprint.oracle_sql()))
