@@ -8,18 +8,18 @@ bound can't hold a match and is dropped; in the others an alignment confined to
 band's diagonals decides. Texts are compared lower-cased with each run of characters that are
 neither letters nor digits as one space, so line breaks and punctuation don't hide a copy.
 
-An item is cut in segments of ``SEGMENT`` characters (a shorter item is one segment; the last one ends
-with the item), so that a document that holds part of an item of at least two segments' length is found too.
-``edits`` is the share of a segment's length that may be edited.
+An item is cut in segments of ``SEGMENT`` characters that start every ``STRIDE`` (the last one ends with the item), so that
+a document that holds any ``SEGMENT + STRIDE - 1`` characters of an item holds a whole segment. ``edits`` is the share of a segment's length that
+may be edited. An item of fewer than ``MIN_CHARS`` normalised characters says too little for edits: it is one segment that matches only as it
+stands, between spaces or the text's ends; items too short for a q-gram are looked up by the hash of all their characters.
 
-The items' q-gram index is sent to every task in blocks of at most ``BLOCK_BYTES`` of
-item text, one pass over the documents for each block; nothing sent grows beyond that.
+The items' q-gram index is sent to every task in blocks of at most ``BLOCK_BYTES`` of item text: one pass over the documents
+for each block, written before the next block is sent and destroyed after its pass, so no more than one block is held anywhere.
 
-Cases: null and empty texts match nothing; items with fewer than ``MIN_CHARS`` normalised
-characters are too short to tell and match nothing; equal items each give their own rows;
+Cases: null and empty texts, and items without a letter or digit, match nothing; equal items each give their own rows;
 repeated documents each give theirs; ``clean`` drops a matching document without an id as well, and of documents that
-share an id only those that match. One row for each document and item that match, with
-the first matched region's character span in the normalised text and its edits.
+share an id only those that match. One row for each matched region of a document and an item: matches of an item's segments whose spans
+touch or overlap are one region, with its character span in the normalised text and the most edits of its segments.
 """
 
 from __future__ import annotations
@@ -31,10 +31,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, only, row_blocks, ship, trimmed, utf8, window_hashes
+from .common import U64, Scratch, only, row_blocks, ship, trimmed, utf8, window_hashes
 
 Q = 10
 SEGMENT = 100
+STRIDE = 50
 MIN_CHARS = 40
 EDITS = 0.08
 BLOCK_BYTES = 4_000_000
@@ -46,42 +47,80 @@ def normalise(text: str | None) -> str:
     return _GAPS.sub(" ", (text or "").lower()).strip()
 
 
+def spaced(text: str | None) -> str:
+    """The normalised text between two spaces; empty if nothing is left of it."""
+    clean = normalise(text)
+    return f" {clean} " if clean else ""
+
+
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Index:
     """Segments of items and the places of their q-grams, sorted by hash."""
 
-    def __init__(self, items: list[tuple[object, str | None]], q: int = Q, segment: int = SEGMENT, edits: float = EDITS):
-        self.q, self.items, self.segments, self.owner = q, [i for i, _ in items], [], []
+    def __init__(self, items: list[tuple[object, str | None]], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, edits: float = EDITS):
+        self.q, self.items, self.segments, self.owner, budget = q, [i for i, _ in items], [], [], []
+        self.whole: list[bool] = []  # segments that are a short item between spaces
+        self.tiny: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}  # characters -> hash -> (item, characters)
         for k, (_, text) in enumerate(items):
             clean = normalise(text)
+            if not clean:
+                continue
             if len(clean) < MIN_CHARS:
+                whole = _chars(f" {clean} ")
+                if len(whole) < q:
+                    self.tiny.setdefault(len(whole), {}).setdefault(int(window_hashes(whole, len(whole))[0]), []).append((k, whole))
+                else:
+                    self.segments.append(whole)
+                    self.owner.append(k)
+                    self.whole.append(True)
+                    budget.append(0)
                 continue
-            starts = [0] if len(clean) <= segment else [*range(0, len(clean) - segment, segment), len(clean) - segment]
+            starts = [0] if len(clean) <= segment else [*range(0, len(clean) - segment, stride), len(clean) - segment]
             for s in starts:
-                self.segments.append(np.array([ord(c) for c in clean[s : s + segment]], np.uint32))
+                part = _chars(clean[s : s + segment])
+                self.segments.append(part)
                 self.owner.append(k)
-        self.budget = np.array([int(edits * len(s)) for s in self.segments], np.int64)
+                self.whole.append(False)
+                budget.append(int(edits * len(part)))
+        self.budget = np.array(budget, np.int64)
         self.need = np.array([max(1, len(s) + 1 - q - q * e) for s, e in zip(self.segments, self.budget, strict=True)], np.int64)
         hashed = [window_hashes(s, q) for s in self.segments]
         h = np.concatenate(hashed) if hashed else np.zeros(0, U64)
         order = np.argsort(h, kind="stable")
         self.h = h[order]
-        self.seg = np.repeat(np.arange(len(hashed)), [len(x) for x in hashed])[order] if hashed else np.zeros(0, np.int64)
-        self.pos = np.concatenate([np.arange(len(x)) for x in hashed])[order] if hashed else np.zeros(0, np.int64)
-        self.least = int(self.need.min()) if len(self.need) else 1
+        self.seg = np.repeat(np.arange(len(hashed), dtype=np.int32), [len(x) for x in hashed])[order] if hashed else np.zeros(0, np.int32)
+        self.pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in hashed])[order] if hashed else np.zeros(0, np.int32)
+        self.least = int(self.need.min()) if len(self.need) else None
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.h >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def matches(self, text: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) for one document's characters and their q-gram hashes, first match of each item."""
+        """(item, start, end, edits) of every region of one document's characters (between spaces), given their q-gram hashes."""
+        return [r for item, found in self._segment_matches(text, h).items() for r in _regions(item, found)]
+
+    def short(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The same for items too short for a q-gram."""
+        out = []
+        for n, table in self.tiny.items():
+            known = np.fromiter(table, U64, len(table))
+            for at in np.flatnonzero(np.isin(h := window_hashes(text, n), known)).tolist():
+                out += [(item, at, at + n - 2, 0) for item, whole in table[int(h[at])] if np.array_equal(text[at : at + n], whole)]
+        return out
+
+    def _segment_matches(self, text: np.ndarray, h: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        out: dict[int, list[tuple[int, int, int]]] = {}
         near = np.flatnonzero(self.seen[(h >> U64(64 - FILTER_BITS)).astype(np.int64)])
         if not len(near):
-            return []
+            return out
         lo, hi = np.searchsorted(self.h, h[near], "left"), np.searchsorted(self.h, h[near], "right")
         n = hi - lo
         if not n.sum():
-            return []
+            return out
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        where, seg, pos = np.repeat(near, n), self.seg[at], self.pos[at]
+        where, seg, pos = np.repeat(near, n), self.seg[at].astype(np.int64), self.pos[at].astype(np.int64)
         diagonal, e = where - pos, self.budget[seg]
         width = np.maximum(e, 1)
         # Bands of 2 * width diagonals that start at every multiple of width: each diagonal lies in two.
@@ -92,22 +131,40 @@ class Index:
         once = np.unique(np.column_stack([keys, pos[who]]), axis=0)
         bands, shared = np.unique(once[:, :2], axis=0, return_counts=True)
         found = bands[shared >= self.need[bands[:, 0]]]
-        found = found[np.argsort(found[:, 1] * np.maximum(self.budget[found[:, 0]], 1), kind="stable")]
-        out: dict[int, tuple[int, int, int, int]] = {}
+        if not len(found):
+            return out
+        order = np.lexsort((diagonal, seg))
+        seg, diagonal = seg[order], diagonal[order]
+        begin = np.searchsorted(seg, np.arange(len(self.segments) + 1)) if len(found) > 50 else None
         for s, b in found.tolist():
-            item = self.owner[s]
-            if item in out:  # one region is enough; bands come in order of place
-                continue
             e, w, part = int(self.budget[s]), max(int(self.budget[s]), 1), self.segments[s]
-            mine = diagonal[(seg == s) & (diagonal >= b * w) & (diagonal < (b + 2) * w)]
-            d = int(np.bincount(mine - mine.min()).argmax() + mine.min())
+            x, z = (begin[s], begin[s + 1]) if begin is not None else (np.searchsorted(seg, s), np.searchsorted(seg, s + 1))
+            own = diagonal[x:z]
+            mine = own[np.searchsorted(own, b * w) : np.searchsorted(own, (b + 2) * w)]
+            d = int(np.bincount(mine - mine[0]).argmax() + mine[0])
             if d >= 0 and d + len(part) <= len(text) and np.array_equal(text[d : d + len(part)], part):
-                out[item] = (item, d, d + len(part), 0)  # the alignment without edits
-                continue
-            cost, start, end = banded(part, text, b * w - e, (b + 2) * w + e, e)
-            if cost <= e:
-                out[item] = (item, start, end, cost)
-        return list(out.values())
+                match = (d, d + len(part), 0)  # the alignment without edits
+            elif e:
+                cost, start, end = banded(part, text, b * w - e, (b + 2) * w + e, e)
+                match = (start, end, cost) if cost <= e else None
+            else:  # other diagonals of the band may hold it as it stands
+                match = next(((d, d + len(part), 0) for d in np.unique(mine).tolist() if d >= 0 and np.array_equal(text[d : d + len(part)], part)), None)
+            if match:
+                start, end, cost = match
+                # In the normalised text, which lacks the first space.
+                out.setdefault(self.owner[s], []).append((start, end - 2, cost) if self.whole[s] else (max(0, start - 1), end - 1, cost))
+        return out
+
+
+def _regions(item: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans that touch or overlap, as one."""
+    out: list[list[int]] = []
+    for start, end, edits in sorted(set(found)):
+        if out and start <= out[-1][1]:
+            out[-1] = [out[-1][0], max(out[-1][1], end), max(out[-1][2], edits)]
+        else:
+            out.append([start, end, edits])
+    return [(item, *r) for r in out]
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int]:
@@ -145,17 +202,24 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
-    """Rows (key, item, start, end, edits) of every document and item that match."""
+    """Rows (key, item, start, end, edits) of every region of a document that matches an item."""
     spark = docs.sparkSession
     ship(spark)
     doc_kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"`{key}` {doc_kind}, `{item}` {item_kind}, start long, end long, edits long"
-    rows = only(docs, key, text)
+    rows, parts, scratch = only(docs, key, text), [], None
     blocks = _blocks(only(items, item, item_text))
-    parts = []
-    for block in blocks:
+    block = next(blocks, None)
+    while block is not None:
+        later = next(blocks, None)
         held = spark.sparkContext.broadcast(Index(block, edits=edits))  # at most BLOCK_BYTES of item text
-        parts.append(rows.mapInArrow(trimmed(_scan(held, key, item, docs.schema[key].dataType, items.schema[item].dataType)), schema))
+        part = rows.mapInArrow(trimmed(_scan(held, key, item, docs.schema[key].dataType, items.schema[item].dataType)), schema)
+        if later is not None or parts:  # several blocks: each goes before the next is sent
+            scratch = scratch or Scratch(spark, "decontaminate")
+            part = scratch.write(part, f"block{len(parts)}")
+            held.destroy()
+        parts.append(part)
+        block = later
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -184,16 +248,19 @@ def _scan(held, key, item, key_type, item_type):
             texts = b.column(1)
             data, at = utf8(texts)
             for start, end in row_blocks(at, 1_000_000):
-                clean = [normalise(t) for t in texts.slice(start, end - start).to_pylist()]
-                chars = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
+                clean = [spaced(t) for t in texts.slice(start, end - start).to_pylist()]
+                chars = _chars("".join(clean))
                 h = window_hashes(chars, index.q)
                 edge = np.concatenate([[0], np.cumsum([len(c) for c in clean])])
                 # A document with fewer known q-grams than any segment needs can't match.
                 hit = np.concatenate([[0], np.cumsum(index.seen[(h >> U64(64 - FILTER_BITS)).astype(np.int64)])])
                 for k in range(end - start):
                     a, z = min(edge[k], len(h)), min(max(edge[k + 1] - index.q + 1, edge[k]), len(h))
-                    if hit[z] - hit[a] >= index.least:
-                        found += [(ids[start + k], index.items[m[0]], *m[1:]) for m in index.matches(chars[edge[k] : edge[k + 1]], h[a:z])]
+                    own = chars[edge[k] : edge[k + 1]]
+                    if index.least is not None and hit[z] - hit[a] >= index.least:
+                        found += [(ids[start + k], index.items[m[0]], *m[1:]) for m in index.matches(own, h[a:z])]
+                    if index.tiny:
+                        found += [(ids[start + k], index.items[m[0]], *m[1:]) for m in index.short(own)]
             cols = list(zip(*found, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, [*kinds, pa.int64(), pa.int64(), pa.int64()], strict=True)], names=[key, item, "start", "end", "edits"])
 

@@ -254,7 +254,8 @@ def test_planted_passages_are_found_and_others_are_left(spark):
             text = f"{text}. {passage}! {prose(10)}"
             want.add((i, k))
         rows.append((i, text, "d"))
-    rows += [(100, None, ""), (101, "", ""), (102, "short", "")]
+    rows += [(100, None, ""), (101, "", ""), (102, "short", ""), (103, "shorter or ashort", "")]
+    want.add((102, 50))
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, bench).collect()}
@@ -273,6 +274,66 @@ def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
     assert docs.filter(F.col("doc_id") == 0).count() == 1
 
 
+def test_short_items_match_as_they_stand_and_all_regions_are_given(spark):
+    passage = ", ".join(f"clause {k * k * 7919} of {k * 104729}" for k in range(6))
+    bench = spark.createDataFrame([(1, "Is it so?"), (2, "no"), (3, "What is the capital city of X?"), (4, "日本語"), (5, "!?"), (6, passage)], "item_id long, text string")
+    docs = [(1, "Well, is it SO! Is it so"), (2, "noon snow"), (3, "no no"), (4, "what is the capital city of x"), (5, "what is the capital city of xy"), (6, "is itso"), (7, "日本語"), (8, "日本語だ"), (9, "!?")]
+    long = decontaminate.normalise(passage)
+    docs += [(10, f"a {long} b {'word ' * 50}{long} c"), (11, long[:60])]
+    got = sorted(tuple(r) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    at = 2 + len(long) + 3 + 250
+    assert got == [(1, 1, 5, 13, 0), (1, 1, 14, 22, 0), (3, 2, 0, 2, 0), (3, 2, 3, 5, 0), (4, 3, 0, 29, 0), (7, 4, 0, 3, 0), (10, 6, 2, 2 + len(long), 0), (10, 6, at, at + len(long), 0)]
+
+
+def least_edits(p, t):
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p, 1):
+        new = [i]
+        for j, c in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != c)))
+        row = new
+    return min(row)
+
+
+def test_the_query_against_brute_force(spark, tmp_path):
+    """Every segment of every item against every document by the full table of edits."""
+    from sessionlake.llm import queries
+
+    r = random.Random(21)
+    prose = lambda n: " ".join("".join(r.choice("abcde") for _ in range(r.randrange(1, 7))) for _ in range(n))
+    items = [(i, prose(r.choice([1, 2, 5, 12, 40]))) for i in range(14)] + [(20, None)]
+    docs = []
+    for i in range(40):
+        text = prose(25)
+        if i % 2:
+            _, passage = items[r.randrange(14)]
+            start = r.randrange(max(1, len(passage) - 60)) if r.random() < 0.5 else 0
+            part = list(passage[start:])
+            for _ in range(r.randrange(0, 1 + len(part) // 10)):
+                if part:
+                    part[r.randrange(len(part))] = r.choice(["", "x", "yz", " "])
+            text += " " + "".join(part) + r.choice([" ", ", ", "e"]) + prose(4)
+        docs.append((i, text))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for k, text in items:
+        clean = decontaminate.normalise(text)
+        n, size = len(clean), decontaminate.SEGMENT
+        for i, doc in docs:
+            t = decontaminate.normalise(doc)
+            if not clean:
+                continue
+            if n < decontaminate.MIN_CHARS:
+                hit = f" {clean} " in f" {t} "
+            else:
+                starts = [0] if n <= size else [*range(0, n - size, decontaminate.STRIDE), n - size]
+                hit = any(least_edits(clean[s : s + size], t) <= int(decontaminate.EDITS * min(n, size)) for s in starts)
+            if hit:
+                want.add((i, k))
+    assert {(x["doc_id"], x["item_id"]) for x in queries.op10_qgram_decontamination(spark, str(tmp_path)).collect()} == want and len(want) > 10
+
+
 def test_matching_documents_without_an_id_are_dropped_and_others_of_an_id_stay(spark):
     passage = "the quick brown fox jumps over the lazy dog while seven wizards mix vivid potions of jade and quartz"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
