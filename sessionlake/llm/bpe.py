@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import only, ship, trimmed
+from .common import only, send_file, sent_file, ship, trimmed
 
 NONE = np.int64(1 << 62)
 SHIFT = 32
@@ -213,11 +213,12 @@ def _blocks(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str]]:
 def _results(docs: DataFrame, path: str, pattern: str, key: str, text: str, columns: dict) -> DataFrame:
     """``key`` and ``columns``: name -> (SQL type, Arrow type, function of (ids as bytes, decoded bytes))."""
     ship(docs.sparkSession)
+    sent = send_file(docs.sparkSession, path)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, *columns]
 
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(sent_file(sent), pattern)
         for b in batches:
             for k, (ids, back) in zip(_keys(b), _round(c, b.column(1)), strict=True):
                 made = [pa.array([f(x, y) for x, y in zip(ids, back, strict=True)], t) for _, t, f in columns.values()]

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import Scratch, delete_path, shared_dir  # noqa: F401  part of this module's surface
@@ -109,6 +110,25 @@ def trimmed(run):
     return with_trim
 
 
+_SENT: dict[tuple[str, str], str] = {}
+
+
+def send_file(spark: SparkSession, path: str) -> str:
+    """Sends a driver's file to all executors, once per application; its name for :func:`sent_file`."""
+    name = path.rsplit("/", 1)[-1]
+    context = spark.sparkContext
+    known = _SENT.setdefault((context.applicationId, name), path)
+    if known != path:
+        raise ValueError(f"{name} was sent from {known}; {path} needs another name")
+    context.addFile(path)
+    return name
+
+
+def sent_file(name: str) -> str:
+    """Where a worker finds a file that was sent."""
+    return SparkFiles.get(name)
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 

@@ -7,8 +7,9 @@ sequence is an offset in a memory-mapped file, without a copy. Beside it an inde
 gives each document's offset and number of ids. One task writes one range of ids to files of its own name; the manifest lists the files
 of the tasks that finished, with the number of ids before each, so a retried task leaves nothing that is read.
 
-Encoding is by the tokenizers library; the tokenizer splits at white space, so each distinct run between
-spaces is encoded once per worker and its ids kept in a bounded cache.
+Encoding is by the tokenizers library. A tokenizer whose parts are those of ``PARTS`` splits at white space, so each distinct run between
+spaces is encoded once per worker and its ids kept in a bounded cache; strings of its added tokens in a text become those tokens, as the
+library has it, and the text between them is encoded by runs. Any other tokenizer encodes whole texts. The tokenizer's file is sent with the job.
 
 Cases: null text is empty (one id, ``end``); a null document id comes first; equal ids follow by their text's hash; empty tables
 give an empty manifest and no documents; long documents run over as many sequences and batches as they need.
@@ -17,7 +18,9 @@ give an empty manifest and no documents; long documents run over as many sequenc
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -28,7 +31,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, partitions, ship
+from .common import Scratch, partitions, send_file, sent_file, ship
 
 LENGTH = 2048
 BATCH = 64
@@ -38,6 +41,22 @@ MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
 BLOCK = 2_000_000
 
 
+#: The parts of a tokenizer file for which runs between spaces can be encoded one by one.
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+PLAIN_TOKEN = {"special": True, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
 class Encoder:
     """Ids of texts as arrays; ids of runs between spaces are kept.
 
@@ -50,14 +69,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        parts = json.loads(self.tokenizer.to_str())
+        added, model = parts["added_tokens"], parts["model"]
+        self.by_runs = (
+            all(parts.get(k) == v for k, v in PARTS.items())
+            and all(t[k] == v for t in added for k, v in PLAIN_TOKEN.items())
+            and (model["type"], model.get("dropout"), model.get("end_of_word_suffix")) == ("BPE", None, "</w>")
+        )
+        # Added tokens are parted from the text below; a run that looks like one only once it is lower-cased is text.
+        self.tokenizer.encode_special_tokens = self.by_runs
+        self.added = {t["content"]: t["id"] for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        texts = [t or "" for t in texts]
+        if not self.by_runs:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        marked = [i for i, t in enumerate(texts) if any(m in t for m in self.added)]
+        if not marked:
+            return self._between(texts)
+        # Text, added token, text, ...: the library parts a text there first.
+        pieces = {i: self.marks.split(texts[i]) for i in marked}
+        out = self._between([*[t if i not in pieces else "" for i, t in enumerate(texts)], *[p for parts in pieces.values() for p in parts[::2]]])
+        at = len(texts)
+        for i, parts in pieces.items():
+            ids = out[at : at + len(parts[::2])]
+            at += len(ids)
+            tokens = [np.array([self.added[m]], self.kind).tobytes() for m in parts[1::2]]
+            out[i] = b"".join(x for pair in itertools.zip_longest(ids, tokens, fillvalue=b"") for x in pair)
+        return out[: len(texts)]
+
+    def _between(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.cache) > CACHE:
             self.cache = {b"": b""}
         cache = self.cache
@@ -184,13 +232,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
     """Writes the files into ``folder`` (a URI that all executors reach) and returns the manifest (part, path, docs, tokens)."""
     spark = docs.sparkSession
     ship(spark)
+    sent = send_file(spark, tokenizer)
 
     def run(batches):
         batches = iter(batches)
         head = next((b for b in batches if len(b)), None)
         if head is None:
             return
-        enc = encoder(tokenizer)
+        enc = encoder(sent_file(sent))
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()

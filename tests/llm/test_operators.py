@@ -156,7 +156,6 @@ def test_token_files_equal_the_library(spark, docs, tmp_path, monkeypatch):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = sorted(((i * 3 - 5), t.encode(x or "", add_special_tokens=False).ids + [2]) for i, x in enumerate(AWKWARD))
     want, start = [], 0
     for i, ids in rows:
@@ -177,6 +176,20 @@ def test_token_files_equal_the_library(spark, docs, tmp_path, monkeypatch):
     assert token_files.round_trip(docs.limit(0), path, 2).count() == 0
 
 
+def test_added_tokens_and_other_tokenizers_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    t, enc = Tokenizer.from_file(path), token_files.Encoder(path)
+    assert enc.by_runs and np.frombuffer(enc.encode(["a <|endoftext|> b"])[0], enc.kind).tolist() == [320, 49407, 321]
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "A", "é", "e\u0301", "it's", "don't.", "12", "!?", "日本", "\u3000"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(500)]
+    assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    other = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_runs and [np.frombuffer(x, other.kind).tolist() for x in other.encode(texts)] == [e.ids for e in want.encode_batch(texts, add_special_tokens=False)]
+
+
 # Language ID
 
 
