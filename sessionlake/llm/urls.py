@@ -2,19 +2,24 @@
 
 A URL's host and path are taken apart by one pattern; the longest rule that fits decides. Where none fits, the host's and
 the path's runs of letters are split into words by a unigram Viterbi search (the word
-sequence of greatest probability; word counts come from the text of all pages), and a multinomial naive Bayes model
-scores the words. Its classes are trained on labelled examples, both smoothed by the words of all hosts of the table.
+sequence of greatest probability; word counts come from the text of all pages; a run that is no word costs as much more as it is longer), and
+a multinomial naive Bayes model scores the words; any number is the one word ``#``. A host's last label says nothing and is left out, unless it is the only one.
+
+The model's classes are trained on labelled URLs: a table of the caller's, as whole as it is given, or the list ``EXAMPLES``. Both
+are smoothed by the words of all hosts of the table. ``agreement`` tells how the model judges rows that it never saw the label of: those the rules decide.
 
 The unigram table keeps the words that make up at least ``MIN_SHARE`` of all words (so at most 1 / MIN_SHARE
-words, whatever the corpus); so does the background. Words seen nowhere say nothing.
+words, whatever the corpus); so do the background and the classes. Words seen nowhere say nothing.
 
 Cases: a null url or one without ``://`` has an empty host and path, no words and the verdict ``allow``; ports and user names stay
-in the host as given; equal scores (0.5) are ``allow``; empty tables give no rows.
+in the host as given; equal scores (0.5) are ``allow``; of rules of one length the later in order of text; of equally cheap splits the one whose last word is longest,
+then the one before it; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,15 +27,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship
+from .common import Scratch, ship
 
 MIN_SHARE = 1e-5
-LONGEST = 24
 MOST_RULES = 1000
 PRIOR = 0.5
 MASS = 50.0
+UNKNOWN = math.log(10.0)
 PATTERN = r"://([^/?#]*)([^?#]*)"
-_RUN = regex.compile(r"\p{L}+")
+_RUN = regex.compile(r"\p{L}+|\p{N}+")
+NUMBER = "#"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the query: verdict, host, path.
@@ -41,15 +47,15 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 
-#: Labelled examples of the two classes, words as they stand in host names and paths.
-BLOCK = """casino online casino win poker slots jackpot bets free bets sports betting bet bonus lottery
-cheap pills buy viagra pharmacy cheap meds replica watches cheap luxury adult adult video porn xxx sex cams escort
-ads track ads tracker click ads banner popup adserver affiliate clicks spam spam farm link farm seo links
-free download crack keygen warez torrent payday loan fast cash loans crypto doubler win prize free iphone gift card winner"""
-ALLOW = """news daily news world weather city council university library science journal research museum history
-school education health hospital open source docs documentation developer blog forum community travel guide recipes cooking
-garden music books sports club team local government public service law court bank insurance post mail shop store market
-about contact article archive wiki home help support search product"""
+#: Labelled examples, as host names.
+EXAMPLES = {
+    "block": """casino-online casino-win poker slots-jackpot bets free-bets sports-betting bet-bonus lottery cheap-pills buy-viagra pharmacy cheap-meds replica-watches
+cheap-luxury adult adult-x adult-video porn xxx sex-cams escort ads-track ads-tracker click-ads banner-popup adserver affiliate-clicks spam spam-farm link-farm seo-links
+free-download crack-keygen warez-torrent payday-loan fast-cash-loans crypto-doubler win-prize free-iphone gift-card-winner""".split(),
+    "allow": """news daily-news world-weather city-council university library science-journal research museum history school education health hospital open-source docs
+documentation developer blog forum community travel-guide recipes cooking garden music books sports-club team local-government public-service law-court bank insurance
+post mail shop store market about contact article archive wiki home help support search product""".split(),
+}
 
 
 def host(url: Column) -> Column:
@@ -77,7 +83,7 @@ class Segmenter:
 
     def __post_init__(self):
         self.total = sum(self.counts.values()) + 1
-        self.longest = min(LONGEST, max(map(len, self.counts), default=1))
+        self.lengths = sorted({len(w) for w in self.counts}, reverse=True)
         self.known: dict[str, tuple[str, ...]] = {}
 
     def split(self, run: str) -> tuple[str, ...]:
@@ -89,16 +95,23 @@ class Segmenter:
 
     def cost(self, word: str) -> float:
         n = self.counts.get(word)
-        return math.log(self.total / n) if n else math.log(self.total) + len(word) * math.log(10.0)
+        return math.log(self.total / n) if n else math.log(self.total) + len(word) * UNKNOWN
 
     def _split(self, run: str) -> tuple[str, ...]:
         """The cheapest words of a run of letters; of equals, the one whose last words are longest."""
         best, last = [0.0], [0]
+        open_cost, open_start = 0.0, 0  # of an unknown word: the cheapest start, with what its length will cost taken off
         for end in range(1, len(run) + 1):
-            options = [(best[start] + self.cost(run[start:end]), start) for start in range(max(0, end - self.longest), end)]
-            c, start = min(options)
+            c, start = open_cost + end * UNKNOWN + math.log(self.total), open_start
+            for n in self.lengths:
+                if n <= end and (word := run[end - n : end]) in self.counts:
+                    here = best[end - n] + self.cost(word)
+                    if here < c or (here == c and end - n < start):
+                        c, start = here, end - n
             best.append(c)
             last.append(start)
+            if c - end * UNKNOWN < open_cost:
+                open_cost, open_start = c - end * UNKNOWN, end
         out, end = [], len(run)
         while end:
             out.append(run[last[end] : end])
@@ -106,8 +119,8 @@ class Segmenter:
         return tuple(reversed(out))
 
     def words(self, host: str, path: str) -> list[str]:
-        """Of the host without its last label, and of the path."""
-        return [w for part in (host.rpartition(".")[0], path) for run in _RUN.findall(part.lower()) for w in self.split(run)]
+        """Of the host without its last label (unless it has no other), and of the path."""
+        return [w for part in (host.rpartition(".")[0] or host, path) for run in _RUN.findall(part.lower()) for w in (self.split(run) if run[0].isalpha() else (NUMBER,))]
 
 
 @dataclass
@@ -132,38 +145,48 @@ class Bayes:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
 
 
-def _shares(counts: DataFrame, name: str) -> dict[str, int]:
-    """Of (name, n) rows, those of MIN_SHARE or more: at most 1 / MIN_SHARE."""
+def _shares(counts: DataFrame, scratch: Scratch, name: str) -> dict[str, int]:
+    """Of (w, n) rows, those of MIN_SHARE or more: at most 1 / MIN_SHARE."""
+    counts = scratch.write(counts, name)
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    return {r[name]: r["n"] for r in counts.filter(F.col("n") >= MIN_SHARE * total).collect()}
+    return {r["w"]: r["n"] for r in counts.filter(F.col("n") >= MIN_SHARE * total).collect()}
 
 
-def train(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[Segmenter, Bayes]:
+def train(pages: DataFrame, url: str = "url", html: str = "html", labelled: DataFrame | None = None) -> tuple[Segmenter, Bayes]:
+    """The word table of ``pages`` and a model of ``labelled`` (url, verdict) rows, or else of EXAMPLES."""
     ship(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession, "urls")
     prose = F.lower(F.regexp_replace(F.coalesce(pages[html], F.lit("")), "<[^>]*>", " "))
-    seen = pages.select(F.explode(F.split(prose, r"\P{L}+")).alias("w")).filter(f"length(w) between 1 and {LONGEST}").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = _shares(seen, "w")
-    examples = {name: {w: text.split().count(w) for w in text.split()} for name, text in (("block", BLOCK), ("allow", ALLOW))}
+    seen = pages.select(F.explode(F.split(prose, r"\P{L}+")).alias("w")).filter("w != ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = _shares(seen, scratch, "words")
     # Examples' words are words even where no page holds them: as common as the least common kept.
     floor = max(1, min(counts.values(), default=1))
-    segmenter = Segmenter({**{w: floor for e in examples.values() for w in e}, **counts})
+    segmenter = Segmenter({**{w: floor for e in EXAMPLES.values() for name in e for w in name.split("-")}, **counts})
 
     def split(batches):
         for b in batches:
             got: dict[str, int] = {}
-            for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in segmenter.words(h, ""):
+            for h, p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for w in segmenter.words(h, p):
                     got[w] = got.get(w, 0) + n
             yield pa.record_batch([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["w", "n"])
 
+    def counted(parts: DataFrame, name: str) -> dict[str, int]:
+        return _shares(parts.mapInArrow(split, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), scratch, name)
+
     hosts = pages.groupBy(host(pages[url]).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    background = _shares(hosts.mapInArrow(split, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "w")
-    return segmenter, Bayes(examples["block"], examples["allow"], background)
+    background = counted(hosts.select("h", F.lit("").alias("p"), "n"), "hosts")
+    if labelled is None:
+        classes = {verdict: dict(Counter(w for name in names for w in name.split("-"))) for verdict, names in EXAMPLES.items()}
+    else:
+        parts = labelled.select(host(labelled["url"]).alias("h"), path(labelled["url"]).alias("p"), F.lit(1).alias("n"), "verdict")
+        classes = {v: counted(parts.filter(F.col("verdict") == v).drop("verdict"), v) for v in ("block", "allow")}
+    return segmenter, Bayes(classes["block"], classes["allow"], background)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", html: str = "html", labelled: DataFrame | None = None) -> DataFrame:
     """Per row: ``key``, host, path, rule, verdict, words, block_score."""
-    segmenter, bayes = train(pages, url, html)
+    segmenter, bayes = train(pages, url, html, labelled)
     held = pages.sparkSession.sparkContext.broadcast((segmenter, bayes))  # at most 1 / MIN_SHARE words each
 
     @F.pandas_udf("words string, block_score double")
@@ -176,3 +199,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str
     rows = rows.withColumn("r", rule(F.col("host"), F.col("path"), rules)).withColumn("s", score("host", "path"))
     verdict = F.coalesce("r.verdict", F.when(F.col("s.block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select(key, "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "s.words", "s.block_score")
+
+
+def agreement(judged: DataFrame) -> DataFrame:
+    """By verdict of the rules (null: none): how many rows, and how many the model alone blocks."""
+    by_rule = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return judged.groupBy(by_rule.alias("rules_say")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("block_score") > 0.5).cast("long")).alias("model_blocks"))

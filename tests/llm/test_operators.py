@@ -3,12 +3,14 @@
 import math
 import random
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
 import public_tokenizers
 import pyarrow.fs as fs
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sessionlake.llm import bpe, decontaminate, langid, sharding, token_files, urls
@@ -86,21 +88,74 @@ def test_parts_and_rules(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def cheapest(s, run):
+    """All splits, by their costs."""
+    best = []
+    for cuts in product([0, 1], repeat=len(run) - 1):
+        parts, start = [], 0
+        for i, c in enumerate([*cuts, 1]):
+            if c:
+                parts.append(run[start : i + 1])
+                start = i + 1
+        best.append((sum(s.cost(p) for p in parts), parts))
+    return min(best)
+
+
 def test_segments_are_the_cheapest(spark):
     r = random.Random(2)
     counts = {"".join(r.choice("ab") for _ in range(r.randrange(1, 4))): r.randrange(1, 30) for _ in range(12)}
     s = urls.Segmenter(counts)
     for _ in range(40):
-        run = "".join(r.choice("ab") for _ in range(r.randrange(1, 9)))
-        best = math.inf
-        for cuts in product([0, 1], repeat=len(run) - 1):
-            parts, start = [], 0
-            for i, c in enumerate([*cuts, 1]):
-                if c:
-                    parts.append(run[start : i + 1])
-                    start = i + 1
-            best = min(best, sum(s.cost(p) for p in parts) if max(map(len, parts)) <= s.longest else math.inf)
-        assert "".join(s.split(run)) == run and abs(sum(map(s.cost, s.split(run))) - best) < 1e-9
+        run = "".join(r.choice("abc") for _ in range(r.randrange(1, 9)))
+        assert "".join(s.split(run)) == run and abs(sum(map(s.cost, s.split(run))) - cheapest(s, run)[0]) < 1e-9
+    word = "donaudampfschifffahrtsgesellschaft"
+    assert urls.Segmenter({word: 3}).split(word) == (word,) and urls.Segmenter({}).split("x" * 3000) == ("x" * 3000,)
+    assert urls.Segmenter({"casino": 2, "win": 1}).words("casinowin", "/a1/22") == ["casino", "win", "a", "#", "#"]
+
+
+def test_verdicts_against_brute_force(spark):
+    """The whole query again in plain Python: parts, rules, word counts, splits and scores."""
+    r = random.Random(4)
+    words = ["cheap", "pills", "news", "casino", "win", "the", "day", "zq"]
+    hosts = ["".join(r.choice(words) for _ in range(r.randrange(1, 3))) + r.choice(["", ".org", ".com", ".example.net", "-x.de"]) for _ in range(40)]
+    rows = [(i, f"http://{h}{r.choice(['', '/en/', '/fr/a', '/casino/7', '?q'])}", "<p>" + " ".join(r.choice(words[:7]) for _ in range(30)) + "</p>") for i, h in enumerate(hosts)]
+    rows += [(100, None, None), (101, "no", "<b>")]
+    got = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    counts = Counter(w for _, _, t in rows for w in regex.findall(r"\p{L}+", regex.sub("<[^>]*>", " ", (t or "").lower())))
+    floor = min(counts.values())
+    examples = {v: Counter(w for n in names for w in n.split("-")) for v, names in urls.EXAMPLES.items()}
+    for c in examples.values():
+        for w in c:
+            counts.setdefault(w, floor)
+    s = urls.Segmenter(dict(counts))
+
+    def tokens(h, p):
+        return [w for part in (h.rpartition(".")[0] or h, p) for run in regex.findall(r"\p{L}+|\p{N}+", part.lower()) for w in (cheapest(s, run)[1] if run.isalpha() else ["#"])]
+
+    parts = {}
+    for i, u, _ in rows:
+        _, found, rest = (u or "").partition("://")
+        h = regex.split("[/?#]", rest)[0].lower() if found else ""
+        parts[i] = (h, regex.split("[?#]", rest[len(h) :])[0] if found else "")
+    background = Counter(w for h, _ in parts.values() for w in tokens(h, ""))
+    known = examples["block"].keys() | examples["allow"].keys() | background.keys()
+    mass = {w: urls.MASS * (background[w] + 1) / (sum(background.values()) + len(known)) for w in known}
+    for i, (h, p) in parts.items():
+        fits = [(len(a + b), a + b, v) for v, a, b in urls.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        odds = 0.0
+        for w in tokens(h, p):
+            if w in known:
+                odds += math.log((examples["block"][w] + mass[w]) / (examples["block"].total() + urls.MASS)) - math.log((examples["allow"][w] + mass[w]) / (examples["allow"].total() + urls.MASS))
+        assert got[i] == (h, p, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if odds > 0 else "allow"), (i, odds)
+    assert {v for _, _, r, v in got.values() if r is None} == {"block", "allow"}
+
+
+def test_a_table_of_labels_trains_the_model(spark):
+    pages = spark.createDataFrame([(1, "http://redhat.org/x", "red hat blue cap"), (2, "http://bluecap.org", "red hat")], "page_id long, url string, html string")
+    labels = spark.createDataFrame([("http://red.org/hat", "block"), ("http://cap.org/blue", "allow")] * 30, "url string, verdict string")
+    judged = urls.judge(pages, labelled=labels)
+    assert {x["page_id"]: (x["verdict"], x["words"]) for x in judged.collect()} == {1: ("block", "red hat x"), 2: ("allow", "blue cap")}
+    assert [tuple(x) for x in urls.agreement(judged).collect()] == [(None, 2, 1)]
 
 
 def test_bayes_blocks_what_examples_name(spark):
