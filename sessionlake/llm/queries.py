@@ -80,20 +80,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Buckets by the same hash: of the prefixes of each depth, a row's shard is the shortest that fits.
-OP1_SQL = f"""
+def op1_sql(limit: int = SHARD_BYTES) -> str:
+    """Buckets by the same hash: of the prefixes of each depth, a row's shard is the shortest that fits; copies that no bit parts fill pages."""
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
     coalesce(doc_id::VARCHAR, chr(30)) AS key, coalesce(doc_id::VARCHAR, chr(30)) || chr(31) || coalesce(text, chr(30)) AS row FROM documents),
-h AS (SELECT doc_id, n_bytes, ('0x' || md5(key)[1:6] || md5(row)[1:9])::BIGINT AS h FROM d),
-s AS (SELECT doc_id, n_bytes, depth::INT AS depth, h >> (60 - depth)::INT AS prefix,
-    sum(n_bytes) OVER w AS bytes, count(*) OVER w AS n FROM h, range(0, 40) t(depth)
+h AS (SELECT doc_id, n_bytes, ('0x' || md5(key)[1:6] || md5(row)[1:9])::BIGINT AS h, row_number() OVER (PARTITION BY doc_id, n_bytes, md5(row)) - 1 AS copy FROM d),
+s AS (SELECT doc_id, n_bytes, copy, depth::INT AS depth, h >> (60 - depth)::INT AS prefix,
+    sum(n_bytes) OVER w AS bytes, count(*) OVER w AS n, h FROM h, range(0, 61) t(depth)
     WINDOW w AS (PARTITION BY depth, h >> (60 - depth)::INT)),
-f AS (SELECT doc_id, n_bytes, min(depth) AS local_depth, arg_min(prefix, depth) AS prefix FROM s WHERE bytes <= {SHARD_BYTES} OR n = 1 GROUP BY ALL)
-SELECT doc_id, n_bytes, CASE WHEN local_depth = 0 THEN '' ELSE lpad(bin(prefix), local_depth, '0') END AS shard,
-  local_depth, max(local_depth) OVER () AS global_depth, n_bytes > {SHARD_BYTES} AS oversized FROM f
+f AS (SELECT doc_id, n_bytes, copy, min(depth) AS local_depth, arg_min(prefix, depth) AS prefix, arg_min(bytes > {limit} AND n > 1, depth) AS crowded
+  FROM s WHERE bytes <= {limit} OR n = 1 OR depth = 60 GROUP BY doc_id, n_bytes, copy, h)
+SELECT doc_id, n_bytes, CASE WHEN local_depth = 0 THEN '' ELSE lpad(bin(prefix), local_depth, '0') END
+  || CASE WHEN crowded AND copy // greatest(1, {limit} // greatest(n_bytes, 1)) > 0 THEN '-' || (copy // greatest(1, {limit} // greatest(n_bytes, 1))) ELSE '' END AS shard,
+  local_depth, max(local_depth) OVER () AS global_depth, n_bytes > {limit} AS oversized FROM f
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_sharding": OP1_SQL, "op2_imatch_fingerprints": fingerprint.oracle_sql(), "op9_license_diagonals": licenses.oracle_sql()}
+    return {"op1_extendible_sharding": op1_sql(), "op2_imatch_fingerprints": fingerprint.oracle_sql(), "op9_license_diagonals": licenses.oracle_sql()}

@@ -9,7 +9,7 @@ the sums are folded up towards the root. Bins that are still too large are count
 ``STEP`` bits deeper, from their own rows only.
 
 Cases: a null key is a key like any other; null text has 0 bytes; copies of one whole row
-can't be parted by bits, so they fill numbered pages of their bucket; a single row over the
+can't be parted by bits, so they fill numbered pages of their bucket, numbered part by part of the table and not in one task; a single row over the
 limit stands alone and is marked ``oversized``. An empty table gives no rows. Columns
 other than the keys and the text play no part.
 """
@@ -72,14 +72,26 @@ def assign(docs: DataFrame, limit: int, keys: tuple[str, ...] = ("doc_id",), tex
     asked = rows.withColumn("ask", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _bits(F.col("h"), d).alias("prefix")) for d in depths])))
     out = asked.select(*k, "n_bytes", "h", "ask.depth", "ask.prefix").join(found, ["depth", "prefix"])
     full = (F.col("depth") == MOST_BITS) & (F.col("bytes") > limit) & (F.col("n_rows") > 1)
-    copies = out.filter(full).groupBy(*k, "n_bytes", "h", "depth", "prefix", "bytes", "n_rows").agg(F.count(F.lit(1)).alias("n"))
-    paged = copies.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("page", F.floor(F.col("i") / F.greatest(F.lit(1), F.floor(limit / F.greatest(F.col("n_bytes"), F.lit(1))))))
-    out = out.filter(~full).withColumn("page", F.lit(0).cast("long")).unionByName(paged.drop("i", "n"))
+    out = out.filter(~full).withColumn("page", F.lit(0).cast("long")).unionByName(_paged(out.filter(full), limit, k, scratch))
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.substring(F.lpad(F.bin("prefix"), MOST_BITS, "0"), MOST_BITS + 1 - F.col("depth"), F.col("depth")))
     shard = F.when(F.col("page") > 0, F.concat_ws("-", name, F.col("page").cast("string"))).otherwise(name)
     return out.select(*[F.col(y).alias(x) for x, y in zip(keys, k, strict=True)], "n_bytes", shard.alias("shard"), F.col("depth").alias("local_depth"), F.lit(depths[-1]).alias("global_depth"), (F.col("n_bytes") > limit).alias("oversized"))
 
 
+def _paged(rows: DataFrame, limit: int, k: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with the page of each copy: copies are numbered within the part of the table they stand in, after those of earlier parts."""
+    copy = [*k, "n_bytes", "h"]
+    rows = scratch.write(rows.withColumn("part", F.spark_partition_id()), "copies")
+    parts = rows.groupBy(*copy, "part").agg(F.count(F.lit(1)).alias("n"))  # at most a row for each part of the table
+    before = F.sum("n").over(Window.partitionBy(*copy).orderBy("part")) - F.col("n")
+    starts = parts.select(*[F.col(c).alias(f"s_{c}") for c in (*copy, "part")], before.alias("before"))
+    number = F.row_number().over(Window.partitionBy(*copy, "part").orderBy(F.lit(0)))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in (*copy, "part")])
+    a_page = F.greatest(F.lit(1), F.floor(limit / F.greatest(F.col("n_bytes"), F.lit(1))))
+    numbered = rows.withColumn("i", number).join(starts, on).withColumn("page", F.floor((F.col("before") + F.col("i") - 1) / a_page))
+    return numbered.drop("i", "part", *starts.columns)
+
+
 def write(docs: DataFrame, path: str, limit: int, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> None:
     """The documents themselves, one folder for each shard; the keys must be unique."""
     where = assign(docs, limit, keys, text).select(*[F.col(x).alias(f"at{i}") for i, x in enumerate(keys)], "shard")

@@ -58,6 +58,22 @@ def test_copies_of_a_row_fill_pages_and_a_large_row_stands_alone(spark):
     assert sharding.assign(df.limit(0), 1000).count() == 0
 
 
+def test_many_splits_and_pages_equal_sql(spark):
+    import duckdb
+
+    from sessionlake.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, "copy " * 300)] * 90 + [(-2, "")] * 50 + [(-3, "z" * 20_000)] * 3, "doc_id long, text string").repartition(5)
+    some = docs.unionByName(extra)
+    con = duckdb.connect()
+    documents = some.toPandas()  # noqa: F841  read by the statement
+    for limit in (8192, 65536):
+        got = sorted(map(tuple, sharding.assign(some, limit).collect()), key=str)
+        want = con.sql(f"SELECT doc_id, n_bytes, shard, local_depth, global_depth, oversized FROM ({queries.op1_sql(limit)})").fetchall()
+        assert got == sorted(map(tuple, want), key=str) and len({r[2] for r in got}) > 30
+
+
 def test_sharded_write_keeps_rows(spark, tmp_path):
     df = spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id long, text string")
     sharding.write(df, f"{tmp_path}/out", 300)
