@@ -14,27 +14,31 @@ and links become classes. Only nodes that share a bucket and are still in differ
 against a further lead per bucket while such pairs are many and each turn halves them, then every such pair, on signatures and on the
 least ``SKETCH`` element hashes (which tell the exact likeness of shorter texts), in blocks: the nodes
 outside the bucket's largest class, ``FEW`` at a time, against all, ``SIDE`` at a time. So a pair that shares a bucket is either in one class or
-was compared. A pair at likeness 0.8 shares no bucket with a chance of 3e-6.
+was compared. A pair at likeness 0.8 shares no bucket with a chance of 3e-6. Blocks of a bucket with many classes would grow with the square
+of its size, so one with more than ``BIG`` open nodes is dealt to ``TABLES`` finer buckets a node first, by ``FINER`` further coordinates each, and these
+go through the same turns and blocks; a pair at 0.8 shares none of them with a chance of 1e-5.
 
 A link is a weighted Jaccard likeness of at least ``THRESHOLD``; pairs whose signatures agree in fewer than
 ``LEAST_AGREE`` of the coordinates are not read again (0.8 or more agrees in fewer with a chance below 1e-5).
 
 Cases: null text is empty; texts without words are alike only when equal; a text of fewer than ``SHINGLE`` words has one
 shingle of all its words; rows that share an id are one document; a null id is named by its text's hash (negative);
-an empty table gives no rows; further columns play no part.
+an empty table gives no rows; further columns play no part. Ids may be of any type: where they are not whole numbers, nodes are
+their hashes, and a class is named by one of its ids (``null:`` and the text's hash if that is null).
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import random
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegralType
 
 from .common import U64, Scratch, mix, ship, trimmed
 
@@ -48,6 +52,9 @@ MANY = 2
 FEW, SIDE = 512, 2048
 SKETCH = 256
 SKETCH_SLACK = 0.11
+BIG = 20_000
+TABLES, FINER = 63, 8
+SEEN = 1_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _GAPS = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -186,8 +193,19 @@ def _blocks(sizes):
 
 
 def _sign(batches):
+    """Texts -> signatures, bands' buckets and sketches; a text that this task has signed already goes without."""
+    seen: set[tuple[int, int]] = set()
     for b in batches:
-        node, th1, th2, texts = b.column(0), b.column(1), b.column(2), b.column(3)
+        node, th1, th2 = b.column(0), b.column(1), b.column(2)
+        new = np.zeros(len(b), bool)
+        for i, pair in enumerate(zip(th1.to_pylist(), th2.to_pylist(), strict=True)):
+            new[i] = pair not in seen
+            seen.add(pair)
+        if len(seen) > SEEN:
+            seen.clear()
+        places = np.flatnonzero(new)
+        texts = b.column(3).take(pa.array(places))
+        cols = [[None] * len(b) for _ in range(4)]
         for x, y in _blocks(pc.binary_length(texts).to_pylist()):
             t, e, w = shingles(texts.slice(x, y - x).to_pylist())
             sig = signatures(t, e, w.astype(np.float64), y - x)
@@ -196,11 +214,12 @@ def _sign(batches):
             band = np.full((y - x, BANDS), U64(0xC0FFEE)) + np.arange(BANDS, dtype=U64)
             for r in range(ROWS):
                 band = mix(band ^ sig[:, r::ROWS].astype(U64) * U64(_BASE))
-            has = sig.any(axis=1)
-            yield pa.record_batch(
-                [node.slice(x, y - x), th1.slice(x, y - x), th2.slice(x, y - x), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([v if ok else [] for v, ok in zip(band.view(np.int64).tolist(), has.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([k.tobytes() for k in sketch], pa.binary()), pa.array(total)],
-                names=["node", "th1", "th2", "sig", "bands", "sketch", "total"],
-            )
+            has = sig.any(axis=1).tolist()
+            buckets = band.view(np.int64).tolist()
+            for k, i in enumerate(places[x:y].tolist()):
+                cols[0][i], cols[1][i], cols[2][i], cols[3][i] = sig[k].tobytes(), buckets[k] if has[k] else [], sketch[k].tobytes(), int(total[k])
+        made = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()), strict=True)]
+        yield pa.record_batch([node, th1, th2, *made], names=["node", "th1", "th2", "sig", "bands", "sketch", "total"])
 
 
 @F.pandas_udf(DoubleType())
@@ -310,20 +329,59 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
+def _finer(at: DataFrame, reps: DataFrame) -> DataFrame:
+    """(b, h, node): each node of large buckets in TABLES smaller ones, by FINER more coordinates."""
+    r = random.Random(0)
+    deals = []
+    for t in range(TABLES):
+        some = r.sample(range(BANDS * ROWS), FINER)
+        deals.append(F.xxhash64("b", "h", F.lit(t), *[F.substring("sig", 4 * c + 1, 4) for c in some]))
+    return at.select("b", "h", "node").join(reps.select("node", "sig"), "node").select("b", F.explode(F.array(*deals)).alias("h"), "node").distinct()
+
+
+def _whole(docs: DataFrame, key: str) -> bool:
+    return isinstance(docs.schema[key].dataType, IntegralType)
+
+
+def _node(docs: DataFrame, key: str, t: Column) -> Column:
+    """A number for each row's document: the id, or its hash; a null id's is its text's hash, and negative."""
+    own = docs[key].cast("long") if _whole(docs, key) else F.abs(F.shiftright(F.xxhash64(docs[key].cast("string"), F.lit(7)), 1))
+    return F.coalesce(F.when(docs[key].isNotNull(), own), -F.abs(F.shiftright(F.xxhash64(t), 1)) - 1)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: str = "minhash") -> DataFrame:
-    """One row per row: ``key``, class_id (the least id of its class), copy_of (the least id with the same text)."""
+    """One row per row: ``key``, class_id (the least id of its class), copy_of (the least id with the same text), links.
+
+    ``links`` counts the verified links between its text and different ones; a class is held together by them, and pairs within a class that others
+    link already are not all read.
+    """
+    spark = docs.sparkSession
+    found = _found(docs, key, text, tag)
+    if _whole(docs, key):
+        return found.select(F.col("node").alias(key), "class_id", "copy_of", "links")
+    t = F.coalesce(docs[text], F.lit(""))
+    ids = docs.select(_node(docs, key, t).alias("n"), F.coalesce(docs[key].cast("string"), F.concat(F.lit("null:"), F.xxhash64(t).cast("string"))).alias("id"))
+    ids = Scratch(spark, tag).write(ids.groupBy("n").agg(F.min("id").alias("id")), "ids")
+    of = lambda name: ids.select(F.col("n").alias(name), F.col("id").alias(f"{name}_id"))
+    named = found.join(of("node"), "node").join(of("class_id"), "class_id").join(of("copy_of"), "copy_of")
+    own = F.when(F.col("node") >= 0, F.col("node_id")).cast(docs.schema[key].dataType)
+    return named.select(own.alias(key), F.col("class_id_id").alias("class_id"), F.col("copy_of_id").alias("copy_of"), "links")
+
+
+def _found(docs: DataFrame, key: str, text: str, tag: str) -> DataFrame:
+    """(node, class_id, copy_of, links) of every row, as numbers."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, tag)
     t = F.coalesce(docs[text], F.lit(""))
     th1, th2 = F.xxhash64(t), F.xxhash64(F.lit(5), t)
-    named = docs.select(F.coalesce(docs[key].cast("long"), -F.abs(F.shiftright(th1, 1)) - 1).alias("node"), th1.alias("th1"), th2.alias("th2"), t.alias("t"))
+    named = docs.select(_node(docs, key, t).alias("node"), th1.alias("th1"), th2.alias("th2"), t.alias("t"))
     signed = scratch.write(named.mapInArrow(trimmed(_sign), "node long, th1 long, th2 long, sig binary, bands array<long>, sketch binary, total long"), "signed")
 
-    same = signed.groupBy("th1", "th2").agg(F.min("node").alias("rep"))
-    members = scratch.write(signed.select("node", "th1", "th2").join(same, ["th1", "th2"]).select("node", "rep", "th1", "th2"), "members")
-    reps = signed.join(same.select(F.col("rep").alias("node"), "th1", "th2"), ["node", "th1", "th2"]).dropDuplicates(["node", "th1"])
-    reps = scratch.write(reps.select("node", "sig", "bands", "sketch", "total"), "reps")
+    # Copies of one text are one node; each task signed a text once, and any of the signatures will do.
+    made = [F.first(c, ignorenulls=True).alias(c) for c in ("sig", "bands", "sketch", "total")]
+    reps = scratch.write(signed.groupBy("th1", "th2").agg(F.min("node").alias("node"), *made), "reps")
+    members = scratch.write(signed.select("node", "th1", "th2").join(reps.select("th1", "th2", F.col("node").alias("rep")), ["th1", "th2"]).select("node", "rep"), "members")
     scratch.drop("signed")
     buckets = reps.select("node", F.posexplode("bands").alias("b", "h"))
     # Buckets of a single node hold no pair. A bucket's lead is the node that shares most in all its buckets: the text that others are edits of.
@@ -339,9 +397,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: str =
     rated = sides(stars).select("u", "v", _agree("su", "sv").alias("agree")).filter(F.col("agree") >= LEAST_AGREE)
     best = rated.groupBy("u").agg(F.max_by("v", F.struct("agree", -F.col("v"))).alias("v"))
     links = _links(scratch.write(best, "best"), named, scratch, "star")
-    labels = _label(reps, components(links, scratch, "c0"), scratch, "l0")
+    labels, verified = _label(reps, components(links, scratch, "c0"), scratch, "l0"), [links]
 
-    turn, before = 0, 0
+    turn, before, finer = 0, 0, False
     while True:
         turn += 1
         at = held.join(labels, "node").select("b", "h", "node", "root")
@@ -354,7 +412,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: str =
         at = scratch.write(at.join(mixed.select("b", "h"), ["b", "h"]), f"at{turn}")
         every = size["open"] <= MANY * size["n"] or before and size["open"] > before / 2
         before = size["open"]
+        big = None
         if every:
+            if not finer and not mixed.filter(F.col("n") > BIG).isEmpty():
+                big = scratch.write(_finer(at.join(mixed.filter(F.col("n") > BIG).select("b", "h"), ["b", "h"]), reps), f"finer{turn}")
+                mixed = mixed.filter(F.col("n") <= BIG)
+                at = at.join(mixed.select("b", "h"), ["b", "h"])
             pairs = _cross(at, parts.join(mixed.select("b", "h"), ["b", "h"]), reps.select("node", "sig", "sketch", "total")).distinct()
         else:
             # A further lead for each bucket, by a hash that differs from turn to turn.
@@ -362,18 +425,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: str =
             pairs = at.join(lead, ["b", "h"]).filter("root != lead.root").select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
             pairs = sides(pairs).select("u", "v", _agree("su", "sv").alias("agree")).filter(F.col("agree") >= LEAST_AGREE).drop("agree")
         links = _links(scratch.write(pairs, f"pairs{turn}"), named, scratch, f"turn{turn}")
+        verified.append(links)
         joined = links.join(labels.withColumnsRenamed({"node": "u", "root": "ru"}), "u").join(labels.withColumnsRenamed({"node": "v", "root": "rv"}), "v")
         merged = components(joined.select(F.col("ru").alias("u"), F.col("rv").alias("v")), scratch, f"c{turn}")
         labels = scratch.write(labels.join(merged.withColumnsRenamed({"node": "n", "root": "r"}), F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root")), f"l{turn}")
-        if every:
+        if every and big is None:
             break
+        if big is not None:
+            held, before, finer = big, 0, True
+    ends = reduce(DataFrame.unionByName, verified).distinct()
+    ends = ends.select(F.col("u").alias("rep")).unionByName(ends.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     out = members.join(labels.withColumnsRenamed({"node": "rep", "root": "class_id"}), "rep")
     # One id with several texts is one document: its classes are one.
     split = out.groupBy("node").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).filter("u != v").select("u", "v")
     if not split.isEmpty():
         twin = components(split, scratch, "twin").withColumnsRenamed({"node": "n", "root": "r"})
         out = out.join(twin, F.col("class_id") == F.col("n"), "left").withColumn("class_id", F.coalesce("r", "class_id"))
-    return out.select(F.col("node").alias(key), "class_id", F.col("rep").alias("copy_of"))
+    return out.join(ends, "rep", "left").select("node", "class_id", F.col("rep").alias("copy_of"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _label(reps: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -393,9 +461,9 @@ def _links(pairs: DataFrame, named: DataFrame, scratch: Scratch, tag: str) -> Da
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document (the least id; one row of it) of each class."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.write(classes(docs, key, text).groupBy(F.col(key).alias("__id")).agg(F.min("class_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("__id = c").select("__id", "n"), "kept")
-    t = F.coalesce(docs[text], F.lit(""))
-    named = docs.withColumn("__node", F.coalesce(docs[key].cast("long"), -F.abs(F.shiftright(F.xxhash64(t), 1)) - 1))
+    found = _found(docs, key, text, "minhash").groupBy(F.col("node").alias("__id")).agg(F.min("class_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    found = scratch.write(found.filter("__id = c").select("__id", "n"), "kept")
+    named = docs.withColumn("__node", _node(docs, key, F.coalesce(docs[text], F.lit(""))))
     kept = named.join(found, F.col("__node") == F.col("__id"), "left_semi")
     again = found.filter("n > 1")
     if again.isEmpty():

@@ -95,6 +95,34 @@ def test_many_mixed_pairs_take_leads_first(spark, monkeypatch):
     assert {x["doc_id"]: x["class_id"] for x in M.classes(df).collect()} == brute_classes(rows)
 
 
+def test_large_buckets_are_dealt_to_finer_ones(spark, monkeypatch):
+    monkeypatch.setattr(M, "BIG", 6)
+    r = random.Random(13)
+    base = prose(r, 60)
+    # One frame of words with ends of their own, in pairs that are alike: many classes in few buckets.
+    rows = []
+    for _ in range(14):
+        one = base + " " + prose(r, 22)
+        rows += [one, edited(r, one, 1)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in M.classes(df).collect()} == brute_classes(rows)
+
+
+def test_ids_of_other_types_and_link_counts(spark):
+    r = random.Random(14)
+    a, b = prose(r, 80), prose(r, 80)
+    rows = [("x", a), ("y", a), ("z", edited(r, a, 1)), ("w", b), (None, edited(r, b, 1)), ("q", "alone")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {x["doc_id"]: x for x in M.classes(df).collect()}
+    assert got.keys() == {"x", "y", "z", "w", None, "q"}
+    assert got["x"]["class_id"] == got["y"]["class_id"] == got["z"]["class_id"] in ("x", "y", "z") and got["w"]["class_id"] == got[None]["class_id"]
+    assert {k: v["links"] for k, v in got.items()} == {"x": 1, "y": 1, "z": 1, "w": 1, None: 1, "q": 0}
+    assert M.clean(df).count() == 3
+    some = spark.createDataFrame([(1.5, a), (2.5, a)], "doc_id double, text string")
+    assert len({x["class_id"] for x in M.classes(some).collect()}) == 1
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     t = prose(random.Random(4), 50)
     df = spark.createDataFrame([(5, t), (5, t), (5, "other words"), (9, t), (None, "lonely text")], "doc_id long, text string")
