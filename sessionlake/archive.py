@@ -4,6 +4,9 @@ A commit writes new files and publishes the next manifest version by an exclusiv
 commits and two writers can't both win. Rows are replaced by session: a commit lists the sessions it replaces, and a reader
 drops older files' rows of those sessions (a left-anti join with a small table of tombstones); ``compact`` rewrites the files without them. Nothing is
 written over what may be read.
+
+Each commit indexes its own events: their postings and lengths are files of the commit like any other, so the full-text index grows with the
+commits and loses rows by the same tombstones; ``reindex`` writes it anew as one. The manifest names the analyser and holds the corpus totals.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -20,19 +22,20 @@ from pathlib import Path
 from typing import Any
 
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import schema as M
+from .functions.analysers import PORTABLE, analyser
 from .functions.text import glob
 from .functions.values import since_ms as parse_since  # noqa: F401  part of this module's surface
 from .operators import fulltext, listing, search as ranking, tables as K
 from .plans.query import plan as plan_query
 from .sources.base import Candidate, Parsed, categorise
 from .sources.connectors import REGISTRY, native_root
+from .storage import Exists, Store
 
 LOCK_SECONDS = 5.0
 ZSTD_LEVEL = 3
-PORTABLE = "unicode61 remove_diacritics 2"
 
 
 class ArchiveError(ValueError):
@@ -60,40 +63,35 @@ class IngestReport:
 class Archive:
     """Reads and writes one archive folder; every read method returns DataFrames over the manifest's files."""
 
-    def __init__(self, spark: SparkSession, path: str, create: bool = True, tokenizer: str = PORTABLE):
-        self.spark, self.path = spark, str(path)
+    def __init__(self, spark: SparkSession, path: str, create: bool = True, tokenizer: str | None = None):
+        self.spark, self.path = spark, str(path).rstrip("/")
+        self.store = Store(spark, self.path)
         if not self._versions():
             if not create:
                 raise ArchiveError(f"no archive at {path}")
-            self._publish({"schema_version": M.SCHEMA_VERSION, "contract": M.CONTRACT, "tokenizer": tokenizer, "commits": [], "telemetry": {}}, 0)
+            analyser(tokenizer or PORTABLE.name)
+            self._publish({"schema_version": M.SCHEMA_VERSION, "contract": M.CONTRACT, "tokenizer": tokenizer or PORTABLE.name, "commits": [], "index": {"n_docs": 0, "n_tokens": 0}, "telemetry": {}}, 0)
         m = self.manifest()
         if m["schema_version"] > M.SCHEMA_VERSION:
             raise ArchiveError(f"archive schema {m['schema_version']} is newer than {M.SCHEMA_VERSION}")
-        if m["tokenizer"] != tokenizer:
+        if tokenizer is not None and m["tokenizer"] != tokenizer:
             self.reindex(tokenizer)
 
     # Manifest
 
     def _versions(self) -> list[int]:
-        folder = Path(self.path, "manifest")
-        return sorted(int(p.stem) for p in folder.glob("*.json")) if folder.is_dir() else []
+        return sorted(int(n.removesuffix(".json")) for n in self.store.names("manifest") if n.endswith(".json") and not n.startswith("."))
 
     def manifest(self) -> dict[str, Any]:
         version = self._versions()[-1]
-        return json.loads(Path(self.path, "manifest", f"{version:012d}.json").read_text()) | {"version": version}
+        return json.loads(self.store.read(f"manifest/{version:012d}.json")) | {"version": version}
 
     def _publish(self, manifest: dict[str, Any], version: int) -> None:
         """Creates manifest ``version``; fails if another writer did."""
-        folder = Path(self.path, "manifest")
-        folder.mkdir(parents=True, exist_ok=True)
-        staged = folder / f".{uuid.uuid4().hex}"
-        staged.write_text(json.dumps({k: v for k, v in manifest.items() if k != "version"}, sort_keys=True))
         try:
-            os.link(staged, folder / f"{version:012d}.json")
-        except FileExistsError:
+            self.store.create(f"manifest/{version:012d}.json", json.dumps({k: v for k, v in manifest.items() if k != "version"}, sort_keys=True))
+        except Exists:
             raise ArchiveError(f"another writer published version {version}") from None
-        finally:
-            staged.unlink()
 
     def _change(self, change) -> None:
         """Applies ``change`` to the newest manifest, again if another writer comes first."""
@@ -108,12 +106,13 @@ class Archive:
 
     # Tables
 
-    def table(self, name: str) -> DataFrame:
-        """The live rows of a table."""
-        parts, gone = [], []
+    def table(self, name: str, pick=None) -> DataFrame:
+        """The live rows of a table; ``pick(rows, commit)`` narrows each commit's part of it."""
+        parts, gone, schema = [], [], _nullable(STORED[name])
         for commit in reversed(self.manifest()["commits"]):
             if name in commit["files"]:
-                rows = self.spark.read.schema(_nullable(M.TABLES[name])).parquet(f"{self.path}/{commit['files'][name]}")
+                rows = self.spark.read.schema(schema).parquet(f"{self.path}/{commit['files'][name]}")
+                rows = pick(rows, commit) if pick else rows
                 key = "id" if name == "sessions" else "session_id"
                 if gone and name != "objects":
                     dead = reduce(DataFrame.unionByName, [self.spark.read.schema("id string").parquet(f"{self.path}/{g}") for g in gone]).withColumnRenamed("id", "__dead")
@@ -122,7 +121,7 @@ class Archive:
             if commit.get("replaced"):
                 gone.append(commit["replaced"])
         if not parts:
-            return self.spark.createDataFrame([], _nullable(M.TABLES[name]))
+            return self.spark.createDataFrame([], schema)
         return reduce(DataFrame.unionByName, parts)
 
     @property
@@ -145,20 +144,58 @@ class Archive:
                 rows = rows.sortWithinPartitions("session_id", "idx")  # footers then bound each file's sessions
             rows.write.option("compression", "zstd").parquet(f"{self.path}/{target}")
             entry["files"][t] = target
+        new, dead = (0, 0), (0, 0)
         if replaced is not None:
             entry["replaced"] = f"data/{name}/replaced"
             replaced.select("id").distinct().write.parquet(f"{self.path}/{entry['replaced']}")
-        # The index no longer covers all rows; searches read the events until the next reindex.
-        self._change(lambda m: m | {"index": None, "commits": [*m["commits"], entry], "telemetry": m["telemetry"] | (telemetry or {})})
+            ids = self.spark.read.schema("id string").parquet(f"{self.path}/{entry['replaced']}").withColumnRenamed("id", "session_id")
+            dead = self._size(self.table("docs").join(ids, "session_id", "left_semi"))
+        if "events" in frames:
+            rows = self.spark.read.schema(_nullable(M.EVENTS)).parquet(f"{self.path}/{entry['files']['events']}")
+            new = self._index(rows, entry, f"data/{name}", self.manifest()["tokenizer"])
+        change = {"n_docs": new[0] - dead[0], "n_tokens": new[1] - dead[1]}
+        self._change(lambda m: m | {"index": {k: m["index"][k] + v for k, v in change.items()}, "commits": [*m["commits"], entry], "telemetry": m["telemetry"] | (telemetry or {})})
+
+    @staticmethod
+    def _size(docs: DataFrame) -> tuple[int, int]:
+        found = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+        return found["n"], found["t"]
+
+    def _index(self, events: DataFrame, entry: dict[str, Any], folder: str, tokenizer: str) -> tuple[int, int]:
+        """Writes the events' lengths and postings as files of ``entry``; their totals."""
+        cut = analyser(tokenizer)
+        idx = fulltext.index(events, analyser=cut)
+        if not cut.plain:  # Python cuts each text once
+            idx.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/tokens")
+            idx = self.spark.read.parquet(f"{self.path}/{folder}/tokens")
+        idx.select("session_id", "idx", "dl").write.parquet(f"{self.path}/{folder}/docs")
+        size = self._size(self.spark.read.schema(_nullable(DOCS)).parquet(f"{self.path}/{folder}/docs"))
+        buckets, files = fulltext.layout(size[1])
+        fulltext.stored_postings(idx, buckets, files).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}/postings")
+        self.store.delete(f"{folder}/tokens")
+        entry["files"] |= {"docs": f"{folder}/docs", "postings": f"{folder}/postings"} if size[1] else {"docs": f"{folder}/docs"}
+        entry["buckets"] = buckets
+        return size
+
+    def _rewrite(self, names: list[str], tokenizer: str) -> None:
+        """One commit in place of all: the named tables' live rows, and a new index of the live events."""
+        m, name = self.manifest(), uuid.uuid4().hex
+        entry: dict[str, Any] = {"files": {}, "at_ms": int(time.time() * 1000)}
+        for t in names:
+            self.table(t).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/{t}")
+            entry["files"][t] = f"data/{name}/{t}"
+        size = self._index(self.events, entry, f"data/{name}", tokenizer)
+        kept = [c | {"files": {t: f for t, f in c["files"].items() if t not in (*names, "docs", "postings")}} for c in m["commits"]]
+        commits = [entry] if len(names) == len(M.TABLES) else [*kept, entry]
+        # Fails if another writer was first: its rows would be missing here.
+        self._publish(m | {"commits": commits, "index": {"n_docs": size[0], "n_tokens": size[1]}, "tokenizer": tokenizer}, m["version"] + 1)
 
     def compact(self) -> None:
-        frames = {t: self.table(t) for t in M.TABLES}
-        name = uuid.uuid4().hex
-        version = self.manifest()["version"]
-        for t, df in frames.items():
-            df.write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/{t}")
-        entry = {"files": {t: f"data/{name}/{t}" for t in frames}, "at_ms": int(time.time() * 1000)}
-        self._publish(self.manifest() | {"commits": [entry]}, version + 1)
+        self._rewrite(list(M.TABLES), self.manifest()["tokenizer"])
+
+    def reindex(self, tokenizer: str | None = None) -> None:
+        """The index anew, by the given analyser or the manifest's."""
+        self._rewrite([], tokenizer or self.manifest()["tokenizer"])
 
     # Writing
 
@@ -231,9 +268,8 @@ class Archive:
                     pending.append((c, p))
         if not dry_run:
             self._store(pending, report)
-            old = self.manifest()["telemetry"]
             last = {k: getattr(report, k) for k in ("discovered", "parsed", "ingested", "unchanged", "skipped", "failed")}
-            self._change(lambda m: m | {"telemetry": m["telemetry"] | {"last_ingest": last, "completed_at_ms": int(time.time() * 1000), "total_failures": old.get("total_failures", 0) + report.failed}})
+            self._change(lambda m: m | {"telemetry": m["telemetry"] | {"last_ingest": last, "completed_at_ms": int(time.time() * 1000), "total_failures": m["telemetry"].get("total_failures", 0) + report.failed}})
         if strict and report.failed:
             raise ArchiveError(f"{report.failed} sources failed: {report.failures}")
         return report
@@ -245,30 +281,14 @@ class Archive:
 
     # Reading
 
-    def index(self) -> DataFrame:
-        stored = self.manifest().get("index")
-        return self.spark.read.parquet(f"{self.path}/{stored['path']}/tokens") if stored else fulltext.index(self.events)
-
-    def reindex(self, tokenizer: str | None = None) -> None:
-        """Writes tokens and postings anew, with the corpus totals, and points the manifest at them."""
-        target, commits = f"index/{uuid.uuid4().hex}", len(self.manifest()["commits"])
-        fulltext.index(self.events).write.parquet(f"{self.path}/{target}/tokens")
-        idx = self.spark.read.parquet(f"{self.path}/{target}/tokens")
-        # A term's postings are in one folder and, there, in few row groups.
-        fulltext.postings(idx).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{target}/postings")
-        totals = fulltext.statistics(idx).first()
-        entry = {"path": target, "n_docs": totals["n_docs"], "avgdl": totals["avgdl"]}
-        self._change(lambda m: m | {"index": entry if len(m["commits"]) == commits else None, "tokenizer": tokenizer or m["tokenizer"]})
-
     def search(self, query: str, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, as_of_ms: int | None = None, snippets: bool = True) -> DataFrame:
         at = as_of_ms if as_of_ms is not None else int(time.time() * 1000)
-        stored, idx, totals, plan = self.manifest().get("index"), None, None, plan_query(query)
-        if stored and not plan.empty and plan.expr is not None and not fulltext.has_prefix(plan):
-            posts = self.spark.read.parquet(f"{self.path}/{stored['path']}/postings")
-            idx, totals = fulltext.candidates_from_postings(posts, plan), (stored["n_docs"], stored["avgdl"])
-        elif stored:
-            idx = self.index()
-        return ranking.result(ranking.search(self.events, self.sessions, query, at, limit, agent, cwd, since_ms, snippets, idx, totals))
+        m = self.manifest()
+        cut, size = analyser(m["tokenizer"]), m["index"]
+        plan = plan_query(query, cut)
+        posts = self.table("postings", lambda rows, commit: fulltext.in_buckets(rows, plan, commit["buckets"]))
+        totals = (size["n_docs"], size["n_tokens"] / max(1, size["n_docs"]))
+        return ranking.result(ranking.search(self.events, self.sessions, query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut))
 
     def list(self, limit: int = 50, cursor: str | None = None, **filters) -> tuple[list, str | None]:
         n = max(1, min(limit, listing.MOST))
@@ -298,20 +318,20 @@ class Archive:
 
     def backup(self, target: str) -> dict[str, int]:
         """A verified copy of the current snapshot at a place that doesn't exist yet."""
-        if Path(target).exists():
+        if Store(self.spark, target).exists():
             raise ArchiveError(f"{target} exists")
-        staged = f"{target}.staged-{uuid.uuid4().hex}"
         m = self.manifest()
+        copy = Archive.__new__(Archive)
+        copy.spark, copy.path = self.spark, f"{target}.staged-{uuid.uuid4().hex}"
+        copy.store = Store(self.spark, copy.path)
         for c in m["commits"]:
             for f in [*c["files"].values(), *([c["replaced"]] if c.get("replaced") else [])]:
-                shutil.copytree(f"{self.path}/{f}", f"{staged}/{f}")
-        copy = Archive.__new__(Archive)
-        copy.spark, copy.path = self.spark, staged
-        copy._publish(m | {"index": None}, 0)
+                self.store.copy_to(f, copy.store)
+        copy._publish(m, 0)
         if bad := [r for r in copy.verify().collect() if not r["passed"]]:
-            shutil.rmtree(staged)
+            copy.store.delete()
             raise ArchiveError(f"backup failed its check: {bad}")
-        os.rename(staged, target)
+        copy.store.rename(target)
         return {"sessions": self.sessions.count(), "events": self.events.count(), "objects": self.table("objects").count()}
 
     def import_archive(self, path: str) -> dict[str, int]:
@@ -332,9 +352,25 @@ class Archive:
             total, n = theirs.count(), new.count()
             out |= {f"{t}_imported": n, f"{t}_skipped": max(0, total - n)}
             frames[t] = new
-        if any(v for k, v in out.items() if k.endswith("imported")):
+        # A session that is whole there becomes whole here, and a source without its object takes theirs.
+        theirs = other.sessions.filter("mode = 'full'").select("id")
+        partial = self.sessions.filter("mode = 'partial'").join(theirs, "id", "left_semi")
+        stored = other.table("raw_sources").filter("object_hash is not null").select("session_id", "locator", F.col("object_hash").alias("theirs"))
+        bare = self.table("raw_sources").filter("object_hash is null").join(stored, ["session_id", "locator"], "left_semi")
+        touched = partial.select("id").unionByName(bare.select(F.col("session_id").alias("id"))).distinct()
+        promoted = partial.count()
+        if promoted or not bare.isEmpty():
+            ids = touched.withColumnRenamed("id", "session_id")
+            full = partial.select("id", F.lit(True).alias("whole"))
+            sessions = self.sessions.join(touched, "id", "left_semi").join(full, "id", "left").withColumn("mode", F.when(F.col("whole"), F.lit("full")).otherwise(F.col("mode"))).drop("whole")
+            sources = self.table("raw_sources").join(ids, "session_id", "left_semi").join(stored, ["session_id", "locator"], "left")
+            sources = sources.withColumn("object_hash", F.coalesce("object_hash", "theirs")).drop("theirs")
+            both = lambda a, b: a.unionByName(b.select(a.columns))
+            frames = {"sessions": both(sessions, frames["sessions"]), "raw_sources": both(sources, frames["raw_sources"]), "events": both(self.events.join(ids, "session_id", "left_semi"), frames["events"]), "objects": frames["objects"]}
+            self.commit(frames, touched)
+        elif any(v for k, v in out.items() if k.endswith("imported")):
             self.commit(frames)
-        return out
+        return out | {"sessions_promoted": promoted}
 
     def verify(self) -> DataFrame:
         from .verify import checks
@@ -347,9 +383,12 @@ class Archive:
         return restore(self, session_id, target, overwrite)
 
 
-def _nullable(s):
-    from pyspark.sql import types as T
+DOCS = M._struct(("session_id", M._S, False), ("idx", M._L, False), ("dl", M._L, False))
+POSTINGS = M._struct(("term", M._S, False), ("session_id", M._S, False), ("idx", M._L, False), ("dl", M._L, False), ("positions", T.ArrayType(M._I), False), ("tf", M._I, False), ("bucket", M._I, False))
+STORED = M.TABLES | {"docs": DOCS, "postings": POSTINGS}
+
 
+def _nullable(s):
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in s.fields])
 
 

@@ -26,11 +26,23 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def snippet(text: str, phrases: list[tuple[str, ...]], size: int = TOKENS) -> str:
+def analysed(text: str, analyser) -> list[tuple[int, int, tuple[str, ...]]]:
+    """(start, end, the tokens at that place) by an analyser's own cuts."""
+    out: list[list] = []
+    for t in analyser.cutter.tokens(text):
+        if t.colocated:
+            out[-1][2] += (t.text,)
+        else:
+            out.append([t.start, t.end, (t.text,)])
+    return [tuple(x) for x in out]
+
+
+def snippet(text: str, phrases: list[tuple], size: int = TOKENS, analyser=None) -> str:
     """The window that scores most: 1000 for each phrase's first hit in it, 1 for each further, 120 at the text's start, 100 at a sentence's."""
-    toks = spans(text)
-    words = [t[2] for t in toks]
-    hits = sorted((i, k) for k, p in enumerate(phrases) if p for i in range(len(words) - len(p) + 1) if tuple(words[i : i + len(p)]) == p)
+    toks = spans(text) if analyser is None or analyser.plain else analysed(text, analyser)
+    words = [{t[2]} if isinstance(t[2], str) else set(t[2]) for t in toks]
+    wanted = [tuple({w} if isinstance(w, str) else set(w) for w in p) for p in phrases]
+    hits = sorted((i, k) for k, p in enumerate(wanted) if p for i in range(len(words) - len(p) + 1) if all(words[i + j] & w for j, w in enumerate(p)))
     if not toks:
         return text
     if not hits:
@@ -87,9 +99,9 @@ def snippet(text: str, phrases: list[tuple[str, ...]], size: int = TOKENS) -> st
     return "".join(out) + (ELLIPSIS if end < len(toks) else "")
 
 
-def snippet_column(text: Column, phrases: list[tuple[str, ...]]) -> Column:
+def snippet_column(text: Column, phrases: list[tuple], analyser=None) -> Column:
     @F.pandas_udf(StringType())
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: snippet(t or "", phrases))
+        return texts.map(lambda t: snippet(t or "", phrases, analyser=analyser))
 
     return cut(text)

@@ -123,14 +123,18 @@ class Index:
         where, seg, pos = np.repeat(near, n), self.seg[at].astype(np.int64), self.pos[at].astype(np.int64)
         diagonal, e = where - pos, self.budget[seg]
         width = np.maximum(e, 1)
-        # Bands of 2 * width diagonals that start at every multiple of width: each diagonal lies in two.
-        band = np.floor_divide(diagonal, width)
-        keys = np.concatenate([np.stack([seg, band], 1), np.stack([seg, band - 1], 1)])
-        who = np.concatenate([np.arange(len(seg))] * 2)
+        # Bands of 2 * width diagonals that start at every multiple of width: each diagonal lies in two. One number names segment, band and place:
+        # places are below a segment's length, bands within the text's length of either side.
+        low = -(int(pos.max()) + 2)
+        span = len(text) - low + 2
+        band = np.floor_divide(diagonal, width) - low
+        lane = seg * span + band
+        deep = int(pos.max()) + 1
         # A segment's q-gram counts once in a band, however often the document repeats it.
-        once = np.unique(np.column_stack([keys, pos[who]]), axis=0)
-        bands, shared = np.unique(once[:, :2], axis=0, return_counts=True)
-        found = bands[shared >= self.need[bands[:, 0]]]
+        once = np.unique(np.concatenate([lane * deep + pos, (lane - 1) * deep + pos]))
+        lanes, shared = np.unique(once // deep, return_counts=True)
+        lanes = lanes[shared >= self.need[lanes // span]]
+        found = np.stack([lanes // span, lanes % span + low], axis=1)
         if not len(found):
             return out
         order = np.lexsort((diagonal, seg))

@@ -1,8 +1,9 @@
 """Full-text operators: gated token index, postings, phrase and boolean matching, BM25.
 
 The index has one row per searchable event (its tokens and length); postings have one row per term and event.
-A query reads the postings of its own terms only: stored postings are laid out by a hash of the term, so
-that is a few files. Corpus statistics come from the whole index, before any filter of the query.
+A query reads the postings of its own terms only: stored postings are laid out in buckets by a hash of the term, and within a bucket
+in files by a hash of the text's key, so a query opens a few folders and a common term is many files. Buckets and files follow the
+number of postings. Corpus statistics come from the whole index, before any filter of the query.
 """
 
 from __future__ import annotations
@@ -11,23 +12,27 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import tokens
+from ..functions.analysers import PORTABLE, Analyser
 from ..plans.query import Near, Node, Phrase, Plan
 from ..schema import NOT_SEARCHABLE
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-TERM_BUCKETS = 64
+FILE_TOKENS = 2_000_000
+MOST_BUCKETS = 1024
 
 
 def searchable(events: DataFrame) -> DataFrame:
     return events.filter(~F.col("kind").isin(*NOT_SEARCHABLE))
 
 
-def index(events: DataFrame, keys: tuple[str, ...] = ("session_id", "idx"), text: str = "text") -> DataFrame:
-    """``keys``, toks, dl of every searchable event."""
+def index(events: DataFrame, keys: tuple[str, ...] = ("session_id", "idx"), text: str = "text", analyser: Analyser = PORTABLE) -> DataFrame:
+    """``keys``, toks, dl of every searchable event; an analyser that puts several tokens at one place gives the others as ``more``."""
     gated = searchable(events) if "kind" in events.columns else events
-    return gated.select(*keys, once(tokens(F.coalesce(F.col(text), F.lit("")))).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    cut = gated.select(*keys, once(analyser.column(F.coalesce(F.col(text), F.lit("")))).alias("cut"))
+    if analyser.plain:
+        return cut.select(*keys, F.col("cut").alias("toks"), F.size("cut").cast("long").alias("dl"))
+    return cut.select(*keys, "cut.toks", "cut.more", F.size("cut.toks").cast("long").alias("dl"))
 
 
 def once(value: Column) -> Column:
@@ -35,15 +40,42 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def postings(idx: DataFrame, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
-    """``keys``, term, tf, positions (from 0), dl; bucket names the term's part of a stored index."""
+def _each(idx: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys``, dl, pos, term of every token."""
     each = idx.select(*keys, "dl", F.posexplode("toks").alias("pos", "term"))
-    found = each.groupBy(*keys, "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return found.withColumn("tf", F.size("positions")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
+    if "more" not in idx.columns:
+        return each
+    return each.unionByName(idx.select(*keys, "dl", F.explode("more").alias("m")).select(*keys, "dl", "m.pos", "m.term"))
+
+
+def postings(idx: DataFrame, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
+    """``keys``, term, tf, positions (from 0), dl."""
+    found = _each(idx, keys).groupBy(*keys, "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return found.withColumn("tf", F.size("positions"))
+
+
+def layout(n_tokens: int) -> tuple[int, int]:
+    """(buckets of terms, files of a bucket) of a stored index of so many tokens."""
+    files = max(1, n_tokens // FILE_TOKENS)
+    buckets = min(MOST_BUCKETS, max(8, files))
+    return buckets, max(1, files // buckets)
+
 
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-def document_frequency(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+def stored_postings(idx: DataFrame, buckets: int, files: int, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
+    """Postings with their bucket, dealt as they are to be written: one shuffle, in which no file's share depends on how common a term is."""
+    each = _each(idx, keys).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("file", F.pmod(F.xxhash64(*keys), F.lit(files)).cast("int"))
+    each = each.repartition(buckets * files, "bucket", "file")
+    found = each.groupBy("bucket", "file", "term", *keys, "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return found.withColumn("tf", F.size("positions")).drop("file").sortWithinPartitions("bucket", "term")
+
+
+def document_frequency(idx: DataFrame) -> DataFrame:
+    """term, df: in how many texts of an index each term is."""
+    return idx.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def statistics(idx: DataFrame) -> DataFrame:
@@ -51,8 +83,38 @@ def statistics(idx: DataFrame) -> DataFrame:
     return idx.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).withColumn("avgdl", F.col("n_tokens") / F.greatest(F.col("n_docs"), F.lit(1)))
 
 
-def phrase_places(p: Phrase, toks: str | Column = "toks") -> Column:
+class Positions:
+    """Where a plan's tokens stand, as a column of places for each: what matching reads in place of a text's tokens."""
+
+    def __init__(self, plan: Plan):
+        self.asked = list(dict.fromkeys(self.key(p, k) for p in plan.phrases for k in range(len(p.terms))))
+
+    @staticmethod
+    def key(p: Phrase, k: int) -> tuple[tuple[str, ...], bool]:
+        """(the tokens any of which will do at a phrase's place ``k``, whether they are prefixes)."""
+        return (p.terms[k], *(p.also[k] if p.also else ())), p.prefix and k == len(p.terms) - 1
+
+    def column(self, p: Phrase, k: int) -> Column:
+        return F.col(f"at{self.asked.index(self.key(p, k))}")
+
+    def wanted(self, key: tuple[tuple[str, ...], bool]) -> Column:
+        words, prefix = key
+        return reduce(lambda a, b: a | b, [F.col("term").startswith(w) for w in words]) if prefix else F.col("term").isin(*words)
+
+    def places(self, p: Phrase) -> Column:
+        if not p.terms:
+            return F.array().cast("array<int>")
+        cols = [self.column(p, k) for k in range(len(p.terms))]
+        tests = [lambda i, c=c, k=k: F.array_contains(c, i + k) for k, c in enumerate(cols) if k]
+        if p.first:
+            tests.append(lambda i: i == 0)
+        return F.filter(cols[0], lambda i: reduce(lambda a, b: a & b, [t(i) for t in tests])) if tests else cols[0]
+
+
+def phrase_places(p: Phrase, toks: str | Column | Positions = "toks") -> Column:
     """Start places of a phrase in a token array."""
+    if isinstance(toks, Positions):
+        return toks.places(p)
     toks = F.col(toks) if isinstance(toks, str) else toks
     n = len(p.terms)
     if not n:
@@ -72,7 +134,7 @@ def phrase_places(p: Phrase, toks: str | Column = "toks") -> Column:
     return F.filter(places, lambda i: F.coalesce(at(i), F.lit(False)))
 
 
-def near(n: Near, toks: str | Column = "toks") -> Column:
+def near(n: Near, toks: str | Column | Positions = "toks") -> Column:
     """Whether all phrases occur with at most ``distance`` tokens between each one's end and the start of the last."""
     if len(n.phrases) < 2:
         return F.size(phrase_places(n.phrases[0], toks)) > 0 if n.phrases else F.lit(False)
@@ -89,7 +151,7 @@ def near(n: Near, toks: str | Column = "toks") -> Column:
     return reduce(lambda a, b: a | b, [F.exists(s, clump) for s in starts])
 
 
-def matches(expr: object, toks: str | Column = "toks") -> Column:
+def matches(expr: object, toks: str | Column | Positions = "toks") -> Column:
     """A query expression as a condition on a token array."""
     if expr is None:
         return F.lit(False)
@@ -104,18 +166,18 @@ def matches(expr: object, toks: str | Column = "toks") -> Column:
     return reduce((lambda a, b: a & b) if expr.op == "and" else (lambda a, b: a | b), parts)
 
 
-def leaf_conditions(expr: object, outer: Column | None = None) -> list[Column | None]:
+def leaf_conditions(expr: object, toks: str | Column | Positions = "toks", outer: Column | None = None) -> list[Column | None]:
     """For each phrase of an expression, in order, when its hits count: every AND and NOT around it must hold in the text."""
     if isinstance(expr, Phrase):
         return [outer]
     if isinstance(expr, Near):
-        here = matches(expr) if outer is None else outer & matches(expr)
+        here = matches(expr, toks) if outer is None else outer & matches(expr, toks)
         return [here] * len(expr.phrases)
     if not isinstance(expr, Node):
         return []
     if expr.op != "or":
-        outer = matches(expr) if outer is None else outer & matches(expr)
-    return [c for p in expr.parts for c in leaf_conditions(p, outer)]
+        outer = matches(expr, toks) if outer is None else outer & matches(expr, toks)
+    return [c for p in expr.parts for c in leaf_conditions(p, toks, outer)]
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -127,40 +189,46 @@ def term_score(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx"), totals: tuple[int, float] | None = None) -> DataFrame:
+def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx"), totals: tuple[int, float] | None = None, toks: str | Positions = "toks") -> DataFrame:
     """``keys`` and bm25 (less is better) of every match; frequencies are over all of ``idx``.
 
     ``totals`` (documents, mean length) stand in for the index's own where ``idx`` holds only the events with some of the plan's terms.
+    The phrases' frequencies are a one-row subquery over the same rows, so nothing runs before the result is asked for.
     """
     if plan.expr is None:
         return idx.select(*keys, F.lit(0.0).alias("bm25")).limit(0)
-    # A repeated phrase scores twice, as each phrase of the plan is summed.
-    counted = idx.select(*keys, "dl", "toks", *[F.size(phrase_places(p)).alias(f"f{i}") for i, p in enumerate(plan.phrases)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(plan.phrases))])
-    found = stats.first()  # one row; as constants, it is not planned again wherever the score is used
-    n, avgdl = totals or (found["n"], found["avgdl"] or 0.0)
-    when = leaf_conditions(plan.expr)
-    hits = [F.col(f"f{i}") if c is None else F.when(c, F.col(f"f{i}")).otherwise(F.lit(0)) for i, c in enumerate(when)]
-    score = sum((idf(F.lit(n), F.lit(found[f"n{i}"] or 0)) * term_score(f, F.col("dl"), F.lit(avgdl)) for i, f in enumerate(hits)), F.lit(0.0))
+    n = len(plan.phrases)
     plain = isinstance(plan.expr, Node) and plan.expr.op == "or" and all(isinstance(p, Phrase) for p in plan.expr.parts)
-    hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(plan.phrases))]) if plain else matches(plan.expr)
-    return counted.filter(hit).select(*keys, (-score).alias("bm25"))
-
-
-def has_prefix(plan: Plan) -> bool:
-    return any(p.prefix for p in plan.phrases)
-
-
-def candidates_from_postings(posts: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
-    """``keys``, dl, toks of the events that hold any of the plan's terms, from their postings alone.
-
-    ``toks`` is sparse: it holds only the asked terms at their places, which is all that matching looks at. Needs no prefix.
-    """
-    terms = sorted({t for p in plan.phrases for t in p.terms})
-    some = posts.filter(F.col("term").isin(terms))
-    if "bucket" in posts.columns:
-        buckets = F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(TERM_BUCKETS)).cast("int") for t in terms]) if terms else F.array().cast("array<int>")
-        some = some.filter(F.array_contains(buckets, F.col("bucket")))
-    flat = some.groupBy(*keys, "dl").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p, F.col("term")))))).alias("at"))
-    last = F.array_max(F.map_keys("at"))
-    return flat.select(*keys, "dl", once(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at("at", i), F.lit("")))).alias("toks"))
+    # A repeated phrase scores twice, as each phrase of the plan is summed.
+    counts = F.array(*[F.size(phrase_places(p, toks)) for p in plan.phrases])
+    when = [None if c is None else c for c in leaf_conditions(plan.expr, toks)]
+    hit = F.exists(F.col("f"), lambda x: x > 0) if plain else matches(plan.expr, toks)
+    # One value per row, so that no frequency is computed again where it is used.
+    row = idx.select(*keys, "dl", *([] if plain else [c for c in idx.columns if c not in (*keys, "dl")]), once(counts).alias("f"))
+    one = [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("f")[i] > 0).alias(f"n{i}") for i in range(n)]]
+    stats = row.agg(F.struct(*one).alias("s")).select("s").scalar()
+    row = row.filter(hit).withColumn("s", stats)
+    n_docs, avgdl = (F.lit(totals[0]), F.lit(totals[1])) if totals else (F.col("s.n"), F.coalesce("s.avgdl", F.lit(0.0)))
+    hits = [F.col("f")[i] if c is None else F.when(c, F.col("f")[i]).otherwise(F.lit(0)) for i, c in enumerate(when)]
+    score = sum((idf(n_docs, F.col(f"s.n{i}")) * term_score(f, F.col("dl"), avgdl) for i, f in enumerate(hits)), F.lit(0.0))
+    return row.select(*keys, (-score).alias("bm25"))
+
+
+def in_buckets(posts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
+    """Of stored postings, the folders that the plan's terms are in (all of them for a prefix)."""
+    keys = Positions(plan).asked
+    if any(prefix for _, prefix in keys) or not keys:
+        return posts
+    names = F.array(*[bucket(F.lit(t), buckets) for words, _ in keys for t in words])
+    return posts.filter(F.array_contains(names, F.col("bucket")))
+
+
+def candidates_from_postings(posts: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx")) -> tuple[DataFrame, Positions]:
+    """``keys``, dl and the places of the plan's tokens in each event that holds any of them, from postings alone; and how to read them."""
+    at = Positions(plan)
+    if not at.asked:
+        return posts.select(*keys, "dl").limit(0), at
+    some = posts.filter(reduce(lambda a, b: a | b, [at.wanted(k) for k in at.asked]))
+    exact = [len(words) == 1 and not prefix for words, prefix in at.asked]
+    gathered = [F.flatten(F.collect_list(F.when(at.wanted(k), F.col("positions")))) for k in at.asked]
+    return some.groupBy(*keys, "dl").agg(*[(g if e else F.array_sort(F.array_distinct(g))).alias(f"at{i}") for i, (g, e) in enumerate(zip(gathered, exact, strict=True))]), at

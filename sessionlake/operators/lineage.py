@@ -41,3 +41,31 @@ def paths(sessions: DataFrame, asked: DataFrame | None = None) -> DataFrame:
             break
     walked = spark.read.schema(schema).parquet(*rounds).filter("ended")
     return walked.groupBy("id").agg(F.max_by("node", F.size("path")).alias("root"), (F.max(F.size("path")) - 1).alias("depth"), F.max_by("path", F.size("path")).alias("path"))
+
+
+def step(row) -> str | None:
+    """The same step, of one session's row."""
+    if row["parent_session_id"] is not None:
+        return row["parent_session_id"]
+    return row["forked_from"].split("#")[0] if row["forked_from"] is not None else None
+
+
+def paths_of_few(sessions: DataFrame, rows: list) -> DataFrame:
+    """:func:`paths` of a few sessions' rows (id, parent_session_id, forked_from), no more than a search has candidates: one lookup for each level."""
+    spark = sessions.sparkSession
+    known, ask = {r["id"]: step(r) for r in rows}, {step(r) for r in rows} - {None} - {r["id"] for r in rows}
+    while ask:
+        few = spark.createDataFrame([(i,) for i in sorted(ask)], "id string")
+        got = sessions.select("id", "parent_session_id", "forked_from").join(F.broadcast(few), "id", "left_semi").collect()  # no more rows than were asked
+        known |= {r["id"]: step(r) for r in got}
+        ask = {step(r) for r in got} - {None} - known.keys()
+    out = []
+    for r in rows:
+        path, node = [r["id"]], known[r["id"]]
+        while node is not None and node in known:
+            path.append(node)
+            if node in path[:-1]:
+                break
+            node = known[node]
+        out.append((r["id"], path[-1], len(path) - 1, path))
+    return spark.createDataFrame(out, "id string, root string, depth int, path array<string>")

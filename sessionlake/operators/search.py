@@ -1,10 +1,15 @@
-"""Ranked search over sessions: candidates, session scores, lineage collapse and context, as one lazy plan."""
+"""Ranked search over sessions: candidates, session scores, lineage collapse and context.
+
+Candidates are found in the postings by a distributed plan. What remains after the cap of ``MOST_CANDIDATES`` hits is held as a local table (at
+most that many rows, each with its snippet in place of its text), so the later steps join by broadcast and read the large tables once each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X, values as V
+from ..functions.analysers import PORTABLE, Analyser
 from ..functions.snippet import snippet_column
 from ..plans.query import Plan, plan as plan_query
 from . import fulltext, lineage
@@ -13,7 +18,7 @@ PER_SESSION = 50
 CANDIDATES_PER_RESULT, LEAST_CANDIDATES, MOST_CANDIDATES = 50, 500, 5000
 WEIGHTS = {"best_match": 1.0, "hit_coverage": 0.25, "term_coverage": 0.35, "kind": 0.2, "recency": 0.25, "title": 0.15}
 MEMBER_SHARE = 0.1
-CONTEXT_SESSIONS = 2000
+CONTEXT_ANCESTORS = 2000
 
 
 def candidate_cap(limit: int) -> int:
@@ -40,17 +45,30 @@ def capped(hits: DataFrame, cap: int) -> DataFrame:
     return hits.orderBy("bm25", "session_id", "idx").limit(cap)
 
 
-def candidates(events: DataFrame, sessions: DataFrame, plan: Plan, cap: int, idx: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
-    """session_id, idx, kind, text, bm25 of the capped hits of the given (already filtered) sessions."""
-    scored = fulltext.bm25(fulltext.index(events) if idx is None else idx, plan, totals=totals)
+def candidates(events: DataFrame, sessions: DataFrame, plan: Plan, cap: int, posts: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
+    """session_id, idx, bm25 of the capped hits of the given (already filtered) sessions; from postings where they are stored."""
+    if posts is None:
+        scored = fulltext.bm25(fulltext.index(events), plan)
+    else:
+        found, at = fulltext.candidates_from_postings(posts, plan)
+        scored = fulltext.bm25(found, plan, totals=totals, toks=at)
     own = scored.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    top = capped(ranked_hits(own), cap).select("session_id", "idx", "bm25")
-    return top.join(events.select("session_id", "idx", "kind", "text"), ["session_id", "idx"])  # the text, late
+    return capped(ranked_hits(own), cap).select("session_id", "idx", "bm25")
+
+
+def texts(hits: DataFrame, events: DataFrame) -> DataFrame:
+    """Capped hits with their kind and text."""
+    return events.select("session_id", "idx", "kind", "text").join(F.broadcast(hits), ["session_id", "idx"])  # at most MOST_CANDIDATES rows
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """A few rows (no more than the cap of candidates) as a local table."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema).coalesce(1)  # one partition: nothing after is shuffled
 
 
 def grouped(hits: DataFrame, sessions: DataFrame, terms: list[str]) -> DataFrame:
     """One row per session: hits, covered terms and the best hit; ``shown`` is the text that coverage looks at."""
-    hits = hits.join(sessions.select(F.col("id").alias("session_id"), "title"), "session_id")
+    hits = sessions.select(F.col("id").alias("session_id"), "title").join(hits, "session_id")
     seen = F.concat(F.lower(F.coalesce("shown", F.lit(""))), F.lit(" "), F.lower(F.coalesce("title", F.lit(""))))
     hits = hits.withColumn("covered", X.covered(terms, seen))
     best = F.min_by(F.struct("idx", "kind", "bm25", F.col("shown").alias("snippet")), F.struct("bm25", "idx"))
@@ -113,27 +131,41 @@ def bookends(events: DataFrame) -> DataFrame:
 
 
 def with_context(results: DataFrame, events: DataFrame) -> DataFrame:
-    """ask and outcome of each result: its own, else its first related session's that has one, else its ancestors'."""
-    ancestors = F.array_distinct(F.concat(F.coalesce("path", F.array().cast("array<string>")), F.flatten(F.transform("others", lambda x: F.coalesce(x["path"], F.array().cast("array<string>"))))))
-    line = F.array_distinct(F.concat(F.array("session_id"), "related", ancestors))
-    asked = results.select("root", F.posexplode(F.slice(line, 1, CONTEXT_SESSIONS)).alias("at", "member"))
-    ends = bookends(events.join(asked.select(F.col("member").alias("session_id")).distinct(), "session_id", "left_semi"))
+    """ask and outcome of each result: its own, else its first related session's that has one, else its ancestors' (CONTEXT_ANCESTORS of all results, nearest first)."""
+    line = F.coalesce("path", F.array().cast("array<string>"))
+    own = F.array_distinct(F.concat(F.array("session_id"), "related"))
+    beyond = F.array_except(F.array_distinct(F.concat(line, F.flatten(F.transform("others", lambda x: F.coalesce(x["path"], F.array().cast("array<string>")))))), own)
+    mine = results.select("root", F.posexplode(own).alias("at", "member"))
+    above = results.select("root", "score", F.size(own).alias("n"), F.posexplode(beyond).alias("at", "member"))
+    above = above.orderBy(F.col("score").desc(), "root", "at").limit(CONTEXT_ANCESTORS).select("root", (F.col("n") + F.col("at")).alias("at"), "member")
+    asked = mine.unionByName(above)
+    ends = bookends(events.join(F.broadcast(asked.select(F.col("member").alias("session_id")).distinct()), "session_id", "left_semi"))  # of at most MOST_CANDIDATES results and CONTEXT_ANCESTORS
     got = asked.join(ends, asked["member"] == ends["session_id"]).groupBy("root").agg(
         F.min_by("ask", F.when(F.col("ask").isNotNull(), F.col("at"))).alias("ask"), F.min_by("outcome", F.when(F.col("outcome").isNotNull(), F.col("at"))).alias("outcome")
     )
     return results.join(got, "root", "left")
 
 
-def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, idx: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
+def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: DataFrame | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE) -> DataFrame:
     """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM."""
-    plan = plan_query(query)
+    plan = plan_query(query, analyser)
     if plan.empty or limit <= 0 or plan.expr is None:
         limit, plan = 0, Plan(None)
-    hits = candidates(events, filtered(sessions, agent, cwd, since_ms), plan, candidate_cap(limit), idx, totals)
-    hits = hits.withColumn("shown", snippet_column(F.col("text"), [p.terms for p in plan.phrases]) if snippets else F.col("text"))
-    found = scored(grouped(hits, sessions, plan.terms), sessions, plan.terms, as_of_ms).persist()  # few rows, read for paths and for ranks
-    paths = lineage.paths(sessions, found.select(F.col("session_id").alias("id")))
-    return with_context(collapsed(found, paths, limit).persist(), events).orderBy(*_order())
+    if posts is None and not analyser.plain:
+        idx = fulltext.index(events, analyser=analyser)
+        n = fulltext.statistics(idx).first()
+        posts, totals = fulltext.postings(idx), (n["n_docs"], n["avgdl"])
+    top = held(candidates(events, filtered(sessions, agent, cwd, since_ms), plan, candidate_cap(limit), posts, totals))
+    hits = texts(top, events)
+    shown = snippet_column(F.col("text"), [p.places() for p in plan.phrases], analyser) if snippets else F.col("text")
+    hits = hits.withColumn("shown", shown).drop("text")
+    groups = grouped(hits, sessions, plan.terms)
+    cards = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from")
+    ids = top.select(F.col("session_id").alias("id")).distinct()
+    found = held(groups.join(cards.join(F.broadcast(ids), "id", "left_semi").withColumnRenamed("id", "session_id"), "session_id"))  # at most MOST_CANDIDATES sessions
+    paths = lineage.paths_of_few(sessions, found.select(F.col("session_id").alias("id"), "parent_session_id", "forked_from").collect())
+    rows = scored(found.select("session_id", "hits", "n_covered", "best"), found.drop("hits", "n_covered", "best").withColumnRenamed("session_id", "id"), plan.terms, as_of_ms)
+    return with_context(collapsed(rows, F.broadcast(paths), limit), events).orderBy(*_order())
 
 
 def result(rows: DataFrame) -> DataFrame:

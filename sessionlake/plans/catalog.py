@@ -638,7 +638,7 @@ def fts04_token_counts(spark, d):
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKS}) AS term FROM documents) GROUP BY term")
 def fts06_postings_df(spark, d):
-    return T.document_frequency(T.postings(T.index(table(spark, d, "documents"), ("doc_id",)), ("doc_id",)))
+    return T.document_frequency(T.index(table(spark, d, "documents"), ("doc_id",)))
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf, min(pos) AS first FROM (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {TOKS} AS l FROM documents)) GROUP BY ALL HAVING count(*) > 5")
@@ -697,8 +697,8 @@ def fts12_bm25_conversations(spark, d):
 @query(f"{_I}, c AS (SELECT doc_id, {_freq(['ther'])} AS f0, {_freq(['ther', 'ing'])} AS f1, len(toks) AS dl FROM i) SELECT doc_id, f0, f1, dl FROM c WHERE f0 > 0")
 def fts14_sparse_candidates(spark, d):
     posts = T.postings(_docs(spark, d), ("doc_id",))
-    rows = T.candidates_from_postings(posts, plan('"ther ing" OR ther'), ("doc_id",))
-    places = [F.size(T.phrase_places(p)).cast("long") for p in plan('ther OR "ther ing"').phrases]
+    rows, at = T.candidates_from_postings(posts, plan('ther OR "ther ing"'), ("doc_id",))
+    places = [F.size(T.phrase_places(p, at)).cast("long") for p in plan('ther OR "ther ing"').phrases]
     return rows.select("doc_id", places[0].alias("f0"), places[1].alias("f1"), "dl").filter("f0 > 0")
 
 
@@ -735,7 +735,7 @@ def _search(spark, d, limit=20):
 @query(f"{_search_sql(20)} SELECT session_id, hits, n_covered::INT AS n_covered, kind, idx, round(bm25, 6) AS bm25 FROM g")
 def fts15_group(spark, d):
     e, s = events(spark, d), sessions(spark, d)
-    hits = R.candidates(e, s, plan(QUERY), R.candidate_cap(20)).withColumn("shown", F.col("text"))
+    hits = R.texts(R.candidates(e, s, plan(QUERY), R.candidate_cap(20)), e).withColumn("shown", F.col("text"))
     return R.grouped(hits, s, plan(QUERY).terms).select("session_id", "hits", "n_covered", "best.kind", "best.idx", F.round("best.bm25", 6).alias("bm25"))
 
 
@@ -745,7 +745,7 @@ _PARTS = ("best_match", "hit_coverage", "term_coverage", "recency")
 @query(f"{_search_sql(20)} SELECT session_id, hits, {', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in _PARTS)}, kind_score::DOUBLE AS kind_score, title_score::DOUBLE AS title_score, round(score, 6)::DOUBLE AS score FROM scored")
 def fts16_score(spark, d):
     e, s = events(spark, d), sessions(spark, d)
-    hits = R.candidates(e, s, plan(QUERY), R.candidate_cap(20)).withColumn("shown", F.col("text"))
+    hits = R.texts(R.candidates(e, s, plan(QUERY), R.candidate_cap(20)), e).withColumn("shown", F.col("text"))
     rows = R.scored(R.grouped(hits, s, plan(QUERY).terms), s, plan(QUERY).terms, AS_OF_MS)
     return rows.select("session_id", "hits", *[F.round(f"p_{c}", 6).alias(c) for c in _PARTS], F.col("p_kind").alias("kind_score"), F.col("p_title").alias("title_score"), F.round("score", 6).alias("score"))
 

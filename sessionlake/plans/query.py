@@ -5,16 +5,25 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from ..functions.text import tokens_py
+from ..functions.analysers import PORTABLE, Analyser
 
 
 @dataclass(frozen=True)
 class Phrase:
-    """Consecutive terms; the last may be a prefix; ``first`` ties them to the text's start."""
+    """Consecutive terms; the last may be a prefix; ``first`` ties them to the text's start; ``also`` holds what will do in each one's place."""
 
     terms: tuple[str, ...]
     prefix: bool = False
     first: bool = False
+    also: tuple[tuple[str, ...], ...] = ()
+
+    def places(self) -> tuple[tuple[str, ...], ...]:
+        """Any of the words that will do at each place."""
+        return tuple((t, *(self.also[k] if self.also else ())) for k, t in enumerate(self.terms))
+
+
+def phrase_of(words: list[tuple[str, ...]], prefix: bool = False, first: bool = False) -> Phrase:
+    return Phrase(tuple(w[0] for w in words), prefix, first, tuple(w[1:] for w in words) if any(len(w) > 1 for w in words) else ())
 
 
 @dataclass(frozen=True)
@@ -48,15 +57,15 @@ def plain_terms(query: str) -> list[str]:
     return [] if has_syntax(query) else [w.lower() for w in query.split()]
 
 
-def plan(query: str) -> Plan:
+def plan(query: str, analyser: Analyser = PORTABLE) -> Plan:
     """A plain query asks for the whole phrase or any of its words; one with syntax is parsed as it stands."""
     if not query.strip():
         return Plan(None, empty=True)
     if has_syntax(query):
-        expr = _Parser(query).parse()
+        expr = _Parser(query, analyser).parse()
         return Plan(expr, list(leaves(expr)))
     words = query.split()
-    phrases = [Phrase(tuple(tokens_py(w))) for w in ([query, *words] if len(words) > 1 else words)]
+    phrases = [phrase_of(analyser.words(w)) for w in ([query, *words] if len(words) > 1 else words)]
     phrases = [p for p in phrases if p.terms]
     return Plan(Node("or", tuple(phrases)) if phrases else None, phrases, plain_terms(query))
 
@@ -76,8 +85,8 @@ class _Parser:
 
     WORD = re.compile(r'\s*(?:("(?:[^"]|"")*")|([^\s"(){}:*+^,]+)|(.))', re.DOTALL)
 
-    def __init__(self, text: str):
-        self.items, at = [], 0
+    def __init__(self, text: str, analyser: Analyser = PORTABLE):
+        self.analyser, self.items, at = analyser, [], 0
         while at < len(text.rstrip()):
             m = self.WORD.match(text, at)
             if m[1]:
@@ -170,7 +179,7 @@ class _Parser:
             if kind not in ("string", "word"):
                 raise ValueError(f"query: unexpected {word or 'the end'!r}")
             self.take()
-            terms += tokens_py(word)
+            terms += self.analyser.words(word)
             if self.peek()[0] == "*":
                 self.take()
                 prefix = True
@@ -178,4 +187,4 @@ class _Parser:
             if self.peek()[0] != "+":
                 break
             self.take()
-        return Phrase(tuple(terms), prefix, first)
+        return phrase_of(terms, prefix, first)

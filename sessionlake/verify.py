@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
 from . import schema as M
+from .functions.analysers import analyser
 from .operators import fulltext, tables as K
 
 MOST_SHOWN = 20
@@ -53,10 +54,16 @@ def checks(archive) -> DataFrame:
     wrong = [f"{k}: {m.get(k)!r}" for k, v in (("schema_version", M.SCHEMA_VERSION), ("contract", M.CONTRACT)) if m.get(k) != v]
     partial = s.filter("mode = 'partial'").count()
     add("contract", 3, wrong + ([f"{partial} partial sessions"] if partial else []))
-    idx = archive.index()
-    want, got = fulltext.searchable(e).count(), idx.count()
-    excluded = idx.join(e.filter(F.col("kind").isin(*M.NOT_SEARCHABLE)), ["session_id", "idx"], "left_semi").count()
-    add("index", got, ([f"{got} indexed of {want}"] if want != got else []) + ([f"{excluded} excluded kinds indexed"] if excluded else []))
+    docs, posts = archive.table("docs"), archive.table("postings")
+    size, stored = archive._size(docs), m["index"]
+    wrong = [] if size == (stored["n_docs"], stored["n_tokens"]) else [f"totals {stored} of {size}"]
+    listed = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first()["n"]
+    if analyser(m["tokenizer"]).plain and listed != size[1]:  # other analysers list some places twice
+        wrong.append(f"{listed} tokens listed of {size[1]}")
+    keys = ["session_id", "idx"]
+    want = fulltext.searchable(e).select(keys)
+    at = lambda rows: rows.select(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
+    add("index", size[0], at(want.join(docs, keys, "left_anti").unionByName(docs.select(keys).join(want, keys, "left_anti"))) if not wrong else wrong)
     add("object_references", r.count(), K.dangling(r, o).select("object_hash"))
     add("objects", o.count(), o.filter(~_sound("compression", "bytes", "payload", "hash")).select("hash"))
     return spark.createDataFrame(rows, _REPORT)
