@@ -2,19 +2,21 @@
 
 Terms are the lower-cased runs of letters and digits. The lexicon holds the terms whose inverse
 document frequency ln(N / df), over all documents, lies in ``BAND``; the commonest and the
-rarest terms say little and are left out. A term's hash puts it into one of 2^e random subsets of the lexicon;
-a fingerprint keeps subsets 0..63 of two neighbouring values of e, the lower one being
-log2 of the text's number of distinct terms rounded up (6 at least), so that about one term of the text falls in a subset
-whatever its length. Each subset's terms are sorted, joined and hashed to four hexadecimal digits (``----`` if none).
+rarest terms say little and are left out. The lexicon has ``LANES`` times ``LEVELS`` fixed random subsets, which no document has a say in:
+a term's hash gives it one of the lanes, and each level of a lane holds a random half of the level before. A text's whole list of lexicon terms
+is held against every subset; those that fall in it are sorted, joined and hashed to eight hexadecimal digits. A lane's hashes follow
+each other, coarsest level first, as far as it holds terms; lanes are parted by dots.
 
-Likeness of two fingerprints: 1 if they are equal; else, at the finest e that both hold, the share of equal subset hashes among the
-subsets that are not empty in both; 0 if they hold no common e.
+Likeness of two fingerprints: 1 if they are equal; else, over the levels that are fine enough for the two texts, the share of equal subset hashes among the
+subsets that are not empty in both. The first such level is the coarsest one at which at most ``FULL`` of the lanes hold a term of either
+text (so that about one term falls in a subset), or the finest that holds any; 0 if one text has no lexicon term.
 
 Only DataFrame functions are used. The lexicon has at most (mean distinct terms of a text) * e^BAND[1]
-terms; it is broadcast if it has no more than ``MOST_BROADCAST`` terms and joined by a shuffle beyond.
+terms; it is broadcast if it has no more than ``MOST_BROADCAST`` terms and joined by a shuffle beyond. Texts are put in order of id by ranges whose
+bounds Spark samples, so neither clustered ids nor outliers fill a range, nor do rows without an id or copies of a row.
 
-Cases: null text is empty; a text without lexicon terms gets ``x:`` and its MD5; equal ids follow each other by text; a null
-id comes first; the document after the last is the first (a lone document's is itself); an empty table gives no rows.
+Cases: null text is empty; a text without lexicon terms gets ``x:`` and its MD5; equal ids follow each other by their text's MD5; a null
+id comes first; the document after the last is the first (a lone document's is itself); an empty table gives no rows. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -23,14 +25,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
 BAND = (math.log(10), math.log(1000))
-SUBSETS = 64
-LEAST_BITS = 6
+LANES, LEVELS = 32, 11
+FULL = 24
 MOST_BROADCAST = 500_000
-MOST_STARTS = 1_000_000
-BUCKET = 64
+RANGE_ROWS = 5_000
 
 
 def terms(text: Column) -> Column:
@@ -38,140 +39,123 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """(term, known): the terms in the band of inverse document frequency, counted over all of ``docs``."""
+    """(term, lane, depth): the terms in the band of inverse document frequency, counted over all of ``docs``, with their lane and finest level."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.coalesce(docs[text], F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     most, least = n * math.exp(-band[0]), max(2.0, n * math.exp(-band[1]))
-    return counts.filter((F.col("df") >= least) & (F.col("df") <= most)).select("term", F.lit(True).alias("known"))
+    h = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
+    some = counts.filter((F.col("df") >= least) & (F.col("df") <= most)).select("term", h.alias("h"))
+    rest = F.floor(F.col("h") / LANES).cast("long")
+    depth = F.bit_count(rest.bitwiseAND(-rest) - 1)  # zero bits at its end
+    return some.select("term", (F.col("h") % LANES).cast("int").alias("lane"), F.least(depth, F.lit(LEVELS - 1)).cast("int").alias("depth"))
 
 
 def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` with e, lo, hi (subset hashes at e and e + 1) and fingerprint of each row; ``keys`` must tell rows apart."""
+    """``keys`` with lanes (each lane's hashes, coarsest first) and fingerprint of each row; ``keys`` must tell rows apart."""
     lex = F.broadcast(lex) if lex.count() <= MOST_BROADCAST else lex
-    some = rows.select(*keys, F.md5(F.col(text)).alias("__md5"), terms(F.col(text)).alias("__terms"))
-    bits = F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(F.greatest(F.size("__terms"), F.lit(1)).cast("double"))).cast("int"))
-    some = some.withColumn("e", bits)
-    # Whether a term can be drawn shows in two of its digits for most texts; only then are all of them read.
-    digits = F.transform("__terms", lambda t: F.struct(F.substring(F.md5(t), 1, 8).alias("d"), t.alias("term")))
-    maybe = F.filter(digits, lambda x: (F.col("e") < 8) | (F.substring(x["d"], 7, 1) < "4") & ((F.col("e") < 12) | (F.substring(x["d"], 6, 1) == "0")))
-    hashed = F.transform(maybe, lambda x: F.struct(F.conv(x["d"], 16, 10).cast("long").alias("h"), x["term"].alias("term")))
-    drawn = F.filter(hashed, lambda x: x["h"].bitwiseAND(F.expr("shiftleft(1L, e) - 1")) < SUBSETS)
-    each = some.select(*keys, "e", "__md5", F.explode_outer(drawn).alias("x")).select(*keys, "e", "__md5", "x.h", "x.term")
-    found = each.join(lex, "term", "left").groupBy(*keys, "e", "__md5").agg(F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("term", "h")))).alias("band"))
-
-    def members(up: int) -> Column:
-        mask = F.expr(f"shiftleft(1L, e + {up}) - 1")
-        own = F.filter("band", lambda x: x["h"].bitwiseAND(mask) < SUBSETS)
-        return F.transform(own, lambda x: F.struct(x["h"].bitwiseAND(mask).alias("j"), x["term"].alias("term")))
-
-    def level(mine: str) -> Column:
-        def subset(j: Column) -> Column:
-            got = F.transform(F.filter(mine, lambda x: x["j"] == j), lambda x: x["term"])
-            return F.when(F.array_contains(F.col(f"{mine}_j"), j), F.substring(F.md5(F.array_join(got, " ")), 1, 4)).otherwise(F.lit("----"))
-
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), subset)
-
-    # Columns that are named twice below are computed once, not for every subset.
-    found = found.withColumns({"m0": members(0), "m1": members(1)})
-    found = found.withColumns({"m0_j": F.transform("m0", lambda x: x["j"]), "m1_j": F.transform("m1", lambda x: x["j"]), "m0": F.col("m0"), "m1": F.col("m1")})
-    found = found.withColumn("lo", F.when(F.size("m0") + F.size("m0_j") >= 0, level("m0"))).withColumn("hi", F.when(F.size("m1") + F.size("m1_j") >= 0, level("m1")))
-    name = F.when(F.size("band") == 0, F.concat(F.lit("x:"), F.col("__md5"))).otherwise(F.concat_ws(":", F.col("e").cast("string"), F.array_join("lo", ""), F.array_join("hi", "")))
-    return found.select(*keys, "e", "lo", "hi", name.alias("fingerprint"))
+    each = rows.select(*keys, F.md5(F.col(text)).alias("__md5"), F.explode_outer(terms(F.col(text))).alias("term")).join(lex, "term", "left")
+    found = each.groupBy(*keys, "__md5").agg(F.array_sort(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("term", "lane", "depth")))).alias("band"))
+    # Each column is named twice by the next, so that it is computed once and not for every element of a lambda.
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j: F.filter("band", lambda x: x["lane"] == j))
+    found = found.withColumn("own", F.when(F.size("band") >= 0, lanes))
+
+    def hashes(own: Column) -> Column:
+        levels = F.sequence(F.lit(0), F.array_max(F.transform(own, lambda x: x["depth"])))
+        named = lambda level: F.transform(F.filter(own, lambda x: x["depth"] >= level), lambda x: x["term"])
+        return F.coalesce(F.transform(levels, lambda level: F.substring(F.md5(F.array_join(named(level), " ")), 1, 8)), F.array().cast("array<string>"))
+
+    found = found.withColumn("lanes", F.when(F.size("own") >= 0, F.transform("own", hashes)))
+    name = F.when(F.size("band") == 0, F.concat(F.lit("x:"), F.col("__md5"))).otherwise(F.array_join(F.transform("lanes", lambda x: F.array_join(x, "")), "."))
+    return found.select(*keys, "lanes", name.alias("fingerprint"))
 
 
 def likeness(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Of two fingerprints given by their columns e, lo, hi and fingerprint."""
-
-    def share(x: Column, y: Column) -> Column:
-        same = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != "----")), lambda ok: ok))
-        either = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != "----") | (q != "----")), lambda ok: ok))
-        return F.when(either > 0, same / either).otherwise(F.lit(0.0))
-
-    return (
-        F.when(a["fingerprint"] == b["fingerprint"], F.lit(1.0))
-        .when(a["fingerprint"].startswith("x:") | b["fingerprint"].startswith("x:"), F.lit(0.0))
-        .when(a["e"] == b["e"], share(a["hi"], b["hi"]))
-        .when(a["e"] + 1 == b["e"], share(a["hi"], b["lo"]))
-        .when(b["e"] + 1 == a["e"], share(a["lo"], b["hi"]))
-        .otherwise(F.lit(0.0))
-    )
-
-
-def followed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, guest, id, t): every row in its part of the ids' range, and each part's following row as its guest.
-
-    Parts hold about BUCKET rows where ids are spread evenly; within a part, order by guest, id, t.
-    """
-    rows = docs.select(docs[key].alias("id"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    span = rows.agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("n")).first()
-    low = float(span["a"] or 0)
-    width = max(1.0, (float(span["z"] or 0) - low + 1) * BUCKET / max(1, span["n"]))
-    part = F.coalesce(F.floor((F.col("id").cast("double") - low) / width).cast("long"), F.lit(-1).cast("long"))
-    rows = rows.withColumn("part", part)
-    starts = rows.groupBy("part").agg(F.min("id").alias("first"))
-    # The part before each: a lead over parts, within wide ranges of parts, so that no window holds them all.
-    wide = starts.withColumn("range", F.floor(F.col("part") / 4096))
-    heads = wide.groupBy("range").agg(F.max("part").alias("last"))
-    up = heads.withColumn("zone", F.floor(F.col("range") / 4096))
-    tails = up.groupBy("zone").agg(F.max("last").alias("zone_last"))  # one row for 2^24 parts
-    tails = tails.withColumn("before_zone", F.lag("zone_last").over(Window.partitionBy(F.lit(0)).orderBy("zone")))
-    end = tails.agg(F.max("zone_last").alias("end"))
-    up = up.join(tails, "zone").withColumn("before_range", F.coalesce(F.lag("last").over(Window.partitionBy("zone").orderBy("range")), "before_zone"))
-    starts = wide.join(up.select("range", "before_range"), "range").withColumn("before", F.coalesce(F.lag("part").over(Window.partitionBy("range").orderBy("part")), "before_range"))
-    whole = end.first()["end"]
-    starts = starts.select(F.coalesce("before", F.lit(whole)).alias("before"), F.col("first"))
-    starts = F.broadcast(starts) if span["n"] / BUCKET <= MOST_STARTS else starts
-    guests = rows.join(starts, rows["id"].eqNullSafe(starts["first"])).select("id", "t", F.col("before").alias("part"), F.lit(1).alias("guest"))
-    return rows.withColumn("guest", F.lit(0)).select("part", "guest", "id", "t").unionByName(guests)
-
-
-def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of two fingerprints given by their columns lanes and fingerprint."""
+    both = F.arrays_zip(a["lanes"].alias("p"), b["lanes"].alias("q"))
+
+    def level(i: Column) -> Column:
+        held = F.size(F.filter(both, lambda z: (F.size(z["p"]) > i) | (F.size(z["q"]) > i)))
+        same = F.size(F.filter(both, lambda z: F.coalesce(F.get(z["p"], i) == F.get(z["q"], i), F.lit(False))))
+        return F.struct(held.alias("held"), same.alias("same"), i.alias("i"))
+
+    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level)
+
+    def share(found: Column) -> Column:
+        first = F.least(F.size(F.filter(found, lambda x: x["held"] > FULL)), F.size(F.filter(found, lambda x: x["held"] > 0)) - 1)
+        fine = F.filter(found, lambda x: (x["i"] >= first) & (x["held"] > 0))
+        total = lambda c: F.aggregate(fine, F.lit(0), lambda n, x: n + x[c])
+        return F.when(total("held") > 0, total("same") / total("held")).otherwise(F.lit(0.0))
+
+    # One value per pair, named by a lambda's variable.
+    shared = F.element_at(F.transform(F.array(levels), share), 1)
+    return F.when(a["fingerprint"] == b["fingerprint"], F.lit(1.0)).when(a["fingerprint"].startswith("x:") | b["fingerprint"].startswith("x:"), F.lit(0.0)).otherwise(shared)
+
+
+ORDER = ("id", "th", "salt")
+
+
+def followed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(part, guest, id, th, salt, t): every row in its range of ids, and each range's following row as its guest; in order of guest and ORDER within a range."""
+    t = F.coalesce(docs[text], F.lit(""))
+    rows = docs.select(docs[key].alias("id"), F.md5(t).alias("th"), F.monotonically_increasing_id().alias("salt"), t.alias("t"))
+    n = max(partitions(docs.sparkSession), -(-docs.count() // RANGE_ROWS))
+    rows = scratch.write(rows.repartitionByRange(n, *ORDER).withColumn("part", F.spark_partition_id()), "ranges")
+    heads = rows.groupBy("part").agg(F.min(F.struct(*ORDER, "t")).alias("head"))  # a row for each range
+    at = Window.partitionBy(F.lit(0)).orderBy("part")
+    heads = scratch.write(heads.withColumn("before", F.lag("part").over(at)), "heads")
+    last = heads.agg(F.max("part").alias("last")).first()["last"]
+    guests = heads.select(F.coalesce("before", F.lit(last)).cast("int").alias("part"), F.lit(1).alias("guest"), "head.*")
+    return rows.select("part", F.lit(0).alias("guest"), *ORDER, "t").unionByName(guests.select("part", "guest", *ORDER, "t"))
+
+
+def edited(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``followed`` rows numbered by seq, with n_chars and the text whose last quarter is the next text's beginning."""
-    order = Window.partitionBy("part").orderBy("guest", "id", "t")
-    rows = followed(docs, key, text).withColumn("seq", F.row_number().over(order)).withColumn("next", F.lead("t").over(order))
+    order = Window.partitionBy("part").orderBy("guest", *ORDER)
+    rows = followed(docs, scratch, key, text).withColumn("seq", F.row_number().over(order)).withColumn("next", F.lead("t").over(order))
     n = F.length("t").cast("long")
     rows = rows.withColumn("n_chars", n).withColumn("m", F.floor(F.col("n_chars") / 4).cast("int"))
-    return rows.withColumn("edited", F.when(F.col("guest") == 0, F.concat(F.expr("left(t, int(n_chars) - m)"), F.expr("left(coalesce(next, ''), m)")))).drop("m", "next")
+    return rows.withColumn("edited", F.when(F.col("guest") == 0, F.concat(F.expr("left(t, int(n_chars) - m)"), F.expr("left(coalesce(next, ''), m)")))).drop("m", "next", "th", "salt")
 
 
 def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
-    lex = Scratch(docs.sparkSession, "imatch").write(lexicon(docs, text), "lexicon")
-    rows = edited(docs, key, text).withColumn("edited_sha256", F.sha2("edited", 256))
+    scratch = Scratch(docs.sparkSession, "imatch")
+    lex = scratch.write(lexicon(docs, text), "lexicon")
+    rows = edited(docs, scratch, key, text).withColumn("edited_sha256", F.sha2("edited", 256))
     kinds = rows.withColumn("v", F.explode(F.when(F.col("guest") == 0, F.array(F.struct(F.lit(0).alias("kind"), F.col("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.col("t"))))))
     keys = ["part", "seq", "guest", "id", "n_chars", "edited_sha256", "kind"]
     found = fingerprints(kinds.select(*keys[:-1], "v.kind", F.col("v.t").alias("text")), lex, keys, "text")
-    fp = F.struct("e", "lo", "hi", "fingerprint")
+    fp = F.struct("lanes", "fingerprint")
     both = found.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("kind") == 0, fp)).alias("own"), F.max(F.when(F.col("kind") == 1, fp)).alias("new"))
     both = both.withColumn("next", F.lead("own").over(Window.partitionBy("part").orderBy("seq"))).filter("guest = 0")
-    side = lambda name: {c: F.col(f"{name}.{c}") for c in ("e", "lo", "hi", "fingerprint")}
+    side = lambda name: {c: F.col(f"{name}.{c}") for c in ("lanes", "fingerprint")}
     return both.select(F.col("id").alias(key), "n_chars", "edited_sha256", F.col("own.fingerprint").alias("fingerprint"), F.col("new.fingerprint").alias("edited_fingerprint"), likeness(side("own"), side("new")).alias("near_edited"), likeness(side("own"), side("next")).alias("near_next"))
 
 
 def oracle_sql() -> str:
     """:func:`compare` in DuckDB SQL over ``documents``."""
-    share = "list_sum([(p[1] = p[2] AND p[1] != '----')::INT FOR p IN list_zip({0}, {1})]) / nullif(list_sum([(p[1] != '----' OR p[2] != '----')::INT FOR p IN list_zip({0}, {1})]), 0)::DOUBLE"
-    near = f"""CASE WHEN a.fp = b.fp THEN 1.0 WHEN a.fp[1:2] = 'x:' OR b.fp[1:2] = 'x:' THEN 0.0 WHEN a.e = b.e THEN coalesce({share.format("a.hi", "b.hi")}, 0.0)
-      WHEN a.e + 1 = b.e THEN coalesce({share.format("a.hi", "b.lo")}, 0.0) WHEN b.e + 1 = a.e THEN coalesce({share.format("a.lo", "b.hi")}, 0.0) ELSE 0.0 END::DOUBLE"""
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS seq FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS seq FROM documents),
 n AS (SELECT count(*) AS n FROM d),
 s AS (SELECT doc_id, seq, t, length(t) AS n_chars, seq % n.n + 1 AS next_seq FROM d, n),
 v AS (SELECT s.doc_id, s.seq, s.next_seq, s.n_chars, s.t, left(s.t, s.n_chars - s.n_chars // 4) || left(x.t, s.n_chars // 4) AS edited FROM s JOIN s x ON x.seq = s.next_seq),
 k AS (SELECT seq, 0 AS kind, t FROM v UNION ALL SELECT seq, 1, edited FROM v),
-w AS (SELECT seq, kind, t, list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+')) AS terms FROM k),
-e AS (SELECT *, greatest({LEAST_BITS}, ceil(log2(greatest(len(terms), 1)::DOUBLE)))::INT AS e FROM w),
-lex AS (SELECT term FROM (SELECT unnest(terms) AS term FROM w WHERE kind = 0) GROUP BY term
+w AS (SELECT seq, kind, unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM k),
+lex AS (SELECT term, ('0x' || md5(term)[1:8])::BIGINT AS h FROM w WHERE kind = 0 GROUP BY term
   HAVING count(*) >= greatest(2.0, (SELECT n FROM n) * exp({-BAND[1]!r})) AND count(*) <= (SELECT n FROM n) * exp({-BAND[0]!r})),
-x AS (SELECT seq, kind, e, term, ('0x' || md5(term)[1:8])::BIGINT AS h FROM (SELECT seq, kind, e, unnest(terms) AS term FROM e) SEMI JOIN lex USING (term)),
-sub AS (SELECT seq, kind, up, h % (1::BIGINT << (e + up)::BIGINT) AS j, md5(string_agg(term, ' ' ORDER BY term))[1:4] AS s FROM x, range(0, 2) u(up) WHERE h % (1::BIGINT << (e + up)::BIGINT) < {SUBSETS} GROUP BY ALL),
-lists AS (SELECT seq, kind, e, t, list(coalesce(s, '----') ORDER BY jj) FILTER (upp = 0) AS lo, list(coalesce(s, '----') ORDER BY jj) FILTER (upp = 1) AS hi, count(s) AS filled
-  FROM (SELECT g.seq, g.kind, g.e, g.t, g.upp, g.jj, sub.s FROM (SELECT * FROM e, range(0, 2) a(upp), range(0, {SUBSETS}) b(jj)) g LEFT JOIN sub ON sub.seq = g.seq AND sub.kind = g.kind AND sub.up = g.upp AND sub.j = g.jj)
-  GROUP BY seq, kind, e, t),
-f AS (SELECT seq, kind, e, lo, hi, CASE WHEN filled = 0 THEN 'x:' || md5(t) ELSE e || ':' || array_to_string(lo, '') || ':' || array_to_string(hi, '') END AS fp FROM lists),
-own AS (SELECT * FROM f WHERE kind = 0), new AS (SELECT * FROM f WHERE kind = 1),
-ne AS (SELECT a.seq, {near} AS near_edited, a.fp AS fingerprint, b.fp AS edited_fingerprint FROM own a JOIN new b ON a.seq = b.seq),
-nn AS (SELECT a.seq, {near} AS near_next FROM own a JOIN s ON s.seq = a.seq JOIN own b ON b.seq = s.next_seq)
-SELECT v.doc_id, v.n_chars::BIGINT AS n_chars, sha256(v.edited) AS edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
-FROM v JOIN ne ON ne.seq = v.seq JOIN nn ON nn.seq = v.seq
+x AS (SELECT term, h % {LANES} AS lane, least({LEVELS - 1}, CASE WHEN h < {LANES} THEN 64 ELSE bit_count(((h // {LANES}) & -(h // {LANES})) - 1) END) AS depth FROM lex),
+sub AS (SELECT seq, kind, lane, l, md5(string_agg(term, ' ' ORDER BY term))[1:8] AS s FROM w JOIN x USING (term), range(0, {LEVELS}) g(l) WHERE depth >= l GROUP BY seq, kind, lane, l),
+lanes AS (SELECT seq, kind, lane, string_agg(s, '' ORDER BY l) AS part FROM sub GROUP BY seq, kind, lane),
+f AS (SELECT k.seq, k.kind, CASE WHEN count(part) = 0 THEN 'x:' || any_value(md5(t)) ELSE string_agg(coalesce(part, ''), '.' ORDER BY j) END AS fp
+  FROM (SELECT * FROM k, range(0, {LANES}) r(j)) k LEFT JOIN lanes ON lanes.seq = k.seq AND lanes.kind = k.kind AND lanes.lane = j GROUP BY k.seq, k.kind),
+pairs AS (SELECT seq, 1 AS what, seq AS other, 1 AS other_kind FROM v UNION ALL SELECT seq, 2, next_seq, 0 FROM v),
+cells AS (SELECT p.seq, p.what, lane, l, s AS a, NULL AS b FROM pairs p JOIN sub ON sub.seq = p.seq AND sub.kind = 0
+  UNION ALL SELECT p.seq, p.what, lane, l, NULL, s FROM pairs p JOIN sub ON sub.seq = p.other AND sub.kind = p.other_kind),
+held AS (SELECT seq, what, l, count(*) AS held, count(*) FILTER (a = b) AS same FROM (SELECT seq, what, lane, l, max(a) AS a, max(b) AS b FROM cells GROUP BY seq, what, lane, l) GROUP BY seq, what, l),
+start AS (SELECT seq, what, least(count(*) FILTER (held > {FULL}), count(*) - 1) AS first FROM held GROUP BY seq, what),
+shares AS (SELECT seq, what, sum(same) / sum(held)::DOUBLE AS share FROM held JOIN start USING (seq, what) WHERE l >= first GROUP BY seq, what),
+near AS (SELECT p.seq, p.what, CASE WHEN a.fp = b.fp THEN 1.0 WHEN a.fp[1:2] = 'x:' OR b.fp[1:2] = 'x:' THEN 0.0 ELSE coalesce(share, 0.0) END::DOUBLE AS near
+  FROM pairs p JOIN f a ON a.seq = p.seq AND a.kind = 0 JOIN f b ON b.seq = p.other AND b.kind = p.other_kind LEFT JOIN shares h ON h.seq = p.seq AND h.what = p.what)
+SELECT v.doc_id, v.n_chars::BIGINT AS n_chars, sha256(v.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, e.near AS near_edited, x.near AS near_next
+FROM v JOIN f a ON a.seq = v.seq AND a.kind = 0 JOIN f b ON b.seq = v.seq AND b.kind = 1 JOIN near e ON e.seq = v.seq AND e.what = 1 JOIN near x ON x.seq = v.seq AND x.what = 2
 """

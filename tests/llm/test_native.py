@@ -1,5 +1,7 @@
 """I-Match fingerprints and licence scans: edge cases, a brute-force scan, and DuckDB twins over awkward rows."""
 
+import hashlib
+import math
 import random
 import re
 
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.llm import fingerprint, licenses, queries
+from sessionlake.llm.common import Scratch
 
 TEXTS = [
     (4, "Licensed under the Apache License, Version 2.0 (cc by, CC-BY; cc  by)"),
@@ -104,14 +107,31 @@ def test_fingerprints_equal_sql(spark, docs):
     assert rows(got.toPandas()) == rows(duck(fingerprint.oracle_sql()))
 
 
-def test_followers_cross_parts_in_order(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "BUCKET", 2)
-    ids = [3, 900, 5, 5, 70_000, 70_001, -4, 8, 10**15, None]
+def test_followers_cross_ranges_in_order(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 2)
+    ids = [3, 900, 5, 5, 70_000, 70_001, -4, 8, 10**15, None, None, None]
     df = spark.createDataFrame([(i, f"text {k} of {i}") for k, i in enumerate(ids)], "doc_id long, text string")
-    order = sorted(((-(10**18) if i is None else i), f"text {k} of {i}") for k, i in enumerate(ids))
-    want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
-    got = {r["t"]: r["edited"] for r in fingerprint.edited(df).filter("guest = 0").collect()}
+    order = sorted(((-(10**18) if i is None else i), hashlib.md5(t.encode()).hexdigest(), t) for k, i in enumerate(ids) for t in [f"text {k} of {i}"])
+    want = {t: order[(k + 1) % len(order)][2] for k, (_, _, t) in enumerate(order)}
+    got = {r["t"]: r["edited"] for r in fingerprint.edited(df, Scratch(spark, "t")).filter("guest = 0").collect()}
     assert got == {t: t[: len(t) - len(t) // 4] + want[t][: len(t) // 4] for t in want}
+    same = spark.createDataFrame([("s", "copy")] * 30 + [("r", "other")], "doc_id string, text string")
+    assert sorted(r["n_chars"] for r in fingerprint.compare(same).collect()) == [4] * 30 + [5]
+
+
+def test_likeness_follows_the_share_of_lexicon_terms(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.sample(words, 60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lex = fingerprint.lexicon(docs, band=(math.log(1.01), math.log(100)))
+    changed = [(i, k, " ".join(t.split()[k:] + [f"w{(i * 7 + j) % 400}" for j in range(k)])) for i, t in rows for k in (0, 6, 20, 45)]
+    fp = fingerprint.fingerprints(spark.createDataFrame(changed, "i long, k int, t string"), lex, ["i", "k"], "t")
+    own = fp.filter("k = 0").select("i", F.col("lanes").alias("l0"), F.col("fingerprint").alias("f0"))
+    near = fingerprint.likeness({"lanes": F.col("l0"), "fingerprint": F.col("f0")}, {"lanes": F.col("lanes"), "fingerprint": F.col("fingerprint")})
+    got = {r["k"]: r["m"] for r in own.join(fp, "i").groupBy("k").agg(F.avg(near).alias("m")).collect()}
+    assert got[0] == 1 and got[0] > got[6] + 0.1 and got[6] > got[20] + 0.1 and got[20] > got[45] + 0.1 and got[45] < 0.3
 
 
 def test_empty_tables(spark, docs):
