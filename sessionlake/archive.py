@@ -11,17 +11,14 @@ commits and loses rows by the same tombstones; ``reindex`` writes it anew as one
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import time
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
 from typing import Any
 
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import schema as M
@@ -30,12 +27,14 @@ from .functions.text import glob
 from .functions.values import since_ms as parse_since  # noqa: F401  part of this module's surface
 from .operators import fulltext, listing, search as ranking, tables as K
 from .plans.query import plan as plan_query
-from .sources.base import Candidate, Parsed, categorise
+from .scratch import Scratch
+from .sources import distributed as D
+from .sources.base import Candidate, Discovery, Parsed, categorise
 from .sources.connectors import REGISTRY, native_root
 from .storage import Exists, Store
+from .workers import ship
 
 LOCK_SECONDS = 5.0
-ZSTD_LEVEL = 3
 
 
 class ArchiveError(ValueError):
@@ -66,6 +65,7 @@ class Archive:
     def __init__(self, spark: SparkSession, path: str, create: bool = True, tokenizer: str | None = None):
         self.spark, self.path = spark, str(path).rstrip("/")
         self.store = Store(spark, self.path)
+        ship(spark)
         if not self._versions():
             if not create:
                 raise ArchiveError(f"no archive at {path}")
@@ -211,69 +211,72 @@ class Archive:
         self.commit(frames, ids)
 
     def ingest_session(self, parsed: Parsed, fingerprint: str = "") -> None:
-        self._store([(Candidate("", "", "", fingerprint, None, 0, 0, 0), parsed)], IngestReport())
-
-    def _store(self, found: list[tuple[Candidate, Parsed]], report: IngestReport) -> None:
-        now = int(time.time() * 1000)
-        rows: dict[str, list[dict]] = {t: [] for t in M.TABLES}
-        for c, p in found:
-            try:
-                stored = [_captured(s, c) for s in p.sources]
-            except (OSError, ArchiveError) as e:
-                report.add("database", c.path, e)
-                continue
-            sid = p.session["id"]
-            rows["sessions"].append(p.session | {"mode": "full", "fingerprint": c.fingerprint or p.session.get("fingerprint", ""), "ingested_at_ms": now})
-            rows["events"] += [_event_row(e) | {"session_id": sid, "idx": i} for i, e in enumerate(p.events)]
-            rows["raw_sources"] += [s | {"session_id": sid} for s, _ in stored]
-            rows["objects"] += [o | {"created_at_ms": now} for _, o in stored if o]
-            report.ingested += 1
-            report.events += len(p.events)
-        if rows["sessions"]:
-            frames = {t: self.spark.createDataFrame([tuple(r.get(f.name) for f in M.TABLES[t].fields) for r in some], _nullable(M.TABLES[t])) for t, some in rows.items()}
-            self.write(frames["sessions"].dropDuplicates(["id"]), frames["events"], frames["raw_sources"], frames["objects"])
+        """One session that the caller has parsed."""
+        c = Candidate("", "", "", fingerprint, None, 0, 0, 0)
+        row = D.rows_of(parsed, c, int(time.time() * 1000)) | {"i": 0, "path": ""}
+        self._store(self.spark.createDataFrame(D.pa.Table.from_pylist([row], D.to_arrow_schema(D.nullable(D.PARSED)))))
+
+    def _store(self, parsed: DataFrame) -> None:
+        """Replaces the sessions of parsed rows; of several sources of one session the last listed counts."""
+        last = parsed.groupBy(F.col("session.id").alias("sid")).agg(F.max("i").alias("li"))
+        rows = parsed.join(last, (F.col("session.id") == F.col("sid")) & (F.col("i") == F.col("li")), "left_semi")
+        each = lambda name: rows.select(F.explode(name).alias("x")).select("x.*")
+        self.write(rows.select("session.*"), each("events"), each("sources"), each("objects"))
 
     def ingest(self, agents: tuple[str, ...] = M.AGENTS, root: str | None = None, since_ms: int | None = None, exclude: tuple[str, ...] = (), dry_run: bool = False, strict: bool = False) -> IngestReport:
-        """Discover, exclude, skip by time, skip unchanged, parse the rest and replace their sessions; bad sources are counted, others go on."""
-        report, pending = IngestReport(), []
+        """Discover, exclude, skip by time, skip unchanged, parse the rest and replace their sessions; bad sources are counted, others go on.
+
+        The driver lists names and reads counts and failures (a row for each bad file); all else is done by tasks, a commit for each agent.
+        """
+        report, now = IngestReport(), int(time.time() * 1000)
         for g in exclude:
             glob(g)  # a bad pattern fails before anything is read
-        for agent in agents:
-            connector, base = REGISTRY[M.parse_agent(agent)], root or native_root(agent)
-            found = connector.discover(base)
+        scratch = Scratch(self.spark, "ingest")
+        for agent in map(M.parse_agent, agents):
+            base, found = root or native_root(agent), Discovery()
+            listing = list(REGISTRY[agent].listing(base, found))
             for path, category, message in found.failures:
                 report.discovered += 1
                 report.add("discovery", path, message, category)
-            if not found.candidates:
+            if not listing:
+                continue
+            seen = scratch.write(D.examined(self.spark, agent, listing), f"{agent}-seen")
+            judged = K.outcomes(D.linked(seen, agent), self.states(), exclude, since_ms)
+            judged = scratch.write(judged.withColumn("outcome", F.when((F.col("outcome") != "excluded") & F.col("category").isNotNull(), "failed").otherwise(F.col("outcome"))), f"{agent}-judged")
+            counts = {r["outcome"]: r["n"] for r in judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+            report.discovered += sum(n for o, n in counts.items() if o != "excluded")
+            report.skipped += counts.get("skipped_by_since", 0)
+            report.skipped_by_since += counts.get("skipped_by_since", 0)
+            report.unchanged += counts.get("unchanged", 0)
+            self._failures(judged.filter("outcome = 'failed'"), report)
+            if not counts.get("pending"):
                 continue
-            rows = self.spark.createDataFrame([(i, c.locator, c.path, c.fingerprint, c.updated_at_ms, c.bytes) for i, c in enumerate(found.candidates)], "i int, locator string, path string, fingerprint string, updated_at_ms long, bytes long")
-            judged = K.outcomes(rows, self.states(), exclude, since_ms).select("i", "outcome").collect()  # a row for each discovered file
-            ask = []
-            for r in judged:
-                if r["outcome"] != "excluded":
-                    report.discovered += 1
-                report.skipped += r["outcome"] == "skipped_by_since"
-                report.skipped_by_since += r["outcome"] == "skipped_by_since"
-                report.unchanged += r["outcome"] == "unchanged"
-                ask += [r["i"]] if r["outcome"] == "pending" else []
-            for c, p, error in connector.parse_many([found.candidates[i] for i in sorted(ask)], base):
-                if error is not None:
-                    report.add("parsing", c.path, error)
-                elif p is None:
-                    report.parsed += not dry_run
-                    report.skipped += 1
-                else:
-                    report.parsed += 1
-                    report.estimated_bytes += sum(len(s["content"]) if s["content"] is not None else os.path.getsize(s["path"]) for s in p.sources)
-                    pending.append((c, p))
+            ask = judged.filter("outcome = 'pending'").repartition(max(1, -(-counts["pending"] // D.FILES_TO_A_TASK)))
+            parsed = scratch.write(D.parsed(ask, agent, base, now, store=not dry_run), f"{agent}-parsed")
+            good = parsed.filter("category is null and session is not null")
+            size = good.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("events"), F.coalesce(F.sum("estimated"), F.lit(0)).alias("bytes")).first()
+            empty = parsed.filter("category is null and session is null").count()
+            report.parsed += size["n"] + (0 if dry_run else empty)
+            report.skipped += empty
+            report.estimated_bytes += size["bytes"]
+            self._failures(parsed.filter("category is not null"), report)
+            if not dry_run and size["n"]:
+                self._store(good)
+                report.ingested += size["n"]
+                report.events += size["events"]
+            scratch.drop(f"{agent}-seen", f"{agent}-judged", f"{agent}-parsed")
         if not dry_run:
-            self._store(pending, report)
             last = {k: getattr(report, k) for k in ("discovered", "parsed", "ingested", "unchanged", "skipped", "failed")}
             self._change(lambda m: m | {"telemetry": m["telemetry"] | {"last_ingest": last, "completed_at_ms": int(time.time() * 1000), "total_failures": m["telemetry"].get("total_failures", 0) + report.failed}})
         if strict and report.failed:
             raise ArchiveError(f"{report.failed} sources failed: {report.failures}")
         return report
 
+    @staticmethod
+    def _failures(rows: DataFrame, report: IngestReport) -> None:
+        for r in rows.select("i", "stage", "path", "message", "category").orderBy("i").collect():
+            report.add(r["stage"], r["path"], r["message"], r["category"])
+
     def states(self) -> DataFrame:
         """locator, fingerprint, mode of every archived source."""
         s = self.sessions.select(F.col("id").alias("session_id"), "fingerprint", "mode")
@@ -390,25 +393,3 @@ STORED = M.TABLES | {"docs": DOCS, "postings": POSTINGS}
 
 def _nullable(s):
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in s.fields])
-
-
-def _event_row(e: dict[str, Any]) -> dict[str, Any]:
-    usage = e.get("usage")
-    return e | {"usage": tuple(usage.get(f.name) for f in M.USAGE.fields) if usage else None}
-
-
-def _captured(s: dict[str, Any], c: Candidate) -> tuple[dict[str, Any], dict[str, Any] | None]:
-    """A source's provenance row and its stored object; the file must not change while it is read."""
-    content, stat = s["content"], None
-    if content is None:
-        before = os.stat(s["path"])
-        content = Path(s["path"]).read_bytes()
-        after = os.stat(s["path"])
-        if (before.st_size, before.st_mtime_ns, before.st_mode) != (after.st_size, after.st_mtime_ns, after.st_mode) or len(content) != after.st_size:
-            raise ArchiveError(f"{s['path']} changed while it was read")
-        if s["path"] == c.path and (after.st_size, after.st_mtime_ns) != (c.bytes, c.mtime_ns):
-            raise ArchiveError(f"{s['path']} changed since it was discovered")
-        stat = after
-    digest = hashlib.sha256(content).hexdigest()
-    row = {k: s[k] for k in ("locator", "kind", "restore_path", "role")} | {"bytes": len(content), "mtime_ns": stat.st_mtime_ns if stat else None, "mode": stat.st_mode & 0o7777 if stat else None, "object_hash": digest}
-    return row, {"hash": digest, "compression": "zstd", "bytes": len(content), "payload": zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress(content)}

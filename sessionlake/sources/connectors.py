@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import sqlite3
+from collections.abc import Iterator
+from dataclasses import replace
 from pathlib import Path
 from typing import Any
 from urllib.parse import quote
 
 from ..schema import compact, flatten
-from .base import Candidate, Discovery, Firsts, Parsed, Source, SourceError, Times, candidate, event, fingerprint, get, json_lines, read, relative, source, text_of, time_ms, walk
+from .base import Candidate, Discovery, Firsts, Parsed, Source, SourceError, Times, event, get, json_lines, listed, read, relative, source, text_of, time_ms, walk
 
 #: Codex record types by what they become.
 CODEX_CALLS = {"function_call", "custom_tool_call", "tool_search_call", "web_search_call"}
@@ -26,24 +28,19 @@ def first_there(*values: Any) -> Any:
 class Codex(Source):
     agent = "codex"
 
-    def discover(self, root: str) -> Discovery:
-        found, edges = Discovery(), {}
+    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
         for p in walk(root, lambda p: p.name.startswith("rollout-") and p.suffix == ".jsonl", found):
-            candidate(p, p.stem, found)
-        for c in found.candidates:
-            try:
-                records = json_lines(read(c.path), c.path)
-            except (OSError, SourceError):
-                continue  # reported when it is parsed
-            meta = [r["payload"] for r in records if get(r, "type") == "session_meta" and isinstance(get(r, "payload"), dict)]
-            native = first_there(*[text_of(first_there(m.get("id"), m.get("session_id"))) for m in meta])
-            c.native_id = native or c.native_id
-            edges |= {child: (f"codex:{native}", kind) for child, kind in self.spawned(records)} if native else {}
-        for c in found.candidates:
-            if c.native_id in edges:
-                c.parent_session_id, c.agent_type = edges[c.native_id]
-                c.fingerprint = f"{c.fingerprint}:lineage:{c.parent_session_id}:{c.agent_type or ''}"
-        return found
+            yield listed(p, p.stem)
+
+    def examine(self, c: Candidate) -> list[Candidate]:
+        (c,) = super().examine(c)
+        try:
+            records = json_lines(read(c.path), c.path)
+        except SourceError:
+            return [c]  # reported when it is parsed
+        meta = [r["payload"] for r in records if get(r, "type") == "session_meta" and isinstance(get(r, "payload"), dict)]
+        native = first_there(*[text_of(first_there(m.get("id"), m.get("session_id"))) for m in meta])
+        return [replace(c, native_id=native, spawned=list(self.spawned(records)))] if native else [c]
 
     @staticmethod
     def spawned(records: list[Any]):
@@ -108,12 +105,10 @@ class Codex(Source):
 class Claude(Source):
     agent = "claude"
 
-    def discover(self, root: str) -> Discovery:
-        found = Discovery()
+    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
         for p in walk(root, lambda p: p.suffix == ".jsonl" and not (p.name == "journal.jsonl" and "workflows" in p.parts), found):
             nested = p.parent.name == "subagents"
-            candidate(p, f"{p.parents[1].name}/{p.stem}" if nested else p.stem, found, [p.with_suffix(".meta.json")], parent_session_id=f"claude:{p.parents[1].name}" if nested else None)
-        return found
+            yield listed(p, f"{p.parents[1].name}/{p.stem}" if nested else p.stem, [p.with_suffix(".meta.json")], parent_session_id=f"claude:{p.parents[1].name}" if nested else None)
 
     def parse(self, c: Candidate, root: str) -> Parsed | None:
         head, times, events = Firsts(), Times(), []
@@ -166,11 +161,9 @@ class Claude(Source):
 class Gemini(Source):
     agent = "gemini"
 
-    def discover(self, root: str) -> Discovery:
-        found = Discovery()
+    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
         for p in walk(root, lambda p: p.name.startswith("session-") and p.suffix in (".json", ".jsonl"), found):
-            candidate(p, p.stem, found)
-        return found
+            yield listed(p, p.stem)
 
     def parse(self, c: Candidate, root: str) -> Parsed | None:
         content = read(c.path)
@@ -221,11 +214,9 @@ class Gemini(Source):
 class Pi(Source):
     agent = "pi"
 
-    def discover(self, root: str) -> Discovery:
-        found = Discovery()
+    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
         for p in walk(root, lambda p: p.suffix == ".jsonl" and p.name != "None.jsonl", found):
-            candidate(p, p.stem, found)
-        return found
+            yield listed(p, p.stem)
 
     @staticmethod
     def time(value: Any) -> int | None:
@@ -271,22 +262,18 @@ class OpenCode(Source):
     agent = "opencode"
     FILE = "opencode.db"
 
-    def discover(self, root: str) -> Discovery:
-        found = Discovery()
+    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
         for p in walk(root, lambda p: p.suffix in (".db", ".sqlite"), found):
-            try:
-                mark, stat = fingerprint(str(p))
-                wal = p.with_name(p.name + "-wal")
-                extra = [str(wal)] if wal.is_file() else []
-                mark = ":".join([mark, *[fingerprint(x)[0] for x in extra]])
-                with _open(str(p)) as db:
-                    rows = db.execute("SELECT id, time_updated, time_created FROM session ORDER BY id").fetchall()
-                for native, updated, created in rows:
-                    found.candidates.append(Candidate(str(p), f"{p}#{native}", native, f"{mark}:{native}:{updated}", first_there(updated, created), stat.st_size, stat.st_mtime_ns, stat.st_mode & 0o7777, extra=extra))
-            except (OSError, sqlite3.Error) as e:
-                category = "unsupported_format" if isinstance(e, sqlite3.Error) else "read"
-                found.failures.append((str(p), category, str(e)))
-        return found
+            yield listed(p, p.stem, [p.with_name(p.name + "-wal")])
+
+    def examine(self, c: Candidate) -> list[Candidate]:
+        (c,) = super().examine(c)
+        try:
+            with _open(c.path) as db:
+                rows = db.execute("SELECT id, time_updated, time_created FROM session ORDER BY id").fetchall()
+        except sqlite3.Error as e:
+            raise SourceError(str(e), "unsupported_format", "discovery") from e
+        return [replace(c, locator=f"{c.path}#{native}", native_id=native, fingerprint=f"{c.fingerprint}:{native}:{updated}", updated_at_ms=first_there(updated, created)) for native, updated, created in rows]
 
     def parse(self, c: Candidate, root: str) -> Parsed | None:
         with _open(c.path) as db:
@@ -296,11 +283,13 @@ class OpenCode(Source):
                 return None
             messages = [dict(x) for x in db.execute("SELECT * FROM message WHERE session_id = ? ORDER BY time_created, id", (c.native_id,))]
             parts = [dict(x) for x in db.execute("SELECT * FROM part WHERE session_id = ? ORDER BY time_created, id", (c.native_id,))]
-        s, events = dict(s), []
+        s, events, of_message = dict(s), [], {}
+        for p in parts:
+            of_message.setdefault(p["message_id"], []).append(p)
         for m in messages:
             data = json.loads(m["data"])
             role = text_of(get(data, "role")) or "assistant"
-            for p in (p for p in parts if p["message_id"] == m["id"]):
+            for p in of_message.get(m["id"], []):
                 body = json.loads(p["data"])
                 kind = {"text": "user" if role == "user" else "assistant", "reasoning": "thinking", "tool": "tool_call"}.get(get(body, "type"), "system")
                 shown = first_there(get(body, "state"), body) if kind == "tool_call" else first_there(get(body, "text"), get(body, "output"), body)

@@ -193,6 +193,36 @@ def test_sticky_sources_and_compaction(spark, archive):
     assert len(archive.manifest()["commits"]) == 1 and sorted(map(tuple, archive.events.select("session_id", "idx", "text").collect())) == before
 
 
+def test_commits_extend_the_index_and_replacements_shrink_it(spark, archive):
+    assert archive.manifest()["index"]["n_docs"] == archive.table("docs").count() == 6
+    ids = lambda q: [r["id"] for r in archive.search(q, as_of_ms=1_800_000_000_000).collect()]
+    assert ids("docs") == ["codex:b2"]
+    events = archive.events.filter("session_id = 'codex:b2'").withColumn("text", F.lit("entirely new words"))
+    archive.write(archive.sessions.filter("id = 'codex:b2'"), events)
+    assert ids("docs") == [] and ids("entirely new") == ["codex:b2"] and ids("deplo*") == ["codex:a1"]
+    size = archive.manifest()["index"]
+    archive.reindex()
+    assert archive.manifest()["index"] == size and ids("entirely new") == ["codex:b2"]
+    assert all(r["passed"] for r in archive.verify().collect())
+    archive.reindex("segmenting")
+    assert ids("deploying") == ["codex:a1"] and all(r["passed"] for r in archive.verify().collect())
+    again = Archive(spark, archive.path)
+    assert again.manifest()["tokenizer"] == "segmenting" and again.search("deploying").count() == 1
+    with pytest.raises(ValueError):
+        Archive(spark, archive.path, tokenizer="no such analyser")
+
+
+def test_import_promotes_sessions_and_fills_objects(spark, archive, tmp_path):
+    bare = Archive(spark, str(tmp_path / "bare"))
+    bare.write(archive.sessions, archive.events, archive.table("raw_sources").withColumn("object_hash", F.lit(None).cast("string")))
+    part = bare.sessions.withColumn("mode", F.lit("partial"))
+    bare.commit({"sessions": part, "events": bare.events, "raw_sources": bare.table("raw_sources")}, part.select("id"))
+    out = bare.import_archive(archive.path)
+    assert out["sessions_promoted"] == 2 and out["objects_imported"] == 2 and out["events_imported"] == 0
+    assert {r["mode"] for r in bare.sessions.collect()} == {"full"} and bare.events.count() == 10
+    assert bare.table("raw_sources").filter("object_hash is null").count() == 0 and all(r["passed"] for r in bare.verify().collect())
+
+
 def test_two_writers_do_not_both_win(archive):
     m = archive.manifest()
     archive._publish(m, m["version"] + 1)

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sessionlake.plans import catalog
+from sessionlake.plans import archive_catalog, catalog  # noqa: F401  registers queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
