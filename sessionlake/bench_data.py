@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TOPICS = ("deployment", "sqlite", "parser", "reconstruction")
@@ -41,3 +44,44 @@ def generated_archive(spark: SparkSession, n: int, changed: bool = False) -> tup
     kept = F.filter(each, lambda x: (x["idx"] < len(steps)) | F.col("changed"))
     ev = s.select(F.concat(F.lit("codex:"), F.col("id")).alias("session_id"), "started_at_ms", F.explode(kept).alias("e"))
     return rows, ev.select("session_id", F.col("e.idx").cast("long").alias("idx"), "e.kind", "e.text", F.col("started_at_ms").alias("created_at_ms"))
+
+
+def native_records(i: int, topic: str, cwd: str, started_ms: int, changed: bool) -> list[dict]:
+    """The lines of one session's file: six events, and one more answer where it is changed."""
+
+    def at(s: int) -> str:
+        from datetime import datetime, timezone
+
+        return datetime.fromtimestamp(started_ms // 1000 + s, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    item = lambda s, **p: {"type": "response_item", "timestamp": at(s), "payload": p}
+    told = lambda s, **p: {"type": "event_msg", "timestamp": at(s), "payload": p}
+    records = [
+        {"type": "session_meta", "timestamp": at(0), "payload": {"id": f"bench-{i:06d}", "cwd": cwd, "model_provider": "bench"}},
+        {"type": "turn_context", "payload": {"model": "bench-model"}},
+        told(1, type="user_message", message=f"please check the {topic} benchmark and its migration {i}"),
+        item(2, type="reasoning", summary=f"looking for a regression in {topic}"),
+        item(3, type="function_call", name="shell", call_id="c", arguments=json.dumps({"command": f"run {topic}"})),
+        item(4, type="function_call_output", call_id="c", output=f"ran {topic}. " + "All steps passed without a warning. " * 12),
+        item(6, type="message", role="assistant", content=[{"type": "output_text", "text": f"the {topic} run is done"}]),
+        told(8, type="token_count", info={"last_token_usage": {"total_tokens": 100 + i % 50}}),
+    ]
+    return records + [item(9, type="message", role="assistant", content=[{"type": "output_text", "text": f"changed answer on {topic}"}])] * changed
+
+
+def write_native(spark: SparkSession, n: int, folder: str, changed: bool = False) -> None:
+    """A file for each generated session, a thousand to a folder; ``changed`` writes the first hundredth again."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for r in b.itertuples():
+                place = f"{folder}/{r.i // 1000:04d}"
+                os.makedirs(place, exist_ok=True)
+                with open(f"{place}/rollout-{r.id}.jsonl", "w") as f:
+                    f.writelines(json.dumps(x) + "\n" for x in native_records(r.i, r.topic, r.cwd, r.started_at_ms, changed))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    s = generated_sessions(spark, n)
+    (s.filter("changed") if changed else s).mapInPandas(run, "n long").agg(F.sum("n")).collect()
