@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import workers
 from ..scratch import Scratch, delete_path, shared_dir  # noqa: F401  part of this module's surface
 
 U64 = np.uint64
@@ -130,21 +128,14 @@ def sent_file(name: str) -> str:
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run: sends it with the job, once per application."""
-    # Texts are long: smaller Arrow batches than Spark's default hold less memory outside the heap, in the JVM and in the workers.
+    """Lets Python workers import this package wherever they run, and keeps their batches small.
+
+    Texts are long: smaller Arrow batches than Spark's default hold less memory outside the heap, in the JVM and in the workers. The setting is the
+    session's, so it is changed only where it is Spark's own default.
+    """
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "1000")
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
+    workers.ship(spark)

@@ -7,7 +7,7 @@ share that the plane's false-positive rate explains is taken out, and the langua
 the highest corrected share of the text's n-grams wins.
 
 Training: whole texts of labelled rows, at most about ``per_lang`` for each language (an
-even sample by hash; a parameter). An n-gram belongs to a language if it makes up
+even sample by a hash of id and text; a parameter). An n-gram belongs to a language if it makes up
 ``MIN_SHARE`` of that language's n-grams (so at most 1 / MIN_SHARE n-grams each, whatever
 the corpus) and ``MIN_RATIO`` of its share in the language where it is most frequent.
 
@@ -76,21 +76,22 @@ class Model:
     slots: np.ndarray  # bitmasks
     rates: np.ndarray  # false positives by language
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and number of n-grams of each text."""
+        names, scores, sizes = [], np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for a, b in _blocks(texts):
             clean = [normalise(t) for t in texts[a:b]]
             if not self.langs:
                 names += ["und"] * (b - a)
                 continue
-            share = self._shares(clean)
+            share, sizes[a:b] = self._shares(clean)
             best = np.argmax(share, axis=1)
             has = np.array([bool(c) for c in clean])
             scores[a:b] = np.where(has, share[np.arange(b - a), best], 0.0)
             names += [self.langs[k] if ok else "und" for k, ok in zip(best.tolist(), has.tolist(), strict=True)]
-        return names, np.clip(scores, 0.0, 1.0)
+        return names, np.clip(scores, 0.0, 1.0), sizes
 
-    def _shares(self, clean: list[str]) -> np.ndarray:
+    def _shares(self, clean: list[str]) -> tuple[np.ndarray, np.ndarray]:
         data, at = _joined(clean)
         hits, total = np.zeros((len(clean), len(self.langs))), np.zeros(len(clean))
         mask = U64(len(self.slots) - 1)
@@ -105,7 +106,7 @@ class Model:
                 plane = np.concatenate([[0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)])
                 hits[:, k] += plane[last] - plane[first]
         share = hits / np.maximum(total, 1)[:, None]
-        return np.maximum(0.0, (share - self.rates) / (1 - self.rates))
+        return np.maximum(0.0, (share - self.rates) / (1 - self.rates)), total
 
 
 def train(labelled: DataFrame, per_lang: int = 4000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -123,7 +124,7 @@ def train(labelled: DataFrame, per_lang: int = 4000, key: str = "doc_id", text:
     rate = F.lit(None).cast("double")
     for x in langs:
         rate = F.when(F.col("l") == x, F.lit(min(1.0, per_lang / counts[x]))).otherwise(rate)
-    drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < rate * (1 << 20)
+    drawn = F.pmod(F.xxhash64("k", "t"), F.lit(1 << 20)) < rate * (1 << 20)
     bit = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
@@ -154,18 +155,19 @@ def train(labelled: DataFrame, per_lang: int = 4000, key: str = "doc_id", text:
     return Model(langs, slots, np.minimum(fill**HASHES, 0.999))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with columns lang_pred and lang_score added (existing ones of that name replaced)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_grams")) -> DataFrame:
+    """``docs`` with the language, its score and the text's number of n-grams added under ``names`` (columns of those names are replaced)."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # slots: 2**SLOT_BITS masks
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang string, score double, grams long")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        names, scores = held.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "lang_score": scores})
+        langs, scores, sizes = held.value.predict(texts.tolist())
+        return pd.DataFrame({"lang": langs, "score": scores, "grams": sizes})
 
-    base = docs.drop("lang_pred", "lang_score")
-    return base.withColumn("__judged", judge(base[text])).select(*[base[c] for c in base.columns], "__judged.lang_pred", "__judged.lang_score")
+    base = docs.drop(*names)
+    found = base.select(F.struct(*[base[c] for c in base.columns]).alias("row"), judge(base[text]).alias("judged"))
+    return found.select(*[F.col(f"row.`{c}`") for c in base.columns], *[F.col(f"judged.{k}").alias(n) for k, n in zip(("lang", "score", "grams"), names, strict=True)])
 
 
 def held_out(key: str = "doc_id"):

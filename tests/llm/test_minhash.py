@@ -157,3 +157,11 @@ def test_sketches_decide_short_texts_exactly_and_keep_near_long_ones():
         got = M.alike(sketch[0], int(total[0]), sketch, total)
         want = [brute_likeness(base, x) >= 0.8 for x in texts]
         assert got.tolist() == want if n < 200 else all(g or not x for g, x in zip(got, want, strict=True)) and not got[-1]
+
+
+def test_very_long_texts_are_whole(spark):
+    r = random.Random(15)
+    base = prose(r, 40_000)
+    rows = [(1, base), (2, edited(r, base, 300)), (3, base[: len(base) // 2]), (4, base + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in M.classes(df).collect()} == brute_classes(rows) == {1: 1, 2: 1, 3: 3, 4: 1}

@@ -293,8 +293,49 @@ def test_filters_hold_every_kept_ngram():
         h = langid._grams(data, order)
         for k in range(langid.HASHES):
             model.slots[((h >> np.uint64(langid.SLOT_BITS * k)) & np.uint64(len(model.slots) - 1)).astype(np.int64)] |= 2
-    names, scores = model.predict(["hallo, WELT!", "quite another text"])
-    assert names[0] == "b" and scores[0] == 1.0 and scores[1] < 0.2
+    names, scores, sizes = model.predict(["hallo, WELT!", "quite another text", ""])
+    assert names[0] == "b" and scores[0] == 1.0 and scores[1] < 0.2 and sizes.tolist() == [10 + 8, 20 - 2 + 20 - 4, 0]
+
+
+def test_language_query_against_exact_sets(spark, tmp_path):
+    """The whole query with plain sets of n-grams in place of filters: the same languages, scores within the filters' errors."""
+    from sessionlake.llm import queries
+
+    rows = language_rows(240, 17) + [(500, None, "en"), (501, "?!", "de"), (502, "the ung eau " * 3, None), (503, "xyzzy " * 5, "fr"), (504, "the " * 60_000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = lambda t: [t.encode()[i : i + k] for k in langid.ORDERS for i in range(len(t.encode()) - k + 1)]
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    counts = {}
+    for i, t, x in rows:
+        if x is not None and not out[i]:
+            counts.setdefault(x, Counter()).update(grams(langid.normalise(t)))
+    share = {x: {g: n / c.total() for g, n in c.items() if n >= 2 and n >= langid.MIN_SHARE * c.total()} for x, c in counts.items()}
+    most = {}
+    for c in share.values():
+        for g, v in c.items():
+            most[g] = max(most.get(g, 0), v)
+    sets = {x: {g for g, v in c.items() if v >= langid.MIN_RATIO * most[g]} for x, c in share.items()}
+    docs = dict((x[0], x[1]) for x in rows)
+    for r in queries.op8_language_bitmask(spark, str(tmp_path)).collect():
+        mine = grams(langid.normalise(docs[r["doc_id"]]))
+        scores = {x: sum(g in s for g in mine) / len(mine) for x, s in sets.items()} if mine else {}
+        assert r["held_out"] == out[r["doc_id"]]
+        if not mine:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert abs(scores[r["lang_pred"]] - max(scores.values())) < 0.02 and abs(r["score"] - scores[r["lang_pred"]]) < 0.03
+
+
+def test_very_long_texts(spark):
+    r = random.Random(31)
+    prose = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(60_000))
+    passage = "a benchmark question of its own that no prose of random letters would ever hold by chance, asked at length"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose + " " + passage), (2, prose)], "doc_id long, text string")
+    assert [x["doc_id"] for x in decontaminate.find(docs, bench).collect()] == [1]
+    url = "http://" + "x" * 50_000 + ".org/" + "casino" * 5_000
+    got = urls.judge(spark.createDataFrame([(1, url, "<p>casino</p>")], "page_id long, url string, html string")).first()
+    assert len(got["host"]) == 50_004 and got["words"].endswith("casino casino")
 
 
 # Decontamination

@@ -85,3 +85,5 @@ def test_empty_table_and_clashing_columns(spark, folder, tmp_path):
     for name, stage in P.STAGES[:-1]:
         got = stage(spark, spark.createDataFrame(rows, odd), path)
         assert got.columns == spark.createDataFrame([], odd).columns and got.count() == 3, name
+    labelled = spark.createDataFrame([(i, t, x, "s", len(t), f"own {i}") for i, t, x in language_rows(60)], COLUMNS + ", lang_pred string")
+    assert {r["lang_pred"] for r in P.language(spark, labelled, path).collect()} == {f"own {i}" for i in range(60)}
