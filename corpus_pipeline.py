@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sessionlake.llm import bpe, decontaminate, langid, minhash, suffix_dedup
 from sessionlake.llm.common import Scratch
 
-#: A text whose best language holds less than this share of its n-grams is in none of them.
+#: A text whose best language holds less than this share of its n-grams is in none of them, unless it has so few of them that the share may be
+#: chance: DEVIATIONS of it are allowed for.
 LEAST_LANGUAGE = 0.25
+DEVIATIONS = 2.0
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -28,8 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~langid.held_out()))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = langid.predict(docs, model)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(docs.columns)
+    names = ("__lang", "__score", "__grams")  # a table's own lang_pred stays as it is
+    judged = langid.predict(docs, model, names=names)
+    share = F.col("__score")
+    most = share + DEVIATIONS * F.sqrt(share * (1 - share) / F.greatest(F.col("__grams"), F.lit(1)))
+    return judged.filter((F.col("__lang") != "und") & (most >= LEAST_LANGUAGE)).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
