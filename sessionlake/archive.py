@@ -380,10 +380,10 @@ class Archive:
 
         return checks(self)
 
-    def restore(self, session_id: str, target: str, overwrite: bool = False) -> list[dict[str, Any]]:
+    def restore(self, session_id: str, target: str, overwrite: bool = False, manifest: str | None = None) -> dict[str, Any]:
         from .restore import restore
 
-        return restore(self, session_id, target, overwrite)
+        return restore(self, session_id, target, overwrite, manifest)
 
 
 DOCS = M._struct(("session_id", M._S, False), ("idx", M._L, False), ("dl", M._L, False))

@@ -10,11 +10,12 @@ from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 
+from . import doctor
 from .api import plain, serve
 from .archive import Archive, ArchiveError
 from .config import resolve
 from .functions.values import since_ms
-from .operators.listing import talk
+from .service import Service
 
 
 def shown(value, style: str) -> str:
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
 
     text, many, flag, number = {}, {"action": "append"}, {"action": "store_true"}, {"type": int}
     command("ingest", ("--agent", many), ("--root", text), ("--since", text), ("--exclude", many), ("--dry-run", flag), ("--strict", flag))
-    command("watch", ("--agent", many), ("--root", text), ("--interval", number), ("--once", flag))
+    command("watch", ("--agent", many), ("--root", text), ("--interval", number), ("--debounce-ms", number), ("--once", flag))
     command("search", ("query", text), ("--limit", number | {"default": 20}), ("--agent", text), ("--cwd", text), ("--since", text))
     command("list", ("--limit", number | {"default": 50}), ("--cursor", text), ("--agent", text), ("--cwd", text), ("--since", text), ("--mode", text), ("--model", text), ("--provider", text))
     command("show", ("session_id", text), ("--from", number | {"dest": "low"}), ("--to", number | {"dest": "high"}), ("--kind", many), ("--include-tools", flag))
@@ -49,12 +50,20 @@ def parser() -> argparse.ArgumentParser:
     command("backup", ("target", text))
     command("import", ("source", text))
     command("gc", ("--dry-run", flag))
-    command("restore", ("session_id", text), ("out", text), ("--overwrite", flag))
+    command("restore", ("session_id", text), ("out", text), ("--overwrite", flag), ("--manifest", text))
+    command("serve", ("--listen", {"default": "127.0.0.1:50051"}), ("--socket", text), ("--allow-remote", flag), ("--reconstruct-root", text))
+    command("service", ("action", {"choices": ("install", "uninstall", "start", "stop", "status")}))
+    command("completion", ("shell", {"choices": ("bash",)}))
     return p
 
 
 def run(a: argparse.Namespace, spark: SparkSession, lines=sys.stdin):
     """The command's result; ``api`` gives an iterator of lines."""
+    if a.command == "service":
+        return getattr(Service(), a.action)()
+    if a.command == "completion":
+        names = next(x for x in parser()._actions if isinstance(x, argparse._SubParsersAction)).choices
+        return {"script": f"complete -W '{' '.join(sorted(names))}' sessionlake"}
     config = resolve({"database_path": a.database_path, "output_format": a.output_format}, file=a.config)
     archive, now = Archive(spark, config.database_path), int(time.time() * 1000)
     since = since_ms(a.since, now) if getattr(a, "since", None) else None
@@ -69,9 +78,9 @@ def run(a: argparse.Namespace, spark: SparkSession, lines=sys.stdin):
         case "watch":
             from .streaming.watch import watch
 
-            query = watch(archive, lambda e: print(json.dumps(e, default=asdict)), a.interval or config.watch_interval_seconds, a.once, agents=agents, root=a.root)
-            query.awaitTermination()
-            return {"stopped": True}
+            tell = lambda e: print(json.dumps(e, default=lambda x: asdict(x)))
+            done = watch(archive, tell, a.interval or config.watch_interval_seconds, a.debounce_ms or config.watch_debounce_ms, a.once, agents=agents, root=a.root, exclude=config.exclude)
+            return asdict(done)
         case "search":
             return archive.search(a.query, a.limit, a.agent, a.cwd, since).collect()
         case "list":
@@ -90,7 +99,7 @@ def run(a: argparse.Namespace, spark: SparkSession, lines=sys.stdin):
         case "verify":
             return archive.verify().collect()
         case "doctor":
-            return doctor(archive)
+            return doctor.report(archive, config.default_agents, config.watch_interval_seconds, config.watch_debounce_ms)
         case "reindex":
             return archive.reindex()
         case "compact":
@@ -102,21 +111,15 @@ def run(a: argparse.Namespace, spark: SparkSession, lines=sys.stdin):
         case "gc":
             return archive.gc(a.dry_run)
         case "restore":
-            return archive.restore(a.session_id, a.out, a.overwrite)
+            return archive.restore(a.session_id, a.out, a.overwrite, a.manifest)
+        case "serve":
+            from .daemon import Daemon
+
+            return Daemon(archive, a.listen, a.socket, a.allow_remote, a.reconstruct_root).run()
         case "api":
             return serve(archive, lines)
 
 
-def doctor(archive: Archive) -> dict:
-    """Whether the archive is sound, and how far it is behind its sources."""
-    checks = archive.verify().collect()
-    m = archive.manifest()
-    latest = archive.sessions.agg({"ended_at_ms": "max"}).first()[0]
-    done = m["telemetry"].get("completed_at_ms")
-    lag = max(latest - done, 0) if latest is not None and done is not None else None
-    return {"healthy": all(c["passed"] for c in checks), "checks": checks, "tokenizer": m["tokenizer"], "last_ingest": m["telemetry"].get("last_ingest"), "lag_ms": lag, "talk_events": talk(archive.events).count()}
-
-
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("sessionlake").config("spark.ui.showConsoleProgress", "false").getOrCreate()

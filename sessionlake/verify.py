@@ -13,7 +13,6 @@ from . import schema as M
 from .functions.analysers import analyser
 from .operators import fulltext, tables as K
 
-MOST_SHOWN = 20
 _REPORT = "name string, checked long, passed boolean, failures array<string>"
 
 
@@ -33,7 +32,8 @@ def checks(archive) -> DataFrame:
     spark, rows = archive.spark, []
 
     def add(name: str, checked: int, bad: DataFrame | list[str]) -> None:
-        shown = bad if isinstance(bad, list) else [str(r[0]) for r in bad.limit(MOST_SHOWN).collect()]
+        """A check's row with every failure."""
+        shown = bad if isinstance(bad, list) else [str(r[0]) for r in bad.collect()]
         rows.append((name, checked, not shown, shown))
 
     m, problems, n = archive.manifest(), [], 0

@@ -1,6 +1,8 @@
 import json
 import os
 import sqlite3
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,7 +168,7 @@ def test_verify_backup_import_gc_restore(spark, archive, tmp_path):
     out = archive.restore("codex:a1", str(tmp_path / "out"))
     original = tmp_path / "src/rollout-a1.jsonl"
     restored = tmp_path / "out/rollout-a1.jsonl"
-    assert restored.read_bytes() == original.read_bytes() and os.stat(restored).st_mtime_ns == os.stat(original).st_mtime_ns and len(out) == 1
+    assert restored.read_bytes() == original.read_bytes() and os.stat(restored).st_mtime_ns == os.stat(original).st_mtime_ns and out["schema_version"] == "restore-manifest-v1" and len(out["files"]) == 1
     with pytest.raises(ValueError):
         archive.restore("codex:a1", str(tmp_path / "out"))
     assert archive.restore("codex:a1", str(tmp_path / "out"), overwrite=True)
@@ -230,13 +232,75 @@ def test_two_writers_do_not_both_win(archive):
         archive._publish(m, m["version"] + 1)
 
 
-def test_watch_once_runs_the_ingest(spark, archive, tmp_path):
-    from sessionlake.streaming.watch import quiet_periods, watch
+def test_stream_once_runs_the_ingest(spark, archive, tmp_path):
+    from sessionlake.streaming.watch import quiet_periods, stream
 
     codex(tmp_path / "src", "c3", "new one")
     seen = []
-    query = watch(archive, seen.append, once=True, agents=("codex",), root=str(tmp_path / "src"))
+    query = stream(archive, seen.append, once=True, agents=("codex",), root=str(tmp_path / "src"))
     query.awaitTermination(120)
     assert seen and seen[0]["event"] == "run" and seen[0]["trigger"] == "startup" and seen[0]["report"].ingested == 1
     rows = spark.sql("SELECT timestamp_millis(x) AS at FROM VALUES (0), (400), (900), (5000) t(x)")
     assert sorted(r["changes"] for r in quiet_periods(rows, "at").collect()) == [1, 3]
+
+
+class Counted:
+    """Stands for an archive whose ingests only count."""
+
+    def __init__(self, fail=False):
+        self.n, self.fail = 0, fail
+
+    def ingest(self, **how):
+        self.n += 1
+        if self.fail:
+            raise OSError("no room")
+        return self.n
+
+
+def test_watch_triggers_debounce_and_failures(tmp_path):
+    from sessionlake.streaming.watch import unstable, watch
+
+    root, seen, stop = tmp_path / "src", [], threading.Event()
+    root.mkdir()
+    t = threading.Thread(target=lambda: seen.append(watch(Counted(), seen.append, 60, 300, stop=stop, root=str(root))))
+    t.start()
+    time.sleep(0.8)
+    for k in range(4):  # one burst, one run
+        (root / f"f{k}").write_text("x")
+        time.sleep(0.1)
+    time.sleep(1.8)
+    stop.set()
+    t.join(5)
+    assert [e.get("trigger") for e in seen[:2]] == ["startup", "filesystem"] and seen[2]["event"] == "summary"
+    assert seen[3].runs == 2 and seen[3].stopped and seen[3].watcher_available and not seen[3].issues
+
+    events, stop = [], threading.Event()
+
+    def broken(roots):
+        raise OSError("cannot watch")
+
+    t = threading.Thread(target=lambda: watch(Counted(), events.append, 0.4, 100, stop=stop, look=broken, root=str(root)))
+    t.start()
+    time.sleep(1.5)
+    stop.set()
+    t.join(5)
+    assert [e["event"] for e in events[:2]] == ["issue", "run"] and sum(e["event"] == "issue" for e in events) == 1 and "periodic" in [e.get("trigger") for e in events]
+    done = watch(Counted(), once=True, root=str(root))
+    assert done.runs == 1 and not done.stopped
+    with pytest.raises(OSError):
+        watch(Counted(fail=True), once=True, root=str(root))
+    with pytest.raises(ValueError):
+        watch(Counted(), debounce_ms=0)
+
+    def grow():
+        with open(root / "f0", "a") as f:
+            for _ in range(20):
+                f.write("more")
+                f.flush()
+                time.sleep(0.02)
+
+    t = threading.Thread(target=grow)
+    t.start()
+    assert unstable({str(root / "f0")}, 0.2)
+    t.join()
+    assert not unstable({str(root / "f0"), str(root / "gone")}, 0.05)
