@@ -228,7 +228,9 @@ def candidates_from_postings(posts: DataFrame, plan: Plan, keys: tuple[str, ...]
     at = Positions(plan)
     if not at.asked:
         return posts.select(*keys, "dl").limit(0), at
-    some = posts.filter(reduce(lambda a, b: a | b, [at.wanted(k) for k in at.asked]))
+    # Dealt by the first key, which later steps group by too; by number, so that few bytes of many texts are not put in one task.
+    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = posts.filter(reduce(lambda a, b: a | b, [at.wanted(k) for k in at.asked])).select(*keys, "dl", "term", "positions").repartition(n, keys[0])
     exact = [len(words) == 1 and not prefix for words, prefix in at.asked]
     gathered = [F.flatten(F.collect_list(F.when(at.wanted(k), F.col("positions")))) for k in at.asked]
     return some.groupBy(*keys, "dl").agg(*[(g if e else F.array_sort(F.array_distinct(g))).alias(f"at{i}") for i, (g, e) in enumerate(zip(gathered, exact, strict=True))]), at

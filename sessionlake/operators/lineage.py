@@ -50,8 +50,8 @@ def step(row) -> str | None:
     return row["forked_from"].split("#")[0] if row["forked_from"] is not None else None
 
 
-def paths_of_few(sessions: DataFrame, rows: list) -> DataFrame:
-    """:func:`paths` of a few sessions' rows (id, parent_session_id, forked_from), no more than a search has candidates: one lookup for each level."""
+def paths_of_few(sessions: DataFrame, rows: list) -> dict[str, tuple[str, list[str]]]:
+    """id -> (root, path), as :func:`paths` has them, of a few sessions' rows (id, parent_session_id, forked_from), no more than a search has candidates: one lookup for each level."""
     spark = sessions.sparkSession
     known, ask = {r["id"]: step(r) for r in rows}, {step(r) for r in rows} - {None} - {r["id"] for r in rows}
     while ask:
@@ -59,7 +59,7 @@ def paths_of_few(sessions: DataFrame, rows: list) -> DataFrame:
         got = sessions.select("id", "parent_session_id", "forked_from").join(F.broadcast(few), "id", "left_semi").collect()  # no more rows than were asked
         known |= {r["id"]: step(r) for r in got}
         ask = {step(r) for r in got} - {None} - known.keys()
-    out = []
+    out = {}
     for r in rows:
         path, node = [r["id"]], known[r["id"]]
         while node is not None and node in known:
@@ -67,5 +67,5 @@ def paths_of_few(sessions: DataFrame, rows: list) -> DataFrame:
             if node in path[:-1]:
                 break
             node = known[node]
-        out.append((r["id"], path[-1], len(path) - 1, path))
-    return spark.createDataFrame(out, "id string, root string, depth int, path array<string>")
+        out[r["id"]] = (path[-1], path)
+    return out

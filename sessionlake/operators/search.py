@@ -1,18 +1,21 @@
 """Ranked search over sessions: candidates, session scores, lineage collapse and context.
 
-Candidates are found in the postings by a distributed plan. What remains after the cap of ``MOST_CANDIDATES`` hits is held as a local table (at
-most that many rows, each with its snippet in place of its text), so the later steps join by broadcast and read the large tables once each.
+Candidates are found in the postings by a distributed plan, which ends in the cap of ``MOST_CANDIDATES`` hits. Their snippets, their sessions' rows and
+the texts of the results' context are fetched by broadcast of the few ids; what is done with them is :mod:`tail`, on the driver. ``grouped``, ``scored`` and
+``collapsed`` are the same steps as DataFrames, for hits of any number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X, values as V
 from ..functions.analysers import PORTABLE, Analyser
 from ..functions.snippet import snippet_column
 from ..plans.query import Plan, plan as plan_query
-from . import fulltext, lineage
+from . import fulltext, lineage, tail
 
 PER_SESSION = 50
 CANDIDATES_PER_RESULT, LEAST_CANDIDATES, MOST_CANDIDATES = 50, 500, 5000
@@ -45,14 +48,14 @@ def capped(hits: DataFrame, cap: int) -> DataFrame:
     return hits.orderBy("bm25", "session_id", "idx").limit(cap)
 
 
-def candidates(events: DataFrame, sessions: DataFrame, plan: Plan, cap: int, posts: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
-    """session_id, idx, bm25 of the capped hits of the given (already filtered) sessions; from postings where they are stored."""
+def candidates(events: DataFrame, sessions: DataFrame | None, plan: Plan, cap: int, posts: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
+    """session_id, idx, bm25 of the capped hits of the given (already filtered) sessions, or of all; from postings where they are stored."""
     if posts is None:
         scored = fulltext.bm25(fulltext.index(events), plan)
     else:
         found, at = fulltext.candidates_from_postings(posts, plan)
         scored = fulltext.bm25(found, plan, totals=totals, toks=at)
-    own = scored.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    own = scored if sessions is None else scored.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
     return capped(ranked_hits(own), cap).select("session_id", "idx", "bm25")
 
 
@@ -61,14 +64,9 @@ def texts(hits: DataFrame, events: DataFrame) -> DataFrame:
     return events.select("session_id", "idx", "kind", "text").join(F.broadcast(hits), ["session_id", "idx"])  # at most MOST_CANDIDATES rows
 
 
-def held(rows: DataFrame) -> DataFrame:
-    """A few rows (no more than the cap of candidates) as a local table."""
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema).coalesce(1)  # one partition: nothing after is shuffled
-
-
 def grouped(hits: DataFrame, sessions: DataFrame, terms: list[str]) -> DataFrame:
     """One row per session: hits, covered terms and the best hit; ``shown`` is the text that coverage looks at."""
-    hits = sessions.select(F.col("id").alias("session_id"), "title").join(hits, "session_id")
+    hits = hits.join(sessions.select(F.col("id").alias("session_id"), "title"), "session_id")
     seen = F.concat(F.lower(F.coalesce("shown", F.lit(""))), F.lit(" "), F.lower(F.coalesce("title", F.lit(""))))
     hits = hits.withColumn("covered", X.covered(terms, seen))
     best = F.min_by(F.struct("idx", "kind", "bm25", F.col("shown").alias("snippet")), F.struct("bm25", "idx"))
@@ -130,42 +128,39 @@ def bookends(events: DataFrame) -> DataFrame:
     return talk.groupBy("session_id").agg(ask.alias("ask"), outcome.alias("outcome")).select("session_id", X.preview(F.col("ask")).alias("ask"), X.preview(F.col("outcome")).alias("outcome"))
 
 
-def with_context(results: DataFrame, events: DataFrame) -> DataFrame:
-    """ask and outcome of each result: its own, else its first related session's that has one, else its ancestors' (CONTEXT_ANCESTORS of all results, nearest first)."""
-    line = F.coalesce("path", F.array().cast("array<string>"))
-    own = F.array_distinct(F.concat(F.array("session_id"), "related"))
-    beyond = F.array_except(F.array_distinct(F.concat(line, F.flatten(F.transform("others", lambda x: F.coalesce(x["path"], F.array().cast("array<string>")))))), own)
-    mine = results.select("root", F.posexplode(own).alias("at", "member"))
-    above = results.select("root", "score", F.size(own).alias("n"), F.posexplode(beyond).alias("at", "member"))
-    above = above.orderBy(F.col("score").desc(), "root", "at").limit(CONTEXT_ANCESTORS).select("root", (F.col("n") + F.col("at")).alias("at"), "member")
-    asked = mine.unionByName(above)
-    ends = bookends(events.join(F.broadcast(asked.select(F.col("member").alias("session_id")).distinct()), "session_id", "left_semi"))  # of at most MOST_CANDIDATES results and CONTEXT_ANCESTORS
-    got = asked.join(ends, asked["member"] == ends["session_id"]).groupBy("root").agg(
-        F.min_by("ask", F.when(F.col("ask").isNotNull(), F.col("at"))).alias("ask"), F.min_by("outcome", F.when(F.col("outcome").isNotNull(), F.col("at"))).alias("outcome")
-    )
-    return results.join(got, "root", "left")
+def few(spark: SparkSession, ids: list[str], name: str) -> DataFrame:
+    """At most as many ids as a search has candidates, for a join by broadcast."""
+    return F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{name} string").coalesce(1))
 
 
 def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: DataFrame | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE) -> DataFrame:
     """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM."""
-    plan = plan_query(query, analyser)
+    spark, plan = sessions.sparkSession, plan_query(query, analyser)
     if plan.empty or limit <= 0 or plan.expr is None:
-        limit, plan = 0, Plan(None)
+        return spark.createDataFrame([], tail.RESULT)
     if posts is None and not analyser.plain:
         idx = fulltext.index(events, analyser=analyser)
         n = fulltext.statistics(idx).first()
         posts, totals = fulltext.postings(idx), (n["n_docs"], n["avgdl"])
-    top = held(candidates(events, filtered(sessions, agent, cwd, since_ms), plan, candidate_cap(limit), posts, totals))
-    hits = texts(top, events)
+    own = None if agent is None and cwd is None and since_ms is None else filtered(sessions, agent, cwd, since_ms)
+    top = candidates(events, own, plan, candidate_cap(limit), posts, totals).collect()  # at most MOST_CANDIDATES rows
+    if not top:
+        return spark.createDataFrame([], tail.RESULT)
+    hits = texts(spark.createDataFrame(top, "session_id string, idx long, bm25 double").coalesce(1), events)
     shown = snippet_column(F.col("text"), [p.places() for p in plan.phrases], analyser) if snippets else F.col("text")
-    hits = hits.withColumn("shown", shown).drop("text")
-    groups = grouped(hits, sessions, plan.terms)
-    cards = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from")
-    ids = top.select(F.col("session_id").alias("id")).distinct()
-    found = held(groups.join(cards.join(F.broadcast(ids), "id", "left_semi").withColumnRenamed("id", "session_id"), "session_id"))  # at most MOST_CANDIDATES sessions
-    paths = lineage.paths_of_few(sessions, found.select(F.col("session_id").alias("id"), "parent_session_id", "forked_from").collect())
-    rows = scored(found.select("session_id", "hits", "n_covered", "best"), found.drop("hits", "n_covered", "best").withColumnRenamed("session_id", "id"), plan.terms, as_of_ms)
-    return with_context(collapsed(rows, F.broadcast(paths), limit), events).orderBy(*_order())
+    hits = hits.withColumn("shown", shown).select("session_id", "idx", "kind", "bm25", (F.col("shown") if snippets else F.lit(None).cast("string")).alias("snippet"), X.covered(plan.terms, F.lower(F.coalesce("shown", F.lit("")))).alias("covered"))
+    cards = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from").join(few(spark, sorted({r["session_id"] for r in top}), "id"), "id", "left_semi")
+    with ThreadPoolExecutor(2) as both:  # two jobs side by side
+        later = both.submit(cards.collect)
+        rows, found = hits.collect(), {r["id"]: r for r in later.result()}
+    groups = tail.grouped([r for r in rows if r["session_id"] in found], found, plan.terms)
+    tail.scored(groups, plan.terms, as_of_ms, WEIGHTS)
+    results = tail.collapsed(groups, lineage.paths_of_few(sessions, list(found.values())), limit, MEMBER_SHARE)
+    lines = tail.members(results, CONTEXT_ANCESTORS)
+    ends = bookends(events.join(few(spark, sorted({i for line in lines for i in line}), "session_id"), "session_id", "left_semi"))
+    talk = {r["session_id"]: r for r in ends.collect()}  # the results' sessions and ancestors
+    first = lambda line, what: next((talk[i][what] for i in line if i in talk and talk[i][what] is not None), None)
+    return spark.createDataFrame([r.row(first(line, "ask"), first(line, "outcome")) for r, line in zip(results, lines, strict=True)], tail.RESULT).coalesce(1)
 
 
 def result(rows: DataFrame) -> DataFrame:

@@ -111,9 +111,10 @@ def src10_gemini_ingest(spark, d):
     return _native("gemini", spark, d)
 
 
-@query(_events_sql("pi", "'user', 'assistant', 'system'"))
+@query(_events_sql("pi", "'user', 'assistant', 'system'").replace("role AS kind", "CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS kind"))
 def src11_pi_ingest(spark, d):
-    return _native("pi", spark, d).withColumn("kind", F.col("kind"))
+    """Messages of this format are a user's or else an assistant's."""
+    return _native("pi", spark, d)
 
 
 _LATE = "late AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'assistant', 'a late answer' FROM conversations WHERE conv_id % 5 = 0 AND conv_id NOT IN (1, 2, 3) GROUP BY conv_id)"

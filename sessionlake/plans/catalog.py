@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X, values as V
@@ -835,3 +836,95 @@ def ben01_generator(spark, d):
     from ..bench_data import generated_sessions
 
     return generated_sessions(spark, 1000).select("id", "cwd", "topic", "started_at_ms", "changed")
+
+
+# Bounds, order and tags
+
+
+@query(f"{_search_sql(3)} SELECT root, session_id, hits FROM top")
+def srt03_search_limit(spark, d):
+    """Three results; a blank query and a limit of none add nothing."""
+    rows = [_search(spark, d, 3), *[R.search(events(spark, d), sessions(spark, d), q, AS_OF_MS, n, snippets=False) for q, n in (("  ", 20), (QUERY, 0))]]
+    return reduce(DataFrame.unionByName, [r.select("root", "session_id", "hits") for r in rows])
+
+
+@query(f"WITH {E} SELECT session_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS places, string_agg(kind, ',' ORDER BY idx) AS kinds FROM e GROUP BY session_id")
+def srt07_child_order(spark, d):
+    """Each session's events in order of idx, as a detail shows them."""
+    each = events(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "kind"))).alias("x"))
+    return each.select("session_id", F.array_join(F.transform("x", lambda r: r["idx"].cast("string")), ",").alias("places"), F.array_join(F.transform("x", lambda r: r["kind"]), ",").alias("kinds"))
+
+
+@query(f"""{_REL}, rr AS (SELECT query_id, coalesce(1.0 / min(rank) FILTER (grade > 0), 0.0)::DOUBLE AS rr FROM g GROUP BY query_id),
+tags AS (SELECT query_id, unnest(['all', 'starts-' || query_id[1:1]]) AS tag FROM rr) SELECT tag, round(avg(rr), 9)::DOUBLE AS rr, count(*) AS queries FROM rr JOIN tags USING (query_id) GROUP BY tag""")
+def agg15_metrics_by_tag(spark, d):
+    scores = relevance.reciprocal_rank(_ranked(spark, d)[0])
+    tags = scores.select("query_id", F.array(F.lit("all"), F.concat(F.lit("starts-"), F.substring("query_id", 1, 1))).alias("tags"))
+    return relevance.by_tag(scores, tags, ["rr"]).select("tag", F.round("rr", 9).alias("rr"), "queries")
+
+
+_GRADED = "r AS (SELECT conv_id % 3 AS q, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id) AS rank, conv_id AS id, conv_id // 4 * 4 AS root, [conv_id + 1, conv_id + 2] AS related FROM (SELECT DISTINCT conv_id FROM conversations)), l AS (SELECT doc_id % 3 AS q, doc_id AS id, quality + 2 * toxic AS grade FROM labels)"
+
+
+@query(f"WITH {_GRADED}, m AS (SELECT q, rank, unnest(list_distinct([id, root, related[1], related[2]])) AS id FROM r) SELECT q::VARCHAR AS query_id, rank, coalesce(max(grade), 0)::INT AS grade FROM m LEFT JOIN l USING (q, id) GROUP BY q, rank")
+def rel01_graded_results(spark, d):
+    """The greatest label among a result's id, its root and its related sessions."""
+    c, name = F.col("conv_id"), lambda x: x.cast("string")
+    ranks = table(spark, d, "conversations").select("conv_id").distinct().withColumn("query_id", name(c % 3)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("conv_id")))
+    results = ranks.select("query_id", "rank", name(c).alias("id"), name(F.floor(c / 4) * 4).alias("lineage_root_id"), F.array(name(c + 1), name(c + 2)).alias("related_session_ids"))
+    labels = table(spark, d, "labels").select(name(F.col("doc_id") % 3).alias("query_id"), name(F.col("doc_id")).alias("session_id"), (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("grade"))
+    return relevance.graded(results, labels).select("query_id", "rank", F.col("grade").cast("int").alias("grade"))
+
+
+@query("SELECT DISTINCT sha256(html) AS hash, octet_length(encode(html))::BIGINT AS bytes, true AS whole FROM pages WHERE html IS NOT NULL")
+def cmp01_zstd_round_trip(spark, d):
+    """Pages compressed as objects are, and whether they decode to what their hash names."""
+    import zstandard
+
+    from ..sources.distributed import ZSTD_LEVEL
+    from ..verify import _sound
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress(t.encode()))
+
+    p = table(spark, d, "pages").filter("html is not null").select(V.object_hash(F.col("html")).alias("hash"), F.octet_length("html").cast("long").alias("bytes"), packed("html").alias("payload"))
+    return p.dropDuplicates(["hash"]).select("hash", "bytes", _sound(F.lit("zstd"), "bytes", "payload", "hash").alias("whole"))
+
+
+@query("SELECT 'claude' AS agent, page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) AS path FROM pages WHERE url LIKE '%://%'")
+def str10_relative_paths(spark, d):
+    """Paths below their root, with forward slashes."""
+    path = F.regexp_replace(F.replace(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), F.lit("\\"), F.lit("/")), r"^[^/]*/?", "")
+    return table(spark, d, "pages").filter("url like '%://%'").select(F.lit("claude").alias("agent"), "page_id", path.alias("path"))
+
+
+@query(f"WITH {E} SELECT session_id, idx, array_to_string(list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x != ''), '|') AS words FROM e WHERE text IS NOT NULL")
+def str04_whitespace_words(spark, d):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    return events(spark, d).filter("text is not null").select("session_id", "idx", F.array_join(words, "|").alias("words"))
+
+
+@query()
+def fts13_snippets(spark, d):
+    """Every matching document's snippet; no SQL expresses its window, so tests hold it against SQLite's own."""
+    from ..functions.snippet import snippet_column
+
+    p = plan(QUERY)
+    hits = T.bm25(_docs(spark, d), p, ("doc_id",)).select("doc_id")
+    return table(spark, d, "documents").join(hits, "doc_id", "left_semi").select("doc_id", snippet_column(F.col("text"), [x.places() for x in p.phrases]).alias("snippet"))
+
+
+@query()
+def fts20_search_snippets(spark, d):
+    """The ranked search as users get it: coverage looks at the snippet that is shown."""
+    rows = R.search(events(spark, d), sessions(spark, d), QUERY, AS_OF_MS)
+    return R.result(rows).select("id", "lineage_root_id", "hits", F.round("score", 6).alias("score"), "best_match.snippet", "ask", "outcome")
+
+
+@query()
+def rel06_suite(spark, d):
+    """The ranking suite's metrics by tag, over its own sessions."""
+    from ..evaluate import evaluate
+
+    return evaluate(spark)[1]

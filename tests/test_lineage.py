@@ -33,3 +33,12 @@ def test_paths_of_chains_forks_and_cycles_beyond_the_row_limit(spark):
     assert got == brute(rows)
     assert some == {i: brute(rows)[i][2] for i in ("a12", "x")}
     assert lineage.paths(sessions.limit(0)).count() == 0
+
+
+def test_a_few_paths_are_looked_up_by_level(spark):
+    rows = [("a0", None, None), *[(f"a{i}", f"a{i - 1}", None) for i in range(1, 13)]]
+    rows += [("f", None, "a3#7"), ("g", "gone", "a3#7"), ("x", "y", None), ("y", "z", None), ("z", "y", None), ("own", "own", None)]
+    sessions = spark.createDataFrame(rows, SCHEMA)
+    want, asked = brute(rows), ("a12", "a2", "f", "g", "x", "own")
+    got = lineage.paths_of_few(sessions, sessions.filter(sessions["id"].isin(*asked)).collect())
+    assert got == {i: (want[i][0], want[i][2]) for i in asked}
