@@ -25,11 +25,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, free, partitions
 
 BAND = (math.log(10), math.log(1000))
-LANES, LEVELS = 32, 11
-FULL = 24
+LANES, LEVELS = 16, 12
+FULL = 12
 MOST_BROADCAST = 500_000
 RANGE_ROWS = 5_000
 
@@ -50,11 +50,18 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
     return some.select("term", (F.col("h") % LANES).cast("int").alias("lane"), F.least(depth, F.lit(LEVELS - 1)).cast("int").alias("depth"))
 
 
-def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` with lanes (each lane's hashes, coarsest first) and fingerprint of each row; ``keys`` must tell rows apart."""
+def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: str, known: Column | None = None) -> DataFrame:
+    """``keys`` with lanes (each lane's hashes, coarsest first), fingerprint, and ``known`` of each row; ``keys`` must tell rows apart.
+
+    A row's terms and one empty one are joined to the lexicon, and only those in it are grouped again; what else there is to know of the row stands beside its empty term alone.
+    """
     lex = F.broadcast(lex) if lex.count() <= MOST_BROADCAST else lex
-    each = rows.select(*keys, F.md5(F.col(text)).alias("__md5"), F.explode_outer(terms(F.col(text))).alias("term")).join(lex, "term", "left")
-    found = each.groupBy(*keys, "__md5").agg(F.array_sort(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("term", "lane", "depth")))).alias("band"))
+    mark = F.col("term") == ""
+    more = F.struct(F.md5(F.col(text)).alias("md5"), (F.lit(None).cast("int") if known is None else known).alias("known"))
+    each = rows.select(*keys, more.alias("more"), F.concat(terms(F.col(text)), F.array(F.lit(""))).alias("terms")).select(*keys, "more", F.explode("terms").alias("term"))
+    each = each.select(*keys, "term", F.when(mark, F.col("more")).alias("more")).join(lex, "term", "left").filter(mark | F.col("lane").isNotNull())
+    found = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("term", "lane", "depth")))).alias("band"), F.first("more", ignorenulls=True).alias("more"))
+    found = found.select(*keys, "band", F.col("more.md5").alias("__md5"), F.col("more.known").alias("known"))
     # Each column is named twice by the next, so that it is computed once and not for every element of a lambda.
     lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j: F.filter("band", lambda x: x["lane"] == j))
     found = found.withColumn("own", F.when(F.size("band") >= 0, lanes))
@@ -66,7 +73,7 @@ def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: str) ->
 
     found = found.withColumn("lanes", F.when(F.size("own") >= 0, F.transform("own", hashes)))
     name = F.when(F.size("band") == 0, F.concat(F.lit("x:"), F.col("__md5"))).otherwise(F.array_join(F.transform("lanes", lambda x: F.array_join(x, "")), "."))
-    return found.select(*keys, "lanes", name.alias("fingerprint"))
+    return found.select(*keys, "lanes", name.alias("fingerprint"), "known")
 
 
 def likeness(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -121,13 +128,16 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     scratch = Scratch(docs.sparkSession, "imatch")
     lex = scratch.write(lexicon(docs, text), "lexicon")
-    rows = edited(docs, scratch, key, text).withColumn("edited_sha256", F.sha2("edited", 256))
-    kinds = rows.withColumn("v", F.explode(F.when(F.col("guest") == 0, F.array(F.struct(F.lit(0).alias("kind"), F.col("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.col("t"))))))
-    keys = ["part", "seq", "guest", "id", "n_chars", "edited_sha256", "kind"]
-    found = fingerprints(kinds.select(*keys[:-1], "v.kind", F.col("v.t").alias("text")), lex, keys, "text")
+    rows = edited(docs, scratch, key, text)
+    free(docs.sparkSession)
+    known = F.struct("guest", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    versions = F.array(F.struct(F.lit(0).alias("kind"), F.col("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    kinds = rows.select("part", "seq", known.alias("about"), F.when(F.col("guest") == 0, versions).otherwise(F.slice(versions, 1, 1)).alias("versions")).select("part", "seq", "about", F.explode("versions").alias("v"))
+    kinds = kinds.select("part", "seq", "v.kind", F.col("v.t").alias("text"), "about")
+    found = fingerprints(kinds, lex, ["part", "seq", "kind"], "text", F.when(F.col("kind") == 0, F.col("about")))
     fp = F.struct("lanes", "fingerprint")
-    both = found.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("kind") == 0, fp)).alias("own"), F.max(F.when(F.col("kind") == 1, fp)).alias("new"))
-    both = both.withColumn("next", F.lead("own").over(Window.partitionBy("part").orderBy("seq"))).filter("guest = 0")
+    both = found.groupBy("part", "seq").agg(F.max(F.when(F.col("kind") == 0, fp)).alias("own"), F.max(F.when(F.col("kind") == 1, fp)).alias("new"), F.max("known").alias("known"))
+    both = both.withColumn("next", F.lead("own").over(Window.partitionBy("part").orderBy("seq"))).select("own", "new", "next", "known.*").filter("guest = 0")
     side = lambda name: {c: F.col(f"{name}.{c}") for c in ("lanes", "fingerprint")}
     return both.select(F.col("id").alias(key), "n_chars", "edited_sha256", F.col("own.fingerprint").alias("fingerprint"), F.col("new.fingerprint").alias("edited_fingerprint"), likeness(side("own"), side("new")).alias("near_edited"), likeness(side("own"), side("next")).alias("near_next"))
 
