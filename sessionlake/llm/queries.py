@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, licenses, minhash, sharding, suffix_dedup, token_counts, token_files, urls
+from . import bpe, decontaminate, fingerprint, langid, licenses, minhash, sharding, spelling, suffix_dedup, time_parts, token_counts, token_files, urls
 
 SHARD_BYTES = 16 * 1024 * 1024
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,8 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 COUNT_TOKENIZER = "byte_bpe_50k.json"
 MOST_TOKENS = 1024
+PARTS = 650
+FIRST_BEFORE = "2024-03-01 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,26 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_TOKENIZER), MOST_TOKENS)
 
 
+def op12_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def click_moment() -> Column:
+    """A click's moment: some lie years back, others at the start of their week, by a checksum of the id."""
+    ts, k = F.col("ts").cast("timestamp_ntz"), F.pmod(F.crc32(F.coalesce(F.col("click_id").cast("string"), F.lit(""))), F.lit(128))
+    back = F.make_dt_interval(((k + 6) * (k + 6) * (k + 6)).cast("int"))
+    return F.when(k < 16, ts - back).when(k > 111, F.trunc(ts.cast("date"), "week").cast("timestamp_ntz")).otherwise(ts)
+
+
+def op13_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    limit = 1 + clicks.count() // PARTS
+    order = time_parts.Order(click_moment(), ("arrived_at", "click_id"), "click_id")
+    first = F.col("arrived_at").cast("timestamp_ntz") < F.lit(FIRST_BEFORE).cast("timestamp_ntz")
+    files, _ = time_parts.rewrite(clicks, order, limit, first)
+    return files.select("leaf", F.lit(",".join(clicks.columns)).alias("columns"), "ids_sha256", "path", F.col("part").cast("long").alias("part"), "n_rows", "n_new", "rewritten")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -83,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_license_diagonals,
             op10_qgram_decontamination,
             op11_token_counts,
+            op12_spelling_halves,
+            op13_time_parts,
         )
     }
 
