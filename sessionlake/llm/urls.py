@@ -5,21 +5,22 @@ the path's runs of letters are split into words by a unigram Viterbi search (the
 sequence of greatest probability; word counts come from the text of all pages; a run that is no word costs as much more as it is longer), and
 a multinomial naive Bayes model scores the words; any number is the one word ``#``. A host's last label says nothing and is left out, unless it is the only one.
 
-The model's classes are trained on labelled URLs: a table of the caller's, as whole as it is given, or the list ``EXAMPLES``. Both
-are smoothed by the words of all hosts of the table. ``agreement`` tells how the model judges rows that it never saw the label of: those the rules decide.
+The model's classes are trained on labelled URLs: a table of the caller's, or else the rows that the rules decide, each with its rule's verdict; all of
+them, counted by Spark. So the model carries the rules' judgement to rows that no rule fits, and nothing that it knows is written here. Both classes are smoothed by the
+words of all hosts of the table. ``quality`` tells how it judges labelled rows of hosts that it was not trained on, ``agreement`` how it judges those the rules decide.
 
 The unigram table keeps the words that make up at least ``MIN_SHARE`` of all words (so at most 1 / MIN_SHARE
 words, whatever the corpus); so do the background and the classes. Words seen nowhere say nothing.
 
 Cases: a null url or one without ``://`` has an empty host and path, no words and the verdict ``allow``; ports and user names stay
-in the host as given; equal scores (0.5) are ``allow``; of rules of one length the later in order of text; of equally cheap splits the one whose last word is longest,
-then the one before it; empty tables give no rows.
+in the host as given; with no labelled row, or none of one class, every score is as even as the words are, and equal scores (0.5) are ``allow``; of rules of one length the later in order of text; of equally cheap splits the one whose last word is longest,
+then the one before it; equal ids and repeated rows are judged row by row; very long urls and runs are split whole; empty tables give no rows; further
+columns of any name are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -47,17 +48,6 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 
-#: Labelled examples, as host names.
-EXAMPLES = {
-    "block": """casino-online casino-win poker slots-jackpot bets free-bets sports-betting bet-bonus lottery cheap-pills buy-viagra pharmacy cheap-meds replica-watches
-cheap-luxury adult adult-x adult-video porn xxx sex-cams escort ads-track ads-tracker click-ads banner-popup adserver affiliate-clicks spam spam-farm link-farm seo-links
-free-download crack-keygen warez-torrent payday-loan fast-cash-loans crypto-doubler win-prize free-iphone gift-card-winner""".split(),
-    "allow": """news daily-news world-weather city-council university library science-journal research museum history school education health hospital open-source docs
-documentation developer blog forum community travel-guide recipes cooking garden music books sports-club team local-government public-service law-court bank insurance
-post mail shop store market about contact article archive wiki home help support search product""".split(),
-}
-
-
 def host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, PATTERN, 1), F.lit("")), UPPER, LOWER)
 
@@ -152,16 +142,25 @@ def _shares(counts: DataFrame, scratch: Scratch, name: str) -> dict[str, int]:
     return {r["w"]: r["n"] for r in counts.filter(F.col("n") >= MIN_SHARE * total).collect()}
 
 
-def train(pages: DataFrame, url: str = "url", html: str = "html", labelled: DataFrame | None = None) -> tuple[Segmenter, Bayes]:
-    """The word table of ``pages`` and a model of ``labelled`` (url, verdict) rows, or else of EXAMPLES."""
+def by_rules(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
+    """(url, verdict) of the rows that a rule decides."""
+    found = rule(host(pages[url]), path(pages[url]), rules)
+    return pages.select(pages[url].alias("url"), found["verdict"].alias("verdict")).filter("verdict is not null")
+
+
+def held_out(url: Column) -> Column:
+    """A quarter of all hosts."""
+    return F.pmod(F.crc32(host(url)), F.lit(4)) == 2
+
+
+def train(pages: DataFrame, labelled: DataFrame, url: str = "url", html: str = "html") -> tuple[Segmenter, Bayes]:
+    """The word table of ``pages`` and a model of ``labelled`` (url, verdict) rows."""
     ship(pages.sparkSession)
     scratch = Scratch(pages.sparkSession, "urls")
     prose = F.lower(F.regexp_replace(F.coalesce(pages[html], F.lit("")), "<[^>]*>", " "))
     seen = pages.select(F.explode(F.split(prose, r"\P{L}+")).alias("w")).filter("w != ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     counts = _shares(seen, scratch, "words")
-    # Examples' words are words even where no page holds them: as common as the least common kept.
-    floor = max(1, min(counts.values(), default=1))
-    segmenter = Segmenter({**{w: floor for e in EXAMPLES.values() for name in e for w in name.split("-")}, **counts})
+    segmenter = Segmenter(counts)
 
     def split(batches):
         for b in batches:
@@ -176,17 +175,21 @@ def train(pages: DataFrame, url: str = "url", html: str = "html", labelled: Data
 
     hosts = pages.groupBy(host(pages[url]).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     background = counted(hosts.select("h", F.lit("").alias("p"), "n"), "hosts")
-    if labelled is None:
-        classes = {verdict: dict(Counter(w for name in names for w in name.split("-"))) for verdict, names in EXAMPLES.items()}
-    else:
-        parts = labelled.select(host(labelled["url"]).alias("h"), path(labelled["url"]).alias("p"), F.lit(1).alias("n"), "verdict")
-        classes = {v: counted(parts.filter(F.col("verdict") == v).drop("verdict"), v) for v in ("block", "allow")}
+    parts = labelled.select(host(labelled["url"]).alias("h"), path(labelled["url"]).alias("p"), "verdict").groupBy("h", "p", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    parts = scratch.write(parts, "labelled")
+    classes = {v: counted(parts.filter(F.col("verdict") == v).drop("verdict"), v) for v in ("block", "allow")}
     return segmenter, Bayes(classes["block"], classes["allow"], background)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", html: str = "html", labelled: DataFrame | None = None) -> DataFrame:
-    """Per row: ``key``, host, path, rule, verdict, words, block_score."""
-    segmenter, bayes = train(pages, url, html, labelled)
+    """Per row: ``key``, host, path, rule, verdict, words, block_score; the model is of ``labelled`` (url, verdict) rows, or of those the rules decide."""
+    scored = _scored(pages, *train(pages, by_rules(pages, rules, url) if labelled is None else labelled, url, html), key, url)
+    rows = scored.withColumn("r", rule(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce("r.verdict", F.when(F.col("s.block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    return rows.select(key, "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "s.words", "s.block_score")
+
+
+def _scored(pages: DataFrame, segmenter: Segmenter, bayes: Bayes, key: str, url: str) -> DataFrame:
     held = pages.sparkSession.sparkContext.broadcast((segmenter, bayes))  # at most 1 / MIN_SHARE words each
 
     @F.pandas_udf("words string, block_score double")
@@ -196,12 +199,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str
         return pd.DataFrame({"words": [" ".join(w) for w in words], "block_score": [model.score(w) for w in words]})
 
     rows = pages.select(pages[key], host(pages[url]).alias("host"), path(pages[url]).alias("path"))
-    rows = rows.withColumn("r", rule(F.col("host"), F.col("path"), rules)).withColumn("s", score("host", "path"))
-    verdict = F.coalesce("r.verdict", F.when(F.col("s.block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.select(key, "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "s.words", "s.block_score")
+    return rows.withColumn("s", score("host", "path"))
 
 
 def agreement(judged: DataFrame) -> DataFrame:
     """By verdict of the rules (null: none): how many rows, and how many the model alone blocks."""
     by_rule = F.when(F.col("rule").isNotNull(), F.col("verdict"))
     return judged.groupBy(by_rule.alias("rules_say")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("block_score") > 0.5).cast("long")).alias("model_blocks"))
+
+
+def quality(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html") -> DataFrame:
+    """verdict, n, right: the rows that the rules decide on held-out hosts, and how many a model of the other hosts' rows judges alike."""
+    labelled = by_rules(pages, rules, url)
+    model = train(pages, labelled.filter(~held_out(F.col("url"))), url, html)
+    asked = labelled.filter(held_out(F.col("url"))).select(F.struct("url", "verdict").alias("row"), "url")
+    judged = _scored(asked, *model, "row", "url").select("row.verdict", (F.col("s.block_score") > 0.5).alias("blocked"))
+    return judged.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("blocked") == (F.col("verdict") == "block")).alias("right"))

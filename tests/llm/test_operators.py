@@ -138,11 +138,6 @@ def test_verdicts_against_brute_force(spark):
     rows += [(100, None, None), (101, "no", "<b>")]
     got = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     counts = Counter(w for _, _, t in rows for w in regex.findall(r"\p{L}+", regex.sub("<[^>]*>", " ", (t or "").lower())))
-    floor = min(counts.values())
-    examples = {v: Counter(w for n in names for w in n.split("-")) for v, names in urls.EXAMPLES.items()}
-    for c in examples.values():
-        for w in c:
-            counts.setdefault(w, floor)
     s = urls.Segmenter(dict(counts))
 
     def tokens(h, p):
@@ -154,10 +149,12 @@ def test_verdicts_against_brute_force(spark):
         h = regex.split("[/?#]", rest)[0].lower() if found else ""
         parts[i] = (h, regex.split("[?#]", rest[len(h) :])[0] if found else "")
     background = Counter(w for h, _ in parts.values() for w in tokens(h, ""))
+    fitting = {i: [(len(a + b), a + b, v) for v, a, b in urls.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)] for i, (h, p) in parts.items()}
+    examples = {v: Counter(w for i, (h, p) in parts.items() if fitting[i] and max(fitting[i])[2] == v for w in tokens(h, p)) for v in ("block", "allow")}
     known = examples["block"].keys() | examples["allow"].keys() | background.keys()
     mass = {w: urls.MASS * (background[w] + 1) / (sum(background.values()) + len(known)) for w in known}
     for i, (h, p) in parts.items():
-        fits = [(len(a + b), a + b, v) for v, a, b in urls.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        fits = fitting[i]
         odds = 0.0
         for w in tokens(h, p):
             if w in known:
@@ -174,11 +171,20 @@ def test_a_table_of_labels_trains_the_model(spark):
     assert [tuple(x) for x in urls.agreement(judged).collect()] == [(None, 2, 1)]
 
 
-def test_bayes_blocks_what_examples_name(spark):
-    df = spark.createDataFrame([(i, f"http://{h}.example.org/en/{i}", "<p>the city council and the news of the day</p>") for i, h in enumerate(["cheappills", "casino-win", "freebetsonline", "citycouncil", "thenews", "www"] + ["theday"] * 30)], "page_id long, url string, html string")
-    got = {x["host"].split(".")[0]: (x["verdict"], x["words"]) for x in urls.judge(df).collect()}
-    assert [got[h][0] for h in ("cheappills", "casino-win", "freebetsonline", "citycouncil", "thenews", "theday")] == ["block"] * 3 + ["allow"] * 3
-    assert got["cheappills"][1].startswith("cheap pills")
+def test_the_rules_verdicts_carry_over_to_other_hosts(spark):
+    """Rows that a rule decides train the model; hosts and paths of the same words are judged alike, repeated rows one by one."""
+    rows = [(i, f"http://{h}.example.{z}/{p}/{i}", "<p>the news of the day, poker and slots</p>") for i, (h, z, p) in enumerate([("poker", "net", "a"), ("slots", "net", "b"), ("thenews", "org", "fr"), ("theday", "org", "fr")] * 20)]
+    asked = [(900, "http://pokerslots.example.com/x", None), (901, "http://newsday.example.com/x", None), (902, "http://newsday.example.com/x", None), (903, "http://unheard.example.com/", None)]
+    df = spark.createDataFrame(rows + asked, "page_id long, url string, html string")
+    got = {x["page_id"]: (x["verdict"], x["rule"], x["words"]) for x in urls.judge(df).collect()}
+    assert got[900] == ("block", None, "poker slots example x") and got[901] == got[902] == ("allow", None, "news day example x")
+    assert len(got) == len(rows) + len(asked)
+
+
+def test_quality_is_of_hosts_not_trained_on(spark):
+    rows = [(i, f"http://h{i}.{h}.example.{z}/{p}/", "poker news") for i, (h, z, p) in enumerate([("poker", "net", "x"), ("news", "org", "fr")] * 100)]
+    got = {x["verdict"]: (x["n"], x["right"]) for x in urls.quality(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got.keys() == {"block", "allow"} and all(20 < n < 80 and right == n for n, right in got.values())
 
 
 # BPE
