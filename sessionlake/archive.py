@@ -1,44 +1,35 @@
-"""An archive of sessions as immutable Parquet files and a versioned manifest.
+"""An archive of sessions: ingest, search, list, show, maintenance.
 
-A commit writes new files and publishes the next manifest version by an exclusive create, so readers see whole
-commits and two writers can't both win. Rows are replaced by session: a commit lists the sessions it replaces, and a reader
-drops older files' rows of those sessions (a left-anti join with a small table of tombstones); ``compact`` rewrites the files without them. Nothing is
-written over what may be read.
-
-Each commit indexes its own events: their postings and lengths are files of the commit like any other, so the full-text index grows with the
-commits and loses rows by the same tombstones; ``reindex`` writes it anew as one. The manifest names the analyser and holds the corpus totals.
+Its tables are immutable Parquet files under the versioned log of :mod:`commits`: readers see whole commits, writers replace whole sessions and are safe beside each
+other. Each commit indexes its own events, so the full-text index grows with the commits and loses rows as any table does; ``reindex`` writes it anew.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import time
 import uuid
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import schema as M
+from .commits import ArchiveError, Commit, Log, Manifest, below
 from .functions.analysers import PORTABLE, analyser
 from .functions.text import glob
 from .functions.values import since_ms as parse_since  # noqa: F401  part of this module's surface
-from .operators import fulltext, listing, search as ranking, tables as K
-from .plans.query import plan as plan_query
+from .operators import fulltext, listing, search as ranking, tables as K, topk
+from .plans.query import Plan, plan as plan_query
 from .scratch import Scratch
 from .sources import distributed as D
 from .sources.base import Candidate, Discovery, Parsed, categorise
 from .sources.connectors import REGISTRY, native_root
-from .storage import Exists, Store
+from .storage import Store
 from .workers import ship
 
-LOCK_SECONDS = 5.0
-
 
-class ArchiveError(ValueError):
-    pass
+LEAST_FILES = 4
 
 
 @dataclass
@@ -64,65 +55,28 @@ class Archive:
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True, tokenizer: str | None = None):
         self.spark, self.path = spark, str(path).rstrip("/")
-        self.store = Store(spark, self.path)
+        self.log = Log(spark, self.path)
+        self.store = self.log.store
         ship(spark)
-        if not self._versions():
+        if not self.log.versions():
             if not create:
                 raise ArchiveError(f"no archive at {path}")
             analyser(tokenizer or PORTABLE.name)
-            self._publish({"schema_version": M.SCHEMA_VERSION, "contract": M.CONTRACT, "tokenizer": tokenizer or PORTABLE.name, "commits": [], "index": {"n_docs": 0, "n_tokens": 0}, "telemetry": {}}, 0)
+            self.log.publish({"schema_version": M.SCHEMA_VERSION, "contract": M.CONTRACT, "tokenizer": tokenizer or PORTABLE.name, "commits": [], "telemetry": {}}, 0)
         m = self.manifest()
         if m["schema_version"] > M.SCHEMA_VERSION:
-            raise ArchiveError(f"archive schema {m['schema_version']} is newer than {M.SCHEMA_VERSION}")
+            raise ArchiveError(f"this archive's schema {m['schema_version']} is beyond {M.SCHEMA_VERSION}, the newest known here")
         if tokenizer is not None and m["tokenizer"] != tokenizer:
             self.reindex(tokenizer)
 
-    # Manifest
-
-    def _versions(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in self.store.names("manifest") if n.endswith(".json") and not n.startswith("."))
-
-    def manifest(self) -> dict[str, Any]:
-        version = self._versions()[-1]
-        return json.loads(self.store.read(f"manifest/{version:012d}.json")) | {"version": version}
-
-    def _publish(self, manifest: dict[str, Any], version: int) -> None:
-        """Creates manifest ``version``; fails if another writer did."""
-        try:
-            self.store.create(f"manifest/{version:012d}.json", json.dumps({k: v for k, v in manifest.items() if k != "version"}, sort_keys=True))
-        except Exists:
-            raise ArchiveError(f"another writer published version {version}") from None
-
-    def _change(self, change) -> None:
-        """Applies ``change`` to the newest manifest, again if another writer comes first."""
-        until = time.monotonic() + LOCK_SECONDS
-        while True:
-            m = self.manifest()
-            try:
-                return self._publish(change(dict(m)), m["version"] + 1)
-            except ArchiveError:
-                if time.monotonic() > until:
-                    raise
-
     # Tables
 
-    def table(self, name: str, pick=None) -> DataFrame:
-        """The live rows of a table; ``pick(rows, commit)`` narrows each commit's part of it."""
-        parts, gone, schema = [], [], _nullable(STORED[name])
-        for commit in reversed(self.manifest()["commits"]):
-            if name in commit["files"]:
-                rows = self.spark.read.schema(schema).parquet(f"{self.path}/{commit['files'][name]}")
-                rows = pick(rows, commit) if pick else rows
-                key = "id" if name == "sessions" else "session_id"
-                if gone and name != "objects":
-                    dead = reduce(DataFrame.unionByName, [self.spark.read.schema("id string").parquet(f"{self.path}/{g}") for g in gone]).withColumnRenamed("id", "__dead")
-                    rows = rows.join(dead, rows[key] == dead["__dead"], "left_anti")
-                parts.append(rows)
-            if commit.get("replaced"):
-                gone.append(commit["replaced"])
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        return reduce(DataFrame.unionByName, parts)
+    def manifest(self) -> Manifest:
+        return self.log.manifest()
+
+    def table(self, name: str) -> DataFrame:
+        """The live rows of a table."""
+        return self.log.table(name)
 
     @property
     def sessions(self) -> DataFrame:
@@ -132,83 +86,63 @@ class Archive:
     def events(self) -> DataFrame:
         return self.table("events")
 
+    def postings(self, plan: Plan | None = None, m: Manifest | None = None) -> DataFrame:
+        """Live postings, a row for each term and event; of the plan's tokens only the folders that hold them."""
+        m = m or self.manifest()
+        pick = lambda c: fulltext.folders(plan, c["buckets"], c["held"]["postings"]) if plan else [f"bucket={b}" for b in c["held"]["postings"]]
+        holding = [c for c in m["commits"] if "postings" in c["tables"]]
+        return self._live(fulltext.posts_of(self.log.scan("postings", holding, pick)), holding, m).drop("commit")
+
+    def _live(self, rows: DataFrame, holding: list[Commit], m: Manifest) -> DataFrame:
+        return self.log.live(rows, "session_id", holding, m["commits"]) if holding else rows
+
+    def lists(self, m: Manifest | None = None) -> topk.Lists | None:
+        """The stored lists of postings, where the index holds pairs and frequencies."""
+        m = m or self.manifest()
+        size, holding = m["index"], [c for c in m["commits"] if "postings" in c["tables"]]
+        if not analyser(m["tokenizer"]).plain or not holding:
+            return None
+
+        def blocks(pair: bool, terms: list[str]) -> DataFrame:
+            name = "pairs" if pair else "postings"
+            return self.log.scan(name, [c for c in holding if name in c["tables"]], lambda c: fulltext.of_terms(terms, c["buckets"], c["held"][name]))
+
+        return topk.Lists(blocks, lambda rows: self._live(rows, holding, m), self.log.table("terms", m), size["n_docs"], size["n_tokens"] / max(1, size["n_docs"]))
+
     def commit(self, frames: dict[str, DataFrame], replaced: DataFrame | None = None, telemetry: dict[str, Any] | None = None) -> None:
         """Adds the frames' rows; rows of ``replaced`` session ids in earlier commits die."""
-        name = uuid.uuid4().hex
-        entry: dict[str, Any] = {"files": {}, "at_ms": int(time.time() * 1000)}
-        for t, df in frames.items():
-            target = f"data/{name}/{t}"
-            columns = [df[f.name].cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in M.TABLES[t].fields]
-            rows = df.select(columns)
-            if t == "events":
-                rows = rows.sortWithinPartitions("session_id", "idx")  # footers then bound each file's sessions
-            rows.write.option("compression", "zstd").parquet(f"{self.path}/{target}")
-            entry["files"][t] = target
-        new, dead = (0, 0), (0, 0)
-        if replaced is not None:
-            entry["replaced"] = f"data/{name}/replaced"
-            replaced.select("id").distinct().write.parquet(f"{self.path}/{entry['replaced']}")
-            ids = self.spark.read.schema("id string").parquet(f"{self.path}/{entry['replaced']}").withColumnRenamed("id", "session_id")
-            dead = self._size(self.table("docs").join(ids, "session_id", "left_semi"))
-        if "events" in frames:
-            rows = self.spark.read.schema(_nullable(M.EVENTS)).parquet(f"{self.path}/{entry['files']['events']}")
-            new = self._index(rows, entry, f"data/{name}", self.manifest()["tokenizer"])
-        change = {"n_docs": new[0] - dead[0], "n_tokens": new[1] - dead[1]}
-        self._change(lambda m: m | {"index": {k: m["index"][k] + v for k, v in change.items()}, "commits": [*m["commits"], entry], "telemetry": m["telemetry"] | (telemetry or {})})
-
-    @staticmethod
-    def _size(docs: DataFrame) -> tuple[int, int]:
-        found = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-        return found["n"], found["t"]
-
-    def _index(self, events: DataFrame, entry: dict[str, Any], folder: str, tokenizer: str) -> tuple[int, int]:
-        """Writes the events' lengths and postings as files of ``entry``; their totals."""
-        cut = analyser(tokenizer)
-        idx = fulltext.index(events, analyser=cut)
-        if not cut.plain:  # Python cuts each text once
-            idx.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/tokens")
-            idx = self.spark.read.parquet(f"{self.path}/{folder}/tokens")
-        idx.select("session_id", "idx", "dl").write.parquet(f"{self.path}/{folder}/docs")
-        size = self._size(self.spark.read.schema(_nullable(DOCS)).parquet(f"{self.path}/{folder}/docs"))
-        buckets, files = fulltext.layout(size[1])
-        fulltext.stored_postings(idx, buckets, files).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}/postings")
-        self.store.delete(f"{folder}/tokens")
-        entry["files"] |= {"docs": f"{folder}/docs", "postings": f"{folder}/postings"} if size[1] else {"docs": f"{folder}/docs"}
-        entry["buckets"] = buckets
-        return size
-
-    def _rewrite(self, names: list[str], tokenizer: str) -> None:
-        """One commit in place of all: the named tables' live rows, and a new index of the live events."""
-        m, name = self.manifest(), uuid.uuid4().hex
-        entry: dict[str, Any] = {"files": {}, "at_ms": int(time.time() * 1000)}
-        for t in names:
-            self.table(t).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/{t}")
-            entry["files"][t] = f"data/{name}/{t}"
-        size = self._index(self.events, entry, f"data/{name}", tokenizer)
-        kept = [c | {"files": {t: f for t, f in c["files"].items() if t not in (*names, "docs", "postings")}} for c in m["commits"]]
-        commits = [entry] if len(names) == len(M.TABLES) else [*kept, entry]
-        # Fails if another writer was first: its rows would be missing here.
-        self._publish(m | {"commits": commits, "index": {"n_docs": size[0], "n_tokens": size[1]}, "tokenizer": tokenizer}, m["version"] + 1)
+        self.log.commit(lambda m: (frames, replaced), telemetry)
+        self.log.tidy()
 
     def compact(self) -> None:
-        self._rewrite(list(M.TABLES), self.manifest()["tokenizer"])
+        """One commit in place of all."""
+        if commits := self.manifest()["commits"]:
+            self.log.merge(commits)
 
     def reindex(self, tokenizer: str | None = None) -> None:
         """The index anew, by the given analyser or the manifest's."""
-        self._rewrite([], tokenizer or self.manifest()["tokenizer"])
+        if tokenizer is not None:
+            analyser(tokenizer)
+        self.log.reindex(tokenizer or self.manifest()["tokenizer"])
 
     # Writing
 
     def write(self, sessions: DataFrame, events: DataFrame, sources: DataFrame | None = None, objects: DataFrame | None = None) -> None:
         """Replaces whole sessions; provenance of stored objects that vanished from the new sources is kept."""
         ids = sessions.select("id")
-        frames = {"sessions": sessions.withColumn("mode", F.lit("full")), "events": events}
-        if sources is not None:
-            old = self.table("raw_sources").join(ids.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
-            frames["raw_sources"] = K.sticky(old, sources.select([f.name for f in M.RAW_SOURCES.fields]))
-        if objects is not None:
-            frames["objects"] = objects.dropDuplicates(["hash"]).join(self.table("objects").select("hash"), "hash", "left_anti")
-        self.commit(frames, ids)
+
+        def build(m: Manifest) -> tuple[dict[str, DataFrame], DataFrame]:
+            """What is written, given what the version holds."""
+            frames = {"sessions": sessions.withColumn("mode", F.lit("full")), "events": events}
+            if sources is not None:
+                old = self.log.table("raw_sources", m).join(ids.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
+                frames["raw_sources"] = K.sticky(old, sources.select([f.name for f in M.RAW_SOURCES.fields]))
+            if objects is not None:
+                frames["objects"] = objects.dropDuplicates(["hash"]).join(self.log.table("objects", m).select("hash"), "hash", "left_anti")
+            return frames, ids
+
+        self.log.commit(build)
+        self.log.tidy()
 
     def ingest_session(self, parsed: Parsed, fingerprint: str = "") -> None:
         """One session that the caller has parsed."""
@@ -267,7 +201,7 @@ class Archive:
             scratch.drop(f"{agent}-seen", f"{agent}-judged", f"{agent}-parsed")
         if not dry_run:
             last = {k: getattr(report, k) for k in ("discovered", "parsed", "ingested", "unchanged", "skipped", "failed")}
-            self._change(lambda m: m | {"telemetry": m["telemetry"] | {"last_ingest": last, "completed_at_ms": int(time.time() * 1000), "total_failures": m["telemetry"].get("total_failures", 0) + report.failed}})
+            self.log.change(lambda m: m | {"telemetry": m["telemetry"] | {"last_ingest": last, "completed_at_ms": int(time.time() * 1000), "total_failures": m["telemetry"].get("total_failures", 0) + report.failed}})
         if strict and report.failed:
             raise ArchiveError(f"{report.failed} sources failed: {report.failures}")
         return report
@@ -284,28 +218,54 @@ class Archive:
 
     # Reading
 
-    def search(self, query: str, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, as_of_ms: int | None = None, snippets: bool = True) -> DataFrame:
+    def search(self, query: str, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, as_of_ms: int | None = None, snippets: bool = True, skipping: bool = True) -> DataFrame:
+        """Ranked sessions; ``skipping`` reads only the blocks of postings that may hold a candidate, else all of them are read, with the same result."""
         at = as_of_ms if as_of_ms is not None else int(time.time() * 1000)
         m = self.manifest()
         cut, size = analyser(m["tokenizer"]), m["index"]
-        plan = plan_query(query, cut)
-        posts = self.table("postings", lambda rows, commit: fulltext.in_buckets(rows, plan, commit["buckets"]))
         totals = (size["n_docs"], size["n_tokens"] / max(1, size["n_docs"]))
-        return ranking.result(ranking.search(self.events, self.sessions, query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut))
+        posts = self.postings(plan_query(query, cut), m)
+        return ranking.result(ranking.search(self.log.table("events", m), self.log.table("sessions", m), query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut, self.lists(m) if skipping else None))
 
     def list(self, limit: int = 50, cursor: str | None = None, **filters) -> tuple[list, str | None]:
-        n = max(1, min(limit, listing.MOST))
-        rows = listing.page(self.sessions, self.events, n, cursor, **filters).collect()  # at most 501 rows
+        """A page of summaries, from the newest files that can hold it, and the cursor of the next."""
+        n, m = max(1, min(limit, listing.MOST)), self.manifest()
+        rows = listing.page(self._newest(n, cursor, filters, m), self.log.table("events", m), n, cursor, **filters).collect()  # at most 501 rows
         more = len(rows) > n
         return rows[:n], listing.encode_cursor(rows[n - 1]["sort_time"], rows[n - 1]["id"]) if more else None
 
+    def _newest(self, n: int, cursor: str | None, filters: dict[str, Any], m: Manifest) -> DataFrame:
+        """Sessions of as few files as hold a page: those of latest times, as many again and again until nothing in the others can come before the page's end."""
+        known = listing.decode_cursor(cursor)[0] if cursor is not None else None
+        files = self.log.surveys(m["commits"]).filter("table = 'sessions' AND rows > 0")
+        files = files.filter(F.col("low_time") <= known) if known is not None else files
+        k = LEAST_FILES
+        while True:
+            some = files.select("commit", "file", "high_time").orderBy(F.desc("high_time"), "commit", "file").limit(k + 1).collect()
+            if len(some) <= k:
+                return self._of_files("sessions", some, m)
+            sessions = self._of_files("sessions", some[:k], m)
+            page = listing.keys(sessions, n, cursor, **filters).collect()  # at most 501 rows
+            if len(page) > n and page[-1]["sort_time"] > some[k]["high_time"]:
+                return sessions
+            k *= 4
+
+    def _of_files(self, name: str, files: list, m: Manifest) -> DataFrame:
+        held: dict[str, list[str]] = {}
+        for r in files:
+            held.setdefault(r["commit"], []).append(below(r["file"]))
+        return self.log.table(name, m, pick=lambda c: held.get(c["name"], []))
+
     def show(self, session_id: str, from_idx: int | None = None, to_idx: int | None = None, kinds: tuple[str, ...] = ()):
-        """(session row, sources, events) or None."""
-        events = listing.event_range(self.events, session_id, from_idx, to_idx, kinds)
-        session = self.sessions.filter(F.col("id") == session_id).first()
+        """(session row, sources, events) or None; only the files that may hold the session are opened."""
+        m = self.manifest()
+        held = self.log.files_with(("sessions", "events", "raw_sources"), [session_id], m)
+        of = lambda t: self.log.table(t, m, pick=lambda c: held.get(t, {}).get(c["name"], []))
+        events = listing.event_range(of("events"), session_id, from_idx, to_idx, kinds)
+        session = of("sessions").filter(F.col("id") == session_id).first()
         if session is None:
             return None
-        return session, self.table("raw_sources").filter(F.col("session_id") == session_id).orderBy("locator").collect(), events.collect()
+        return session, of("raw_sources").filter(F.col("session_id") == session_id).orderBy("locator").collect(), events.collect()
 
     def stats(self) -> DataFrame:
         return listing.stats(self.sessions, self.events).orderBy("agent")
@@ -326,16 +286,18 @@ class Archive:
         m = self.manifest()
         copy = Archive.__new__(Archive)
         copy.spark, copy.path = self.spark, f"{target}.staged-{uuid.uuid4().hex}"
-        copy.store = Store(self.spark, copy.path)
-        for c in m["commits"]:
-            for f in [*c["files"].values(), *([c["replaced"]] if c.get("replaced") else [])]:
-                self.store.copy_to(f, copy.store)
-        copy._publish(m, 0)
+        copy.log = Log(self.spark, copy.path)
+        copy.store = copy.log.store
+        if m["commits"]:
+            self.log.merge(m["commits"], into=copy.log)  # read and written by tasks, as one commit
+        else:
+            copy.log.publish(m, 0)
         if bad := [r for r in copy.verify().collect() if not r["passed"]]:
             copy.store.delete()
             raise ArchiveError(f"backup failed its check: {bad}")
         copy.store.rename(target)
-        return {"sessions": self.sessions.count(), "events": self.events.count(), "objects": self.table("objects").count()}
+        sizes = copy.log.manifest()["commits"][0]["rows"] if m["commits"] else {}
+        return {t: sizes.get(t, 0) for t in ("sessions", "events", "objects")}
 
     def import_archive(self, path: str) -> dict[str, int]:
         """Merges another archive: its new sessions, sources and objects come in; rows that differ under one key are an error."""
@@ -344,36 +306,40 @@ class Archive:
         other = Archive(self.spark, path, create=False)
         if bad := [r for r in other.verify().collect() if not r["passed"]]:
             raise ArchiveError(f"source archive fails its check: {bad}")
-        out, frames = {}, {}
+        out: dict[str, int] = {}
+        self.log.commit(lambda m: self._imported(other, m, out))
+        self.log.tidy()
+        return out
+
+    def _imported(self, other: Archive, m: Manifest, out: dict[str, int]) -> tuple[dict[str, DataFrame], DataFrame | None]:
+        """What an import adds to a version, with its counts in ``out``; rows that differ under one key are an error."""
+        mine, frames = {t: self.log.table(t, m) for t in M.TABLES}, {}
         loose = {"sessions": ["ingested_at_ms", "mode"], "events": [], "raw_sources": ["object_hash"], "objects": ["created_at_ms", "payload"]}
         for t, keys in M.KEYS.items():
-            mine, theirs = self.table(t), other.table(t)
-            compared = [c for c in mine.columns if c not in keys and c not in loose[t] and c != "usage"]
-            if not K.conflicts(theirs, mine, list(keys), compared).isEmpty():
+            theirs = other.table(t)
+            compared = [c for c in mine[t].columns if c not in keys and c not in loose[t] and c != "usage"]
+            if not K.conflicts(theirs, mine[t], list(keys), compared).isEmpty():
                 raise ArchiveError(f"{t} of the two archives differ")
-            new = K.missing(theirs, mine.select(*keys), list(keys))
-            total, n = theirs.count(), new.count()
+            frames[t] = K.missing(theirs, mine[t].select(*keys), list(keys))
+            total, n = theirs.count(), frames[t].count()
             out |= {f"{t}_imported": n, f"{t}_skipped": max(0, total - n)}
-            frames[t] = new
         # A session that is whole there becomes whole here, and a source without its object takes theirs.
         theirs = other.sessions.filter("mode = 'full'").select("id")
-        partial = self.sessions.filter("mode = 'partial'").join(theirs, "id", "left_semi")
+        partial = mine["sessions"].filter("mode = 'partial'").join(theirs, "id", "left_semi")
         stored = other.table("raw_sources").filter("object_hash is not null").select("session_id", "locator", F.col("object_hash").alias("theirs"))
-        bare = self.table("raw_sources").filter("object_hash is null").join(stored, ["session_id", "locator"], "left_semi")
+        bare = mine["raw_sources"].filter("object_hash is null").join(stored, ["session_id", "locator"], "left_semi")
         touched = partial.select("id").unionByName(bare.select(F.col("session_id").alias("id"))).distinct()
-        promoted = partial.count()
-        if promoted or not bare.isEmpty():
-            ids = touched.withColumnRenamed("id", "session_id")
-            full = partial.select("id", F.lit(True).alias("whole"))
-            sessions = self.sessions.join(touched, "id", "left_semi").join(full, "id", "left").withColumn("mode", F.when(F.col("whole"), F.lit("full")).otherwise(F.col("mode"))).drop("whole")
-            sources = self.table("raw_sources").join(ids, "session_id", "left_semi").join(stored, ["session_id", "locator"], "left")
-            sources = sources.withColumn("object_hash", F.coalesce("object_hash", "theirs")).drop("theirs")
-            both = lambda a, b: a.unionByName(b.select(a.columns))
-            frames = {"sessions": both(sessions, frames["sessions"]), "raw_sources": both(sources, frames["raw_sources"]), "events": both(self.events.join(ids, "session_id", "left_semi"), frames["events"]), "objects": frames["objects"]}
-            self.commit(frames, touched)
-        elif any(v for k, v in out.items() if k.endswith("imported")):
-            self.commit(frames)
-        return out | {"sessions_promoted": promoted}
+        out["sessions_promoted"] = partial.count()
+        if not out["sessions_promoted"] and bare.isEmpty():
+            return {t: f for t, f in frames.items() if out[f"{t}_imported"]}, None
+        ids = touched.withColumnRenamed("id", "session_id")
+        full = partial.select("id", F.lit(True).alias("whole"))
+        sessions = mine["sessions"].join(touched, "id", "left_semi").join(full, "id", "left").withColumn("mode", F.when(F.col("whole"), F.lit("full")).otherwise(F.col("mode"))).drop("whole")
+        sources = mine["raw_sources"].join(ids, "session_id", "left_semi").join(stored, ["session_id", "locator"], "left")
+        sources = sources.withColumn("object_hash", F.coalesce("object_hash", "theirs")).drop("theirs")
+        both = lambda a, b: a.unionByName(b.select(a.columns))
+        events = both(mine["events"].join(ids, "session_id", "left_semi"), frames["events"])
+        return {"sessions": both(sessions, frames["sessions"]), "raw_sources": both(sources, frames["raw_sources"]), "events": events, "objects": frames["objects"]}, touched
 
     def verify(self) -> DataFrame:
         from .verify import checks
@@ -385,11 +351,3 @@ class Archive:
 
         return restore(self, session_id, target, overwrite, manifest)
 
-
-DOCS = M._struct(("session_id", M._S, False), ("idx", M._L, False), ("dl", M._L, False))
-POSTINGS = M._struct(("term", M._S, False), ("session_id", M._S, False), ("idx", M._L, False), ("dl", M._L, False), ("positions", T.ArrayType(M._I), False), ("tf", M._I, False), ("bucket", M._I, False))
-STORED = M.TABLES | {"docs": DOCS, "postings": POSTINGS}
-
-
-def _nullable(s):
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in s.fields])

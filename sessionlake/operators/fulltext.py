@@ -2,13 +2,14 @@
 
 The index has one row per searchable event (its tokens and length); postings have one row per term and event.
 A query reads the postings of its own terms only: stored postings are laid out in buckets by a hash of the term, and within a bucket
-in files by a hash of the text's key, so a query opens a few folders and a common term is many files. Buckets and files follow the
-number of postings. Corpus statistics come from the whole index, before any filter of the query.
+in files by block of texts, so a query opens a few folders and a common term is many files. Buckets and files follow the
+number of postings; blocks carry what bounds their scores (:mod:`topk`). Corpus statistics come from the whole index, before any filter of the query.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +21,7 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 FILE_TOKENS = 2_000_000
 MOST_BUCKETS = 1024
+BLOCK_BITS = 10  # a block is 1,024 texts
 
 
 def searchable(events: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def layout(n_tokens: int) -> tuple[int, int]:
 
 
 def bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def stored_postings(idx: DataFrame, buckets: int, files: int, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
@@ -73,6 +75,62 @@ def stored_postings(idx: DataFrame, buckets: int, files: int, keys: tuple[str, .
     return found.withColumn("tf", F.size("positions")).drop("file").sortWithinPartitions("bucket", "term")
 
 
+def numbered(events: DataFrame, analyser: Analyser = PORTABLE) -> DataFrame:
+    """The index of a commit's events in order of their keys, each with its ``block``: a run of at most 1,024 texts that follow each other."""
+    ordered = searchable(events).select("session_id", "idx", "text").repartitionByRange("session_id", "idx").sortWithinPartitions("session_id", "idx")
+    return index(ordered, analyser=analyser).withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+
+
+def pairs(tokens: DataFrame) -> DataFrame:
+    """The same texts with their pairs of neighbouring tokens as tokens: what a phrase of two words asks for."""
+    two = F.transform(F.slice("toks", F.lit(1), F.greatest(F.size("toks") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("toks", i + 1)))
+    return tokens.withColumn("toks", two)
+
+
+def frequencies(tokens: DataFrame, sign: int) -> DataFrame:
+    """term, pair, df (times ``sign``) of tokens and of pairs."""
+    each = [tokens.select(F.explode(F.array_distinct("toks")).alias("term"), F.lit(False).alias("pair")), pairs(tokens).select(F.explode(F.array_distinct("toks")).alias("term"), F.lit(True).alias("pair"))]
+    return each[0].unionByName(each[1]).groupBy("term", "pair").agg((F.count(F.lit(1)) * sign).alias("df"))
+
+
+def blocks(tokens: DataFrame, buckets: int, files: int, places: bool = True) -> DataFrame:
+    """Postings in blocks: for each term and block of texts its posts in order of their keys, and what bounds their scores: the most occurrences and the least length.
+
+    Dealt as they are to be written: by bucket of the term and by block, so no task's share depends on how common a term is.
+    """
+    keys = ("session_id", "idx", "block")
+    each = _each(tokens, keys).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("file", F.pmod(F.xxhash64("block"), F.lit(files)).cast("int"))
+    each = each.repartition(buckets * files, "bucket", "file")
+    per = each.groupBy("bucket", "file", "term", *keys, "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions") if places else F.count(F.lit(1)).cast("int").alias("tf"))
+    per = per.withColumn("tf", F.size("positions")) if places else per.withColumn("positions", F.lit(None).cast("array<int>"))
+    post = F.struct("session_id", "idx", "dl", "tf", "positions")
+    found = per.groupBy("bucket", "file", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(post)).alias("all"))
+    posts = F.transform("all", lambda x: F.struct(*[x[k].alias(k) for k in ("session_id", "idx", "dl", "tf")]))
+    spots = F.transform("all", lambda x: x["positions"]) if places else F.lit(None).cast("array<array<int>>")
+    first = F.get("all", 0)
+    low = F.struct(first["session_id"].alias("session_id"), first["idx"].alias("idx"))
+    return found.select("term", "block", "n", "max_tf", "min_dl", low.alias("low"), posts.alias("posts"), spots.alias("positions"), "bucket").sortWithinPartitions("bucket", "term", "block")
+
+
+def posts_of(blocked: DataFrame) -> DataFrame:
+    """The postings in blocks: term, session_id, idx, dl, tf, positions, and the commit."""
+    each = blocked.select("term", "commit", F.explode(F.arrays_zip("posts", "positions")).alias("x"))
+    return each.select("term", "commit", "x.posts.session_id", "x.posts.idx", "x.posts.dl", "x.posts.tf", "x.positions")
+
+
+def folders(plan: Plan, buckets: int, held: list[int]) -> list[str]:
+    """The folders of a commit's postings that a plan's tokens are in (all of them for a prefix)."""
+    keys = Positions(plan).asked
+    if any(prefix for _, prefix in keys) or not keys:
+        return [f"bucket={b}" for b in held]
+    return of_terms([t for words, _ in keys for t in words], buckets, held)
+
+
+def of_terms(terms: list[str], buckets: int, held: list[int]) -> list[str]:
+    wanted = {crc32(t.encode()) % buckets for t in terms}
+    return [f"bucket={b}" for b in held if b in wanted]
+
+
 def document_frequency(idx: DataFrame) -> DataFrame:
     """term, df: in how many texts of an index each term is."""
     return idx.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -214,15 +272,6 @@ def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx
     return row.select(*keys, (-score).alias("bm25"))
 
 
-def in_buckets(posts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
-    """Of stored postings, the folders that the plan's terms are in (all of them for a prefix)."""
-    keys = Positions(plan).asked
-    if any(prefix for _, prefix in keys) or not keys:
-        return posts
-    names = F.array(*[bucket(F.lit(t), buckets) for words, _ in keys for t in words])
-    return posts.filter(F.array_contains(names, F.col("bucket")))
-
-
 def candidates_from_postings(posts: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx")) -> tuple[DataFrame, Positions]:
     """``keys``, dl and the places of the plan's tokens in each event that holds any of them, from postings alone; and how to read them."""
     at = Positions(plan)

@@ -51,6 +51,14 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("event_count"))
 
 
+def keys(sessions: DataFrame, limit: int = 50, cursor: str | None = None, **filters) -> DataFrame:
+    """The place in order of a page's rows: sort_time and id of up to ``limit`` + 1 sessions."""
+    rows = matching(sessions, **filters).select("id", sort_time().alias("sort_time"))
+    if cursor is not None:
+        rows = rows.filter(after(*decode_cursor(cursor)))
+    return rows.orderBy(F.desc("sort_time"), "id").limit(max(1, min(limit, MOST)) + 1)
+
+
 def page(sessions: DataFrame, events: DataFrame, limit: int = 50, cursor: str | None = None, **filters) -> DataFrame:
     """Up to ``limit`` + 1 summaries in order; the last tells whether another page follows."""
     rows = matching(sessions, **filters).withColumn("sort_time", sort_time())

@@ -15,7 +15,7 @@ from ..functions import text as X, values as V
 from ..functions.analysers import PORTABLE, Analyser
 from ..functions.snippet import snippet_column
 from ..plans.query import Plan, plan as plan_query
-from . import fulltext, lineage, tail
+from . import fulltext, lineage, tail, topk
 
 PER_SESSION = 50
 CANDIDATES_PER_RESULT, LEAST_CANDIDATES, MOST_CANDIDATES = 50, 500, 5000
@@ -55,8 +55,12 @@ def candidates(events: DataFrame, sessions: DataFrame | None, plan: Plan, cap: i
     else:
         found, at = fulltext.candidates_from_postings(posts, plan)
         scored = fulltext.bm25(found, plan, totals=totals, toks=at)
-    own = scored if sessions is None else scored.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    return capped(ranked_hits(own), cap).select("session_id", "idx", "bm25")
+    return best_hits(scored if sessions is None else scored.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi"), cap)
+
+
+def best_hits(scored: DataFrame, cap: int) -> DataFrame:
+    """session_id, idx, bm25 of the best hits: of each session, then of all."""
+    return capped(ranked_hits(scored), cap).select("session_id", "idx", "bm25")
 
 
 def texts(hits: DataFrame, events: DataFrame) -> DataFrame:
@@ -133,8 +137,12 @@ def few(spark: SparkSession, ids: list[str], name: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{name} string").coalesce(1))
 
 
-def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: DataFrame | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE) -> DataFrame:
-    """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM."""
+def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: DataFrame | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE, stored: topk.Lists | None = None) -> DataFrame:
+    """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM.
+
+    ``stored`` lists of postings find the candidates without reading all of ``posts``, where the query is one of lists. The hits' texts, the sessions' rows and
+    their first and last texts are then fetched side by side.
+    """
     spark, plan = sessions.sparkSession, plan_query(query, analyser)
     if plan.empty or limit <= 0 or plan.expr is None:
         return spark.createDataFrame([], tail.RESULT)
@@ -143,22 +151,30 @@ def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, li
         n = fulltext.statistics(idx).first()
         posts, totals = fulltext.postings(idx), (n["n_docs"], n["avgdl"])
     own = None if agent is None and cwd is None and since_ms is None else filtered(sessions, agent, cwd, since_ms)
-    top = candidates(events, own, plan, candidate_cap(limit), posts, totals).collect()  # at most MOST_CANDIDATES rows
+    top = topk.top(plan, stored, candidate_cap(limit), best_hits, own) if stored else None
+    if top is None:
+        top = candidates(events, own, plan, candidate_cap(limit), posts, totals).collect()  # at most MOST_CANDIDATES rows
     if not top:
         return spark.createDataFrame([], tail.RESULT)
     hits = texts(spark.createDataFrame(top, "session_id string, idx long, bm25 double").coalesce(1), events)
     shown = snippet_column(F.col("text"), [p.places() for p in plan.phrases], analyser) if snippets else F.col("text")
     hits = hits.withColumn("shown", shown).select("session_id", "idx", "kind", "bm25", (F.col("shown") if snippets else F.lit(None).cast("string")).alias("snippet"), X.covered(plan.terms, F.lower(F.coalesce("shown", F.lit("")))).alias("covered"))
-    cards = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from").join(few(spark, sorted({r["session_id"] for r in top}), "id"), "id", "left_semi")
-    with ThreadPoolExecutor(2) as both:  # two jobs side by side
-        later = both.submit(cards.collect)
-        rows, found = hits.collect(), {r["id"]: r for r in later.result()}
+    ids = sorted({r["session_id"] for r in top})
+    cards = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from").join(few(spark, ids, "id"), "id", "left_semi")
+
+    def ends(of: list[str]) -> dict:
+        """First and last texts of sessions, shortened."""
+        return {r["session_id"]: r for r in bookends(events.join(few(spark, of, "session_id"), "session_id", "left_semi")).collect()}
+
+    with ThreadPoolExecutor(3) as at_once:  # three jobs side by side
+        later, talk = at_once.submit(cards.collect), at_once.submit(ends, ids)
+        rows, found, talk = hits.collect(), {r["id"]: r for r in later.result()}, talk.result()
     groups = tail.grouped([r for r in rows if r["session_id"] in found], found, plan.terms)
     tail.scored(groups, plan.terms, as_of_ms, WEIGHTS)
     results = tail.collapsed(groups, lineage.paths_of_few(sessions, list(found.values())), limit, MEMBER_SHARE)
     lines = tail.members(results, CONTEXT_ANCESTORS)
-    ends = bookends(events.join(few(spark, sorted({i for line in lines for i in line}), "session_id"), "session_id", "left_semi"))
-    talk = {r["session_id"]: r for r in ends.collect()}  # the results' sessions and ancestors
+    if further := sorted({i for line in lines for i in line} - set(ids)):  # ancestors without hits
+        talk |= ends(further)
     first = lambda line, what: next((talk[i][what] for i in line if i in talk and talk[i][what] is not None), None)
     return spark.createDataFrame([r.row(first(line, "ask"), first(line, "outcome")) for r, line in zip(results, lines, strict=True)], tail.RESULT).coalesce(1)
 

@@ -155,7 +155,7 @@ def flt11_since_skips_older_files(spark, d):
 @query(f"WITH {_LATE}, t AS (SELECT conv_id, turn, unnest(list_distinct({TOKS})) AS term FROM late) SELECT term, count(*) AS df FROM t GROUP BY term")
 def fts06_incremental_index(spark, d):
     """Document frequencies in the stored postings after sessions were replaced."""
-    return made(spark, d, twice=True)[0].table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return made(spark, d, twice=True)[0].postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {_LATE}, {_bm25('late', 'conv_id, turn')} SELECT 'claude:c' || lpad(conv_id::VARCHAR, 6, '0') AS id, count(*) AS hits FROM hits GROUP BY conv_id QUALIFY row_number() OVER (ORDER BY min(bm25)) <= 1000000")
@@ -166,7 +166,7 @@ def fts14_stored_index_hits(spark, d):
 
     a, _, _ = made(spark, d, twice=True)
     p, size = plan(QUERY), a.manifest()["index"]
-    found, at = fulltext.candidates_from_postings(a.table("postings", lambda rows, c: fulltext.in_buckets(rows, p, c["buckets"])), p)
+    found, at = fulltext.candidates_from_postings(a.postings(p), p)
     hits = fulltext.bm25(found, p, totals=(size["n_docs"], size["n_tokens"] / size["n_docs"]), toks=at)
     return hits.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("hits"))
 

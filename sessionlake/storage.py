@@ -40,6 +40,20 @@ class Store:
         fs, p = self._remote(self.at(folder))
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
+    def files(self, folder: str) -> list[str]:
+        """Parquet files at any depth below a folder, by their names below the root."""
+        if self.local:
+            return sorted(str(p.relative_to(self._disk(""))) for p in self._disk(folder).rglob("*.parquet"))
+        fs, p = self._remote(self.at(folder))
+        if not fs.exists(p):
+            return []
+        found, out, head = fs.listFiles(p, True), [], fs.makeQualified(self._remote(self.root)[1]).toString()
+        while found.hasNext():
+            path = found.next().getPath().toString()
+            if path.endswith(".parquet"):
+                out.append(path[len(head) + 1 :])
+        return sorted(out)
+
     def read(self, name: str) -> str:
         if self.local:
             return self._disk(name).read_text()
@@ -76,14 +90,6 @@ class Store:
         stream.write(text.encode())
         stream.close()
 
-    def copy_to(self, name: str, other: Store) -> None:
-        if self.local and other.local:
-            shutil.copytree(self._disk(name), other._disk(name))
-            return
-        (a, p), (b, q) = self._remote(self.at(name)), other._remote(other.at(name))
-        b.mkdirs(q.getParent())
-        self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def exists(self) -> bool:
         if self.local:
             return self._disk("").exists()

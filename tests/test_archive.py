@@ -227,9 +227,9 @@ def test_import_promotes_sessions_and_fills_objects(spark, archive, tmp_path):
 
 def test_two_writers_do_not_both_win(archive):
     m = archive.manifest()
-    archive._publish(m, m["version"] + 1)
+    archive.log.publish(m, m["version"] + 1)
     with pytest.raises(ArchiveError):
-        archive._publish(m, m["version"] + 1)
+        archive.log.publish(m, m["version"] + 1)
 
 
 def test_stream_once_runs_the_ingest(spark, archive, tmp_path):
