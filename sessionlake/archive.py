@@ -224,7 +224,7 @@ class Archive:
         m = self.manifest()
         cut, size = analyser(m["tokenizer"]), m["index"]
         totals = (size["n_docs"], size["n_tokens"] / max(1, size["n_docs"]))
-        posts = self.postings(plan_query(query, cut), m)
+        posts = lambda: self.postings(plan_query(query, cut), m)
         return ranking.result(ranking.search(self.log.table("events", m), self.log.table("sessions", m), query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut, self.lists(m) if skipping else None))
 
     def list(self, limit: int = 50, cursor: str | None = None, **filters) -> tuple[list, str | None]:

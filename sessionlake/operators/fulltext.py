@@ -21,7 +21,8 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 FILE_TOKENS = 2_000_000
 MOST_BUCKETS = 1024
-BLOCK_BITS = 10  # a block is 1,024 texts
+BLOCK_BITS = 12  # a block is of 4,096 texts in order, those of about one length
+LENGTHS = 64
 
 
 def searchable(events: DataFrame) -> DataFrame:
@@ -76,9 +77,14 @@ def stored_postings(idx: DataFrame, buckets: int, files: int, keys: tuple[str, .
 
 
 def numbered(events: DataFrame, analyser: Analyser = PORTABLE) -> DataFrame:
-    """The index of a commit's events in order of their keys, each with its ``block``: a run of at most 1,024 texts that follow each other."""
+    """The index of a commit's events in order of their keys, each with its ``block``: texts of one length (of about one, from 32 tokens on: a fourth of a power of two) in a run of texts that follow each other.
+
+    A block's bound adds up what its lists hold at best; as its texts are of one length, what adds up may well be in one text.
+    """
     ordered = searchable(events).select("session_id", "idx", "text").repartitionByRange("session_id", "idx").sortWithinPartitions("session_id", "idx")
-    return index(ordered, analyser=analyser).withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    dl, half = F.col("dl"), LENGTHS // 2
+    length = F.when(dl < half, dl).otherwise(F.least(half + F.floor(4 * F.log2(dl / half)), F.lit(LENGTHS - 1))).cast("long")
+    return index(ordered, analyser=analyser).withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS) * LENGTHS + length)
 
 
 def pairs(tokens: DataFrame) -> DataFrame:

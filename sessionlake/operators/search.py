@@ -7,9 +7,12 @@ the texts of the results' context are fetched by broadcast of the few ids; what
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X, values as V
 from ..functions.analysers import PORTABLE, Analyser
@@ -133,11 +136,17 @@ def bookends(events: DataFrame) -> DataFrame:
 
 
 def few(spark: SparkSession, ids: list[str], name: str) -> DataFrame:
-    """At most as many ids as a search has candidates, for a join by broadcast."""
-    return F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{name} string").coalesce(1))
+    """At most as many ids as a search has candidates, for a join by broadcast; as an Arrow table they are a local relation, which costs no job."""
+    return F.broadcast(spark.createDataFrame(pa.table({name: pa.array(ids, pa.string())})))
 
 
-def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: DataFrame | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE, stored: topk.Lists | None = None) -> DataFrame:
+def local(spark: SparkSession, top: list) -> DataFrame:
+    """Capped hits as a local relation."""
+    columns = {"session_id": pa.string(), "idx": pa.int64(), "bm25": pa.float64()}
+    return spark.createDataFrame(pa.table({c: pa.array([r[c] for r in top], t) for c, t in columns.items()}))
+
+
+def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: DataFrame | Callable[[], DataFrame] | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE, stored: topk.Lists | None = None) -> DataFrame:
     """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM.
 
     ``stored`` lists of postings find the candidates without reading all of ``posts``, where the query is one of lists. The hits' texts, the sessions' rows and
@@ -153,10 +162,11 @@ def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, li
     own = None if agent is None and cwd is None and since_ms is None else filtered(sessions, agent, cwd, since_ms)
     top = topk.top(plan, stored, candidate_cap(limit), best_hits, own) if stored else None
     if top is None:
+        posts = posts() if callable(posts) else posts
         top = candidates(events, own, plan, candidate_cap(limit), posts, totals).collect()  # at most MOST_CANDIDATES rows
     if not top:
         return spark.createDataFrame([], tail.RESULT)
-    hits = texts(spark.createDataFrame(top, "session_id string, idx long, bm25 double").coalesce(1), events)
+    hits = texts(local(spark, top), events)
     shown = snippet_column(F.col("text"), [p.places() for p in plan.phrases], analyser) if snippets else F.col("text")
     hits = hits.withColumn("shown", shown).select("session_id", "idx", "kind", "bm25", (F.col("shown") if snippets else F.lit(None).cast("string")).alias("snippet"), X.covered(plan.terms, F.lower(F.coalesce("shown", F.lit("")))).alias("covered"))
     ids = sorted({r["session_id"] for r in top})
@@ -176,7 +186,8 @@ def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, li
     if further := sorted({i for line in lines for i in line} - set(ids)):  # ancestors without hits
         talk |= ends(further)
     first = lambda line, what: next((talk[i][what] for i in line if i in talk and talk[i][what] is not None), None)
-    return spark.createDataFrame([r.row(first(line, "ask"), first(line, "outcome")) for r, line in zip(results, lines, strict=True)], tail.RESULT).coalesce(1)
+    out = [r.row(first(line, "ask"), first(line, "outcome")) for r, line in zip(results, lines, strict=True)]
+    return spark.createDataFrame(pa.Table.from_pylist([tail.named(r) for r in out], to_arrow_schema(tail.RESULT)), tail.RESULT)
 
 
 def result(rows: DataFrame) -> DataFrame:

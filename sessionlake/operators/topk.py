@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from ..plans.query import Node, Phrase, Plan
 from . import fulltext
@@ -52,34 +52,55 @@ def _of(wanted: list[tuple[str, bool]], stored: Lists, columns: list[str]) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def _is(name: tuple[str, bool]) -> Column:
-    return (F.col("term") == name[0]) & (F.col("pair") == name[1])
+def _is(name: tuple[str, bool]) -> str:
+    return f"(term = {_text(name[0])} AND pair = {str(name[1]).lower()})"
+
+
+def _text(s: str) -> str:
+    """A string literal of SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _number(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _sum(parts: list[str]) -> str:
+    """Added up from the left, beginning with nothing, as scores are."""
+    out = "0.0D"
+    for p in parts:
+        out = f"({out} + {p})"
+    return out
+
+
+def _term_score(tf: str, dl: str, avgdl: float) -> str:
+    """:func:`fulltext.term_score` as SQL text: a statement is quicker to make than as many expressions."""
+    k1, b = fulltext.K1, fulltext.B
+    return f"(({tf} * {_number(k1 + 1)}) / ({tf} + ({_number(k1)} * ({_number(1 - b)} + (({_number(b)} * {dl}) / {_number(avgdl)})))))"
 
 
 def headers(wanted: list[tuple[str, bool]], stored: Lists) -> DataFrame:
     """commit, block, ub (no text's score exceeds it), low (the least key) and each list's idf."""
+    lists_of, n = range(len(wanted)), f"{stored.n_docs}L"
     rows = _of(wanted, stored, ["term", "commit", "block", "max_tf", "min_dl", "low"])
-    n = F.lit(stored.n_docs)
-    df = stored.terms.filter(reduce(lambda a, b: a | b, [_is(w) for w in wanted]))
-    df = df.agg(F.struct(*[F.coalesce(F.sum(F.when(_is(w), F.col("df"))), F.lit(0)).alias(f"d{i}") for i, w in enumerate(wanted)]).alias("s")).select("s").scalar()
-    weights = [fulltext.idf(n, F.col(f"s.d{i}")) for i in range(len(wanted))]
-    avgdl = F.lit(stored.avgdl)
-    most = [F.coalesce(F.max(F.when(_is(w), fulltext.term_score(F.col("max_tf"), F.col("min_dl"), avgdl))), F.lit(0.0)).alias(f"m{i}") for i, w in enumerate(wanted)]
+    sums = ", ".join(f"'d{i}', coalesce(sum(CASE WHEN {_is(w)} THEN df END), 0L)" for i, w in enumerate(wanted))
+    df = stored.terms.filter(" OR ".join(_is(w) for w in wanted)).agg(F.expr(f"named_struct({sums})").alias("s")).scalar()
+    most = [F.expr(f"coalesce(max(CASE WHEN {_is(w)} THEN {_term_score('max_tf', 'min_dl', stored.avgdl)} END), 0.0D)").alias(f"m{i}") for i, w in enumerate(wanted)]
     per = rows.groupBy("commit", "block").agg(*most, F.min("low").alias("low"), F.max("max_tf").alias("most_tf")).withColumn("s", df)
-    per = per.select("*", *[w.alias(f"idf{i}") for i, w in enumerate(weights)])
-    bound = sum((F.col(f"idf{i}") * F.col(f"m{i}") for i in range(len(wanted))), F.lit(0.0))
-    bound = F.when(F.col("most_tf") > 1, bound * (1 + ROOM)).otherwise(bound)
-    return per.select("commit", "block", bound.alias("ub"), "low", *[f"idf{i}" for i in range(len(wanted))])
+    raw = [f"ln(({n} - s.d{i} + 0.5D) / (s.d{i} + 0.5D))" for i in lists_of]
+    idf = [f"CASE WHEN {r} > 0 THEN {r} ELSE {_number(fulltext.LEAST_IDF)} END AS idf{i}" for i, r in zip(lists_of, raw, strict=True)]
+    bound = _sum([f"(idf{i} * m{i})" for i in lists_of])
+    return per.selectExpr("*", *idf).selectExpr("commit", "block", f"CASE WHEN most_tf > 1 THEN {bound} * {_number(1 + ROOM)} ELSE {bound} END AS ub", "low", *[f"idf{i}" for i in lists_of])
 
 
 def _scored(blocks: DataFrame, wanted: list[tuple[str, bool]], stored: Lists, weights: list[float], sessions: DataFrame | None) -> DataFrame:
     """session_id, idx, bm25 of all texts in the given blocks."""
-    posts = stored.live(blocks.select("term", "pair", "commit", F.explode("posts").alias("x")).select("term", "pair", "commit", "x.*"))
+    posts = stored.live(blocks.selectExpr("term", "pair", "commit", "inline(posts)"))
     if sessions is not None:
         posts = posts.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    per = posts.groupBy("session_id", "idx", "dl").agg(*[F.coalesce(F.sum(F.when(_is(w), F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, w in enumerate(wanted)])
-    score = sum((F.lit(w) * fulltext.term_score(F.col(f"f{i}"), F.col("dl"), F.lit(stored.avgdl)) for i, w in enumerate(weights)), F.lit(0.0))
-    return per.select("session_id", "idx", (-score).alias("bm25"))
+    per = posts.groupBy("session_id", "idx", "dl").agg(*[F.expr(f"coalesce(sum(CASE WHEN {_is(w)} THEN tf END), 0L)").alias(f"f{i}") for i, w in enumerate(wanted)])
+    score = _sum([f"({_number(w)} * {_term_score(f'f{i}', 'dl', stored.avgdl)})" for i, w in enumerate(weights)])
+    return per.selectExpr("session_id", "idx", f"-{score} AS bm25")
 
 
 def _place(r: Row) -> tuple:
@@ -110,7 +131,7 @@ def top(plan: Plan, stored: Lists, cap: int, best: Callable[[DataFrame, int], Da
         chosen: dict[str, list[int]] = {}
         for r in ahead[:n]:
             chosen.setdefault(r["commit"], []).append(r["block"])
-        these = reduce(lambda a, b: a | b, [(F.col("commit") == c) & F.col("block").isin(*b) for c, b in chosen.items()])
+        these = " OR ".join(f"(commit = {_text(c)} AND block IN ({', '.join(map(str, b))}))" for c, b in chosen.items())
         rows = _scored(_of(wanted, stored, columns).filter(these), wanted, stored, weights, sessions)
         hits = best(rows, cap).collect()  # at most cap rows
         tell |= {"read": min(n, len(ahead)), "of": len(ahead)}
