@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession, functions as F
 
-from . import segment, text as X
+from . import lexicon, segment, text as X
 
 #: One analyser's words at one place of a query: the word itself and what will do instead.
 Word = tuple[str, ...]
@@ -33,16 +35,20 @@ class Segmenting(Analyser):
 
     vocabulary: frozenset[str] = frozenset()
     name: str = "segmenting"
+    path: str | None = None
     plain: bool = field(default=False, init=False)
 
     def __post_init__(self):
-        self.cutter = segment.Segmenter(self.vocabulary)
+        self.cutter = segment.Segmenter(lexicon.loaded(self.path) if self.path else self.vocabulary)
 
     def column(self, text: Column) -> Column:
-        cutter = self.cutter
+        """A word list goes to the tasks as a file, which each worker loads once; a vocabulary goes with the function."""
+        file = send_file(SparkSession.active(), self.path) if self.path else None
+        held = None if file else self.cutter
 
         @F.pandas_udf("toks array<string>, more array<struct<pos:int,term:string>>")
         def cut(texts: pd.Series) -> pd.DataFrame:
+            cutter = held or segment.Segmenter(lexicon.loaded(SparkFiles.get(file)))
             toks, more = [], []
             for t in texts:
                 own, extra = [], []
@@ -70,16 +76,32 @@ class Segmenting(Analyser):
 PORTABLE = Analyser()
 
 
+KINDS: dict[str, Callable[[str], Analyser]] = {}
+
+
 @lru_cache(maxsize=8)
 def analyser(name: str) -> Analyser:
-    """By the name that a manifest holds: the portable one, ``segmenting``, or ``segmenting:`` and the path of a word list (UTF-8, a word a line)."""
+    """By the name that a manifest holds: the portable one, ``segmenting``, ``segmenting:`` and the path of a word list (UTF-8, a word and its count a line), or one that was registered."""
     kind, _, path = name.partition(":")
     if name == PORTABLE.name:
         return PORTABLE
+    if kind in KINDS:
+        made = KINDS[kind](path)
+        made.name = name
+        return made
     if kind != "segmenting":
         raise ValueError(f"unknown tokenizer {name!r}")
-    words = frozenset()
-    if path:
-        with open(path, encoding="utf-8") as f:
-            words = frozenset(w for line in f if (w := line.split()[0] if line.strip() else ""))
-    return Segmenting(words, name)
+    return Segmenting(name=name, path=path or None)
+
+
+def send_file(spark: SparkSession, path: str) -> str:
+    """Sends a word list to all tasks, and its name there."""
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
+def register(kind: str, make: Callable[[str], Analyser]) -> None:
+    """An analyser of one's own: ``make`` gets what follows the colon in a name (``kind:rest``), and is called again wherever an archive's manifest names it."""
+    if kind in KINDS or kind == PORTABLE.name:
+        raise ValueError(f"analyser {kind!r} is there already")
+    KINDS[kind] = make

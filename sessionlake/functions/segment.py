@@ -1,20 +1,21 @@
 """The segmenting analyser: dictionary words in CJK runs, folded words elsewhere, with Porter stems beside them.
 
-CJK runs are cut by longest match against a word list (fine for documents: shorter words inside a match are emitted too; coarse for
-queries), and into single characters and pairs where no word fits. Other runs are letters and digits, folded and
+CJK runs are cut by the most probable path through the graph of a lexicon's words, with words that it lacks discovered (:mod:`lexicon`); documents get the shorter words inside
+a word too, and the pairs of characters that no word covers. Other runs are letters and digits, folded and
 lower-cased; a stem that differs from its word is emitted at the same place.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+from .lexicon import Lexicon
 from .text import fold_py
 
 TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("colocated", T.BooleanType())]))
@@ -34,9 +35,8 @@ def is_cjk(c: str) -> bool:
 
 
 class Segmenter:
-    def __init__(self, words: Iterable[str] = (), stem: bool = True):
-        self.words, self.stem = frozenset(words), stem
-        self.longest = max(map(len, self.words), default=1)
+    def __init__(self, words: Lexicon | Mapping[str, int] | Iterable[str] = (), stem: bool = True):
+        self.words, self.stem = words if isinstance(words, Lexicon) else Lexicon(words), stem
 
     def tokens(self, text: str, query: bool = False) -> list[Token]:
         out, i = [], 0
@@ -62,16 +62,16 @@ class Segmenter:
         return out
 
     def _cjk(self, run: str, at: int, query: bool) -> list[Token]:
-        out, i = [], 0
-        while i < len(run):
-            n = next((n for n in range(min(self.longest, len(run) - i), 1, -1) if run[i : i + n] in self.words), 1)
-            out.append(Token(run[i : i + n], at + i, at + i + n))
-            if n > 1 and not query:
-                inner = {(a, b) for a in range(i, i + n) for b in range(a + 2, i + n + 1) if (a, b) != (i, i + n) and run[a:b] in self.words}
-                out += [Token(run[a:b], at + a, at + b, True) for a, b in sorted(inner)]
-            elif n == 1 and not query and i + 1 < len(run):
-                out.append(Token(run[i : i + 2], at + i, at + i + 2, True))
-            i += n
+        out = []
+        for i, j in self.words.cut(run):
+            out.append(Token(run[i:j], at + i, at + j))
+            if query:
+                continue
+            if j > i + 1:
+                inner = sorted({(a, b) for a in range(i, j) for b, _ in self.words.ends(run[:j], a) if b > a + 1} - {(i, j)})
+                out += [Token(run[a:b], at + a, at + b, True) for a, b in inner]
+            elif j < len(run):
+                out.append(Token(run[i : j + 1], at + i, at + j + 1, True))
         return out
 
     def column(self, text: Column, query: bool = False) -> Column:

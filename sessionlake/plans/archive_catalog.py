@@ -171,6 +171,56 @@ def fts14_stored_index_hits(spark, d):
     return hits.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query(f"WITH {_LATE}, {_bm25('late', 'conv_id, turn')}, own AS (SELECT conv_id, bm25, row_number() OVER (PARTITION BY conv_id ORDER BY bm25, turn) AS k FROM hits), best AS (SELECT bm25, row_number() OVER (ORDER BY bm25) AS rank FROM own WHERE k <= 50) SELECT rank, round(bm25, 6) AS bm25 FROM best WHERE rank <= 500")
+def fts14_best_by_blocks(spark, d):
+    """The scores of the 500 best hits, 50 to a session, from the blocks of postings that may hold them."""
+    from ..operators import search, topk
+    from .query import plan
+
+    a, _, _ = made(spark, d, twice=True)
+    top = topk.top(plan(QUERY), a.lists(), 500, search.best_hits)
+    return spark.createDataFrame([(i + 1, round(r["bm25"], 6)) for i, r in enumerate(top)], "rank long, bm25 double")
+
+
+@query("SELECT count(DISTINCT conv_id) AS sessions, count(*) AS events, count(*) FILTER (role IN ('user', 'assistant', 'system')) AS indexed, count(*) FILTER (role IN ('user', 'assistant', 'system')) AS documents, count(DISTINCT conv_id) AS objects, true AS sound FROM conversations WHERE role IN ('user', 'assistant', 'system')")
+def snk01_two_writers(spark, d):
+    """Two writers ingest the same files, one between the other's writing and publishing: totals are those of one ingest, and every check passes."""
+    _, root, _ = made(spark, d)
+    path, written, raced = f"{root}/raced-{uuid.uuid4().hex}", [], []
+    a = Archive(spark, path)
+    inner = a.log._written
+
+    def slow(*args):
+        entry = inner(*args)
+        written.append(entry["name"])
+        if len(written) == 1:
+            raced.append(Archive(spark, path).ingest(("claude",), f"{root}/src"))
+        return entry
+
+    a.log._written = slow
+    a.ingest(("claude",), f"{root}/src")
+    assert len(written) == 2  # the first was given up for what the other had published
+    n = a.manifest()["index"]["n_docs"]
+    row = (a.sessions.count(), a.events.count(), n, a.table("docs").count(), a.table("objects").count(), all(r["passed"] for r in a.verify().collect()))
+    return spark.createDataFrame([row], "sessions long, events long, indexed long, documents long, objects long, sound boolean")
+
+
+@query("SELECT unnest(['storage']) AS name, false AS passed, 1::BIGINT AS n_failures FROM (SELECT count(*) FROM conversations)")
+def vfy01_flipped_byte(spark, d):
+    """A copy of the archive in which one byte of one file of events has changed."""
+    a, root, _ = made(spark, d)
+    target = f"{root}/damaged-{uuid.uuid4().hex}"
+    a.backup(target)
+    copy = Archive(spark, target)
+    name = copy.store.files("data/events")[0]
+    with open(f"{target}/{name}", "r+b") as f:
+        f.seek(os.path.getsize(f.name) // 2)
+        byte = f.read(1)
+        f.seek(-1, 1)
+        f.write(bytes([byte[0] ^ 1]))
+    return copy.verify().select("name", "passed", "n_failures")
+
+
 @query("SELECT unnest(['storage', 'foreign_keys', 'contract', 'index', 'object_references', 'objects']) AS name, true AS passed")
 def vfy07_report(spark, d):
     return made(spark, d, twice=True)[0].verify().select("name", "passed")
