@@ -116,7 +116,7 @@ def answer(archive: Archive, text: str | bytes, operations: dict[str, Callable[[
         f = Fields(request)
         op = f.need("op")
         if op not in operations:
-            raise Refused("unsupported_operation", f"unsupported operation: {op}", {"supported": sorted(operations)})
+            raise Refused("unsupported_operation", f"{op!r} is no operation of this service", {"supported": sorted(operations)})
         return {"ok": True, "result": plain(operations[op](archive, f))}
     except Refused as e:
         code, message, details = e.code, str(e), e.details

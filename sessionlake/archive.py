@@ -23,13 +23,14 @@ from .operators import fulltext, listing, search as ranking, tables as K, topk
 from .plans.query import Plan, plan as plan_query
 from .scratch import Scratch
 from .sources import distributed as D
-from .sources.base import Candidate, Discovery, Parsed, categorise
-from .sources.connectors import REGISTRY, native_root
+from .sources.base import Candidate, Parsed, categorise
+from .sources.connectors import native_root
 from .storage import Store
 from .workers import ship
 
 
 LEAST_FILES = 4
+FAILURES_TOLD = 1000
 
 
 @dataclass
@@ -160,56 +161,79 @@ class Archive:
     def ingest(self, agents: tuple[str, ...] = M.AGENTS, root: str | None = None, since_ms: int | None = None, exclude: tuple[str, ...] = (), dry_run: bool = False, strict: bool = False) -> IngestReport:
         """Discover, exclude, skip by time, skip unchanged, parse the rest and replace their sessions; bad sources are counted, others go on.
 
-        The driver lists names and reads counts and failures (a row for each bad file); all else is done by tasks, a commit for each agent.
+        The driver reads counts and the first FAILURES_TOLD failures; all else is done by tasks, a commit for each agent.
         """
         report, now = IngestReport(), int(time.time() * 1000)
         for g in exclude:
             glob(g)  # a bad pattern fails before anything is read
         scratch = Scratch(self.spark, "ingest")
         for agent in map(M.parse_agent, agents):
-            base, found = root or native_root(agent), Discovery()
-            listing = list(REGISTRY[agent].listing(base, found))
-            for path, category, message in found.failures:
-                report.discovered += 1
-                report.add("discovery", path, message, category)
-            if not listing:
+            base = root or native_root(agent)
+            listed = D.walked(self.spark, agent, base, scratch, f"{agent}-walk")
+            lost = listed.filter("category is not null")
+            n = lost.count()
+            report.discovered += n
+            self._failures(lost.select(F.lit(0).alias("i"), F.lit("discovery").alias("stage"), "path", "message", "category"), report, n)
+            # Numbered in order of path: of several sources of one session the last one counts.
+            names = scratch.write(listed.filter("category is null").select(*D.NAMED).orderBy("path").withColumn("i", F.monotonically_increasing_id()), f"{agent}-names")
+            n = names.count()
+            if not n:
                 continue
-            seen = scratch.write(D.examined(self.spark, agent, listing), f"{agent}-seen")
-            judged = K.outcomes(D.linked(seen, agent), self.states(), exclude, since_ms)
-            judged = scratch.write(judged.withColumn("outcome", F.when((F.col("outcome") != "excluded") & F.col("category").isNotNull(), "failed").otherwise(F.col("outcome"))), f"{agent}-judged")
-            counts = {r["outcome"]: r["n"] for r in judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
-            report.discovered += sum(n for o, n in counts.items() if o != "excluded")
-            report.skipped += counts.get("skipped_by_since", 0)
-            report.skipped_by_since += counts.get("skipped_by_since", 0)
-            report.unchanged += counts.get("unchanged", 0)
-            self._failures(judged.filter("outcome = 'failed'"), report)
-            if not counts.get("pending"):
-                continue
-            ask = judged.filter("outcome = 'pending'").repartition(max(1, -(-counts["pending"] // D.FILES_TO_A_TASK)))
-            parsed = scratch.write(D.parsed(ask, agent, base, now, store=not dry_run), f"{agent}-parsed")
-            good = parsed.filter("category is null and session is not null")
-            size = good.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("events"), F.coalesce(F.sum("estimated"), F.lit(0)).alias("bytes")).first()
-            empty = parsed.filter("category is null and session is null").count()
-            report.parsed += size["n"] + (0 if dry_run else empty)
-            report.skipped += empty
-            report.estimated_bytes += size["bytes"]
-            self._failures(parsed.filter("category is not null"), report)
-            if not dry_run and size["n"]:
-                self._store(good)
-                report.ingested += size["n"]
-                report.events += size["events"]
-            scratch.drop(f"{agent}-seen", f"{agent}-judged", f"{agent}-parsed")
+            self._take(agent, base, names, n, report, now, scratch, exclude, since_ms, dry_run)
+        self._finish(report, dry_run, strict)
+        return report
+
+    def ingest_files(self, agent: str, root: str, paths: DataFrame) -> IngestReport:
+        """The same for named files alone (``path``), as a stream of changes has them; files that are gone count as failures."""
+        report, scratch = IngestReport(), Scratch(self.spark, "ingest")
+        names = scratch.write(D.named(paths, agent).orderBy("path").withColumn("i", F.monotonically_increasing_id()), "names")
+        if n := names.count():
+            self._take(agent, root, names, n, report, int(time.time() * 1000), scratch, (), None, False)
+        self._finish(report, False, False)
+        return report
+
+    def _take(self, agent: str, base: str, names: DataFrame, n: int, report: IngestReport, now: int, scratch: Scratch, exclude: tuple[str, ...], since_ms: int | None, dry_run: bool) -> None:
+        """Examines listed files, parses what is new or has changed, and replaces its sessions."""
+        seen = scratch.write(D.examined(self.spark, agent, names, n), f"{agent}-seen")
+        judged = K.outcomes(D.linked(seen, agent), self.states(), exclude, since_ms)
+        judged = scratch.write(judged.withColumn("outcome", F.when((F.col("outcome") != "excluded") & F.col("category").isNotNull(), "failed").otherwise(F.col("outcome"))), f"{agent}-judged")
+        counts = {r["outcome"]: r["n"] for r in judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+        report.discovered += sum(n for o, n in counts.items() if o != "excluded")
+        report.skipped += counts.get("skipped_by_since", 0)
+        report.skipped_by_since += counts.get("skipped_by_since", 0)
+        report.unchanged += counts.get("unchanged", 0)
+        self._failures(judged.filter("outcome = 'failed'"), report, counts.get("failed", 0))
+        if not counts.get("pending"):
+            return
+        ask = judged.filter("outcome = 'pending'").repartition(max(1, -(-counts["pending"] // D.FILES_TO_A_TASK)))
+        parsed = scratch.write(D.parsed(ask, agent, base, now, store=not dry_run), f"{agent}-parsed")
+        good = parsed.filter("category is null and session is not null")
+        size = good.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("events"), F.coalesce(F.sum("estimated"), F.lit(0)).alias("bytes")).first()
+        empty = parsed.filter("category is null and session is null").count()
+        report.parsed += size["n"] + (0 if dry_run else empty)
+        report.skipped += empty
+        report.estimated_bytes += size["bytes"]
+        self._failures(parsed.filter("category is not null"), report, counts["pending"] - size["n"] - empty)
+        if not dry_run and size["n"]:
+            self._store(good)
+            report.ingested += size["n"]
+            report.events += size["events"]
+        scratch.drop(f"{agent}-seen", f"{agent}-judged", f"{agent}-parsed")
+
+    def _finish(self, report: IngestReport, dry_run: bool, strict: bool) -> None:
         if not dry_run:
             last = {k: getattr(report, k) for k in ("discovered", "parsed", "ingested", "unchanged", "skipped", "failed")}
             self.log.change(lambda m: m | {"telemetry": m["telemetry"] | {"last_ingest": last, "completed_at_ms": int(time.time() * 1000), "total_failures": m["telemetry"].get("total_failures", 0) + report.failed}})
         if strict and report.failed:
             raise ArchiveError(f"{report.failed} sources failed: {report.failures}")
-        return report
 
     @staticmethod
-    def _failures(rows: DataFrame, report: IngestReport) -> None:
-        for r in rows.select("i", "stage", "path", "message", "category").orderBy("i").collect():
+    def _failures(rows: DataFrame, report: IngestReport, n: int) -> None:
+        """Counts ``n`` failures and tells of the first."""
+        known = report.failed
+        for r in rows.select("i", "stage", "path", "message", "category").orderBy("i", "path").limit(max(0, FAILURES_TOLD - known)).collect() if n else ():
             report.add(r["stage"], r["path"], r["message"], r["category"])
+        report.failed = known + n
 
     def states(self) -> DataFrame:
         """locator, fingerprint, mode of every archived source."""

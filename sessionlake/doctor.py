@@ -15,25 +15,30 @@ from pyspark.sql import functions as F
 
 from .functions.analysers import analyser
 from .schema import AGENTS
+from .scratch import Scratch
 from .sources import distributed as D
-from .sources.base import Discovery
-from .sources.connectors import REGISTRY, native_root
+from .sources.connectors import native_root
+
+
+FAILURES_TOLD = 1000
 
 
 def agents(spark, names: tuple[str, ...], roots: dict[str, str] | None = None) -> list[dict[str, Any]]:
     """Per agent: its root, whether it can be read, how many candidates it has, the newest one's time, and what fails there."""
     out = []
     for agent in names:
-        root, found = (roots or {}).get(agent) or native_root(agent), Discovery()
-        there = os.path.isdir(root)
-        listing = list(REGISTRY[agent].listing(root, found)) if there else []
-        n = latest = None
-        failures = [{"path": p, "message": m} for p, _, m in found.failures]
-        if listing:
-            seen = D.examined(spark, agent, listing).select("path", "category", "message", "updated_at_ms").collect()  # a row for each source
-            n, latest = sum(r["category"] is None for r in seen), max((r["updated_at_ms"] for r in seen if r["updated_at_ms"] is not None), default=None)
-            failures += [{"path": r["path"], "message": r["message"]} for r in seen if r["category"] is not None]
-        out.append({"agent": agent, "root": root, "exists": there, "readable": os.access(root, os.R_OK | os.X_OK), "discovered": n or 0, "latest_updated_at_ms": latest, "failures": failures})
+        root = (roots or {}).get(agent) or native_root(agent)
+        there, n, latest, failures = os.path.isdir(root), 0, None, []
+        if there:
+            scratch = Scratch(spark, "doctor")
+            listed = D.walked(spark, agent, root, scratch, agent)
+            names = scratch.write(listed.filter("category is null").select(*D.NAMED, F.monotonically_increasing_id().alias("i")), f"{agent}-names")
+            seen = scratch.write(D.examined(spark, agent, names, names.count()).select("path", "category", "message", "updated_at_ms"), f"{agent}-seen")
+            one = seen.agg(F.count_if(F.col("category").isNull()).alias("n"), F.max("updated_at_ms").alias("latest")).first()
+            n, latest = one["n"], one["latest"]
+            bad = listed.select("path", "category", "message").unionByName(seen.select("path", "category", "message")).filter("category is not null")
+            failures = [{"path": r["path"], "message": r["message"]} for r in bad.orderBy("path").limit(FAILURES_TOLD).collect()]
+        out.append({"agent": agent, "root": root, "exists": there, "readable": os.access(root, os.R_OK | os.X_OK), "discovered": n, "latest_updated_at_ms": latest, "failures": failures})
     return out
 
 

@@ -117,6 +117,58 @@ def src11_pi_ingest(spark, d):
     return _native("pi", spark, d)
 
 
+def _format(spark: SparkSession, agent: str, root: str) -> DataFrame:
+    from ..sources import connectors, datasource
+
+    datasource.register(spark, connectors.REGISTRY[agent])
+    return spark.read.format(agent).load(root).filter("category is null").select("session_id", "idx", "kind", "text")
+
+
+@query(_events_sql("codex", "'user', 'assistant'"))
+def src01_codex_format(spark, d):
+    """The native files through ``spark.read.format``."""
+    return _format(spark, "codex", f"{made(spark, d, 'codex')[1]}/src")
+
+
+@query(_events_sql("gemini", "'user', 'assistant', 'system'"))
+def src04_whole_documents(spark, d):
+    """Sessions as one indented JSON document each."""
+    root = _folder(spark)
+
+    def run(batches):
+        import pandas as pd
+
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            for conv, turns in zip(b["conv"], b["turns"], strict=True):
+                messages = [_record("gemini", conv, *r) for r in sorted((t["turn"], t["role"], t["text"]) for t in turns)]
+                with open(f"{root}/session-{conv}.json", "w", encoding="utf-8") as f:
+                    json.dump({"sessionId": conv, "messages": messages}, f, indent=2, ensure_ascii=False)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    per = table(spark, d, "conversations").groupBy(F.format_string("c%06d", "conv_id").alias("conv")).agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    per.mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    return _format(spark, "gemini", root)
+
+
+@query("SELECT unnest([1, 2, 3]) AS run, unnest([count(DISTINCT conv_id), 0, count(DISTINCT conv_id) FILTER (conv_id % 5 = 0)])::BIGINT AS ingested, unnest([count(DISTINCT conv_id), count(DISTINCT conv_id), count(DISTINCT conv_id)])::BIGINT AS sessions, unnest([count(*), count(*), count(*) + count(DISTINCT conv_id) FILTER (conv_id % 5 = 0)])::BIGINT AS events FROM conversations")
+def stm01_changes_as_a_stream(spark, d):
+    """Three starts of one streaming query over the native files: all, none, and every fifth that has changed."""
+    from ..streaming.changes import ingest
+
+    root = _folder(spark)
+    write_native(spark, d, "pi", f"{root}/src")
+    a, rows = Archive(spark, f"{root}/archive"), []
+    for run in (1, 2, 3):
+        if run == 3:
+            write_native(spark, d, "pi", f"{root}/src", changed=True)
+        reports = []
+        query = ingest(a, "pi", f"{root}/src", f"{root}/check", reports.append, once=True)
+        query.awaitTermination()
+        rows.append((run, sum(r.ingested for r in reports), a.sessions.count(), a.events.count()))
+    return spark.createDataFrame(rows, "run int, ingested long, sessions long, events long")
+
+
 _LATE = "late AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'assistant', 'a late answer' FROM conversations WHERE conv_id % 5 = 0 AND conv_id NOT IN (1, 2, 3) GROUP BY conv_id)"
 
 

@@ -42,9 +42,13 @@ TABLES = {"sessions": SESSIONS, "events": EVENTS, "raw_sources": RAW_SOURCES, "o
 KEYS = {"sessions": ("id",), "events": ("session_id", "idx"), "raw_sources": ("session_id", "locator"), "objects": ("hash",)}
 
 
+#: Agents whose parsers were registered beside the five.
+REGISTERED: set[str] = set()
+
+
 def parse_agent(name: str) -> str:
     found = name.lower().replace("open-code", "opencode")
-    if found not in AGENTS:
+    if found not in AGENTS and found not in REGISTERED:
         raise ValueError(f"unknown agent {name!r}")
     return found
 

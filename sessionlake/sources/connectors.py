@@ -11,8 +11,8 @@ from pathlib import Path
 from typing import Any
 from urllib.parse import quote
 
-from ..schema import compact, flatten
-from .base import Candidate, Discovery, Firsts, Parsed, Source, SourceError, Times, event, get, json_lines, listed, read, relative, source, text_of, time_ms, walk
+from ..schema import REGISTERED, compact, flatten
+from .base import Candidate, Firsts, Parsed, Source, SourceError, Times, event, get, json_lines, listed, read, relative, source, text_of, time_ms
 
 #: Codex record types by what they become.
 CODEX_CALLS = {"function_call", "custom_tool_call", "tool_search_call", "web_search_call"}
@@ -28,9 +28,8 @@ def first_there(*values: Any) -> Any:
 class Codex(Source):
     agent = "codex"
 
-    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
-        for p in walk(root, lambda p: p.name.startswith("rollout-") and p.suffix == ".jsonl", found):
-            yield listed(p, p.stem)
+    def keeps(self, p: Path) -> bool:
+        return p.name.startswith("rollout-") and p.suffix == ".jsonl"
 
     def examine(self, c: Candidate) -> list[Candidate]:
         (c,) = super().examine(c)
@@ -105,10 +104,12 @@ class Codex(Source):
 class Claude(Source):
     agent = "claude"
 
-    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
-        for p in walk(root, lambda p: p.suffix == ".jsonl" and not (p.name == "journal.jsonl" and "workflows" in p.parts), found):
-            nested = p.parent.name == "subagents"
-            yield listed(p, f"{p.parents[1].name}/{p.stem}" if nested else p.stem, [p.with_suffix(".meta.json")], parent_session_id=f"claude:{p.parents[1].name}" if nested else None)
+    def keeps(self, p: Path) -> bool:
+        return p.suffix == ".jsonl" and not (p.name == "journal.jsonl" and "workflows" in p.parts)
+
+    def candidate(self, p: Path) -> Candidate:
+        nested = p.parent.name == "subagents"
+        return listed(p, f"{p.parents[1].name}/{p.stem}" if nested else p.stem, [p.with_suffix(".meta.json")], parent_session_id=f"claude:{p.parents[1].name}" if nested else None)
 
     def parse(self, c: Candidate, root: str) -> Parsed | None:
         head, times, events = Firsts(), Times(), []
@@ -161,9 +162,8 @@ class Claude(Source):
 class Gemini(Source):
     agent = "gemini"
 
-    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
-        for p in walk(root, lambda p: p.name.startswith("session-") and p.suffix in (".json", ".jsonl"), found):
-            yield listed(p, p.stem)
+    def keeps(self, p: Path) -> bool:
+        return p.name.startswith("session-") and p.suffix in (".json", ".jsonl")
 
     def parse(self, c: Candidate, root: str) -> Parsed | None:
         content = read(c.path)
@@ -214,9 +214,8 @@ class Gemini(Source):
 class Pi(Source):
     agent = "pi"
 
-    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
-        for p in walk(root, lambda p: p.suffix == ".jsonl" and p.name != "None.jsonl", found):
-            yield listed(p, p.stem)
+    def keeps(self, p: Path) -> bool:
+        return p.suffix == ".jsonl" and p.name != "None.jsonl"
 
     @staticmethod
     def time(value: Any) -> int | None:
@@ -262,9 +261,11 @@ class OpenCode(Source):
     agent = "opencode"
     FILE = "opencode.db"
 
-    def listing(self, root: str, found: Discovery) -> Iterator[Candidate]:
-        for p in walk(root, lambda p: p.suffix in (".db", ".sqlite"), found):
-            yield listed(p, p.stem, [p.with_name(p.name + "-wal")])
+    def keeps(self, p: Path) -> bool:
+        return p.suffix in (".db", ".sqlite")
+
+    def candidate(self, p: Path) -> Candidate:
+        return listed(p, p.stem, [p.with_name(p.name + "-wal")])
 
     def examine(self, c: Candidate) -> list[Candidate]:
         (c,) = super().examine(c)
@@ -339,5 +340,17 @@ REGISTRY: dict[str, Source] = {s.agent: s for s in (Claude(), Codex(), Gemini(),
 ROOTS = {"claude": ".claude/projects", "codex": ".codex/sessions", "gemini": ".gemini/tmp", "opencode": ".local/share/opencode", "pi": ".pi/agent/sessions"}
 
 
+def register(source: Source, root: str | None = None) -> None:
+    """A parser of one's own, by its agent's name; ``root`` is where that keeps its sessions, below the home folder."""
+    if source.agent in REGISTRY or source.agent != source.agent.lower():
+        raise ValueError(f"agent {source.agent!r} is there already, or not lower case")
+    REGISTRY[source.agent] = source
+    REGISTERED.add(source.agent)
+    if root is not None:
+        ROOTS[source.agent] = root
+
+
 def native_root(agent: str, home: str | None = None) -> str:
+    if agent not in ROOTS:
+        raise ValueError(f"agent {agent!r} has no native root: give one")
     return str(Path(home or Path.home()) / ROOTS[agent])

@@ -1,6 +1,6 @@
 """Examining and parsing sources in tasks: tables of candidates and of parsed sessions.
 
-The driver lists names. A task reads a file's bytes, once to examine it and, if it is new or has changed, once to parse and store it. A file that
+Folders are walked in rounds, a round for each level, in tasks; names never come to the driver. A task reads a file's bytes, once to examine it and, if it is new or has changed, once to parse and store it. A file that
 fails is a row with a category and a message; the others go on. Files must be at the same path wherever a task runs (a shared file system), as for any file source.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema as M
+from ..scratch import Scratch
 from ..workers import ship
 from .base import Candidate, Parsed, SourceError, categorise
 from .connectors import REGISTRY
@@ -25,6 +26,7 @@ from .connectors import REGISTRY
 ZSTD_LEVEL = 3
 FILES_TO_A_TASK = 500
 BATCH_BYTES = 8_000_000
+NAMES_TO_A_BATCH = 5_000
 
 _LONG, _TEXT = T.LongType(), T.StringType()
 
@@ -67,18 +69,69 @@ def _batches(rows: Iterable[tuple[dict[str, Any], int]], schema: pa.Schema) -> I
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def examined(spark: SparkSession, agent: str, listing: Iterable[Candidate]) -> DataFrame:
-    """Candidates with fingerprints (or their failures), linked to the sessions that spawned them."""
+LISTED = "folder string, path string, locator string, native_id string, parent_session_id string, extra array<string>, category string, message string"
+NAMED = ("path", "locator", "native_id", "parent_session_id", "extra")
+
+
+def walked(spark: SparkSession, agent: str, root: str, scratch: Scratch, tag: str) -> DataFrame:
+    """LISTED rows: candidates by their names, and folders that can't be read. A round lists all folders of one level; links are not followed, a root that isn't there is empty."""
+    ship(spark)
+    source = REGISTRY[agent]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(spark_type)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                rows: list[dict[str, Any]] = []
+                try:
+                    with os.scandir(folder) as entries:
+                        for e in entries:
+                            if e.is_dir(follow_symlinks=False):
+                                rows.append({"folder": e.path})
+                            elif not e.is_symlink() and source.keeps(Path(e.path)):
+                                c = source.candidate(Path(e.path))
+                                rows.append({k: getattr(c, k) for k in NAMED})
+                except OSError as e:
+                    rows.append({"path": folder, "category": categorise(e), "message": str(e)})
+                for i in range(0, len(rows), NAMES_TO_A_BATCH):
+                    yield pa.RecordBatch.from_pylist(rows[i : i + NAMES_TO_A_BATCH], schema)
+
+    spark_type = T.StructType([T.StructField(*f) for f in ((n, T.ArrayType(_TEXT) if n == "extra" else _TEXT) for n in ("folder", *NAMED, "category", "message"))])
+    level = spark.createDataFrame([(root,)] if os.path.isdir(root) else [], "folder string")
+    out, turn, n = None, 0, 1
+    while n:
+        found = scratch.write(level.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(look, LISTED), f"{tag}-{turn}")
+        out = found if out is None else out.unionByName(found)
+        level = found.filter("folder is not null").select("folder")
+        n, turn = level.count(), turn + 1
+    return out.filter("folder is null").drop("folder")
+
+
+def named(paths: DataFrame, agent: str) -> DataFrame:
+    """The candidates that files (``path``) are by their names."""
+    ship(paths.sparkSession)
+    source, kind = REGISTRY[agent], T.StructType([T.StructField(n, T.ArrayType(_TEXT) if n == "extra" else _TEXT) for n in NAMED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [source.candidate(Path(p)) for p in b.column(0).to_pylist() if p is not None]
+            yield pa.RecordBatch.from_pylist([{k: getattr(c, k) for k in NAMED} for c in rows], to_arrow_schema(kind))
+
+    return paths.select("path").distinct().mapInArrow(run, kind)
+
+
+def examined(spark: SparkSession, agent: str, names: DataFrame, n: int) -> DataFrame:
+    """Of ``n`` listed candidates (i, path, locator, native_id, parent_session_id, extra): their fingerprints, or failures."""
     ship(spark)
-    rows = [(i, c.path, c.locator, c.native_id, c.parent_session_id, c.extra) for i, c in enumerate(listing)]
-    names = spark.createDataFrame(rows, "i long, path string, locator string, native_id string, parent_session_id string, extra array<string>")
-    names = names.repartition(max(1, -(-len(rows) // FILES_TO_A_TASK)))
+    names = names.repartition(max(1, -(-n // FILES_TO_A_TASK)))
     schema = to_arrow_schema(CANDIDATE)
 
+    source = REGISTRY[agent]
+
     def one(r: dict[str, Any]) -> Iterator[tuple[dict[str, Any], int]]:
         c = Candidate(r["path"], r["locator"], r["native_id"], "", None, 0, 0, 0, parent_session_id=r["parent_session_id"], extra=r["extra"])
         try:
-            for x in REGISTRY[agent].examine(c):
+            for x in source.examine(c):
                 yield vars(x) | {"i": r["i"], "spawned": [{"child": child, "kind": kind} for child, kind in x.spawned], "stage": None, "category": None, "message": None}, 2000
         except Exception as e:  # noqa: BLE001  one bad source is one failure
             yield r | {"stage": "discovery", "category": categorise(e), "message": str(e)}, 2000
@@ -106,10 +159,12 @@ def parsed(found: DataFrame, agent: str, root: str, now_ms: int, store: bool = T
     """Candidates' sessions with all their rows; without ``store`` only their sizes."""
     schema, spec = to_arrow_schema(nullable(PARSED)), [c for c in Candidate.__dataclass_fields__ if c != "spawned"]
 
+    source = REGISTRY[agent]
+
     def one(r: dict[str, Any]) -> tuple[dict[str, Any], int]:
         c, at = Candidate(**{k: r[k] for k in spec}), {"i": r["i"], "path": r["path"]}
         try:
-            p, stage = REGISTRY[agent].parse(c, root), "database"
+            p, stage = source.parse(c, root), "database"
             if p is None:
                 return at, 100
             size = sum(len(s["content"]) if s["content"] is not None else os.path.getsize(s["path"]) for s in p.sources)

@@ -258,7 +258,7 @@ class Counted:
 
 
 def test_watch_triggers_debounce_and_failures(tmp_path):
-    from sessionlake.streaming.watch import unstable, watch
+    from sessionlake.streaming.watch import Burst, watch
 
     root, seen, stop = tmp_path / "src", [], threading.Event()
     root.mkdir()
@@ -292,15 +292,13 @@ def test_watch_triggers_debounce_and_failures(tmp_path):
     with pytest.raises(ValueError):
         watch(Counted(), debounce_ms=0)
 
-    def grow():
-        with open(root / "f0", "a") as f:
-            for _ in range(20):
-                f.write("more")
-                f.flush()
-                time.sleep(0.02)
-
-    t = threading.Thread(target=grow)
-    t.start()
-    assert unstable({str(root / "f0")}, 0.2)
-    t.join()
-    assert not unstable({str(root / "f0"), str(root / "gone")}, 0.05)
+    burst = Burst(1.0)
+    burst.look({}, {"a": (1, 1)}, 0.0)
+    burst.look({"a": (1, 1)}, {"a": (2, 2)}, 0.9)  # the wait starts again
+    burst.look({"a": (2, 2)}, {"a": (2, 2)}, 1.5)
+    assert not burst.over(1.5) and burst.quiet_since is None
+    burst.look({"a": (2, 2)}, {"a": (2, 2)}, 1.9)
+    assert burst.quiet_since == 1.9 and not burst.over(2.0) and burst.over(2.15) and not burst.restless
+    burst.look({"a": (2, 2)}, {"a": (3, 3), "b": (1, 1)}, 2.1)
+    assert burst.over(2.15) and burst.restless == {"a", "b"}
+    assert not Burst(1.0).over(99.0)
