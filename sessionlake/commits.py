@@ -248,9 +248,8 @@ class Log:
 
     def surveyed(self, entry: Commit) -> DataFrame:
         """What the survey of a commit's files is: a row for each file."""
-        base = f"{self.path}/data"
         files = [(t, f) for t in sorted(entry["tables"]) for f in self.store.files(f"data/{t}/commit={entry['name']}")]
-        return surveys.survey(self.spark, base if "://" in base else f"file://{os.path.abspath(base)}", [(t, f.removeprefix("data/")) for t, f in files], SURVEYED, ("sessions",))
+        return surveys.survey(self.spark, self.uri, [(t, f.removeprefix("data/")) for t, f in files], SURVEYED, ("sessions",))
 
     def survey(self, entry: Commit) -> None:
         folder = f"{self.path}/data/survey/commit={entry['name']}"
@@ -283,10 +282,29 @@ class Log:
             if not self.merge(run):
                 return
 
-    def merge(self, run: list[Commit], into: Log | None = None, tokenizer: str | None = None) -> bool:
+    def copy(self, into: Log) -> None:
+        """The version there is now, with its files, under another log; files are copied by tasks."""
+        m = self.manifest()
+        if m["commits"]:
+            known = self.surveys(m["commits"])
+            held = [(t, c["name"]) for c in m["commits"] for t in c["tables"]]
+            there = F.concat_ws("/", "table", "commit")
+            known = known.filter(there.isin(*[f"{t}/{c}" for t, c in held])).select("file")  # not what a later index has replaced
+            own = [f.removeprefix("data/") for c in m["commits"] for f in self.store.files(f"data/survey/commit={c['name']}")]
+            files = known.unionByName(self.spark.createDataFrame([(f,) for f in own], "file string"))
+            surveys.copy(files, self.uri, into.uri)
+        into.publish(m, 0)
+
+    @property
+    def uri(self) -> str:
+        """Where the data lie, as tasks open it."""
+        base = f"{self.path}/data"
+        return base if "://" in base else f"file://{os.path.abspath(base)}"
+
+    def merge(self, run: list[Commit]) -> bool:
         """One commit in place of neighbours: their live rows in order. False if another writer has merged one of them."""
-        base, target = self.manifest(), into or self
-        entry = target._entry(tokenizer or base["tokenizer"])
+        base = self.manifest()
+        entry = self._entry(base["tokenizer"])
         whole = run[0]["name"] == base["commits"][0]["name"]
         rows = {t: self.table(t, commits=run) for t in M.TABLES if any(t in c["tables"] for c in run)}
         if "events" in rows:
@@ -296,17 +314,14 @@ class Log:
         if not whole and any("replaced" in c["tables"] for c in run):
             rows["replaced"] = self.table("replaced", commits=run).distinct()
         with ThreadPoolExecutor(len(rows) or 1) as side_by_side:
-            list(side_by_side.map(lambda item: target._put(entry, *item), rows.items()))
+            list(side_by_side.map(lambda item: self._put(entry, *item), rows.items()))
         if "events" in rows:
-            target.index(target.scan("events", [entry]).drop("commit"), entry)
+            self.index(self.scan("events", [entry]).drop("commit"), entry)
         if not whole and "terms" in entry["tables"]:  # what the run took off older commits stays off
             self._off(run, entry)
-        target.survey(entry)
+        self.survey(entry)
         sums = {k: sum(c["totals"][k] - c["dead"][k] for c in run) for k in ("n_docs", "n_tokens")}
         entry["dead"] = {k: entry["totals"][k] - sums[k] for k in sums}
-        if into is not None:
-            into.publish(base | {"commits": [entry | {"seq": 0}]}, 0)
-            return True
         names = [c["name"] for c in run]
 
         def swapped(m: Manifest) -> Manifest:

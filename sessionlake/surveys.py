@@ -97,3 +97,22 @@ def holding(surveyed: DataFrame, sessions: list[str]) -> DataFrame:
             yield b.select(["table", "commit", "file"]).filter(pa.array(keep, pa.bool_()))
 
     return surveyed.select("table", "commit", "file", "low", "high", "bits").mapInArrow(run, "table string, commit string, file string")
+
+
+def copy(files: DataFrame, base: str, target: str) -> int:
+    """Copies files (``file``, below ``base``) to the same names below ``target``, each by a task, as it streams; how many there were."""
+    spark = files.sparkSession
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (source, root), (sink, there) = fs.FileSystem.from_uri(base), fs.FileSystem.from_uri(target)
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                sink.create_dir(f"{there}/{file.rsplit('/', 1)[0]}", recursive=True)
+                with source.open_input_stream(f"{root}/{file}") as i, sink.open_output_stream(f"{there}/{file}") as o:
+                    while block := i.read(CHUNK):
+                        o.write(block)
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    dealt = files.select("file").repartition(2 * spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
