@@ -12,7 +12,8 @@ the same tree in plain lists. Each distinct piece is encoded once per worker: th
 are bounded and only spare work.
 
 Cases: null or empty text has no ids; text that is not in the vocabulary falls back to its
-single bytes, which every rank file holds (else ValueError). Decoding joins token bytes.
+single bytes, which every rank file holds (else ValueError). Decoding joins token bytes. Of pairs of equal rank the leftmost merges first; repeated rows, null and equal
+ids each give their own row; very long pieces go through one tree each; an empty table gives no rows; further columns of any name are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ for each block, written before the next block is sent and destroyed after its pa
 Cases: null and empty texts, and items without a letter or digit, match nothing; equal items each give their own rows;
 repeated documents each give theirs; ``clean`` drops a matching document without an id as well, and of documents that
 share an id only those that match. One row for each matched region of a document and an item: matches of an item's segments whose spans
-touch or overlap are one region, with its character span in the normalised text and the most edits of its segments.
+touch or overlap are one region (very long texts are read whole, an empty table of either kind gives no rows, further columns of any name are not read), with its character span in the normalised text and the most edits of its segments.
 """
 
 from __future__ import annotations

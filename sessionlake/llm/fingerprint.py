@@ -16,7 +16,8 @@ terms; it is broadcast if it has no more than ``MOST_BROADCAST`` terms and joine
 bounds Spark samples, so neither clustered ids nor outliers fill a range, nor do rows without an id or copies of a row.
 
 Cases: null text is empty; a text without lexicon terms gets ``x:`` and its MD5; equal ids follow each other by their text's MD5; a null
-id comes first; the document after the last is the first (a lone document's is itself); an empty table gives no rows. Ids may be of any type that has an order.
+id comes first; the document after the last is the first (a lone document's is itself); an empty table gives no rows; very long
+texts are read whole; further columns of any name are not read. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ the corpus) and ``MIN_RATIO`` of its share in the language where it is most freq
 Cases: null text or text without a letter is ``und`` with score 0; text whose n-grams no
 language holds gets the language with most training rows and score 0; equal shares go to
 the language with more training rows, then the lesser name; with no labelled rows every
-text is ``und``. Rows keep their order of magnitude: one row out for each row in.
+text is ``und``. Texts are read whole, however long; an empty table gives no rows; a table's own columns of the names that are
+added are replaced, unless other ``names`` are asked for. Rows keep their order of magnitude: one row out for each row in.
 """
 
 from __future__ import annotations

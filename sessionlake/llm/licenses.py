@@ -14,7 +14,7 @@ fixed list, so their runs are broadcast; a text's runs are tested against the te
 shuffle, of hits only, follows.
 
 Cases: null text is empty; a text of fewer than two words has no hits; empty tables give no rows; repeated rows each give their
-own; places count words from 0; the score is the largest verified share of a template that one span holds (1 for a whole phrase).
+own; very long texts are read whole; further columns of any name are not read; places count words from 0; the score is the largest verified share of a template that one span holds (1 for a whole phrase).
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ the sums are folded up towards the root. Bins that are still too large are count
 
 Cases: a null key is a key like any other; null text has 0 bytes; copies of one whole row
 can't be parted by bits, so they fill numbered pages of their bucket, numbered part by part of the table and not in one task; a single row over the
-limit stands alone and is marked ``oversized``. An empty table gives no rows. Columns
+limit stands alone and is marked ``oversized``. Very long texts count by their bytes. An empty table gives no rows. Columns
 other than the keys and the text play no part.
 """
 
