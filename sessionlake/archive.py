@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -249,7 +250,9 @@ class Archive:
         cut, size = analyser(m["tokenizer"]), m["index"]
         totals = (size["n_docs"], size["n_tokens"] / max(1, size["n_docs"]))
         posts = lambda: self.postings(plan_query(query, cut), m)
-        return ranking.result(ranking.search(self.log.table("events", m), self.log.table("sessions", m), query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut, self.lists(m) if skipping else None))
+        with ThreadPoolExecutor(2) as beside:  # the tables are made while the candidates are found
+            events, sessions = (beside.submit(self.log.table, t, m).result for t in ("events", "sessions"))
+            return ranking.result(ranking.search(events, sessions, query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut, self.lists(m) if skipping else None))
 
     def list(self, limit: int = 50, cursor: str | None = None, **filters) -> tuple[list, str | None]:
         """A page of summaries, from the newest files that can hold it, and the cursor of the next."""

@@ -146,39 +146,52 @@ def local(spark: SparkSession, top: list) -> DataFrame:
     return spark.createDataFrame(pa.table({c: pa.array([r[c] for r in top], t) for c, t in columns.items()}))
 
 
-def search(events: DataFrame, sessions: DataFrame, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: DataFrame | Callable[[], DataFrame] | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE, stored: topk.Lists | None = None) -> DataFrame:
+#: A table, or what makes it.
+Later = DataFrame | Callable[[], DataFrame]
+
+
+def now(table: Later) -> DataFrame:
+    return table if isinstance(table, DataFrame) else table()
+
+
+def search(events: Later, sessions: Later, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: Later | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE, stored: topk.Lists | None = None) -> DataFrame:
     """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM.
 
     ``stored`` lists of postings find the candidates without reading all of ``posts``, where the query is one of lists. The hits' texts, the sessions' rows and
-    their first and last texts are then fetched side by side.
+    their first and last texts are then fetched side by side. Tables may be given as functions, which are called when they are needed.
     """
-    spark, plan = sessions.sparkSession, plan_query(query, analyser)
+    spark, plan = SparkSession.active(), plan_query(query, analyser)
     if plan.empty or limit <= 0 or plan.expr is None:
         return spark.createDataFrame([], tail.RESULT)
     if posts is None and not analyser.plain:
-        idx = fulltext.index(events, analyser=analyser)
+        idx = fulltext.index(now(events), analyser=analyser)
         n = fulltext.statistics(idx).first()
         posts, totals = fulltext.postings(idx), (n["n_docs"], n["avgdl"])
-    own = None if agent is None and cwd is None and since_ms is None else filtered(sessions, agent, cwd, since_ms)
+    own = None if agent is None and cwd is None and since_ms is None else filtered(now(sessions), agent, cwd, since_ms)
     top = topk.top(plan, stored, candidate_cap(limit), best_hits, own) if stored else None
     if top is None:
-        posts = posts() if callable(posts) else posts
-        top = candidates(events, own, plan, candidate_cap(limit), posts, totals).collect()  # at most MOST_CANDIDATES rows
+        top = candidates(now(events), own, plan, candidate_cap(limit), None if posts is None else now(posts), totals).collect()  # at most MOST_CANDIDATES rows
     if not top:
         return spark.createDataFrame([], tail.RESULT)
-    hits = texts(local(spark, top), events)
-    shown = snippet_column(F.col("text"), [p.places() for p in plan.phrases], analyser) if snippets else F.col("text")
-    hits = hits.withColumn("shown", shown).select("session_id", "idx", "kind", "bm25", (F.col("shown") if snippets else F.lit(None).cast("string")).alias("snippet"), X.covered(plan.terms, F.lower(F.coalesce("shown", F.lit("")))).alias("covered"))
+    events, sessions = now(events), now(sessions)
     ids = sorted({r["session_id"] for r in top})
-    cards = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from").join(few(spark, ids, "id"), "id", "left_semi")
 
     def ends(of: list[str]) -> dict:
         """First and last texts of sessions, shortened."""
         return {r["session_id"]: r for r in bookends(events.join(few(spark, of, "session_id"), "session_id", "left_semi")).collect()}
 
-    with ThreadPoolExecutor(3) as at_once:  # three jobs side by side
-        later, talk = at_once.submit(cards.collect), at_once.submit(ends, ids)
-        rows, found, talk = hits.collect(), {r["id"]: r for r in later.result()}, talk.result()
+    def cards() -> dict:
+        """The sessions' rows."""
+        rows = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from")
+        return {r["id"]: r for r in rows.join(few(spark, ids, "id"), "id", "left_semi").collect()}
+
+    with ThreadPoolExecutor(2) as at_once:  # three jobs side by side
+        talk, found = at_once.submit(ends, ids), at_once.submit(cards)
+        shown = snippet_column(F.col("text"), [p.places() for p in plan.phrases], analyser) if snippets else F.col("text")
+        hits = texts(local(spark, top), events).withColumn("shown", shown)
+        snippet = F.col("shown") if snippets else F.lit(None).cast("string")
+        rows = hits.select("session_id", "idx", "kind", "bm25", snippet.alias("snippet"), X.covered(plan.terms, F.lower(F.coalesce("shown", F.lit("")))).alias("covered")).collect()
+        talk, found = talk.result(), found.result()
     groups = tail.grouped([r for r in rows if r["session_id"] in found], found, plan.terms)
     tail.scored(groups, plan.terms, as_of_ms, WEIGHTS)
     results = tail.collapsed(groups, lineage.paths_of_few(sessions, list(found.values())), limit, MEMBER_SHARE)
