@@ -305,6 +305,8 @@ class Log:
         """One commit in place of neighbours: their live rows in order. False if another writer has merged one of them."""
         base = self.manifest()
         entry = self._entry(base["tokenizer"])
+        if any(map(indexes_others, run)) and len(run) < len(base["commits"]):
+            raise ValueError("a commit that indexes others is merged with all of them or with none")
         whole = run[0]["name"] == base["commits"][0]["name"]
         rows = {t: self.table(t, commits=run) for t in M.TABLES if any(t in c["tables"] for c in run)}
         if "events" in rows:
@@ -361,7 +363,7 @@ class Log:
                     raise Conflict("commits by another analyser came in between")
                 none = {"n_docs": 0, "n_tokens": 0}
                 bare = [c | {"tables": [t for t in c["tables"] if t not in INDEX], "totals": none, "dead": none, "held": {}} for c in known]
-                return m | {"commits": [*bare, entry | {"seq": base["version"]}, *later], "tokenizer": tokenizer}
+                return m | {"commits": [*[c for c in bare if c["tables"]], entry | {"seq": base["version"]}, *later], "tokenizer": tokenizer}
 
             try:
                 return self.change(swapped)
@@ -398,9 +400,18 @@ def size_class(c: Commit) -> int:
     return out
 
 
+def indexes_others(c: Commit) -> bool:
+    tables = c.get("tables", ())
+    return "docs" in tables and "events" not in tables
+
+
 def tail(commits: list[Commit]) -> list[Commit]:
     """The newest commits that are to be merged: those of smaller classes before the newest, so that classes fall from old to new; else the tail
-    of at most one class, for the least class that has FANOUT of them. So no more than FANOUT - 1 of a class stay."""
+    of at most one class, for the least class that has FANOUT of them. So no more than FANOUT - 1 of a class stay.
+
+    A commit that indexes the events of those before it (a reindex) is not merged with some of them: the tail begins behind it, until ``compact`` takes all."""
+    barrier = max((i for i, c in enumerate(commits) if indexes_others(c)), default=-1)
+    commits = commits[barrier + 1 :]
     smaller = 0
     while smaller + 1 < len(commits) and size_class(commits[-2 - smaller]) < size_class(commits[-1]):
         smaller += 1

@@ -112,6 +112,20 @@ def test_merging_keeps_rows_totals_and_a_bounded_number_of_commits(spark, tmp_pa
     assert len(a.manifest()["commits"]) == 1 and all(passes(a).values())
 
 
+def test_an_index_of_older_commits_is_not_merged_away(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "FANOUT", 2)
+    a = Archive(spark, str(tmp_path / "arch"))
+    a.write(*rows_of(spark, [f"codex:{k}" for k in range(8)], "old"))
+    a.reindex()
+    for k in range(3):
+        a.write(*rows_of(spark, [f"codex:{k}", f"codex:new{k}"], "new"))
+    assert len([r for r in a.search("old", as_of_ms=1).collect()]) == 5 and len(a.search("new", as_of_ms=1).collect()) == 6
+    assert all(passes(a).values())
+    a.reindex()
+    a.compact()
+    assert len(a.manifest()["commits"]) == 1 and len(a.search("old", as_of_ms=1).collect()) == 5 and all(passes(a).values())
+
+
 def test_classes_of_commits_fall_from_old_to_new():
     def run(sizes):
         log = []
