@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.analysers import PORTABLE, Analyser
 from ..plans.query import Near, Node, Phrase, Plan
 from ..schema import NOT_SEARCHABLE
+from ..scratch import Scratch
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -257,7 +258,8 @@ def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx
     """``keys`` and bm25 (less is better) of every match; frequencies are over all of ``idx``.
 
     ``totals`` (documents, mean length) stand in for the index's own where ``idx`` holds only the events with some of the plan's terms.
-    The phrases' frequencies are a one-row subquery over the same rows, so nothing runs before the result is asked for.
+    The phrases' frequencies are a one-row subquery over the same rows; of a plain query over a whole index those rows are written first, so that
+    texts are cut once.
     """
     if plan.expr is None:
         return idx.select(*keys, F.lit(0.0).alias("bm25")).limit(0)
@@ -269,6 +271,8 @@ def bm25(idx: DataFrame, plan: Plan, keys: tuple[str, ...] = ("session_id", "idx
     hit = F.exists(F.col("f"), lambda x: x > 0) if plain else matches(plan.expr, toks)
     # One value per row, so that no frequency is computed again where it is used.
     row = idx.select(*keys, "dl", *([] if plain else [c for c in idx.columns if c not in (*keys, "dl")]), once(counts).alias("f"))
+    if plain and totals is None:  # texts are cut and walked once: what the statistics and the scores read is written
+        row = Scratch(row.sparkSession, "bm25").write(row, "rows")
     one = [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("f")[i] > 0).alias(f"n{i}") for i in range(n)]]
     stats = row.agg(F.struct(*one).alias("s")).select("s").scalar()
     row = row.filter(hit).withColumn("s", stats)
