@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
@@ -16,11 +17,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import schema as M
-from .commits import ArchiveError, Commit, Log, Manifest, below
+from .commits import ArchiveError, Commit, Log, Manifest, below, keeps_roots
 from .functions.analysers import PORTABLE, analyser
 from .functions.text import glob
 from .functions.values import since_ms as parse_since  # noqa: F401  part of this module's surface
-from .operators import fulltext, listing, search as ranking, tables as K, topk
+from .operators import fulltext, lineage, listing, search as ranking, tables as K, topk
 from .plans.query import Plan, plan as plan_query
 from .scratch import Scratch
 from .sources import distributed as D
@@ -252,7 +253,18 @@ class Archive:
         posts = lambda: self.postings(plan_query(query, cut), m)
         with ThreadPoolExecutor(2) as beside:  # the tables are made while the candidates are found
             events, sessions = (beside.submit(self.log.table, t, m).result for t in ("events", "sessions"))
-            return ranking.result(ranking.search(events, sessions, query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut, self.lists(m) if skipping else None))
+            return ranking.result(ranking.search(events, sessions, query, at, limit, agent, cwd, since_ms, snippets, posts, totals, cut, self.lists(m) if skipping else None, self._roots(m)))
+
+    def _roots(self, m: Manifest) -> Callable[[DataFrame], DataFrame] | None:
+        return (lambda ids: self.log.roots(m, ids=ids)) if keeps_roots(m["commits"]) and any("roots" in c["tables"] for c in m["commits"]) else None
+
+    def roots(self) -> DataFrame:
+        """id, root and depth of every session's lineage, as the commits keep them; walked where an archive from before doesn't (``compact`` makes it keep them)."""
+        m = self.manifest()
+        sessions = self.log.table("sessions", m)
+        if not keeps_roots(m["commits"]):
+            return lineage.paths(sessions).select("id", "root", "depth")
+        return sessions.select("id").join(self.log.roots(m), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
     def list(self, limit: int = 50, cursor: str | None = None, **filters) -> tuple[list, str | None]:
         """A page of summaries, from the newest files that can hold it, and the cursor of the next."""

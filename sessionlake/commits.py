@@ -9,6 +9,8 @@
   merge keeps the commits' place in the sequence and can be published beside newer commits.
 * Every commit surveys its files (:mod:`surveys`): rows, a digest of all bytes, the least and greatest key and sort time, and Bloom filters of session ids, in a table of their own.
   Listing and showing open the files that the survey leaves; the storage check computes it again. A root over the survey is in the manifest.
+* Every commit keeps the roots of lineage that it changes (:func:`lineage.updated`); of a session's rows the newest commit's counts. A commit conflicts with one
+  that writes a session which its roots name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from . import schema as M, surveys
 from .functions.analysers import analyser
-from .operators import fulltext
+from .operators import fulltext, lineage
 from .operators.listing import sort_time
 from .storage import Exists, Store
 
@@ -54,7 +56,8 @@ BLOCKS = M._struct(
 )
 TERMS = M._struct(("term", M._S, False), ("pair", M._B, False), ("df", M._L, False))
 REPLACED = M._struct(("id", M._S, False))
-STORED = M.TABLES | {"docs": DOCS, "postings": BLOCKS, "pairs": BLOCKS, "terms": TERMS, "replaced": REPLACED}
+ROOTS = M._struct(("id", M._S, False), ("step", M._S, True), ("root", M._S, False), ("tree", M._S, False), ("depth", M._L, False), ("cyclic", M._B, False))  # lineage.ROOTS
+STORED = M.TABLES | {"docs": DOCS, "postings": BLOCKS, "pairs": BLOCKS, "terms": TERMS, "replaced": REPLACED, "roots": ROOTS}
 INDEX = ("docs", "postings", "pairs", "terms")
 #: Which column names the session of a table's rows; the others' rows never die.
 SURVEYED = {"sessions": "id", "events": "session_id", "raw_sources": "session_id"}
@@ -132,6 +135,15 @@ class Log:
             rows = self.live(rows, SESSION[name], holding, every)
         return rows.drop("commit")
 
+    def roots(self, m: Manifest, commits: list[Commit] | None = None, ids: DataFrame | None = None, bare: bool = False) -> DataFrame:
+        """The kept roots, a row for each session with a step (``bare``: also for those that have lost theirs): the newest commit's. ``ids`` are few."""
+        holding = [c for c in (m["commits"] if commits is None else commits) if "roots" in c["tables"]]
+        rows = self.scan("roots", holding)
+        if holding:
+            rows = rows if ids is None else rows.join(ids, "id", "left_semi")
+            rows = rows.groupBy("id").agg(F.max_by(F.struct(*[f.name for f in ROOTS.fields[1:]]), _seq(holding)).alias("r")).select("id", "r.*")
+        return (rows if bare else rows.filter("step is not null")).select(*ROOTS.names)
+
     # Writing
 
     def commit(self, build: Callable[[Manifest], tuple[dict[str, DataFrame], DataFrame | None]], telemetry: dict[str, Any] | None = None) -> None:
@@ -162,6 +174,9 @@ class Log:
         for name, key in [*SESSION.items(), ("replaced", "id"), ("objects", "hash")]:
             if holding := [c for c in commits if name in c["tables"] and name != "docs"]:
                 out = out.unionByName(self.scan(name, holding).select(F.lit("object" if name == "objects" else "session").alias("kind"), F.col(key).alias("key")))
+        for key in ("id", "step"):
+            if holding := [c for c in commits if "roots" in c["tables"]]:
+                out = out.unionByName(self.scan("roots", holding).filter(F.col(key).isNotNull()).select(F.lit("session").alias("kind"), F.col(key).alias("key")))
         return out
 
     def _shared(self, entry: Commit, later: list[Commit]) -> str | None:
@@ -185,6 +200,7 @@ class Log:
             rows["replaced"] = replaced.select("id").distinct()
         with ThreadPoolExecutor(len(rows) or 1) as side_by_side:
             list(side_by_side.map(lambda item: self._put(entry, *item), rows.items()))
+        entry["lineage"] = self._keep(entry, base)
         gone = None
         if replaced is not None and base["commits"]:
             ids = self.scan("replaced", [entry]).select(F.col("id").alias("session_id"))
@@ -199,6 +215,19 @@ class Log:
         self.survey(entry)
         return entry
 
+    def _keep(self, entry: Commit, base: Manifest) -> bool:
+        """Writes the roots that a commit changes; False where those of the version it is built on are not kept."""
+        if not keeps_roots(base["commits"]):
+            return False
+        new = self.scan("sessions", [entry] if "sessions" in entry["tables"] else []).select("id", lineage.wanted().alias("step"))
+        if not any("roots" in c["tables"] for c in base["commits"]) and new.filter("step is not null").isEmpty():
+            return True
+        gone = self.scan("replaced", [entry] if "replaced" in entry["tables"] else []).select("id")
+        rows = lineage.updated(self.roots(base), self.table("sessions", base).select("id"), new, gone)
+        if rows is not None:
+            self._put(entry, "roots", rows.select(*ROOTS.names))
+        return True
+
     def events_of(self, ids: DataFrame, m: Manifest) -> DataFrame:
         """Live events of the given sessions; of few sessions, from the files that the survey leaves."""
         few = [r["session_id"] for r in ids.limit(FEW_SESSIONS + 1).collect()]
@@ -210,7 +239,7 @@ class Log:
 
     def _entry(self, tokenizer: str) -> Commit:
         none = {"n_docs": 0, "n_tokens": 0}
-        return {"name": uuid.uuid4().hex, "seq": 0, "at_ms": int(time.time() * 1000), "tables": [], "tokenizer": tokenizer, "totals": none, "dead": none, "rows": {}, "buckets": 0, "held": {}}
+        return {"name": uuid.uuid4().hex, "seq": 0, "at_ms": int(time.time() * 1000), "tables": [], "tokenizer": tokenizer, "totals": none, "dead": none, "rows": {}, "buckets": 0, "held": {}, "lineage": False}
 
     def _put(self, entry: Commit, name: str, df: DataFrame) -> None:
         writer = df.write.option("compression", "zstd")
@@ -315,8 +344,12 @@ class Log:
             rows["sessions"] = rows["sessions"].repartitionByRange(sort_time()).sortWithinPartitions(sort_time())
         if not whole and any("replaced" in c["tables"] for c in run):
             rows["replaced"] = self.table("replaced", commits=run).distinct()
+        kept = keeps_roots(run)
+        if kept and any("roots" in c["tables"] for c in run):
+            rows["roots"] = self.roots(base, run, bare=not whole)
         with ThreadPoolExecutor(len(rows) or 1) as side_by_side:
             list(side_by_side.map(lambda item: self._put(entry, *item), rows.items()))
+        entry["lineage"] = kept or (whole and self._keep(entry, base | {"commits": []}))  # all sessions anew, for an archive from before roots were kept
         if "events" in rows:
             self.index(self.scan("events", [entry]).drop("commit"), entry)
         if not whole and "terms" in entry["tables"]:  # what the run took off older commits stays off
@@ -377,6 +410,11 @@ def root_of() -> Column:
     return F.sum(F.xxhash64("table", "file", "rows", "digest", "low", "high", "low_time", "high_time", "bits").cast("decimal(38,0)")).cast("string")
 
 
+def keeps_roots(commits: list[Commit]) -> bool:
+    """Whether every commit that changes sessions has kept the roots it changes."""
+    return all(c.get("lineage", False) for c in commits if {"sessions", "replaced"} & set(c["tables"]))
+
+
 def below(file: str) -> str:
     """A surveyed file's name below its commit's folder."""
     return file.split("/", 2)[2]

@@ -154,11 +154,12 @@ def now(table: Later) -> DataFrame:
     return table if isinstance(table, DataFrame) else table()
 
 
-def search(events: Later, sessions: Later, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: Later | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE, stored: topk.Lists | None = None) -> DataFrame:
+def search(events: Later, sessions: Later, query: str, as_of_ms: int, limit: int = 20, agent: str | None = None, cwd: str | None = None, since_ms: int | None = None, snippets: bool = True, posts: Later | None = None, totals: tuple[int, float] | None = None, analyser: Analyser = PORTABLE, stored: topk.Lists | None = None, roots: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Ranked sessions for a query, best first. Without ``snippets``, coverage looks at whole texts and all stays in the JVM.
 
     ``stored`` lists of postings find the candidates without reading all of ``posts``, where the query is one of lists. The hits' texts, the sessions' rows and
-    their first and last texts are then fetched side by side. Tables may be given as functions, which are called when they are needed.
+    their first and last texts are then fetched side by side. Tables may be given as functions, which are called when they are needed. ``roots`` gives the kept roots of
+    a few ids: lineages are then told without a walk, and steps are followed for the results alone, whose context may come from above.
     """
     spark, plan = SparkSession.active(), plan_query(query, analyser)
     if plan.empty or limit <= 0 or plan.expr is None:
@@ -185,17 +186,24 @@ def search(events: Later, sessions: Later, query: str, as_of_ms: int, limit: int
         rows = sessions.select("id", "agent", "cwd", "title", "started_at_ms", "ended_at_ms", "parent_session_id", "forked_from")
         return {r["id"]: r for r in rows.join(few(spark, ids, "id"), "id", "left_semi").collect()}
 
-    with ThreadPoolExecutor(2) as at_once:  # three jobs side by side
-        talk, found = at_once.submit(ends, ids), at_once.submit(cards)
+    def kept() -> dict[str, str] | None:
+        """The roots of the sessions that have a step."""
+        return {r["id"]: r["root"] for r in roots(few(spark, ids, "id")).select("id", "root").collect()} if roots else None
+
+    with ThreadPoolExecutor(3) as at_once:  # jobs side by side
+        talk, found, known = at_once.submit(ends, ids), at_once.submit(cards), at_once.submit(kept)
         shown = snippet_column(F.col("text"), [p.places() for p in plan.phrases], analyser) if snippets else F.col("text")
         hits = texts(local(spark, top), events).withColumn("shown", shown)
         snippet = F.col("shown") if snippets else F.lit(None).cast("string")
         rows = hits.select("session_id", "idx", "kind", "bm25", snippet.alias("snippet"), X.covered(plan.terms, F.lower(F.coalesce("shown", F.lit("")))).alias("covered")).collect()
-        talk, found = talk.result(), found.result()
+        talk, found, known = talk.result(), found.result(), known.result()
     groups = tail.grouped([r for r in rows if r["session_id"] in found], found, plan.terms)
     tail.scored(groups, plan.terms, as_of_ms, WEIGHTS)
-    results = tail.collapsed(groups, lineage.paths_of_few(sessions, list(found.values())), limit, MEMBER_SHARE)
-    lines = tail.members(results, CONTEXT_ANCESTORS)
+    paths = {} if known is not None else lineage.paths_of_few(sessions, list(found.values()))
+    results = tail.collapsed(groups, {i: root for i, (root, _) in paths.items()} if known is None else known, limit, MEMBER_SHARE)
+    if known is not None:
+        paths = lineage.paths_of_few(sessions, list(found.values()), {i for r in results for i in (r.best.id, *r.related)})
+    lines = tail.members(results, paths, CONTEXT_ANCESTORS)
     if further := sorted({i for line in lines for i in line} - set(ids)):  # ancestors without hits
         talk |= ends(further)
     first = lambda line, what: next((talk[i][what] for i in line if i in talk and talk[i][what] is not None), None)

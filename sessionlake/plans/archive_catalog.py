@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..archive import Archive
 from ..scratch import shared_dir
-from .catalog import AS_OF_MS, BASE_MS, QUERY, TOKS, _bm25, _freq, query, table  # noqa: F401  TOKS is part of the statements below
+from .catalog import AS_OF_MS, BASE_MS, QUERY, TOKS, _bm25, _freq, query, sessions, table  # noqa: F401  TOKS is part of the statements below
 
 _MADE: dict[tuple, str] = {}
 
@@ -257,6 +257,19 @@ def snk01_two_writers(spark, d):
     return spark.createDataFrame([row], "sessions long, events long, indexed long, documents long, objects long, sound boolean")
 
 
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT conv_id AS c FROM conversations), w AS (SELECT c, c AS node, 0::BIGINT AS depth FROM n UNION ALL SELECT w.c, n.c, depth + 1 FROM w JOIN n ON n.c = node - 1 WHERE node % 4 IN (1, 3))
+SELECT 'c:' || lpad(c::VARCHAR, 6, '0') AS id, 'c:' || lpad(arg_max(node, depth)::VARCHAR, 6, '0') AS root, max(depth) AS depth FROM w GROUP BY c""")
+def gra01_kept_roots(spark, d):
+    """Roots that commits keep: children come first, then what they descend from, then every fourth session is written again without its parent."""
+    a, rows = Archive(spark, _folder(spark)), sessions(spark, d)
+    number = F.substring("id", 3, 20).cast("long")
+    a.commit({"sessions": rows.filter(number % 2 == 1)})
+    a.commit({"sessions": rows.filter(number % 2 == 0)})
+    alone = rows.filter(number % 4 == 2).withColumn("parent_session_id", F.lit(None).cast("string"))
+    a.commit({"sessions": alone}, alone.select("id"))
+    return a.roots()
+
+
 @query("SELECT unnest(['storage']) AS name, false AS passed, 1::BIGINT AS n_failures FROM (SELECT count(*) FROM conversations)")
 def vfy01_flipped_byte(spark, d):
     """A copy of the archive in which one byte of one file of events has changed."""

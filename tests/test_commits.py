@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionlake import commits, schema as M
 from sessionlake.archive import Archive, ArchiveError
-from sessionlake.operators import search, topk
+from sessionlake.operators import lineage, search, topk
 from sessionlake.plans.query import plan as plan_query
 
 from .test_archive import codex
@@ -253,3 +253,56 @@ def test_manifest_holds_no_totals_of_its_own(spark, tmp_path):
     assert sum(c["dead"]["n_docs"] for c in stored["commits"]) in (0, 3)
     assert a.table("terms").filter("NOT pair AND term = 'x'").agg(F.sum("df")).first()[0] == 3
     assert M.TABLES.keys() <= commits.STORED.keys() and uuid.UUID(stored["commits"][0]["name"])
+
+
+def descended(spark, steps, text):
+    """Frames of sessions with parents."""
+    s, e = rows_of(spark, sorted(steps), text)
+    parents = spark.createDataFrame([(i, p) for i, p in steps.items()], "id string, parent_session_id string")
+    return s.join(parents, "id"), e
+
+
+def roots(a):
+    return {r["id"]: (r["root"], r["depth"]) for r in a.roots().collect()}
+
+
+def walked(a):
+    return {r["id"]: (r["root"], r["depth"]) for r in lineage.paths(a.sessions).collect()}
+
+
+def test_roots_are_kept_over_commits_merges_and_an_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "FANOUT", 2)
+    a, r, ids = Archive(spark, str(tmp_path / "arch")), random.Random(5), [f"codex:{k}" for k in range(8)]
+    for step in range(3):
+        a.write(*descended(spark, {i: r.choice([None, *ids]) for i in r.sample(ids, r.randrange(2, 6))}, f"deploy step{step}"))
+        assert roots(a) == walked(a)
+    assert any("roots" in c["tables"] for c in a.manifest()["commits"])
+    got = a.search("deploy", as_of_ms=1).collect()
+    monkeypatch.setattr(a, "_roots", lambda m: None)
+    assert got == a.search("deploy", as_of_ms=1).collect() and got
+    a.reindex()
+    assert roots(a) == walked(a)
+    a.compact()
+    assert roots(a) == walked(a) and all(passes(a).values())
+
+
+def test_a_parent_that_comes_in_between_is_seen(spark, tmp_path, monkeypatch):
+    a = Archive(spark, str(tmp_path / "arch"))
+    between(a, monkeypatch, lambda: Archive(spark, a.path).write(*rows_of(spark, ["codex:top"], "first")))
+    a.write(*descended(spark, {"codex:low": "codex:top"}, "second"))
+    assert roots(a) == {"codex:low": ("codex:top", 1), "codex:top": ("codex:top", 0)}
+
+
+def test_an_archive_without_kept_roots_walks_until_it_is_compacted(spark, tmp_path):
+    a = Archive(spark, str(tmp_path / "arch"))
+    a.write(*descended(spark, {"codex:a": None, "codex:b": "codex:a", "codex:c": "codex:b"}, "old"))
+    m = a.manifest()
+    a.log.publish(m | {"commits": [{k: v for k, v in c.items() if k != "lineage"} | {"tables": [t for t in c["tables"] if t != "roots"]} for c in m["commits"]]}, m["version"] + 1)
+    want = {"codex:a": ("codex:a", 0), "codex:b": ("codex:a", 1), "codex:c": ("codex:a", 2)}
+    assert roots(a) == want and a._roots(a.manifest()) is None
+    a.write(*descended(spark, {"codex:d": "codex:c"}, "new"))
+    want["codex:d"] = ("codex:a", 3)
+    assert roots(a) == want and a._roots(a.manifest()) is None
+    a.compact()
+    assert roots(a) == want and a._roots(a.manifest()) is not None
+    assert [r["lineage_root_id"] for r in a.search("old OR new", as_of_ms=1).collect()] == ["codex:a"]
