@@ -255,12 +255,13 @@ class Log:
         tokens = self.spark.read.schema(tokens.schema).parquet(folder)
         size = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
         entry["totals"] = {"n_docs": size["n"], "n_tokens": size["t"]}
-        entry["buckets"], files = fulltext.layout(size["t"])
+        entry["buckets"] = n = fulltext.layout(size["t"])[0]
         parts = {"docs": tokens.select("session_id", "idx", "dl")}
         if size["t"]:
-            parts["postings"] = fulltext.blocks(tokens, entry["buckets"], files)
+            parts["postings"] = fulltext.blocks(tokens, fulltext.shares(tokens, n))
             if cut.plain:
-                parts["pairs"] = fulltext.blocks(fulltext.pairs(tokens), entry["buckets"], files, places=False)
+                two = fulltext.pairs(tokens)
+                parts["pairs"] = fulltext.blocks(two, fulltext.shares(two, n), places=False)
         if cut.plain:
             terms = fulltext.frequencies(tokens, 1)
             if gone is not None:

@@ -24,6 +24,7 @@ FILE_TOKENS = 2_000_000
 MOST_BUCKETS = 1024
 BLOCK_BITS = 12  # a block is of 4,096 texts in order, those of about one length
 LENGTHS = 64
+TASK_TOKENS = 250_000  # of a bucket's tokens, what one task turns into blocks and writes as one file
 
 
 def searchable(events: DataFrame) -> DataFrame:
@@ -100,14 +101,25 @@ def frequencies(tokens: DataFrame, sign: int) -> DataFrame:
     return each[0].unionByName(each[1]).groupBy("term", "pair").agg((F.count(F.lit(1)) * sign).alias("df"))
 
 
-def blocks(tokens: DataFrame, buckets: int, files: int, places: bool = True) -> DataFrame:
+def shares(tokens: DataFrame, buckets: int) -> list[int]:
+    """How many tokens each bucket has: a row for each of at most MOST_BUCKETS comes to the driver."""
+    held = dict(_each(tokens, ()).groupBy(bucket(F.col("term"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect())
+    return [held.get(b, 0) for b in range(buckets)]
+
+
+def blocks(tokens: DataFrame, held: list[int], places: bool = True) -> DataFrame:
     """Postings in blocks: for each term and block of texts its posts in order of their keys, and what bounds their scores: the most occurrences and the least length.
 
-    Dealt as they are to be written: by bucket of the term and by block, so no task's share depends on how common a term is.
+    Dealt as they are to be written. A bucket is as many tasks, and files, as its tokens (``held``) are times TASK_TOKENS, by term and block, so no task's share grows with the
+    index or depends on how common a term is.
     """
     keys = ("session_id", "idx", "block")
-    each = _each(tokens, keys).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("file", F.pmod(F.xxhash64("block"), F.lit(files)).cast("int"))
-    each = each.repartition(buckets * files, "bucket", "file")
+    files = [max(1, -(-n // TASK_TOKENS)) for n in held]
+    first = [sum(files[:b]) for b in range(len(files))]
+    of = lambda each: F.get(F.lit(each), F.col("bucket"))
+    each = _each(tokens, keys).withColumn("bucket", bucket(F.col("term"), len(held)))
+    each = each.withColumn("file", (of(first) + F.pmod(F.xxhash64("term", "block"), of(files))).cast("int"))
+    each = each.repartitionById(sum(files), "file")
     per = each.groupBy("bucket", "file", "term", *keys, "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions") if places else F.count(F.lit(1)).cast("int").alias("tf"))
     per = per.withColumn("tf", F.size("positions")) if places else per.withColumn("positions", F.lit(None).cast("array<int>"))
     post = F.struct("session_id", "idx", "dl", "tf", "positions")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..archive import Archive
 from ..scratch import shared_dir
+from ..workers import ship
 from .catalog import AS_OF_MS, BASE_MS, QUERY, TOKS, _bm25, _freq, query, sessions, table  # noqa: F401  TOKS is part of the statements below
 
 _MADE: dict[tuple, str] = {}
@@ -46,6 +47,7 @@ NAMES = {"claude": "{}.jsonl", "codex": "rollout-{}.jsonl", "gemini": "session-{
 def write_native(spark: SparkSession, d: str, agent: str, folder: str, changed: bool = False) -> None:
     """A file for each conversation; ``changed`` writes those of every fifth again with one more answer."""
     os.makedirs(folder, exist_ok=True)
+    ship(spark)
 
     def run(batches):
         import pandas as pd

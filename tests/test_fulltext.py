@@ -119,3 +119,17 @@ def test_reindex_query_returns_rare_terms_too(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["term"]): (r["tf"], r["first"]) for r in catalog.QUERIES["fts07_reindex"](spark, str(tmp_path)).collect()}
     assert got == {(i, w): (t.split().count(w), t.split().index(w)) for i, t in enumerate(texts) for w in t.split()}
+
+
+def test_no_task_of_the_index_holds_all_of_a_common_term(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_BITS", 6)
+    monkeypatch.setattr(T, "TASK_TOKENS", 500)
+    events = spark.createDataFrame([(f"s{i:04d}", 0, "user", f"the the the the w{i}") for i in range(2000)], "session_id string, idx long, kind string, text string")
+    tokens = T.numbered(events)
+    held = T.shares(tokens, 8)
+    assert len(held) == 8 and sum(held) == 10_000 and max(held) >= 8000
+    found = T.blocks(tokens, held)
+    tasks = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.sum(F.aggregate("posts", F.lit(0), lambda a, p: a + p["tf"])).alias("n")).collect()]
+    assert sum(tasks) == 10_000 and max(tasks) <= 8000 / 3
+    per = found.groupBy("term", "block").agg(F.count(F.lit(1)).alias("rows"))
+    assert per.filter("rows > 1").isEmpty()  # a list's block stays whole
