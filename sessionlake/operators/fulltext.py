@@ -53,10 +53,22 @@ def _each(idx: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return each.unionByName(idx.select(*keys, "dl", F.explode("more").alias("m")).select(*keys, "dl", "m.pos", "m.term"))
 
 
-def postings(idx: DataFrame, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
-    """``keys``, term, tf, positions (from 0), dl."""
-    found = _each(idx, keys).groupBy(*keys, "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return found.withColumn("tf", F.size("positions"))
+def postings(idx: DataFrame, keys: tuple[str, ...] = ("session_id", "idx"), places: bool = True) -> DataFrame:
+    """``keys``, dl, term, positions (from 0; without ``places`` none), tf: each text's terms are gathered within its row, so nothing is shuffled."""
+    spot = lambda term, pos: F.struct(term.alias("term"), pos.cast("int").alias("pos"))
+    spots = F.transform("toks", spot)
+    if "more" in idx.columns:
+        spots = F.concat(spots, F.transform("more", lambda m: spot(m["term"], m["pos"])))
+    rows = idx.select(*keys, "dl", once(F.sort_array(spots)).alias("spots"))
+    start = lambda x, i: F.when((i == 0) | (x["term"] != F.get("spots", i - 1)["term"]), i)
+    rows = rows.select(*keys, "dl", "spots", once(F.filter(F.transform("spots", start), lambda i: i.isNotNull())).alias("starts"))
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("spots"))
+    found = lambda s, k: F.struct(
+        F.get("spots", s)["term"].alias("term"),
+        (F.transform(F.sequence(s, end(k) - 1), lambda j: F.get("spots", j)["pos"]) if places else F.lit(None).cast("array<int>")).alias("positions"),
+        (end(k) - s).alias("tf"),
+    )
+    return rows.select(*keys, "dl", F.inline(F.transform("starts", found)))
 
 
 def layout(n_tokens: int) -> tuple[int, int]:
@@ -70,12 +82,21 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def stored_postings(idx: DataFrame, buckets: int, files: int, keys: tuple[str, ...] = ("session_id", "idx")) -> DataFrame:
-    """Postings with their bucket, dealt as they are to be written: one shuffle, in which no file's share depends on how common a term is."""
-    each = _each(idx, keys).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("file", F.pmod(F.xxhash64(*keys), F.lit(files)).cast("int"))
-    each = each.repartition(buckets * files, "bucket", "file")
-    found = each.groupBy("bucket", "file", "term", *keys, "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return found.withColumn("tf", F.size("positions")).drop("file").sortWithinPartitions("bucket", "term")
+def shared_out(each: DataFrame, held: list[int], by: tuple[str, ...]) -> DataFrame:
+    """Rows with ``term``, with their bucket and file, dealt as they are to be written: a bucket is as many tasks, and files, as its tokens (``held``) are times TASK_TOKENS, by a
+    hash of ``by``; so no task's share grows with the index or depends on how common a term is."""
+    files = [max(1, -(-n // TASK_TOKENS)) for n in held]
+    first = [sum(files[:b]) for b in range(len(files))]
+    of = lambda counts: F.get(F.lit(counts), F.col("bucket"))
+    each = each.withColumn("bucket", bucket(F.col("term"), len(held)))
+    each = each.withColumn("file", (of(first) + F.pmod(F.xxhash64(*by), of(files))).cast("int"))
+    return each.repartitionById(sum(files), "file")
+
+
+def folded(counts: list[int]) -> list[int]:
+    """The tokens of each bucket of a stored index, from those of MOST_BUCKETS (:func:`shares`); the number of buckets is a power of two, so that each is a sum of these."""
+    n = 1 << layout(sum(counts))[0].bit_length() - 1
+    return [sum(counts[b::n]) for b in range(n)]
 
 
 def numbered(events: DataFrame, analyser: Analyser = PORTABLE) -> DataFrame:
@@ -110,18 +131,9 @@ def shares(tokens: DataFrame, buckets: int) -> list[int]:
 def blocks(tokens: DataFrame, held: list[int], places: bool = True) -> DataFrame:
     """Postings in blocks: for each term and block of texts its posts in order of their keys, and what bounds their scores: the most occurrences and the least length.
 
-    Dealt as they are to be written. A bucket is as many tasks, and files, as its tokens (``held``) are times TASK_TOKENS, by term and block, so no task's share grows with the
-    index or depends on how common a term is.
+    Dealt as they are to be written, by term and block (:func:`shared_out`).
     """
-    keys = ("session_id", "idx", "block")
-    files = [max(1, -(-n // TASK_TOKENS)) for n in held]
-    first = [sum(files[:b]) for b in range(len(files))]
-    of = lambda each: F.get(F.lit(each), F.col("bucket"))
-    each = _each(tokens, keys).withColumn("bucket", bucket(F.col("term"), len(held)))
-    each = each.withColumn("file", (of(first) + F.pmod(F.xxhash64("term", "block"), of(files))).cast("int"))
-    each = each.repartitionById(sum(files), "file")
-    per = each.groupBy("bucket", "file", "term", *keys, "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions") if places else F.count(F.lit(1)).cast("int").alias("tf"))
-    per = per.withColumn("tf", F.size("positions")) if places else per.withColumn("positions", F.lit(None).cast("array<int>"))
+    per = shared_out(postings(tokens, ("session_id", "idx", "block"), places), held, ("term", "block"))
     post = F.struct("session_id", "idx", "dl", "tf", "positions")
     found = per.groupBy("bucket", "file", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(post)).alias("all"))
     posts = F.transform("all", lambda x: F.struct(*[x[k].alias(k) for k in ("session_id", "idx", "dl", "tf")]))

@@ -646,8 +646,10 @@ def fts06_postings_df(spark, d):
 def fts07_reindex(spark, d):
     """Every posting, dealt as a stored index has them."""
     idx = T.index(table(spark, d, "documents"), ("doc_id",))
-    buckets, files = T.layout(T.statistics(idx).first()["n_tokens"])
-    return T.stored_postings(idx, buckets, files, ("doc_id",)).select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.col("positions")[0].alias("first"))
+    held = T.folded(T.shares(idx, T.MOST_BUCKETS))
+    each = T.postings(idx, ("doc_id",)).select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.col("positions")[0].alias("first"))
+    dealt = T.shared_out(each, held, ("doc_id",)).groupBy("bucket", "file", "doc_id", "term")  # rows of one id are one posting
+    return dealt.agg(F.sum("tf").alias("tf"), F.min("first").alias("first")).sortWithinPartitions("bucket", "term").select("doc_id", "term", "tf", "first")
 
 
 def _docs(spark, d):

@@ -121,6 +121,16 @@ def test_reindex_query_returns_rare_terms_too(spark, tmp_path):
     assert got == {(i, w): (t.split().count(w), t.split().index(w)) for i, t in enumerate(texts) for w in t.split()}
 
 
+def test_reindex_query_deals_a_common_term_to_several_tasks_and_joins_rows_of_one_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "TASK_TOKENS", 500, raising=False)
+    texts = [(i, f"the the the the w{i}") for i in range(2000)] + [(7, "the end the")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["fts07_reindex"](spark, str(tmp_path))
+    tasks = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.sum("tf").alias("n")).collect()]
+    assert sum(tasks) == 10_003 and max(tasks) <= 8000 / 3
+    assert {(r["term"], r["tf"], r["first"]) for r in found.filter("doc_id = 7").collect()} == {("the", 6, 0), ("w7", 1, 4), ("end", 1, 1)}
+
+
 def test_no_task_of_the_index_holds_all_of_a_common_term(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK_BITS", 6)
     monkeypatch.setattr(T, "TASK_TOKENS", 500)
