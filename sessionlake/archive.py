@@ -132,11 +132,11 @@ class Archive:
 
     def write(self, sessions: DataFrame, events: DataFrame, sources: DataFrame | None = None, objects: DataFrame | None = None) -> None:
         """Replaces whole sessions; provenance of stored objects that vanished from the new sources is kept."""
-        ids = sessions.select("id")
+        ids, whole = sessions.select("id"), sessions.withColumn("mode", F.lit("full"))
 
         def build(m: Manifest) -> tuple[dict[str, DataFrame], DataFrame]:
             """What is written, given what the version holds."""
-            frames = {"sessions": sessions.withColumn("mode", F.lit("full")), "events": events}
+            frames = {"sessions": whole, "events": events}
             if sources is not None:
                 old = self.log.table("raw_sources", m).join(ids.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
                 frames["raw_sources"] = K.sticky(old, sources.select([f.name for f in M.RAW_SOURCES.fields]))

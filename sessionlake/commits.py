@@ -4,7 +4,7 @@
   number, the version it was published as. A commit that replaces sessions lists their ids; a row is dead if a later commit lists its session: one anti-join against one scan of
   the lists, whatever the number of commits.
 * A commit is built on the version it read. Publishing looks at the commits that came in between: if one of them touches a session or an object of this one, or the analyser has changed, the
-  commit is built again on what is there now, else it goes behind them. Totals are sums over commits (texts added less texts replaced), so no total is carried from an old version.
+  commit is built again on what is there now (tables and lists that do not depend on the version stay), else it goes behind them. Totals are sums over commits (texts added less texts replaced), so no total is carried from an old version.
 * ``tidy`` merges the newest commits once ``FANOUT`` of them are of one size class, so that their number grows with the logarithm of the archive, and each row is rewritten as often. A
   merge keeps the commits' place in the sequence and can be published beside newer commits.
 * Every commit surveys its files (:mod:`surveys`): rows, a digest of all bytes, the least and greatest key and sort time, and Bloom filters of session ids, in a table of their own.
@@ -21,12 +21,13 @@ import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from . import schema as M, surveys
-from .functions.analysers import analyser
+from .functions.analysers import Analyser, analyser
 from .operators import fulltext, lineage
 from .operators.listing import sort_time
 from .storage import Exists, Store
@@ -148,16 +149,22 @@ class Log:
 
     def commit(self, build: Callable[[Manifest], tuple[dict[str, DataFrame], DataFrame | None]], telemetry: dict[str, Any] | None = None) -> None:
         """Adds the frames that ``build`` makes of a version; rows of the replaced ids in earlier commits die. Built again where another writer's commit is in the way."""
-        why = None
+        why = last = None
         for _ in range(ATTEMPTS):
             base = self.manifest()
-            entry = self._written(*build(base), base)
+            try:
+                frames, replaced = build(base)
+                entry = self._written(frames, replaced, base, last)
+            except BaseException:
+                if last:
+                    self._discard(last[0])
+                raise
             try:
                 self.change(lambda m, base=base, entry=entry: self._behind(m, base, entry, telemetry))
                 return
             except Conflict as e:
-                why = e
-                self._discard(entry)
+                why, last = e, (entry, frames | {"replaced": replaced})
+        self._discard(last[0])
         raise ArchiveError(f"no commit in {ATTEMPTS} attempts: {why}")
 
     def _behind(self, m: Manifest, base: Manifest, entry: Commit, telemetry: dict[str, Any] | None) -> Manifest:
@@ -187,16 +194,30 @@ class Log:
         for name in (*entry["tables"], "survey"):
             self.store.delete(f"data/{name}/commit={entry['name']}")
 
-    def _written(self, frames: dict[str, DataFrame], replaced: DataFrame | None, base: Manifest) -> Commit:
-        """Writes a commit's files: tables side by side, then the index of its events, then the survey."""
+    def _again(self, entry: Commit, last: tuple[Commit, dict[str, DataFrame | None]], frames: dict[str, DataFrame | None]) -> None:
+        """Takes over from an attempt that was not published what does not depend on the version it was built on: the tables that are the same frames, and the lists of the same events by the same analyser."""
+        old, before = last
+        same = {t for t, df in frames.items() if df is not None and before.get(t) is df and t in old["tables"]}
+        if "events" in same and old["tokenizer"] == entry["tokenizer"]:
+            same |= {t for t in INDEX if t != "terms" and t in old["tables"]}
+            entry |= {k: old[k] for k in ("totals", "buckets", "held")}
+        self._discard(old | {"tables": [t for t in old["tables"] if t not in same]})
+        entry |= {"name": old["name"], "tables": sorted(same)}
+
+    def _written(self, frames: dict[str, DataFrame], replaced: DataFrame | None, base: Manifest, last: tuple[Commit, dict[str, DataFrame | None]] | None = None) -> Commit:
+        """Writes a commit's files: tables side by side, then the index of its events, then the survey; ``last``: the attempt before, with its frames."""
         entry = self._entry(base["tokenizer"])
+        if last:
+            self._again(entry, last, frames | {"replaced": replaced})
         rows = {}
         for t, df in frames.items():
+            if t in entry["tables"]:
+                continue
             columns = [df[f.name].cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in M.TABLES[t].fields]
             rows[t] = df.select(columns)
             if t == "events":
                 rows[t] = rows[t].sortWithinPartitions("session_id", "idx")  # footers then bound each file's sessions
-        if replaced is not None:
+        if replaced is not None and "replaced" not in entry["tables"]:
             rows["replaced"] = replaced.select("id").distinct()
         with ThreadPoolExecutor(len(rows) or 1) as side_by_side:
             list(side_by_side.map(lambda item: self._put(entry, *item), rows.items()))
@@ -249,6 +270,17 @@ class Log:
     def index(self, events: DataFrame, entry: Commit, gone: DataFrame | None = None) -> None:
         """Writes the events' lengths, postings, pairs and frequencies as files of ``entry``; ``gone``: live events that it replaces, whose frequencies it takes off."""
         cut = analyser(entry["tokenizer"])
+        if "docs" not in entry["tables"]:
+            self._lists(events, entry, cut)
+        if cut.plain:
+            lists = [(t, pair) for t, pair in (("postings", False), ("pairs", True)) if t in entry["tables"]]
+            each = [self.scan(t, [entry]).select("term", F.lit(pair).alias("pair"), F.col("n").alias("df")) for t, pair in lists]
+            if gone is not None:
+                each.append(fulltext.occurrences(fulltext.index(gone, analyser=cut), -1))
+            self._put(entry, "terms", fulltext.frequencies(reduce(DataFrame.unionByName, each, self.spark.createDataFrame([], nullable(TERMS)))))
+
+    def _lists(self, events: DataFrame, entry: Commit, cut: Analyser) -> None:
+        """Writes the events' lengths, postings and pairs."""
         folder = f"{self.path}/data/tokens/commit={entry['name']}"
         tokens = fulltext.numbered(events, cut)
         tokens.write.option("compression", "zstd").parquet(folder)
@@ -262,11 +294,6 @@ class Log:
             if cut.plain:
                 two = fulltext.pairs(tokens)
                 parts["pairs"] = fulltext.blocks(two, fulltext.shares(two, n), places=False)
-        if cut.plain:
-            terms = fulltext.frequencies(tokens, 1)
-            if gone is not None:
-                terms = terms.unionByName(fulltext.frequencies(fulltext.index(gone, analyser=cut), -1)).groupBy("term", "pair").agg(F.sum("df").alias("df")).filter("df != 0")
-            parts["terms"] = terms.repartition("term").sortWithinPartitions("term")
         with ThreadPoolExecutor(len(parts)) as side_by_side:
             list(side_by_side.map(lambda item: self._put(entry, *item), parts.items()))
         for t in ("postings", "pairs"):
@@ -376,10 +403,10 @@ class Log:
 
     def _off(self, run: list[Commit], entry: Commit) -> None:
         """Frequencies of a merged commit: the run's sums, which count what the run replaced in older commits."""
-        sums = self.table("terms", commits=run).groupBy("term", "pair").agg(F.sum("df").alias("df")).filter("df != 0")
+        sums = fulltext.frequencies(self.table("terms", commits=run))
         self.store.delete(f"data/terms/commit={entry['name']}")
         entry["tables"].remove("terms")
-        self._put(entry, "terms", sums.repartition("term").sortWithinPartitions("term"))
+        self._put(entry, "terms", sums)
 
     def reindex(self, tokenizer: str) -> None:
         """The index of all live events, anew by an analyser, in place of all commits' own."""

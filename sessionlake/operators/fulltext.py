@@ -116,10 +116,16 @@ def pairs(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("toks", two)
 
 
-def frequencies(tokens: DataFrame, sign: int) -> DataFrame:
-    """term, pair, df (times ``sign``) of tokens and of pairs."""
-    each = [tokens.select(F.explode(F.array_distinct("toks")).alias("term"), F.lit(False).alias("pair")), pairs(tokens).select(F.explode(F.array_distinct("toks")).alias("term"), F.lit(True).alias("pair"))]
-    return each[0].unionByName(each[1]).groupBy("term", "pair").agg((F.count(F.lit(1)) * sign).alias("df"))
+def occurrences(tokens: DataFrame, sign: int) -> DataFrame:
+    """term, pair, df (``sign``) of each text's tokens and pairs."""
+    each = [(tokens, False), (pairs(tokens), True)]
+    one, two = (t.select(F.explode(F.array_distinct("toks")).alias("term"), F.lit(pair).alias("pair"), F.lit(sign).cast("long").alias("df")) for t, pair in each)
+    return one.unionByName(two)
+
+
+def frequencies(each: DataFrame) -> DataFrame:
+    """term, pair, df: sums of rows that are counts of texts, by one shuffle, sorted as they are to be written."""
+    return each.groupBy("term", "pair").agg(F.sum("df").alias("df")).filter("df != 0").sortWithinPartitions("term")
 
 
 def shares(tokens: DataFrame, buckets: int) -> list[int]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionlake import commits, schema as M
 from sessionlake.archive import Archive, ArchiveError
-from sessionlake.operators import lineage, search, topk
+from sessionlake.operators import fulltext, lineage, search, topk
 from sessionlake.plans.query import plan as plan_query
 
 from .test_archive import codex
@@ -58,6 +58,20 @@ def test_two_writers_of_one_session_leave_a_sound_archive(spark, tmp_path, monke
     assert (tmp_path / "out/rollout-a1.jsonl").read_bytes() == (tmp_path / "src/rollout-a1.jsonl").read_bytes()
 
 
+def test_a_commit_that_is_built_again_keeps_the_lists_of_its_events(spark, tmp_path, monkeypatch):
+    """The other writer has the same sessions with other texts: what counts is this one's, whose texts are cut and listed once."""
+    a, lists, cut = Archive(spark, str(tmp_path / "arch")), [], fulltext.blocks
+    a.write(*rows_of(spark, ["codex:a", "codex:b"], "old"))
+    other = lambda: Archive(spark, a.path).write(*rows_of(spark, ["codex:b", "codex:c"], "other"))
+    between(a, monkeypatch, lambda: (other(), lists.clear()))
+    monkeypatch.setattr(fulltext, "blocks", lambda *args, **k: lists.append(1) or cut(*args, **k))
+    a.write(*rows_of(spark, ["codex:a", "codex:b"], "new"))
+    assert not lists and all(passes(a).values()) and a.table("docs").count() == 9
+    df = {r["term"]: r["df"] for r in a.table("terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df != 0").collect()}
+    assert (df["new"], df["other"], df.get("old"), df["new user"], df.get("old user")) == (6, 3, None, 4, None)
+    assert len(list((tmp_path / "arch/data/events").iterdir())) == 3
+
+
 def test_a_commit_of_other_sessions_goes_behind(spark, tmp_path, monkeypatch):
     a = Archive(spark, str(tmp_path / "arch"))
     builds = []
