@@ -90,7 +90,7 @@ def shared_out(each: DataFrame, held: list[int], by: tuple[str, ...]) -> DataFra
     of = lambda counts: F.get(F.lit(counts), F.col("bucket"))
     each = each.withColumn("bucket", bucket(F.col("term"), len(held)))
     each = each.withColumn("file", (of(first) + F.pmod(F.xxhash64(*by), of(files))).cast("int"))
-    return each.repartitionById(sum(files), "file")
+    return each.drop("bucket").repartitionById(sum(files), "file").withColumn("bucket", bucket(F.col("term"), len(held)))  # told again by the term, which is less than sending it
 
 
 def folded(counts: list[int]) -> list[int]:
@@ -139,7 +139,9 @@ def blocks(tokens: DataFrame, held: list[int], places: bool = True) -> DataFrame
 
     Dealt as they are to be written, by term and block (:func:`shared_out`).
     """
-    per = shared_out(postings(tokens, ("session_id", "idx", "block"), places), held, ("term", "block"))
+    each = postings(tokens, ("session_id", "idx", "block"), places)
+    per = shared_out(each.drop("tf" if places else "positions"), held, ("term", "block"))
+    per = per.withColumn("tf", F.size("positions")) if places else per.withColumn("positions", F.lit(None).cast("array<int>"))
     post = F.struct("session_id", "idx", "dl", "tf", "positions")
     found = per.groupBy("bucket", "file", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(post)).alias("all"))
     posts = F.transform("all", lambda x: F.struct(*[x[k].alias(k) for k in ("session_id", "idx", "dl", "tf")]))

@@ -131,6 +131,14 @@ def test_reindex_query_deals_a_common_term_to_several_tasks_and_joins_rows_of_on
     assert {(r["term"], r["tf"], r["first"]) for r in found.filter("doc_id = 7").collect()} == {("the", 6, 0), ("w7", 1, 4), ("end", 1, 1)}
 
 
+def test_postings_are_gathered_without_a_shuffle(spark):
+    idx = T.index(spark.createDataFrame([(1, "b a b c b"), (2, ""), (3, "a")], "doc_id long, text string"), ("doc_id",))
+    posts = T.postings(idx, ("doc_id",))
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+    got = {(r["doc_id"], r["term"], r["tf"], tuple(r["positions"]), r["dl"]) for r in posts.collect()}
+    assert got == {(1, "a", 1, (1,), 5), (1, "b", 3, (0, 2, 4), 5), (1, "c", 1, (3,), 5), (3, "a", 1, (0,), 1)}
+
+
 def test_no_task_of_the_index_holds_all_of_a_common_term(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK_BITS", 6)
     monkeypatch.setattr(T, "TASK_TOKENS", 500)
