@@ -131,6 +131,22 @@ def test_reindex_query_deals_a_common_term_to_several_tasks_and_joins_rows_of_on
     assert {(r["term"], r["tf"], r["first"]) for r in found.filter("doc_id = 7").collect()} == {("the", 6, 0), ("w7", 1, 4), ("end", 1, 1)}
 
 
+def test_snippets_are_cut_in_small_batches(spark):
+    from pyspark.sql import functions
+
+    texts, key = [(i, None if i == 5 else f"word{i} other") for i in range(2500)], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)  # Spark's own default
+    try:
+        rows = spark.createDataFrame(texts, "i long, text string").coalesce(1)
+        column = snippet.snippet_column(functions.col("text"), [("other",)])
+        got = {r["i"]: r["s"] for r in rows.select("i", column.alias("s")).collect()}
+        assert got[5] == "" and all(got[i] == f"word{i} «other»" for i in range(2500) if i != 5)
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_postings_are_gathered_without_a_shuffle(spark):
     idx = T.index(spark.createDataFrame([(1, "b a b c b"), (2, ""), (3, "a")], "doc_id long, text string"), ("doc_id",))
     posts = T.postings(idx, ("doc_id",))
